@@ -7,9 +7,9 @@ search scans tables of query-by-code inner products, keeps the best of each bloc
 double precision.
 
 Equal vectors are one entry with their smallest ids. Entries are filed in cells by their nearest centre (large cells
-in several blocks), and each query visits the ``PROBED`` share of cells nearest to it, so that a task holds one block
-and its queries. Codebooks and centres are fitted on at most about ``FIT_ROWS`` entries (a hash decides); every entry
-is indexed.
+in several blocks), and each query visits the cells nearest to it, so that a task holds one block and its queries. How
+many it visits is measured on the fitting sample: so many that they hold the ``CELL_RECALL`` share of the nearest.
+Codebooks and centres are fitted on at most about ``FIT_ROWS`` entries (a hash decides); every entry is indexed.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length isn't the
 most frequent one. Rows with a null id take no part. Ties go to the smaller id. Repeated rows of one id count once.
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from .shared import binary_array, saved
 
 #: Entries that fitting reads (expected number), and dimensions and codes of a subspace.
-FIT_ROWS, SUB, CODES = 20_000, 2, 16
+FIT_ROWS, SUB, CODES = 12_000, 2, 16
 #: A residual's parallel part matters for queries whose score is at least this (unit vectors).
 SCORE_THRESHOLD = 0.2
-#: Entries in a block; the share of cells a query visits; candidates kept from a block and in all for reranking.
-BLOCK, PROBED, KEEP, RERANK = 8192, 0.6, 48, 96
+#: Entries of a cell on average and of a block at most about; the share of nearest entries that the visited cells
+#: hold; candidates kept from a block and in all for reranking.
+CELL, BLOCK, CELL_RECALL, KEEP, RERANK = 4096, 8192, 0.985, 40, 200
 #: Queries in one group of a block.
 QUERY_GROUP = 2048
 SEED = 5
@@ -84,7 +85,7 @@ def encode(x: np.ndarray, books: np.ndarray, weight: float, rounds: int = 3) ->
     return codes
 
 
-def fit_books(x: np.ndarray, rounds: int = 6) -> np.ndarray:
+def fit_books(x: np.ndarray, rounds: int = 4) -> np.ndarray:
     """Codebooks for unit vectors: codes and codewords in turn, each minimising the anisotropic loss."""
     rng = np.random.default_rng(SEED)
     parts = _split(x)
@@ -122,6 +123,20 @@ def fit_centres(x: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def probes_needed(x: np.ndarray, centres: np.ndarray, k: int, recall: float = CELL_RECALL, queries: int = 400) -> int:
+    """Cells to visit so that they hold the ``recall`` share of the ``k`` nearest of sample vectors."""
+    cell = (x @ centres.T).argmax(axis=1)
+    at = np.random.default_rng(SEED + 2).permutation(len(x))[:queries]
+    scores = x[at] @ x.T
+    scores[np.arange(len(at)), at] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(centres)
+    nearest = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(x[at] @ centres.T), axis=1, kind="stable"), axis=1)
+    return int(np.quantile(np.take_along_axis(place, cell[nearest], axis=1), recall, method="higher")) + 1
+
+
 def pack(codes: np.ndarray) -> np.ndarray:
     """Two four-bit codes to a byte."""
     codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2))).astype(np.uint8)
@@ -210,7 +225,7 @@ def _exact(batches):
 
 
 def search(
-    vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", probed: float = PROBED, rerank: int = RERANK,
+    vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK,
 ) -> DataFrame:
     """The ``k`` nearest other rows of each row for which the condition ``is_query`` on ``vec_id`` holds: ``query_id``,
     ``rank`` from 1, ``vec_id`` and ``score`` (cosine), nearest first, ties to the smaller id."""
@@ -235,9 +250,8 @@ def search(
     if not fitted.num_rows:
         fitted = entries.limit(CODES).select("vec").toArrow()
     x = _unit(_matrix(fitted["vec"]))
-    cells = int(min(len(x), max(1, round(np.sqrt(n) / 4))))
-    books, centres = fit_books(x), fit_centres(x, cells)
-    probes = max(1, int(np.ceil(probed * cells)))
+    books, centres = fit_books(x), fit_centres(x, int(min(len(x), max(1, -(-n // CELL)))))
+    probes = probes_needed(x, centres, k)
 
     index = saved(entries.select("entry", "vec").mapInArrow(_indexed(centres, books), "entry long, cell int, codes binary"), "index")
     per_cell = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
