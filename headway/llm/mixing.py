@@ -40,7 +40,7 @@ def _by_rank(values: tuple, rank: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget_share: float = 1.0, max_repeats: float = MAX_REPEATS) -> DataFrame:
-    """From one row per source (``source``, ``source_size``): its ``rank``, ``weight`` and ``target``."""
+    """From one row per source (``source``, ``source_size``; a small table): its ``rank``, ``weight`` and ``target``."""
     everything = Window.partitionBy()
     ranked = sizes.withColumn("rank", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())))
     ranked = ranked.withColumn("weight", _by_rank(weights, F.col("rank"))).withColumn("cap", max_repeats * F.col("source_size"))
@@ -52,7 +52,6 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget_share: float = 1.
         .withColumn("weight_from", F.sum("weight").over(everything) - F.sum("weight").over(order) + F.col("weight"))
         .withColumn("level", (F.col("budget") - F.col("full_before")) / F.col("weight_from"))
         .withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-        .withColumn("water", F.min(F.when(F.col("open"), F.struct("cap", "rank", "level"))["level"]).over(everything))
         .withColumn("first_open", F.min(F.when(F.col("open"), F.col("cap") / F.col("weight"))).over(everything))
         .withColumn("water", F.max(F.when(F.col("open") & (F.col("cap") / F.col("weight") == F.col("first_open")), F.col("level"))).over(everything))
     )
@@ -83,6 +82,12 @@ def position(schedule: Column, share: Column) -> Column:
     return F.least(F.lit(1.0), piece["t"] + F.coalesce(F.try_divide(2 * rest, piece["v"] + root), F.lit(0.0)))
 
 
+def narrow_columns(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What the running sums need of a row: id, source, size and its place in the pseudo-random order."""
+    place = F.xxhash64(F.col(id_col), F.lit("mix"))
+    return [F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), place.alias("hash")]
+
+
 def mix(
     docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, budget_share: float = 1.0, max_repeats: float = MAX_REPEATS,
@@ -90,21 +95,22 @@ def mix(
     """The columns ``keep`` of every row with ``size``, ``source_size``, ``target``, ``taken`` (words, repeats
     counted), ``copies`` (taken / size, rounded) and ``position`` (training time of the first copy; null if none)."""
     kept = [F.col(c).alias(f"__{c}") for c in keep]
-    place = F.xxhash64(F.col(id_col), F.lit("mix"))
-    sized = saved(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), place.alias("hash"), *kept),
-        "sized",
-    )
+    sized = saved(docs.select(*narrow_columns(id_col, text_col, source_col)), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sizes, weights, budget_share, max_repeats).withColumn("schedule", _knots(schedules, F.col("rank")))
     buckets = max(1, -(-sized.count() // BUCKET_ROWS))
-    spread = sized.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
-    sums = spread.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    in_bucket = F.pmod("hash", F.lit(buckets)).alias("bucket")
+    sums = sized.select("*", in_bucket).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = sums.withColumn("bucket_start", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size"))
     plan = before.join(goals, before["source"].eqNullSafe(goals["source"])).select(
         before["source"].alias("b_source"), F.col("bucket").alias("b_bucket"), "bucket_start", "source_size", "target", "schedule"
     )
-    inner = Window.partitionBy("source", "bucket").orderBy("hash", "id", "size", *[f"__{c}" for c in keep]).rowsBetween(Window.unboundedPreceding, 0)
+    if set(keep) <= {id_col, source_col}:
+        own = {id_col: "id", source_col: "source"}
+        spread = sized.select("*", in_bucket, *[F.col(own[c]).alias(f"__{c}") for c in keep])
+    else:  # wide rows are read again rather than written once more
+        spread = docs.select(*narrow_columns(id_col, text_col, source_col), *kept).select("*", in_bucket)
+    inner = Window.partitionBy("source", "bucket").orderBy("hash", "id", "size", *[f"__{c}" for c in keep if c != text_col]).rowsBetween(Window.unboundedPreceding, 0)
     rows = spread.withColumn("in_bucket", F.sum("size").over(inner) - F.col("size"))
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["b_source"]) & (rows["bucket"] == plan["b_bucket"]))
     start = F.col("bucket_start") + F.col("in_bucket")
