@@ -40,16 +40,16 @@ def poisson_floor(rows: DataFrame, key: list[str], value: str) -> DataFrame:
 
     The factorial's logarithm is a sum over a table of the integers up to the largest mean, joined by range of k.
     """
-    means = rows.groupBy(*key).agg(F.avg(value).alias("m"))
-    top = means.agg(F.max("m")).first()[0] or 0.0
+    means = rows.groupBy(*key).agg(F.avg(value).alias("__m"))
+    top = means.agg(F.max("__m")).first()[0] or 0.0
     steps, log = [], 0.0
     for k in range(int(top) + 1):
         log += math.log(k) if k > 1 else 0.0
         steps.append((k, log))
-    table = rows.sparkSession.createDataFrame(steps, "k int, log_factorial double")
-    keyed = means.withColumn("k", F.floor("m").cast("int")).join(table, "k")
-    value_ = 2 * F.exp(-F.col("m") + (F.col("k") + 1) * F.ln("m") - F.col("log_factorial"))
-    return keyed.select(*key, "m", F.when(F.col("m") > 0, value_).otherwise(0.0).alias("floor"))
+    table = rows.sparkSession.createDataFrame(steps, "__k int, __log double")
+    keyed = means.withColumn("__k", F.floor("__m").cast("int")).join(table, "__k")
+    floor = 2 * F.exp(-F.col("__m") + (F.col("__k") + 1) * F.ln("__m") - F.col("__log"))
+    return keyed.select(*key, F.col("__m").alias("mean"), F.when(F.col("__m") > 0, floor).otherwise(0.0).alias("floor"))
 
 
 def quality_report(df: DataFrame) -> DataFrame:
