@@ -132,5 +132,5 @@ def mix(
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
-    """Range-sorted by position; rows that the mix leaves out come last."""
-    return mixed.orderBy(F.col("position").asc_nulls_last())
+    """Range-sorted by position; rows that the mix leaves out come last, spread over tasks by a hash."""
+    return mixed.orderBy(F.col("position").asc_nulls_last(), F.xxhash64(*[c for c in mixed.columns if c != "text"]))
