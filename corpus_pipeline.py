@@ -17,9 +17,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, no letter, or codewords that are all about as far."""
+    """Drops documents without a language: those that have no text or no letter. Ambiguous ones stay."""
     seen = langid.predict(docs.withColumn("__copy", F.col("text")), language_model(docs), [*COLUMNS], "__copy")
-    return seen.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(*COLUMNS)
+    return seen.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
