@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 #: Splits a text into words before merging (fixed value, the byte-level pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a task remembers; when more are seen, it starts anew.
-CACHE_WORDS = 400_000
-#: Characters of text whose unknown words are merged together.
-CHUNK_CHARS = 4 << 20
+CACHE_WORDS = 200_000
+#: Bytes of text whose unknown words are merged together; a longer text is a chunk of its own.
+CHUNK_CHARS = 1 << 20
 _NONE = np.int64(1) << np.int64(40)
 
 
@@ -145,23 +146,22 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def _chunks(texts: list[str]):
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK_CHARS:
-            yield texts[a : i + 1]
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield texts[a:]
+def _slices(batch: pa.RecordBatch):
+    """Runs of a batch's rows whose texts have about CHUNK_CHARS bytes, at least one row each."""
+    size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+    end = np.cumsum(size, dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + CHUNK_CHARS, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def _coded(path: str, digest: bool):
     def run(batches):
         v = vocabulary(path)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
-            ids = [x for part in _chunks(texts) for x in v.encode_many(part)]
+        for part in (x for batch in batches for x in _slices(batch)):
+            ids = v.encode_many([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             if digest:
                 more = [
@@ -173,7 +173,7 @@ def _coded(path: str, digest: bool):
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
                 more, names = [pa.ListArray.from_arrays(pa.array(ends), flat)], ["n_tokens", "ids"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, *more], [*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], n, *more], [*part.schema.names[:-1], *names])
 
     return run
 
