@@ -70,3 +70,33 @@ def ratio_day_type(label: Column, day_type: Column) -> Column:
     name = F.regexp_extract(label, "^typical_(.*)$", 1)
     known = F.when(name == "saturday", "sat").when(name == "sunday_holiday", "sun_holiday").when(name == "weekday", "weekday")
     return F.when(label.startswith("typical_"), known).otherwise(day_type)
+
+
+def month_after(ym: Column, months) -> Column:
+    """The month (``YYYYMM`` as a number) that many months later, or earlier where negative."""
+    months = months if isinstance(months, Column) else F.lit(months)
+    total = F.floor(ym / 100) * 12 + ym % 100 - 1 + months
+    return (F.floor(total / 12) * 100 + F.pmod(total, F.lit(12)) + 1).cast("int")
+
+
+def months_between(first: Column, last: Column) -> Column:
+    """Number of months from one to another (numbers), both included."""
+    return ((F.floor(last / 100) - F.floor(first / 100)) * 12 + last % 100 - first % 100 + 1).cast("int")
+
+
+def clamped_period(first: Column, last: Column, low: Column, high: Column, changed: str = "to", most: int = 12) -> Column:
+    """A period inside the data, in order and of at most ``most`` months; the end that wasn't changed gives way."""
+    first, last = F.greatest(first, low), F.least(last, high)
+    if changed == "from":
+        last = F.greatest(first, last)
+        last = F.when(months_between(first, last) > most, month_after(first, most - 1)).otherwise(last)
+    else:
+        first = F.least(first, last)
+        first = F.when(months_between(first, last) > most, month_after(last, 1 - most)).otherwise(first)
+    return F.struct(first.alias("first"), last.alias("last"))
+
+
+def district_day_type(days: Column) -> Column:
+    """The day type of district flows that a list of chosen days stands for."""
+    only = lambda day: F.coalesce((F.size(days) > 0) & F.forall(days, lambda d: d == day), F.lit(False))
+    return F.when(only("sat"), "saturday").when(only("sun_holiday"), "sunday_holiday").otherwise("weekday")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,3 +95,59 @@ def joined_lines(lines: Column) -> Column:
         lines, F.expr("cast(array() as array<struct<lng: double, lat: double>>)"),
         lambda done, line: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) == F.try_element_at(line, F.lit(1))), F.concat(done, F.slice(line, F.lit(2), F.size(line)))).otherwise(F.concat(done, line)),
     )
+
+
+def point_on_surface(ring: Column) -> Column:
+    """A point inside a ring: the middle of the widest stretch inside it at half its height; null where there is none."""
+    lats = F.transform(ring, lambda p: p["lat"])
+    level = (F.array_min(lats) + F.array_max(lats)) / 2
+    crossed = F.filter(_edges(ring), lambda e: (e["a"]["lat"] > level) != (e["b"]["lat"] > level))
+    xs = F.sort_array(F.transform(crossed, lambda e: e["a"]["lng"] + (level - e["a"]["lat"]) * (e["b"]["lng"] - e["a"]["lng"]) / (e["b"]["lat"] - e["a"]["lat"])))
+    spans = F.filter(F.transform(xs, lambda x, i: F.when(i % 2 == 0, F.struct((F.try_element_at(xs, i + 2) - x).alias("width"), x.alias("x")))), lambda s: s.isNotNull())
+    widest = F.array_max(spans)
+    return F.when(F.size(xs) > 1, F.struct((widest["x"] + widest["width"] / 2).alias("lng"), level.alias("lat")))
+
+
+def geojson_polygon(rings: Column) -> Column:
+    """A GeoJSON polygon of rings, with six decimals."""
+    one = lambda p: F.format_string("[%.6f,%.6f]", p["lng"], p["lat"])
+    text = F.transform(rings, lambda r: F.concat(F.lit("["), F.array_join(F.transform(r, one), ","), F.lit("]")))
+    return F.concat(F.lit('{"type":"Polygon","coordinates":['), F.array_join(text, ","), F.lit("]}"))
+
+
+def kept_points(lng, lat, tolerance: float):
+    """Which points of a line stay when those closer than ``tolerance`` to what is left of it go (numpy arrays)."""
+    keep = np.zeros(len(lng), dtype=bool)
+    if len(lng):
+        keep[[0, -1]] = True
+    spans = [(0, len(lng) - 1)]
+    while spans:
+        a, b = spans.pop()
+        if b - a < 2:
+            continue
+        dx, dy = lng[b] - lng[a], lat[b] - lat[a]
+        x, y = lng[a + 1 : b] - lng[a], lat[a + 1 : b] - lat[a]
+        square = dx * dx + dy * dy
+        along = np.clip((x * dx + y * dy) / square, 0, 1) if square else np.zeros(len(x))
+        off = np.hypot(x - along * dx, y - along * dy)
+        far = int(off.argmax())
+        if off[far] > tolerance:
+            keep[a + 1 + far] = True
+            spans += [(a, a + 1 + far), (a + 1 + far, b)]
+    return keep
+
+
+def simplified(points: Column, tolerance: float) -> Column:
+    """A line (array of structs ``lng``, ``lat``) without the points that hardly bend it; ends stay. Null stays null."""
+    @F.pandas_udf("array<boolean>")
+    def kept(lines: pd.Series) -> pd.Series:
+        def one(line):
+            if line is None:
+                return None
+            pair = np.array([(p["lng"], p["lat"]) for p in line], dtype=float).reshape(-1, 2)
+            return kept_points(pair[:, 0], pair[:, 1], tolerance).tolist()
+
+        return lines.map(one)
+
+    pairs = F.arrays_zip(points.alias("p"), kept(points).alias("k"))
+    return F.transform(F.filter(pairs, lambda x: x["k"]), lambda x: x["p"])

@@ -155,3 +155,25 @@ def matches_patterns(name: Column, ars: Column, patterns: Column) -> Column:
         F.split(patterns, "[|]"),
         lambda p: F.when(p.startswith("ars:"), ars == F.substring(p, 5, 100)).otherwise(F.call_function("like", name, p)),
     )
+
+
+def natural_key(c: Column, width: int = 20) -> Column:
+    """A sort key under which numbers in names order by value: runs of digits are filled with zeros."""
+    runs = F.regexp_extract_all(c, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]") & (F.length(r) < width), F.lpad(r, width, "0")).otherwise(r)), "")
+
+
+def compact_id(c: Column) -> Column:
+    """An identifier without blanks around it and without leading zeros; the last digit stays."""
+    return F.regexp_replace(F.trim(c), "^0+(?=[0-9])", "")
+
+
+def compact_name(c: Column) -> Column:
+    return F.regexp_replace(c, r"\s+", "")
+
+
+def file_name(*parts: Column, otherwise: str = "table") -> Column:
+    """A file name of the parts that aren't empty: letters, digits, dots and dashes stay, other runs become one _."""
+    clean = [F.regexp_replace(F.regexp_replace(p, r"[^\p{L}\p{N}.-]+", "_"), "^_+|_+$", "") for p in parts]
+    name = F.concat_ws("-", *[F.when(p != "", p) for p in clean])
+    return F.concat(F.when(name == "", otherwise).otherwise(name), F.lit(".csv"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import sphere_km
 from ..functions.identifiers import area_unit
 from ..functions.numbers import half_up
 
@@ -51,3 +52,37 @@ def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -
 def weighted_mean(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     known = rows.where(F.col(value).isNotNull())
     return known.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("mean"))
+
+
+def outside_ends(legs: DataFrame, area_stops: DataFrame, placed: DataFrame, points: DataFrame, area_point: DataFrame, home: str, boarding: bool = True) -> DataFrame:
+    """Riders between an area and stops that aren't in it, by the district of the other end and its distance.
+
+    ``legs`` (``board_ars, alight_ars, passengers``), ``area_stops`` (``ars``), ``placed`` (``ars, dong``), ``points``
+    (``dong, lng, lat, in_area``) and ``area_point`` (one row ``lng, lat``, for stops of the area whose own district isn't
+    in it). Other ends in districts that begin with ``home`` go; those without a district stay, with no distance.
+    """
+    here, there = ("board_ars", "alight_ars") if boarding else ("alight_ars", "board_ars")
+    ends = legs.select(F.lpad(here, 5, "0").alias("here"), F.lpad(there, 5, "0").alias("there"), "passengers")
+    inside = area_stops.select(F.lpad("ars", 5, "0").alias("here")).distinct()
+    out = ends.join(inside, "here", "left_semi").join(inside.select(F.col("here").alias("there")), "there", "left_anti")
+    pairs = out.groupBy("here", "there").agg(F.sum("passengers").alias("passengers"))
+    far = placed.select(F.col("ars").alias("there"), "dong").join(points.select("dong", F.col("lng").alias("t_lng"), F.col("lat").alias("t_lat")), "dong", "left")
+    near = placed.select(F.col("ars").alias("here"), F.col("dong").alias("h_dong")).join(points.where("in_area").select(F.col("dong").alias("h_dong"), F.col("lng").alias("h_lng"), F.col("lat").alias("h_lat")), "h_dong")
+    joined = pairs.join(far, "there", "left").where(F.col("dong").isNull() | ~F.startswith(F.col("dong"), F.lit(home))).join(near, "here", "left")
+    one = joined.crossJoin(F.broadcast(area_point.select(F.col("lng").alias("a_lng"), F.col("lat").alias("a_lat"))))
+    km = sphere_km(F.coalesce("h_lat", "a_lat"), F.coalesce("h_lng", "a_lng"), F.col("t_lat"), F.col("t_lng"))
+    return one.groupBy("dong", km.alias("km")).agg(F.sum("passengers").alias("passengers"))
+
+
+def routes_of_area(legs: DataFrame, area_stops: DataFrame, placed: DataFrame, most: int = 5) -> DataFrame:
+    """Riders boarding in an area by route and the district where they alight: the ``most`` biggest of each route with
+    their ``rank``, and per route all its ``boardings`` and those ``unplaced``, whose stop has no district."""
+    inside = legs.join(area_stops.select(F.col("ars").alias("board_ars")).distinct(), "board_ars", "left_semi")
+    to = placed.select(F.col("ars").alias("alight_ars"), "dong")
+    sums = inside.join(to, "alight_ars", "left").groupBy("route", "dong").agg(F.sum("passengers").alias("riders"))
+    of = Window.partitionBy("route")
+    ranked = sums.withColumns({
+        "boardings": F.sum("riders").over(of), "unplaced": F.coalesce(F.sum(F.when(F.col("dong").isNull(), F.col("riders"))).over(of), F.lit(0.0)),
+        "rank": F.row_number().over(of.orderBy(F.col("dong").isNull(), F.desc("riders"), "dong")),
+    })
+    return ranked.where(F.col("dong").isNotNull() & (F.col("rank") <= most))

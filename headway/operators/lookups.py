@@ -65,3 +65,17 @@ def update_from(rows: DataFrame, fixes: DataFrame, keys: list[str], column: str)
     """Takes ``column`` from the fix of the same keys where there is one that isn't null; keys of fixes are unique."""
     fix = fixes.select(*keys, F.col(column).alias("__fix"))
     return rows.join(fix, keys, "left").withColumn(column, F.coalesce("__fix", column)).select(*rows.columns)
+
+
+def values_of(rows: DataFrame, on: dict[str, str], table: DataFrame, values: list[str], hit: str = "hit") -> DataFrame:
+    """``values`` of the table row whose keys equal the row's (``on`` maps row columns to keys; nulls match nothing),
+    and whether there is one. Keys that occur twice in the table fail when the join meets them."""
+    keys = list(on.values())
+    found = table.dropna(subset=keys).groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    once = found.agg(*[F.first(v).alias(f"__v{i}") for i, v in enumerate(values)], F.count(F.lit(1)).alias("__n"))
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & (rows[c] == once[f"__k{i}"])
+    n = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"the lookup's keys {keys} are not unique")).cast("long")).otherwise(F.col("__n"))
+    joined = rows.join(once, same, "left").withColumn(hit, n.isNotNull())
+    return joined.select(*rows.columns, *[F.col(f"__v{i}").alias(v) for i, v in enumerate(values)], hit)

@@ -113,6 +113,31 @@ def deduplicate(rows: DataFrame) -> DataFrame:
     return merged.where("__n = 1").withColumn("passengers", F.col("__sum").cast("int")).select(*rows.columns)
 
 
+def deduplicate_as_before(rows: DataFrame) -> DataFrame:
+    """The older merge, for comparisons with tables made by it. Its defects are kept: merged rows lose the boarding code;
+    rows go by a key without names, so that rows that weren't merged go too; rows with a null in that key stay beside
+    their sum."""
+    group = ["service_date", "route", "route_id", "board_seq", "board_ars", "board_name", "alight_seq", "alight_ars", "alight_code", "alight_name"]
+    gone = ["service_date", "route", "route_id", "board_seq", "board_ars", "alight_seq", "alight_ars"]
+    sums = rows.groupBy(*group).agg(F.sum("passengers").cast("int").alias("passengers"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    merged = sums.withColumn("board_code", F.lit(None).cast("string")).select(*rows.columns)
+    return rows.join(merged.select(*gone).distinct(), gone, "left_anti").select(*rows.columns).unionByName(merged)
+
+
+def day_reports(docs: DataFrame, text: str = "doc") -> DataFrame:
+    """One row per day from the JSON reports of its correction."""
+    schema = """day string, seconds double, structural struct<passengers: struct<input: long, anomaly: long>, passenger_diff: long>,
+        ferry struct<ferry_passengers: long, by_date: array<struct<passengers_at_closed_piers: long>>>,
+        codes struct<null_route_id: long, null_boarding_code: long>"""
+    r = F.from_json(text, schema)
+    closed = F.aggregate(r["ferry"]["by_date"], F.lit(0).cast("long"), lambda s, d: s + d["passengers_at_closed_piers"])
+    return docs.select(
+        r["day"].alias("day"), F.date_format(F.try_to_date(r["day"], "yyyyMMdd"), "EEE").alias("dow"), r["structural"]["passengers"]["input"].alias("passengers"),
+        r["structural"]["passenger_diff"].alias("diff"), r["structural"]["passengers"]["anomaly"].alias("anomaly"), r["ferry"]["ferry_passengers"].alias("ferry"),
+        closed.alias("ferry_at_closed"), r["codes"]["null_route_id"].alias("null_route_id"), r["codes"]["null_boarding_code"].alias("null_boarding_code"), r["seconds"].alias("seconds"),
+    )
+
+
 def correct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The whole correction: corrected rows and rows set aside."""
     undated = rows.where("service_date is null")

@@ -37,3 +37,20 @@ def near(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     r = right.withColumns({"__cx": _cell(F.col("r_lng"), size), "__cy": _cell(F.col("r_lat"), size)})
     far = geo.haversine_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
     return l_.join(r, ["__cx", "__cy"]).drop("__cx", "__cy").withColumn("metres", far).where(F.col("metres") <= metres)
+
+
+def dissolved(boxes: DataFrame, key: str) -> DataFrame:
+    """One area per key: its parts, and the box around them (``x0, y0, x1, y1``)."""
+    part = F.struct("x0", "y0", "x1", "y1")
+    return boxes.groupBy(key).agg(F.collect_list(part).alias("parts"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def covered_by_parts(points: DataFrame, areas: DataFrame, size: float) -> DataFrame:
+    """Pairs of points and dissolved areas with a part that covers the point; inner edges count as covered."""
+    hit = F.exists("parts", lambda r: geo.in_rectangle(F.col("lng"), F.col("lat"), r["x0"], r["y0"], r["x1"], r["y1"]))
+    return covering(points, areas, size).where(hit).drop("parts")
+
+
+def primary_area(points: DataFrame, boxes: DataFrame, size: float, point: str, area: str) -> DataFrame:
+    """One area per point that has any: the smallest code of those that cover it."""
+    return covering(points, boxes, size).groupBy(point).agg(F.min(area).alias(area))

@@ -77,6 +77,15 @@ def zip_members(spark: SparkSession, path: str, pattern: str = ".*") -> DataFram
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, content binary")
 
 
+def zipped(members: dict[str, bytes]) -> bytes:
+    """A small archive of named members."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, content in members.items():
+            archive.writestr(name, content)
+    return out.getvalue()
+
+
 def read_export(spark: SparkSession, folder: str, keys: list[str], measures: list[str]) -> DataFrame:
     """A Parquet folder that is valid only with its ``manifest.json``: columns, rows and sums are checked, and repeated
     or empty keys are refused."""
@@ -105,15 +114,62 @@ def write_export(df: DataFrame, folder: str, measures: list[str]) -> None:
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
+    put_bytes(spark, path, text.encode("utf-8"))
+
+
+def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """Writes a small file through Spark's file system, in place of an older one."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
 def get_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r["value"] for r in spark.read.text(path).collect())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that driver and executors share (``spark.checkpoint.dir``); a local one only where none
+    is configured, as in tests."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="headway-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def api_hour_column(hour: int, boarding: bool = True) -> str:
+    """Name of an hour's column in the service's tables."""
+    return f"HR_{hour}_GET_{'ON' if boarding else 'OFF'}_NOPE"
+
+
+def csv_hour_column(hour: int, boarding: bool = True) -> str:
+    """Name of an hour's column in the monthly files."""
+    return f"{hour:02d}시-{(hour + 1) % 24:02d}시 {'승차인원' if boarding else '하차인원'}"
+
+
+def hour_columns(columns: list[str], boarding: bool = True) -> dict[str, int]:
+    """The hour columns of either form that a table has, for ``wide_to_long``."""
+    return {name(h, boarding): h for h in range(24) for name in (api_hour_column, csv_hour_column) if name(h, boarding) in columns}
+
+
+def summed_folders(spark: SparkSession, paths: list[str], columns: list[str], keys: list[str], measures: list[str], sep: str = ",") -> DataFrame:
+    """Rows of all delimited files of some folders, summed per key; a measure that isn't a number counts as 0."""
+    parts = [read_delimited(spark, p, columns, sep) for p in paths]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col(m).try_cast("double"), F.lit(0.0))).alias(m) for m in measures])

@@ -10,6 +10,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PAGE_ROWS, OK, NOTHING = 1000, "INFO-000", "INFO-200"
@@ -70,3 +71,22 @@ def page_source(name: str, fetch: Callable[[int, int], str], columns: dict[str,
 def read_pages(spark: SparkSession, source: type[DataSource]) -> DataFrame:
     spark.dataSource.register(source)
     return spark.read.format(source.name()).load()
+
+
+#: Suffixes of a route's variants in the listing: one letter, or commuter runs (fixed values).
+VARIANT_SUFFIX = "([A-Z]|출근|퇴근)"
+
+
+def route_variants(listed: DataFrame) -> DataFrame:
+    """Variants of each route of a listing (``route``, ``name``): the exact name alone, as ``route``, or else each name
+    that adds a variant's suffix, as ``route|name``. Repeated names count once; a route without either has no row."""
+    names = listed.where("name is not null").distinct()
+    suffix = F.expr("substring(name, length(route) + 1)")
+    exact = names.where("name = route").select("route", "name", F.col("route").alias("variant"))
+    more = names.where(F.startswith("name", "route") & suffix.rlike(f"^{VARIANT_SUFFIX}$")).select("route", "name", F.concat_ws("|", "route", "name").alias("variant"))
+    return exact.unionByName(more.join(exact.select("route"), "route", "left_anti"))
+
+
+def within_quota(routes: DataFrame, fetched: str, calls: int, quota: int) -> DataFrame:
+    """The routes that a day's quota of calls covers, those fetched longest ago (or never) first; ties by name."""
+    return routes.orderBy(F.col(fetched).asc_nulls_first(), "route").limit(quota // calls)

@@ -31,3 +31,21 @@ def load_batches(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery
         days.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def load_finished_months(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Loads the months of ``folder`` (``ym=<month>/data`` and ``ym=<month>/manifest.json``) into partitions of ``out``.
+
+    The stream reads manifests, which are written last: a month without one was interrupted and waits until a later run
+    finds it. A month whose batch runs again replaces its own partition. Hours are summed over visits.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        # one short text per finished month
+        for (name,) in batch.select("name").distinct().collect():
+            month = spark.read.parquet(name.rsplit("/", 1)[0] + "/data")
+            sums = month.groupBy("use_ym", "route", "ars", "hour").agg(F.sum("boardings").alias("boardings"))
+            sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("use_ym").parquet(out)
+
+    manifests = spark.readStream.format("text").schema("value string").option("wholetext", True).load(f"{folder}/ym=*/manifest.json").select(F.col("_metadata.file_path").alias("name"))
+    return manifests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
