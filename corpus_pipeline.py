@@ -37,10 +37,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it (rounded), in training order."""
-    mixed = mixing.mix(docs, COLUMNS)
-    repeated = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return mixing.in_training_order(repeated).select(*COLUMNS)
+    """Repeats each document as often as the mix takes it (rounded), each copy at its own place in training order."""
+    return mixing.in_training_order(mixing.each_copy(mixing.mix(docs, COLUMNS)).select(*COLUMNS, "position")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

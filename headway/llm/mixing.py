@@ -5,8 +5,8 @@
 2. Taking: the documents of a source stand in a fixed pseudo-random order, repeated until the target is met; the
    last one is taken in part, so that a source's taken words equal its rounded target.
 3. Positions: a source's weight schedule is piecewise linear over training time 0..1. Its integral, scaled to the
-   target, is the source's cumulative demand; inverting it at a document's place among the source's taken words gives
-   the document's training position, and documents are range-sorted by it.
+   target, is the source's cumulative demand; inverting it at a copy's place among the source's taken words (pass after
+   pass over the source) gives the copy's training position, and copies are range-sorted by it.
 
 Running sums are two-level (hash buckets of a bounded number of rows, then rows in a bucket), so that no task holds a
 whole source. Null and empty texts have size 0: nothing is taken from them, and they have no position. Null sources
@@ -93,7 +93,8 @@ def mix(
     weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, budget_share: float = 1.0, max_repeats: float = MAX_REPEATS,
 ) -> DataFrame:
     """The columns ``keep`` of every row with ``size``, ``source_size``, ``target``, ``taken`` (words, repeats
-    counted), ``copies`` (taken / size, rounded) and ``position`` (training time of the first copy; null if none)."""
+    counted), ``copies`` (taken / size, rounded), ``positions`` (training time of every copy, the one taken in part
+    included; null if none) and ``position`` (the first of them)."""
     kept = [F.col(c).alias(f"__{c}") for c in keep]
     sized = saved(docs.select(*narrow_columns(id_col, text_col, source_col)), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -119,7 +120,10 @@ def mix(
     rows = rows.withColumn("start", start).withColumn("rounds", F.floor(whole)).withColumn("goal", goal)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - F.col("rounds") * F.col("source_size") - F.col("start")))
     rows = rows.withColumn("taken", (F.col("rounds") * F.col("size") + part).cast("long"))
-    at = position(F.col("schedule"), F.try_divide(F.col("start") + F.least("size", "taken") / 2, F.col("goal").cast("double")))
+    # pass k over the source begins at k times its size; the last one takes the document in part
+    passes = F.sequence(F.lit(0).cast("long"), F.ceil(F.expr("try_divide(taken, size)")) - 1)
+    share = lambda k: F.try_divide(F.col("start") + k * F.col("source_size") + F.least(F.col("size"), F.col("taken") - k * F.col("size")) / 2, F.col("goal").cast("double"))
+    rows = rows.withColumn("positions", F.when(F.col("taken") > 0, F.transform(passes, lambda k: position(F.col("schedule"), share(k)))))
     return rows.select(
         *[F.col(f"__{c}").alias(c) for c in keep],
         "size",
@@ -127,10 +131,16 @@ def mix(
         "target",
         "taken",
         F.coalesce(F.round(F.expr("try_divide(taken, size)")), F.lit(0)).cast("int").alias("copies"),
-        F.when(F.col("taken") > 0, at).alias("position"),
+        "positions",
+        F.get("positions", F.lit(0)).alias("position"),
     )
 
 
+def each_copy(mixed: DataFrame) -> DataFrame:
+    """A row per copy of the rows of ``mix``, each with its own ``position``."""
+    return mixed.where("copies > 0").withColumn("position", F.explode(F.slice("positions", F.lit(1), F.col("copies"))))
+
+
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """Range-sorted by position; rows that the mix leaves out come last, spread over tasks by a hash."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), F.xxhash64(*[c for c in mixed.columns if c != "text"]))

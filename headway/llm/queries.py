@@ -47,7 +47,7 @@ def op4_fixity(spark, sf_dir):
 
 def op5_mixing(spark, sf_dir):
     mixed = mixing.mix(spark.read.parquet(table(sf_dir, "documents")), ["doc_id"])
-    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
 def op6_bpe(spark, sf_dir):

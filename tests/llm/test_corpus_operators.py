@@ -240,6 +240,28 @@ def test_mix_edges(spark):
     assert sorted(r["taken"] for r in mixing.mix(same, ["doc_id"]).collect()) == [0, 3, 3, 3, 3]
 
 
+def test_every_copy_has_its_own_position(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * rng.randrange(1, 30)), "a" if i < 15 else "b") for i in range(200)]  # a is taken three times
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df, ["doc_id", "source"])
+    for s, rank in (("a", 1), ("b", 2)):
+        found = sorted((p, r["size"], r["taken"], k) for r in mixed.where(F.col("source") == s).collect() for k, p in enumerate(r["positions"] or []))
+        assert len(found) > 40 and found[-1][0] > 0.97
+        goal, done = sum(min(z, t - k * z) for _, z, t, k in found), 0
+        times, weights = zip(*mixing.SCHEDULES[rank - 1])
+        grid = np.linspace(0, 1, 20001)
+        area = np.concatenate([[0], np.cumsum((np.interp(grid, times, weights)[1:] + np.interp(grid, times, weights)[:-1]) / 2)])
+        for p, z, t, k in found:  # in order of the positions, the words so far are the demand at each
+            part = min(z, t - k * z)
+            assert np.interp(p, grid, area / area[-1]) * goal == pytest.approx(done + part / 2, abs=1e-2)
+            done += part
+    copies = mixing.in_training_order(mixing.each_copy(mixed)).where("source = 'a'").select("doc_id", "position").collect()
+    assert len(copies) == 45 and [len({r["doc_id"] for r in copies[i : i + 15]}) for i in (0, 15, 30)] == [15] * 3
+    staged = [r["doc_id"] for r in corpus_pipeline.mix(spark, df.withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")}), SF).collect()]
+    assert {i for i in staged[-len(staged) // 4 :] if i < 15}
+
+
 def test_positions_invert_the_schedules(spark):
     for rank, knots in enumerate(mixing.SCHEDULES, 1):
         df = spark.range(0, 101).select(mixing.position(mixing._knots(mixing.SCHEDULES, F.lit(rank)), F.col("id") / 100.0).alias("t"), (F.col("id") / 100.0).alias("u"))
