@@ -4,7 +4,8 @@ Vectors are scaled to unit length, so that the largest inner product is the larg
 four-bit codes, one per pair of dimensions. Codebooks and codes minimise a loss in which the part of the residual
 that is parallel to the vector weighs more than the rest, because only that part shifts the scores of near queries. A
 search scans tables of query-by-code inner products, keeps the best of each block and reranks them by exact cosines in
-double precision.
+double precision. Blocks of which something was cut that may be nearer than the query's k-th (its approximate score and
+the reach of the block's residuals say so) are scanned again with the exact vectors, inside tasks.
 
 Equal vectors are one entry with their smallest ids. Entries are filed in cells by their nearest centre (large cells
 in several blocks), and each query visits the cells nearest to it, so that a task holds one block and its queries. How
@@ -32,8 +33,10 @@ SCORE_THRESHOLD = 0.2
 #: Entries of a cell on average and of a block at most about; the share of nearest entries that the visited cells
 #: hold; candidates kept from a block and in all for reranking.
 CELL, BLOCK, CELL_RECALL, KEEP, RERANK = 4096, 8192, 0.985, 40, 200
-#: Queries in one group of a block.
-QUERY_GROUP = 2048
+#: Queries in one group of a block, and in one slice of an exact scan.
+QUERY_GROUP, SLICE = 2048, 128
+#: Standard deviations of a residual's part along a random direction that an exact scan allows for.
+REACH = 4.0
 SEED = 5
 
 
@@ -160,7 +163,13 @@ def _indexed(centres: np.ndarray, books: np.ndarray):
                 continue
             x = _unit(_matrix(batch.column(1)))
             cell = (x @ centres.T).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), binary_array(pack(encode(x, books, weight)))], ["entry", "cell", "codes"])
+            codes = encode(x, books, weight)
+            rest = _split(x) - books[np.arange(len(books)), codes]
+            along = (rest * _split(x)).sum(axis=(1, 2))
+            across = np.sqrt(np.maximum(0.0, (rest**2).sum(axis=(1, 2)) - along**2))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(cell.astype(np.int32)), binary_array(pack(codes)), pa.array(np.abs(along)), pa.array(across)], ["entry", "cell", "codes", "along", "across"]
+            )
 
     return run
 
@@ -178,10 +187,11 @@ def _probed(centres: np.ndarray, probes: int):
 
 
 def _scan(books: np.ndarray, keep: int):
-    """Best entries of a block for each query by sums of table values; ties go to the smaller entry."""
+    """Best entries of a block for each query by sums of table values; ties go to the smaller entry. A row with a null
+    entry has the best score that was cut. ``along`` and ``across`` are the block's longest residuals."""
 
-    def run(queries: pa.Table, block: pa.Table) -> pa.Table:
-        empty = pa.table({"query": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "approx": pa.array([], pa.float32())})
+    def run(key, queries: pa.Table, block: pa.Table) -> pa.Table:
+        empty = pa.Table.from_pylist([], SCANNED)
         if not queries.num_rows or not block.num_rows:
             return empty
         block = block.sort_by("entry")
@@ -200,17 +210,44 @@ def _scan(books: np.ndarray, keep: int):
                 score += t[c]
             n = min(keep + 1, len(entry))  # one more, for the query's own entry
             if n < len(entry):
-                least = np.partition(score, len(entry) - n)[len(entry) - n]
+                part = np.partition(score, (len(entry) - n - 1, len(entry) - n))
+                least, cut = part[len(entry) - n], part[len(entry) - n - 1]
                 above, level = np.flatnonzero(score > least), np.flatnonzero(score == least)
                 at = np.concatenate([above, level[: n - len(above)]])
+                out.append((np.full(len(at) + 1, ids[k]), np.append(entry[at], 0), np.append(score[at], cut), np.append(np.zeros(len(at), bool), True)))
             else:
-                at = np.arange(len(entry))
-            out.append((np.full(len(at), ids[k]), entry[at], score[at]))
-        if not out:
-            return empty
-        return pa.table({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query", "entry", "approx"))})
+                out.append((np.full(n, ids[k]), entry, score, np.zeros(n, bool)))
+        query, found, approx, null = (np.concatenate([o[i] for o in out]) for i in range(4))
+        same = [np.full(len(query), x.as_py(), t) for x, t in zip(key, (np.int32, np.int32, np.int32))]
+        reach = [np.full(len(query), block[c].to_numpy().max()) for c in ("along", "across")]
+        return pa.Table.from_arrays([pa.array(query), pa.array(found, mask=null), pa.array(approx.astype(np.float32)), *map(pa.array, same), *map(pa.array, reach)], schema=SCANNED)
+
+    return run
 
-    return lambda _key, left, right: run(left, right)
+
+SCANNED = pa.schema([("query", pa.int64()), ("entry", pa.int64()), ("approx", pa.float32()), ("cell", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("along", pa.float64()), ("across", pa.float64())])
+
+
+def _scan_exactly(keep: int):
+    """Best entries of a block for each query by the vectors themselves; scores that differ by rounding only are equal."""
+
+    def run(_key, queries: pa.Table, block: pa.Table) -> pa.Table:
+        found, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if queries.num_rows and block.num_rows:
+            block = block.sort_by("held_entry")
+            entry, x = block["held_entry"].to_numpy(), _unit(_matrix(block["held_vec"])).T
+            ids, q = queries["entry"].to_numpy(), _unit(_matrix(queries["vec"]))
+            n = min(keep + 1, len(entry))  # one more, for the query's own entry
+            for a in range(0, len(ids), SLICE):
+                for i, score in zip(ids[a : a + SLICE], q[a : a + SLICE] @ x):
+                    least = np.partition(score, len(entry) - n)[len(entry) - n]
+                    above, level = np.flatnonzero(score > least + 1e-12), np.flatnonzero(np.abs(score - least) <= 1e-12)
+                    at = np.concatenate([above, level[: n - len(above)]])
+                    found.append(entry[at])
+                    who.append(np.full(len(at), i))
+        return pa.table({"query": np.concatenate(who), "entry": np.concatenate(found)})
+
+    return run
 
 
 def _exact(batches):
@@ -253,7 +290,7 @@ def search(
     books, centres = fit_books(x), fit_centres(x, int(min(len(x), max(1, -(-n // CELL)))))
     probes = probes_needed(x, centres, k)
 
-    index = saved(entries.select("entry", "vec").mapInArrow(_indexed(centres, books), "entry long, cell int, codes binary"), "index")
+    index = saved(entries.select("entry", "vec").mapInArrow(_indexed(centres, books), "entry long, cell int, codes binary, along double, across double"), "index")
     per_cell = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     blocks = index.join(per_cell, "cell").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
     vec_of = entries.select("entry", "vec")
@@ -261,22 +298,42 @@ def search(
     groups = max(1, -(-asked.count() // QUERY_GROUP))
     searched = searched.join(per_cell, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     searched = searched.withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(groups)).cast("int"))
-    dealt = blocks.select("cell", "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "entry", "codes")
+    dealt = blocks.select("cell", "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "entry", "codes", "along", "across")
     key = ["cell", "block", "part"]
-    found = (
+    found = saved(
         searched.select(*key, "entry", "vec").groupBy(*key)
         .cogroup(dealt.groupBy(*key))
-        .applyInArrow(_scan(books, KEEP), "query long, entry long, approx float")
+        .applyInArrow(_scan(books, KEEP), "query long, entry long, approx float, cell int, block int, part int, along double, across double"),
+        "found",
     )
     best = Window.partitionBy("query").orderBy(F.desc("approx"), "entry")
-    short = saved(found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= rerank + 1).select("query", "entry"), "short")
-    left = short.join(vec_of.withColumnsRenamed({"entry": "query", "vec": "a"}), "query").join(vec_of.withColumnRenamed("vec", "b"), "entry")
-    exact = left.select("query", "entry", "a", "b").mapInArrow(_exact, "query long, entry long, score double")
-    pairs = (
-        asked.withColumnsRenamed({"vec_id": "query_id", "entry": "query"})
-        .join(exact, "query")
-        .join(members, "entry")
-        .where("vec_id != query_id")
-    )
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked_found = saved(found.where("entry is not null").withColumn("nth", F.row_number().over(best)), "ranked")
+    short = ranked_found.where(F.col("nth") <= rerank + 1).select("query", "entry")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(vec_of.withColumnsRenamed({"entry": "query", "vec": "a"}), "query").join(vec_of.withColumnRenamed("vec", "b"), "entry")
+        return both.select("query", "entry", "a", "b").mapInArrow(_exact, "query long, entry long, score double")
+
+    def neighbours(exact: DataFrame) -> DataFrame:
+        pairs = asked.withColumnsRenamed({"vec_id": "query_id", "entry": "query"}).join(exact, "query").join(members, "entry").where("vec_id != query_id")
+        nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+
+    exact = saved(scored(short), "exact")
+    kth = neighbours(exact).groupBy("query_id", "query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(-1.0).alias("score")).groupBy("query").agg(F.min("score").alias("kth"))
+
+    # what was cut may be nearer: a residual shifts a score s by s times its parallel part, and by its other part times
+    # the cosine of that with the rest of the query, which is about one over the root of the dimensions
+    cut = found.where("entry is null").unionByName(ranked_found.where(F.col("nth") > rerank + 1).drop("nth"))
+    cut = cut.groupBy("query", *key).agg(F.max("approx").alias("approx"), F.max("along").alias("along"), F.max("across").alias("across"))
+    off = min(1.0, REACH / max(1, dim - 1) ** 0.5)
+    level = F.greatest("kth", F.lit(0.0))
+    reach = level * F.col("along") + off * F.col("across") * F.sqrt(F.greatest(F.lit(0.0), 1 - level * level)) + 1e-5
+    again = cut.join(kth, "query", "left").where(F.col("kth").isNull() | (F.col("approx") + reach >= F.col("kth")))
+    again = saved(again.select(F.col("query").alias("entry"), *key), "again")
+    held = blocks.select("cell", "block", "entry").join(again.select(*key).distinct(), ["cell", "block"]).join(vec_of, "entry")
+    # both sides come from the same tables, so one has other names
+    held = held.select(*[F.col(c).alias(f"held_{c}") for c in (*key, "entry", "vec")])
+    more = again.join(vec_of, "entry").groupBy(*key).cogroup(held.groupBy(*[f"held_{c}" for c in key])).applyInArrow(_scan_exactly(k + 1), "query long, entry long")
+    more = more.join(exact.select("query", "entry"), ["query", "entry"], "left_anti")
+    return neighbours(exact.unionByName(scored(more))).select("query_id", "rank", "vec_id", "score")

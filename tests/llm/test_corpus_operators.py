@@ -126,6 +126,21 @@ def test_nearest_neighbours_have_recall_and_exact_scores(spark):
             assert s == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-14)
 
 
+@pytest.mark.parametrize("noise", [0.001, 0.05, 0.2])
+def test_nearest_neighbours_among_near_copies(spark, noise):
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + rng.normal(0, noise / 8, (2000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want, got = nearest(list(enumerate(x))), defaultdict(set)
+    for r in ann.search(df, lambda i: i % 50 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for third in (True, False):
+        asked = [q for q in want if (q % 3 == 0) == third]
+        assert sum(len(got[q] & {i for i, _ in want[q]}) for q in asked) / (5 * len(asked)) >= 0.95
+
+
 def test_nearest_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     same = [0.5, 0.5, 0.1]
