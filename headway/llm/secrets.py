@@ -18,15 +18,21 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Candidates: signed web tokens, long runs of token characters, and values assigned to a secret's name.
-CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|[A-Za-z0-9+/_-]{16,}+={0,2}"
-    r"|(?<=(?i:password|passwd|secret|token|api_key|apikey)[=:][\"']{0,1})[^\s\"']{8,}+)"
-)
 #: Words of a secret's surroundings, of a harmless string's, and of paths of tests and samples (fixed values).
 SECRET_WORDS = ("secret", "token", "password", "passwd", "pwd", "credential", "api_key", "apikey", "access_key", "private", "auth", "bearer")
 PLAIN_WORDS = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "uuid", "etag", "revision", "base64", "integrity", "example", "build")
 TEST_PATHS = ("test", "example", "sample", "mock", "fixture", "doc")
+#: What may stand between a secret's name and its value: the rest of the name, a closing quote, white space, and an
+#: assignment. A look-behind must be bounded, so names and white space have a largest length.
+_NAME = "(?i:" + "|".join(w.replace("_", "[_-]?") for w in SECRET_WORDS) + r")(?:[_-][A-Za-z0-9_-]{0,24}|key|s|[0-9]{1,4}){0,1}"
+_BEFORE = r"(?=[^\s\"']{8})(?<=[=:>]\s{0,16}[\"']{0,1})(?<=" + _NAME + r"[\"']{0,1}\s{0,16}[=:]{1,2}>{0,1}\s{0,16}[\"']{0,1})"
+_RUN = r"[A-Za-z0-9+/_-]{16,}+={0,2}+"
+#: Candidates: signed web tokens, values assigned to a secret's name, and long runs of token characters. An assigned
+#: value that is a run up to a delimiter ends there.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+    r"|" + _BEFORE + r"(?!" + _RUN + r"(?![#.:]*+[^\s\"'&<>,;)\]}#.:]))[^\s\"']{8,}+|" + _RUN + r")"
+)
 #: Frequent words and word parts of prose and identifiers (fixed values).
 DICTIONARY = (
     "the", "and", "tion", "ing", "that", "with", "ment", "ent", "ung", "lich", "keit", "heit", "sch", "eur", "ique", "ción", "ado", "mente",
@@ -161,15 +167,18 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str
     secret; and ``redacted``, the text with each secret replaced by ``<SECRET>``."""
     text, path = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(path_col).cast("string"), F.lit(""))
     cut = docs.withColumns({"__sec_parts": F.split(text, CANDIDATE, -1), "__sec_values": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))})
-    cut = cut.where(F.size("__sec_parts") > 0)  # a barrier, so that both are computed once
+    cut = cut.withColumn("__sec_ends", F.transform("__sec_parts", lambda x: F.right(x, F.lit(60))))
+    cut = cut.where(F.size("__sec_ends") > 0)  # a barrier, so that both are computed once
     parts, values = F.col("__sec_parts"), F.col("__sec_values")
+    # the text before a candidate goes on before the candidates before it; eight of at least 8 characters are enough
+    pieces = F.zip_with(F.col("__sec_ends"), values, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    context = lambda i: F.concat(F.array_join(F.slice(pieces, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), ""), F.get("__sec_ends", i))
     described = F.transform(
-        F.arrays_zip(F.slice(parts, F.lit(1), F.size(values)).alias("before"), values.alias("value"), F.slice(parts, F.lit(2), F.size(values)).alias("after")),
-        lambda x: F.struct(
-            *[c.alias(n) for c, n in zip(features(x["value"], F.right(x["before"], F.lit(60)), F.left(x["after"], F.lit(40)), path), FEATURES)],
-            x["value"].alias("value"),
-            F.length(x["before"]).alias("gap"),
+        F.transform(
+            F.arrays_zip(F.slice(parts, F.lit(1), F.size(values)).alias("gap"), values.alias("value"), F.slice(parts, F.lit(2), F.size(values)).alias("after")),
+            lambda x, i: F.struct(F.right(context(i), F.lit(60)).alias("before"), x["value"].alias("value"), F.left(x["after"], F.lit(40)).alias("after"), F.length(x["gap"]).alias("gap")),
         ),
+        lambda x: F.struct(*[c.alias(n) for c, n in zip(features(x["value"], x["before"], x["after"], path), FEATURES)], x["value"].alias("value"), x["gap"].alias("gap")),
     )
     rated = F.transform(described, lambda x: F.struct(x["gap"].alias("gap"), x["value"].alias("value"), forest.score(x).alias("score")))
     placed = F.aggregate(
@@ -184,7 +193,7 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str
     scored = cut.withColumn("__sec_rated", rated).withColumn("findings", placed)
     masked = F.transform("findings", lambda f: F.when(f["secret"], F.lit("<SECRET>")).otherwise(f["value"]))
     redacted = F.array_join(F.flatten(F.zip_with("__sec_parts", masked, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return scored.withColumn("redacted", F.when(F.col(text_col).isNotNull(), redacted)).drop("__sec_parts", "__sec_values", "__sec_rated")
+    return scored.withColumn("redacted", F.when(F.col(text_col).isNotNull(), redacted)).drop("__sec_parts", "__sec_values", "__sec_ends", "__sec_rated")
 
 
 def findings(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:

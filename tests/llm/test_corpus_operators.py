@@ -329,6 +329,22 @@ def test_secret_edges(spark, forest):
     assert secrets.findings(spark.createDataFrame(rows, "doc_id long, text string, source string").limit(0), forest).count() == 0
 
 
+def test_secrets_are_found_in_json_yaml_and_spaced_code(spark, forest):
+    value, hexa = "Zq8!kk2#Lm9$", "61fedef2798093a39309a7b84b6ac5168d2ba910"
+    texts = [f'password = "{value}"', f"password: {value}", f'{{"password": "{value}"}}', f"pwd={value}", f"access_key={value}", "auth_token: ab12cd34ef56", f"aws_secret_access_key={value}", "password = AAbbCCdd11223344!#xY"]
+    values = [value] * 5 + ["ab12cd34ef56", value, "AAbbCCdd11223344!#xY"]
+    df = spark.createDataFrame([(i, f"the {t} and", "src1") for i, t in enumerate([*texts, f"aws_secret_access_key={hexa}", f'github_access_token = "{hexa}"'])], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secrets.scan(df, forest).collect()}
+    for i, v in enumerate(values):
+        assert v in [f["value"].rstrip("}") for f in got[i]["findings"]], texts[i]
+    for i in (8, 9):  # a long name before a value is still its neighbour
+        assert [f["secret"] for f in got[i]["findings"] if f["value"] == hexa] == [True]
+    for i in (0, 1, 2, 3, 4, 6, 7):
+        assert "<SECRET>" in got[i]["redacted"], texts[i]
+    for r in got.values():
+        assert all(df.where(F.col("doc_id") == r["doc_id"]).first()["text"][f["start"] :].startswith(f["value"]) for f in r["findings"][:2])
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
