@@ -47,6 +47,10 @@ OUTSIDE = re.compile(
 INSIDE = re.compile(r"(?:^|[\s_-])(?:article|content|main|body|entry|post|story|text)(?=$|[\s_-]|\d)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: First parts of a class that says something about an element instead of naming it (has-sidebar, tag-politics).
+ABOUT = frozenset("has with without no is not tag tags category type format side".split())
+#: Words that mark surroundings even on a page that has no other text.
+SURE = re.compile(r"(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|nav|navbar|navigation|menu|breadcrumbs?|cookies?|consent|gdpr)(?=$|[_-]|\d)", re.I)
 #: Characters of a paragraph that earn one point, and the most it earns by length.
 POINT_CHARS, MOST_POINTS = 100, 3
 #: Share of the best score that a sibling needs, and link density from which a list is a menu.
@@ -67,17 +71,36 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
-def _is_outside(tag: str, attributes: dict[str, str]) -> bool:
+def _names(attributes: dict[str, str]) -> list[str]:
+    return [x for k in ("class", "id", "role", "itemprop") for x in attributes.get(k, "").split()]
+
+
+def _marks_outside(name: str) -> bool:
+    """Whether a class, id or role names surroundings: as a whole, or with its first or last part."""
+    parts = re.split(r"[_-]+", name.strip("_-"))
+    if len(parts) > 1 and parts[0].lower() in ABOUT or len(parts) > 1 and parts[-1].lower() == "header" and INSIDE.match(name):
+        return False
+    return bool(OUTSIDE.match(name) or OUTSIDE.fullmatch(parts[-1]))
+
+
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
+
+
+def _is_outside(tag: str, attributes: dict[str, str], by_name: bool = True) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
+    if _is_hidden(attributes):
         return True
-    names = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "itemprop"))
-    return bool(names.strip() and OUTSIDE.search(names))
+    names = _names(attributes)
+    if not by_name:
+        return any(SURE.match(x) for x in names)
+    outside = [x for x in names if _marks_outside(x)]
+    return bool(outside) and not any(INSIDE.search(x) and x not in outside and x.split("-")[0].lower() not in ABOUT for x in names)
 
 
-def tree(page: str) -> Node:
-    """The elements of a page; text of raw elements is left out."""
+def tree(page: str, by_name: bool = True) -> Node:
+    """The elements of a page; text of raw elements is left out. Without ``by_name``, only sure names prune."""
     root = Node("html", None)
     node, at, raw = root, 0, None
     for m in TOKEN.finditer(page):
@@ -116,7 +139,7 @@ def tree(page: str) -> Node:
                 break
             up, steps = up.parent, steps + 1
         attributes = _attributes(m[3]) if m[3] else {}
-        outside = _is_outside(tag, attributes) if attributes else False
+        outside = _is_outside(tag, attributes, by_name) if attributes else False
         pruned = tag in PRUNED or outside
         if tag == "header" and not outside:  # an article's own header has its title
             up = node
@@ -254,7 +277,9 @@ def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    return "\n".join(blocks(main_nodes(tree(page))))
+    found = blocks(main_nodes(tree(page)))
+    # names alone must not empty a page
+    return "\n".join(found or blocks(main_nodes(tree(page, by_name=False))))
 
 
 def main_text(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:

@@ -168,6 +168,22 @@ def test_main_text_of_a_page(wrap):
     assert html_text.extract(PAGE.replace("{c}", "x").replace("{article}", wrap.replace("{}", BODY))) == TEXT
 
 
+@pytest.mark.parametrize("names", ["post type-post tag-politics hentry", "layout has-sidebar", "content side-by-side", "entry-content with-comments", "side-by-side"])
+def test_main_text_is_not_pruned_by_parts_of_names(names):
+    assert html_text.extract(PAGE.replace("{c}", "x").replace("{article}", f"<div class='{names}'>{BODY}</div>")) == TEXT
+
+
+@pytest.mark.parametrize("names", ["post-comments", "main-menu", "sidebar-content", "entry-meta", "comments"])
+def test_main_text_leaves_out_named_surroundings(names):
+    beside = f"<div class='{names}'><p>Something beside it, long enough, with commas, and more, to count as a paragraph of its own.</p></div>"
+    assert html_text.extract(PAGE.replace("{c}", "x").replace("{article}", f"<div class='post-content'>{BODY}</div>{beside}")) == TEXT
+
+
+def test_main_text_of_a_page_that_names_alone_would_empty():
+    assert html_text.extract(f"<body><div class='widget'>{BODY}</div></body>") == TEXT
+    assert html_text.extract("<body><div class='ad'><p>Buy this, now, and that, too.</p></div></body>") == ""
+
+
 def test_main_text_edges(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, None, "just text &amp; more"), (4, "u", "<p>a<p>b<br>c"), (5, "u", "<div>" * 5000 + "deep, deep text"), (6, "u", "<<<>>> <p <b>x</b>"), (7, "u", "<!-- x"), (7, "u", "<!-- x")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string")
