@@ -23,11 +23,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one of the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    # repeated rows of one id are copies of each other
-    return one.dropDuplicates(["doc_id"])
+    """Keeps one document of each group of near duplicates, the one of the smallest id, and every row without an id."""
+    kept = minhash.keepers(docs)
+    tagged = docs.withColumn("__tag", minhash.tag(F.col("text")))
+    one = tagged.join(kept.select("doc_id", F.col("tag").alias("__tag")), ["doc_id", "__tag"], "left_semi")
+    # repeated rows of one id and text are copies of each other; rows without an id are linked with nothing
+    return one.dropDuplicates(["doc_id", "__tag"]).select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,9 +11,9 @@ Buckets are resolved in two steps that lose no pair:
 2. buckets whose other members are not all linked by then are joined to families, and the members of a family are
    compared in blocks inside tasks, which return only the links that join two components.
 
-Rows of an equal class id, an empty text, a null text or a text without words get a set of size 0, no link, and
-their own id as component. Rows with a null id keep their row; they are not linked. Repeated rows give repeated
-rows; where rows of one id have different texts, one of the texts stands for the id when links are verified.
+Links are between classes of equal sets (``node``, a hash of the set), so rows of one id with different texts are
+decided each by its own text. An empty text, a null text or a text without words gets a set of size 0, no link, and
+its own id as component. Rows with a null id keep their row; they are not linked. Repeated rows give repeated rows.
 Columns other than the id and the text are not read.
 """
 
@@ -23,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -131,18 +131,24 @@ def _fingerprints(words: int):
                     pa.array(key[:, 1].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), flat),
                     binary_array(sig),
+                    batch.column(2),
                 ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"],
+                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig", "tag"],
             )
 
     return run
 
 
+def tag(text: Column) -> Column:
+    """A hash that tells apart the texts of one id."""
+    return F.xxhash64(text)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row per document: set size, 128-bit hash of the set, band keys and the one-byte signature."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    """One row per document: set size, 128-bit hash of the set, band keys, the one-byte signature and the text's tag."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag(F.col(text_col)).alias("tag")).mapInArrow(
         _fingerprints(words),
-        "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary",
+        "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary, tag long",
     )
 
 
@@ -259,10 +265,11 @@ def _verify_block(words: int, hundredths: int, need: list[int]):
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is in ``ids`` (a saved table): by broadcast up to BROADCAST_IDS ids, else by shuffle."""
-    if ids.count() <= BROADCAST_IDS:
-        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return docs.join(ids, "doc_id", "left_semi")
+    """``node`` and text of the documents whose id and tag are in ``ids`` (a saved table): by broadcast up to
+    BROADCAST_IDS ids, else by shuffle."""
+    ids = ids.select("doc_id", "tag", "node")
+    found = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "tag"])
+    return found.select("node", "text").dropDuplicates(["node"])  # equal texts
 
 
 def near_duplicates(
@@ -278,89 +285,107 @@ def near_duplicates(
     Two documents are linked where their shingle sets have a Jaccard similarity of ``threshold`` or more;
     ``component_id`` is the smallest id that links reach, and ``kept`` marks the document that has it.
     """
+    return grouped(docs, id_col, text_col, words, threshold, miss).select("doc_id", "n_shingles", "class_id", "component_id", "kept")
+
+
+def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``tag`` of the text that stays of each group of near duplicates, the one of the smallest id, and of
+    each id whose text has no words. Rows with a null id are in no group."""
+    rows = grouped(docs, id_col, text_col).where("doc_id is not null")
+    return rows.groupBy(F.coalesce("component", "node", F.xxhash64("doc_id", F.lit("empty"))).alias("group")).agg(F.min(F.struct("doc_id", "tag")).alias("one")).select("one.*")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """The columns of ``near_duplicates`` with each row's ``tag``, ``node`` and ``component`` (of nodes; null if unlinked)."""
     hundredths, need = round(100 * threshold), least_matches(threshold, BATCH, miss)
     prints = saved(fingerprints(docs, id_col, text_col, words), "prints")
     filled = prints.where("n_shingles > 0 and doc_id is not null")
     classes = saved(
         filled.groupBy("set_a", "set_b").agg(
-            F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "n_shingles", "bands", "sig")).alias("rep")
-        ),
+            F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "tag", "n_shingles", "bands", "sig")).alias("rep")
+        ).withColumn("node", F.xxhash64("set_a", "set_b")),
         "classes",
     )
-    reps = classes.select("rep.*")
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    heads = rows.groupBy("band", "bucket").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("members"))
+    reps = classes.select("node", "rep.*")
+    rows = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
+    heads = rows.groupBy("band", "bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members"))
     members = saved(
         rows.join(heads.where("members > 1").drop("members"), ["band", "bucket"]), "members"
     )
 
     # 1. each member against the head of its bucket
-    pairs = members.where("doc_id > head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    side = reps.select("doc_id", "n_shingles", "sig")
+    pairs = members.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    side = reps.select("node", "n_shingles", "sig")
     for end in ("a", "b"):
         pairs = pairs.join(side.select(*[F.col(c).alias(x) for c, x in zip(side.columns, (end, f"n_{end}", f"sig_{end}"))]), end)
     likely = saved(pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_prune(need, hundredths), "a long, b long"), "likely")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = saved(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-    known = _only(texts, wanted).dropDuplicates(["doc_id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag(F.col(text_col)).alias("tag"))
+    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    wanted = saved(reps.select("node", "doc_id", "tag").join(wanted, "node"), "wanted")
+    known = _only(texts, wanted)
     near = (
-        likely.join(known.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-        .join(known.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+        likely.join(known.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
+        .join(known.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
         .select("a", "b", "text_a", "text_b")
     )
     links = saved(near.mapInArrow(_verify_pairs(words, hundredths), "a long, b long"), "links")
     labels = saved(components(links), "labels")
 
     # 2. buckets whose members besides the head are in several components
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "label", F.coalesce("component", "doc_id")
+    labelled = members.join(labels, "node", "left").withColumn(
+        "label", F.coalesce("component", "node")
     )
     open_buckets = (
-        labelled.where("doc_id > head")
+        labelled.where("node > head")
         .groupBy("band", "bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("hub"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("hub"))
         .where("low < high")
     )
     left = saved(
-        labelled.where("doc_id > head")
+        labelled.where("node > head")
         .join(open_buckets.select("band", "bucket", "hub"), ["band", "bucket"])
-        .select("doc_id", "label", "hub")
+        .select("node", "label", "hub")
         .distinct(),
         "left",
     )
-    family = components(left.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    family = components(left.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     placed = (
-        left.select("doc_id", "label").distinct()
-        .join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+        left.select("node", "label").distinct()
+        .join(family.select("node", F.col("component").alias("family")), "node")
+        .join(reps.select("node", "doc_id", "tag"), "node")
     )
     ids = saved(placed, "placed")
-    rest = _only(texts, ids.select("doc_id")).dropDuplicates(["doc_id"]).join(ids, "doc_id").join(reps, "doc_id")
+    rest = _only(texts, ids).join(ids.select("node", "label", "family"), "node").join(reps.drop("doc_id", "tag"), "node")
     sizes = rest.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     blocks = sizes.select(
         "family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
     )
     grouped = (
         rest.join(blocks, "family")
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("chunk", "other"))
         .withColumn("high", F.greatest("chunk", "other"))
-        .select("family", "low", "high", "chunk", "doc_id", "label", "n_shingles", "bands", "sig", "text")
+        .select("family", "low", "high", "chunk", F.col("node").alias("doc_id"), "label", "n_shingles", "bands", "sig", "text")
     )
     more = grouped.groupBy("family", "low", "high").applyInArrow(_verify_block(words, hundredths, need), "a long, b long")
-    joined = components(
+    joined = saved(components(
         labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    )
+    ), "joined")
+    smallest = joined.join(classes.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = joined.join(smallest, "component")
+    placed = classes.select("set_a", "set_b", "class_id", "node").join(named, "node", "left")
     return (
-        prints.select("doc_id", "n_shingles", "set_a", "set_b")
-        .join(classes.select("set_a", "set_b", "class_id"), ["set_a", "set_b"], "left")
-        .withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")))
-        .join(joined.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+        prints.select("doc_id", "tag", "n_shingles", "set_a", "set_b")
+        .join(placed, ["set_a", "set_b"], "left")
         .select(
             "doc_id",
+            "tag",
             "n_shingles",
             F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce("component", "class_id", "doc_id").alias("component_id"),
+            F.coalesce("component_id", "class_id", "doc_id").alias("component_id"),
+            "node",
+            "component",
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )

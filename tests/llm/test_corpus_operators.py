@@ -81,6 +81,16 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_rows_without_an_id_and_of_one_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, c), (5, a), (5, b), (5, b), (7, a + " end"), (8, b + " end"), (9, c), (4, ""), (4, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).where("doc_id is not null").collect()))
+    assert got == [(4, 4, True)] * 2 + [(5, 5, True)] * 3 + [(7, 5, False), (8, 5, False), (9, 9, True)]
+    kept = corpus_pipeline.near_duplicates(spark, df, SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(None, a), (None, c), (5, a), (5, b), (9, c), (4, "")], key=str)
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(50)] + [(5, 5), (None, 3)] + [(9000, 9000 + i) for i in range(1, 80)]
