@@ -165,9 +165,7 @@ def _(v):
 
 @query("snk_markdown", "SELECT '| ' || route || ' | ' || CAST(CAST(sum(passengers) AS BIGINT) AS STRING) || ' |' AS line FROM typical GROUP BY route UNION ALL SELECT '| route | riders |' UNION ALL SELECT '|---|---:|'")
 def _(v):
-    sums = v("typical").groupBy("route").agg(F.sum("passengers").alias("riders")).orderBy("route")
-    text = sinks.markdown(sums, [("route", "route", ""), ("riders", "riders", ".0f")])
-    return sums.sparkSession.createDataFrame([(line,) for line in text.split("\n")], "line string")
+    return sinks.markdown(v("typical").groupBy("route").agg(F.sum("passengers").alias("riders")), ["route"])
 
 
 @query("snk_js_csv", "SELECT 'segment' AS type, route AS from_ars, board_ars AS to_ars, CAST(NULL AS STRING) AS ars, sum(passengers) AS riders FROM typical GROUP BY route, board_ars UNION ALL SELECT 'origin', NULL, NULL, board_ars, sum(passengers) FROM typical GROUP BY board_ars")

@@ -114,10 +114,12 @@ def test_terrain_refuses_bad_stops_and_changes(spark, tmp_path):
 
 
 def test_reports_and_listings(spark):
-    rows = spark.createDataFrame([("a", 1.5), ("b", None)], "k string, n double").orderBy("k")
-    assert sinks.markdown(rows, [("k", "key", ""), ("n", "n", ".1f")]).split("\n") == ["| key | n |", "|---|---:|", "| a | 1.5 |", "| b | None |"]
-    with pytest.raises(ValueError):
-        sinks.markdown(rows, [("k", "key", "")], most=1)
+    rows = spark.createDataFrame([("b", None), ("a", 1.5)], "k string, n double")
+    lines = lambda df, **how: [r["line"] for r in df.transform(sinks.markdown, ["k"], **how).collect()]
+    assert lines(rows, digits=1) == ["| k | n |", "|---|---:|", "| a | 1.5 |", "| b |  |"]
+    odd = spark.createDataFrame([("x|y\nz", 12345678, 0.5), (None, None, None)], "k string, n long, share double")
+    assert lines(odd, digits=2) == ["| k | n | share |", "|---|---:|---:|", "|  |  |  |", "| x\\|y<br>z | 12345678.00 | 0.50 |"]
+    assert lines(rows.limit(0)) == ["| k | n |", "|---|---:|"]
     listed = spark.createDataFrame([("1", "1"), ("1", "1A"), ("2", "2A"), ("2", "2A"), ("2", "2출근"), ("2", "2AB"), ("3", "33")], "route string, name string")
     assert sorted(r["variant"] for r in paged_api.route_variants(listed).collect()) == ["1", "2|2A", "2|2출근"]
     stale = spark.createDataFrame([("a", 5), ("b", None), ("c", 1)], "route string, day int")
