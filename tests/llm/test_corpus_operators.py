@@ -120,7 +120,7 @@ def nearest(rows, k=5):
 
 
 def test_nearest_neighbours_have_recall_and_exact_scores(spark):
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(6000).collect()]
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
     want = nearest(rows)
     got = defaultdict(list)
