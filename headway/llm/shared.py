@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once; a longer document makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -18,12 +19,15 @@ def table(sf_dir: str, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one set on the context. A machine's own
+    folder takes its place only where everything runs on that machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = held.get() if held.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = tempfile.mkdtemp(prefix="headway-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -46,6 +50,14 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def beside(rows: DataFrame, keep: list[str], column: str, added: str) -> tuple[DataFrame, str]:
+    """The columns ``keep`` and, last, ``column`` as ``__in``, and the schema of ``keep`` with the columns ``added`` (as in
+    ``name type, ...``). A column of ``keep`` that has the name of an added one gives way to it."""
+    new = {c.split()[0].lower() for c in added.split(", ")}
+    chosen = rows.select(*[c for c in keep if c.lower() not in new], F.col(column).alias("__in"))
+    return chosen, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]], added])
+
+
 def text_slices(column: pa.Array, chunk_bytes: int = CHUNK_BYTES):
     """Yield (first row, last row, bytes, offsets of each text in them) for runs of texts of about ``chunk_bytes``.
 
