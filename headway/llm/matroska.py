@@ -16,7 +16,8 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .shared import beside
 
 #: Element ids of the format (fixed values).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = (
@@ -166,6 +167,7 @@ def parse(data: bytes) -> dict:
     cue: dict = {}
     stack: list[tuple[int, int, bool]] = []  # element, end, whether the size was unknown
     packets, at, n = out["packets"], 0, len(data)
+    group, depends = 0, False  # the first packet of the open block group, and whether it refers to another frame
 
     def close(kind: int) -> None:
         if kind == TRACK_ENTRY and "number" in track:
@@ -201,6 +203,8 @@ def parse(data: bytes) -> dict:
                 elif kind == CLUSTER:
                     out["clusters"] += 1
                     cluster_at = began - base
+                elif kind == BLOCK_GROUP:
+                    group, depends = len(packets), False
                 elif kind == TRACK_ENTRY:
                     track = {"codec": "", "type": 0, "rate": 0.0, "channels": 1, "bits": 0, "default_ns": 0}
                 elif kind == CUE_POINT:
@@ -210,10 +214,10 @@ def parse(data: bytes) -> dict:
                 number, time, flags, ranges = _frames(data, at, end)
                 step = out["tracks"].get(number, {}).get("default_ns", 0)
                 start = (cluster_time + time) * scale
-                key = bool(flags & 0x80) or kind == BLOCK
+                key = bool(flags & 0x80) if kind == SIMPLE_BLOCK else not depends
                 name = LACING[flags >> 1 & 3]
                 packets.extend((number, start + i * step, o, size, key, name, cluster_at) for i, (o, size) in enumerate(ranges))
-            elif size <= 8 or kind in (CODEC_ID, DOC_TYPE):
+            elif size <= 8 or kind == CODEC_ID:
                 body = data[at:end]
                 value = int.from_bytes(body, "big")
                 real = struct.unpack(">d", body)[0] if size == 8 else struct.unpack(">f", body)[0] if size == 4 else 0.0
@@ -237,8 +241,9 @@ def parse(data: bytes) -> dict:
                     track["channels"] = value
                 elif kind == BIT_DEPTH:
                     track["bits"] = value
-                elif kind == REFERENCE and packets:  # the block before it depends on another frame
-                    packets[-1] = (*packets[-1][:4], False, *packets[-1][5:])
+                elif kind == REFERENCE and stack and stack[-1][0] == BLOCK_GROUP:  # before or after the group's block
+                    depends = True
+                    packets[group:] = [(*p[:4], False, *p[5:]) for p in packets[group:]]
                 elif kind == CUE_TIME:
                     cue["time"] = value
                 elif kind == CUE_TRACK:
@@ -276,9 +281,8 @@ def packet_table(media: DataFrame, keep: list[str], media_col: str = "media") ->
             left = batch.select(range(batch.num_columns - 1)).take(pa.array(index, pa.int64()))
             yield pa.RecordBatch.from_arrays([*left.columns, *columns], [*left.schema.names, *[c.split()[0] for c in PACKETS.split(", ")]])
 
-    rows = media.select(*keep, F.col(media_col).alias("__media"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, {PACKETS}")
+    rows, schema = beside(media, keep, media_col, PACKETS)
+    return rows.mapInArrow(run, schema)
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -287,6 +291,9 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\xff" * (-len(raw) % FRAME or (0 if raw else FRAME))
 
 
+STORED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def _stored(batches):
     for batch in batches:
         rows = []
@@ -305,15 +312,11 @@ def _stored(batches):
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], *columns],
-            [*batch.schema.names[:-1], "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            [*batch.schema.names[:-1], *[c.split()[0] for c in STORED.split(", ")]],
         )
 
 
 def stored_features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Each whole text stored as Matroska, read back through its packet table, with digests and features."""
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(
-        _stored,
-        f"{schema}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
-    )
+    """Each whole text stored as Matroska and read back from the byte ranges of its packets, with digests and features."""
+    rows, schema = beside(docs, keep, text_col, STORED)
+    return rows.mapInArrow(_stored, schema)
