@@ -4,8 +4,10 @@ The words of many texts that the cache doesn't hold are laid out as symbols in o
 pairs of neighbours are looked up by binary search in the sorted pair keys, and every word merges its pair of lowest
 rank, until no word has a pair left. A text's ids are the joined ids of its words.
 
-A null text is an empty one and has no ids. Words of any length are merged whole. The vocabulary file is a
-parameter; executors open it at the same path.
+A null text is an empty one and has no ids. Words of any length are merged whole. Repeated rows give equal rows; a
+column to keep that has the name of an added one (``n_tokens``, ``ids``, ...) gives way to it. The vocabulary file is a
+parameter; executors open it at the same path. What a file asks for beyond plain byte-level merges (a normalizer, a
+prefix space, whole words before merges, dropout, added tokens that match in other ways) is refused.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .shared import beside
 
 #: Splits a text into words before merging (fixed value, the byte-level pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,12 +40,36 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _refuse_unsupported(spec: dict) -> None:
+    """Raises where a tokenizer file asks for work that this module doesn't do."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [
+        name
+        for name, bad in (
+            ("model type", model.get("type", "BPE") != "BPE"),
+            ("dropout", bool(model.get("dropout"))),
+            ("ignore_merges", bool(model.get("ignore_merges"))),
+            ("byte_fallback", bool(model.get("byte_fallback"))),
+            ("subword prefix or suffix", bool(model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))),
+            ("normalizer", spec.get("normalizer") is not None),
+            ("pre-tokenizer", before.get("type") != "ByteLevel" or before.get("use_regex") is False),
+            ("prefix space", bool(before.get("add_prefix_space"))),
+            ("decoder", (spec.get("decoder") or {}).get("type") != "ByteLevel"),
+            ("added tokens that strip or match words", any(t.get(f) for t in spec.get("added_tokens", []) for f in ("lstrip", "rstrip", "single_word"))),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"the tokenizer file needs what isn't supported: {', '.join(wrong)}")
+
+
 class Vocabulary:
     """Tables of a byte-level BPE tokenizer file, encoder and decoder."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse_unsupported(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         symbols = byte_symbols()
         back = {s: b for b, s in enumerate(symbols)}
@@ -52,8 +79,10 @@ class Vocabulary:
         right = np.array([vocab[b] for _, b in pairs], np.int64)
         key = (left << 32) | right
         order = np.argsort(key, kind="stable")
-        self.keys, self.rank = key[order], order.astype(np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        # the last key is above any pair, so that a search always ends at one
+        self.keys = np.append(key[order], np.iinfo(np.int64).max)
+        self.rank = np.append(order.astype(np.int64), _NONE)
+        self.merged = np.append(np.array([vocab[a + b] for a, b in pairs], np.int64)[order], 0)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max(max(vocab.values()), max(special.values(), default=0)) + 1
         tokens = [b""] * size
@@ -81,7 +110,7 @@ class Vocabulary:
             # rank of the pair that starts at each symbol; none at a word's last
             rank = np.full(len(ids), _NONE)
             key = (ids[:-1] << 32) | ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            at = np.searchsorted(self.keys, key)
             found = (self.keys[at] == key) & (word[:-1] == word[1:])
             rank[:-1][found] = self.rank[at[found]]
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -98,7 +127,7 @@ class Vocabulary:
                 run = np.concatenate([[True], np.diff(h) != 1])
                 begin = h[run][np.cumsum(run) - 1]
                 h = h[(h - begin) % 2 == 0]
-                spot = np.minimum(np.searchsorted(self.keys, (ids[h] << 32) | ids[h + 1]), len(self.keys) - 1)
+                spot = np.searchsorted(self.keys, (ids[h] << 32) | ids[h + 1])
                 ids[h] = self.merged[spot]
             keep = ~np.repeat(done, size)
             keep[h + 1] = False
@@ -178,20 +207,16 @@ def _coded(path: str, digest: bool):
     return run
 
 
-def _columns(rows: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-
-
 def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row with ``n_tokens`` and the ``ids`` of its whole text."""
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    return rows.mapInArrow(_coded(path, False), f"{_columns(rows)}, n_tokens long, ids array<int>")
+    rows, schema = beside(docs, keep, text_col, "n_tokens long, ids array<int>")
+    return rows.mapInArrow(_coded(path, False), schema)
 
 
 def round_trip(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with ``n_tokens`` and digests of the ids and of the text decoded from them."""
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    return rows.mapInArrow(_coded(path, True), f"{_columns(rows)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows, schema = beside(docs, keep, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(_coded(path, True), schema)
 
 
 def decode(docs: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -204,5 +229,5 @@ def decode(docs: DataFrame, path: str, keep: list[str], ids_col: str = "ids") ->
             texts = [None if x is None else v.decode(np.array(x, "<u4").tobytes()) for x in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
 
-    rows = docs.select(*keep, F.col(ids_col).alias("__ids"))
-    return rows.mapInArrow(run, f"{_columns(rows)}, text string")
+    rows, schema = beside(docs, keep, ids_col, "text string")
+    return rows.mapInArrow(run, schema)

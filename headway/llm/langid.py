@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import beside, text_slices
 
 #: Labelled documents per language that fitting reads (expected number; a hash of the id decides).
 TRAIN_ROWS = 3000
@@ -197,6 +197,5 @@ def _predict(model: Model):
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``."""
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, ambiguous boolean")
+    rows, schema = beside(docs, keep, text_col, "lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(_predict(model), schema)

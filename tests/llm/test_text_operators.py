@@ -50,6 +50,45 @@ def test_bpe_decodes_what_it_encodes(spark):
     assert bpe.encode(rows.limit(0), queries.bpe_file(), ["doc_id"]).count() == 0
 
 
+def test_bpe_without_merges_and_with_files_it_does_not_support(spark, tmp_path):
+    import json
+
+    with open(queries.bpe_file(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = []
+    plain = tmp_path / "plain.json"
+    plain.write_text(json.dumps(spec))
+    rows = documents(spark, ["ab c", "", None, "é"])
+    assert {k: r["n_tokens"] for k, r in by_id(bpe.encode(rows, str(plain), ["doc_id"])).items()} == {0: 4, 1: 0, 2: 0, 3: 2}
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(other))
+
+
+def test_kept_columns_give_way_to_added_ones(spark):
+    rows = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, other string")
+    rows = rows.withColumns({c: F.lit("old") for c in ("ids", "n_tokens", "lang_pred", "score", "feature", "n_chars")})
+    keep = [c for c in rows.columns if c != "text"]
+    coded = bpe.encode(rows, queries.bpe_file(), keep)
+    assert sorted(coded.columns) == sorted(rows.drop("text").columns) and coded.first()["n_tokens"] == 2 and coded.first()["score"] == "old"
+    assert bpe.decode(coded.withColumn("text", F.lit("old")), queries.bpe_file(), [*coded.columns, "text"]).first()["text"] == "a b"
+    assert langid.predict(rows, langid.fit(rows.withColumn("lang", F.lit("en"))), keep).first()["lang_pred"] == "en"
+    assert html_text.main_text(rows, [*keep, "text"], "text").first()["n_chars"] == 3
+    assert "packets=1;" in matroska.stored_features(rows, keep).first()["feature"]
+
+
+def test_matroska_key_frames_of_laced_groups():
+    frames = [b"a", b"b", b"c"]
+    block = matroska.element(matroska.BLOCK, matroska.laced_block(1, 0, frames, 1))
+    refers = matroska.element(matroska.REFERENCE, b"\xff")
+    time = matroska.element(matroska.CLUSTER_TIME, b"\x00")
+    groups = [matroska.element(matroska.BLOCK_GROUP, x) for x in (block, block + refers, refers + block, block)]
+    data = matroska._HEADER + b"\x18\x53\x80\x67\xff" + matroska._TRACK + matroska.element(matroska.CLUSTER, time + b"".join(groups))
+    assert [p[4] for p in matroska.parse(data)["packets"]] == [True] * 3 + [False] * 6 + [True] * 3
+
+
 def test_matroska_stores_payloads(spark):
     texts = [*ODD, "z" * (576 * 3), "w" * 700_000]
     got = by_id(matroska.stored_features(documents(spark, texts), ["doc_id"]))
