@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the secrets in the texts; no document goes."""
-    scanned = secrets.scan(docs.select(*COLUMNS), secrets.train(secrets.labelled_findings(spark)))
+    scanned = secrets.scan(docs.select(*COLUMNS), secrets.scanner(docs))
     return scanned.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -301,7 +301,7 @@ def test_positions_invert_the_schedules(spark):
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secrets.train(secrets.labelled_findings(spark))
+    return secrets.scanner(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
 def test_secrets_are_told_from_false_positives(spark, forest):
@@ -321,10 +321,9 @@ def test_secrets_are_told_from_false_positives(spark, forest):
 
 
 def test_secret_findings_of_held_out_labels(spark, forest):
-    rows = secrets.labelled_findings(spark, 9000).select("*", F.monotonically_increasing_id().alias("n"))
-    fresh = rows.join(secrets.labelled_findings(spark).select("value").distinct(), "value", "left_anti")
-    cols = secrets.features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
-    scored = fresh.select(F.struct(*[c.alias(n) for c, n in zip(cols, secrets.FEATURES)]).alias("x"), "label").select(forest.score(F.col("x")).alias("s"), "label")
+    rows, used = secrets.labelled_findings(spark, forest.known, 14000), secrets.labelled_findings(spark, forest.known)
+    fresh = rows.join(used.select("value").distinct(), "value", "left_anti")
+    scored = secrets.described(fresh, forest.known).select(F.struct(*secrets.FEATURES).alias("x"), "label").select(F.expr(forest.score("x")).alias("s"), "label")
     right, n = scored.agg(F.sum(((F.col("s") > 0.5) == (F.col("label") > 0.5)).cast("int")), F.count("*")).first()
     assert n > 500 and right / n > 0.97
 
