@@ -2,15 +2,17 @@
 
 Each language has a codeword of bits. A binary classifier per bit (naive Bayes on hashed byte n-grams, languages with
 the bit against languages without it) predicts a margin, and the language whose codeword has the least weighted
-logistic loss wins; bits that err more in training weigh less. A document whose two nearest codewords are about as
-near is flagged as ambiguous.
+logistic loss wins; bits that err more on labelled rows kept back from learning weigh less. A document is flagged as
+ambiguous where the losses of its two nearest codewords differ by no more than they do for the closest ``DOUBTFUL``
+share of the rows kept back that are recognised.
 
 Letters of a text are lower-cased where ASCII; other ASCII characters count as spaces, so digits, marks and junk say
 nothing. Fitting reads a sample of at most about ``TRAIN_ROWS`` labelled documents per language, chosen by a hash of
 the id; prediction reads every whole text.
 
-Null, empty and letterless texts are ``und`` with a score of 0. Rows with a null id or label are predicted but not
-learned from. Repeated rows get equal predictions. Without a labelled row every text is ``und``.
+Null, empty and letterless texts are ``und`` with a score of 0, and not ambiguous. Rows with a null id or label are predicted but not
+learned from. Repeated rows get equal predictions. Without a labelled row every text is ``und``; with one language
+nothing is ambiguous. A column to keep that has the name of an added one gives way to it.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import beside, text_slices
+from .shared import beside, saved, text_slices
 
 #: Labelled documents per language that fitting reads (expected number; a hash of the id decides).
 TRAIN_ROWS = 3000
 #: Hash bins for byte n-grams of these lengths.
 BINS, ORDERS = 8192, (2, 3, 4)
-#: A prediction below this score is ambiguous.
-AMBIGUOUS = 0.4
+#: Share of the labelled rows that are kept back to weigh bits and to set the bound of ambiguity, and the share of those
+#: that fall below it.
+KEPT_BACK, DOUBTFUL = 0.25, 0.01
 UNKNOWN = "und"
 
 _BYTE = np.full(256, 32, np.uint8)
@@ -94,21 +97,34 @@ def _margins(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """``langs``, their ``code``, the n-gram ``weights`` of each bit and each bit's ``scale`` and ``trust``."""
+    """``langs``, their ``code``, the n-gram ``weights`` of each bit, each bit's ``scale`` and ``trust``, and the least
+    margin of a prediction without doubt."""
 
     def __init__(self, langs, code, weights):
         self.langs, self.code, self.weights = langs, code, weights
         self.scale = np.ones(code.shape[1])
         self.trust = np.ones(code.shape[1])
+        self.doubt = 0.0
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        """Rows by languages: softmax of the negative loss against each codeword."""
-        m = _margins(counts, self.weights) * self.scale
-        loss = np.stack([(np.logaddexp(0, -2 * m * c) * self.trust).sum(axis=1) for c in self.code], axis=1)
-        loss *= 4 / max(1e-9, self.trust.sum())
+        """Rows by languages: the softmax of the negative loss against each codeword."""
+        loss = self.losses(counts)
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
         return p / p.sum(axis=1, keepdims=True)
 
+    def margins(self, counts: np.ndarray) -> np.ndarray:
+        """How much farther the second nearest codeword is than the nearest."""
+        if len(self.langs) < 2:
+            return np.full(len(counts), np.inf)
+        near = np.partition(self.losses(counts), 1, axis=1)
+        return near[:, 1] - near[:, 0]
+
+    def losses(self, counts: np.ndarray) -> np.ndarray:
+        """Rows by languages: the weighted loss against each codeword."""
+        m = _margins(counts, self.weights) * self.scale
+        loss = np.stack([(np.logaddexp(0, -2 * m * c) * self.trust).sum(axis=1) for c in self.code], axis=1)
+        return loss * (4 / max(1e-9, self.trust.sum()))
+
 
 def _partial_counts(batches):
     for batch in batches:
@@ -142,6 +158,20 @@ def _bit_errors(model: Model):
     return run
 
 
+def _recognised(model: Model):
+    """Margins of the rows that get their own label."""
+    names = np.array(model.langs, dtype=object)
+
+    def run(batches):
+        for batch in batches:
+            langs = np.array(batch.column(1).to_pylist(), dtype=object)
+            for first, counts, letters in ngram_counts(batch.column(0)):
+                right = letters & (names[model.losses(counts).argmin(axis=1)] == langs[first : first + len(counts)])
+                yield pa.RecordBatch.from_arrays([pa.array(model.margins(counts)[right])], ["margin"])
+
+    return run
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from rows with a text and a label. Collected: a row per language, then one per language and bin."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
@@ -151,25 +181,28 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     langs = sorted(sizes)
     if not langs:
         return Model([], codewords(0), np.zeros((BINS, 1)))
+    code = codewords(len(langs))
+    if len(langs) == 1:
+        return Model(langs, code, np.zeros((BINS, 1)))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, train_rows / sizes[lang]))])
-    drawn = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(drawn < share[F.col("lang")]).select("text", "lang")
+    drawn = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    sample = saved(rows.where(drawn("train") < share[F.col("lang")]).select("text", "lang", (drawn("back") < KEPT_BACK).alias("back")), "sample")
+    back = sample.where("back").select("text", "lang")
     counts = np.full((len(langs), BINS), 0.02)
     place = {x: i for i, x in enumerate(langs)}
-    for r in sample.mapInArrow(_partial_counts, "lang string, bin long, n double").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
+    learned = sample.where("not back").select("text", "lang").mapInArrow(_partial_counts, "lang string, bin long, n double")
+    for r in learned.groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
         counts[place[r["lang"]], r["bin"]] += r["n"]
     p = counts / counts.sum(axis=1, keepdims=True)
-    code = codewords(len(langs))
-    if len(langs) == 1:
-        return Model(langs, code, np.zeros((BINS, 1)))
     weights = np.stack([np.log(p[bit > 0].mean(axis=0)) - np.log(p[bit < 0].mean(axis=0)) for bit in code.T], axis=1)
     model = Model(langs, code, weights)
-    for r in sample.mapInArrow(_bit_errors(model), "bit long, wrong double, size double, n double").groupBy("bit").agg(
+    for r in back.mapInArrow(_bit_errors(model), "bit long, wrong double, size double, n double").groupBy("bit").agg(
         *[F.sum(c).alias(c) for c in ("wrong", "size", "n")]
     ).collect():
         error = min(0.49, (r["wrong"] + 1) / (r["n"] + 2))
         model.trust[r["bit"]] = np.log((1 - error) / error)
         model.scale[r["bit"]] = 2 * r["n"] / max(r["size"], 1e-9)
+    model.doubt = back.mapInArrow(_recognised(model), "margin double").agg(F.percentile("margin", DOUBTFUL)).first()[0] or 0.0
     return model
 
 
@@ -179,16 +212,16 @@ def _predict(model: Model):
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            best, score = np.full(n, len(model.langs)), np.zeros(n)
+            best, score, doubt = np.full(n, len(model.langs)), np.zeros(n), np.zeros(n, bool)
             if model.langs:
                 for first, counts, letters in ngram_counts(batch.column(batch.num_columns - 1)):
                     s = model.scores(counts)
                     top = s.argmax(axis=1)
+                    doubt[first : first + len(top)] = letters & (model.margins(counts) <= model.doubt)
                     best[first : first + len(top)] = np.where(letters, top, len(model.langs))
                     score[first : first + len(top)] = np.where(letters, s.max(axis=1), 0.0)
-            known = best < len(model.langs)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(known & (score < AMBIGUOUS))],
+                [*batch.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(doubt)],
                 [*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"],
             )
 

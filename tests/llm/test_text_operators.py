@@ -181,6 +181,16 @@ def test_language_edges(spark):
     assert by_id(langid.predict(odd, one, ["doc_id"]))[4]["lang_pred"] == "fr"
 
 
+def test_language_without_doubt_and_with(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('en', 'de')")
+    model = langid.fit(docs)
+    texts = ["the and of this with the from that", "der die und nicht mit einer keit", "x", "zz q", "", "1 2 3", "the die and der of und"]
+    rows = by_id(langid.predict(documents(spark, texts), model, ["doc_id"]))
+    assert [rows[i]["ambiguous"] for i in range(6)] == [False, False, True, True, False, False] and rows[6]["score"] < rows[0]["score"]
+    flags = langid.predict(docs, model, ["doc_id"]).agg(F.count_if("ambiguous"), F.count("*")).first()
+    assert 0 < flags[0] < 0.05 * flags[1]
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 6, 9, 40):
         code = langid.codewords(n)
