@@ -1,7 +1,9 @@
 """From raw documents to token ids: language ID, near-duplicates, secret scans, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each to the shared folder and reads it
-back for the next. All but the last return the columns of ``documents``.
+back for the next. All but the last return the columns of ``documents``; the last carries the training order.
+
+Null texts have no language and go. Rows without an id are kept by every stage. Extra columns of the documents go.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from headway.llm import bpe, langid, minhash, mixing, secrets
 from headway.llm.queries import bpe_file, language_model
-from headway.llm.shared import saved, table
+from headway.llm.shared import forget, saved, table, written_place
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,8 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.encode(docs, bpe_file(), ["doc_id", "source"])
+    """Token ids of every document, with its ``place`` in training order (the order in which ``mix`` was written)."""
+    return bpe.encode(docs.withColumn("place", written_place(docs)), bpe_file(), ["doc_id", "source", "place"])
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("mix", mix), ("encode", encode)]
@@ -55,6 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table(sf_dir, "documents"))
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        read, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        if k:
+            forget(read)
     return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import beside, saved, text_slices
+from .shared import beside, forget, saved, text_slices
 
 #: Labelled documents per language that fitting reads (expected number; a hash of the id decides).
 TRAIN_ROWS = 3000
@@ -203,6 +203,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         model.trust[r["bit"]] = np.log((1 - error) / error)
         model.scale[r["bit"]] = 2 * r["n"] / max(r["size"], 1e-9)
     model.doubt = back.mapInArrow(_recognised(model), "margin double").agg(F.percentile("margin", DOUBTFUL)).first()[0] or 0.0
+    forget(sample)
     return model
 
 

@@ -24,7 +24,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import forget, saved
 
 #: Words of a secret's surroundings, of a harmless string's, of values that stand for one, and of paths of tests and
 #: samples (fixed values).
@@ -83,6 +83,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", words: int = VOCABULARY) ->
     follows = [[1.0] * 26 for _ in range(26)]
     for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():
         follows[ord(r["pair"][0]) - 97][ord(r["pair"][1]) - 97] += r["n"]
+    forget(counts)
     odds = tuple(log(26 * n / sum(row)) for row in follows for n in row)
     return Lexicon(tuple(r["word"] for r in top), odds)
 
@@ -246,8 +247,10 @@ def described(findings: DataFrame, known: Lexicon) -> DataFrame:
 
 def train(findings: DataFrame, known: Lexicon, trees: int = TREES, depth: int = DEPTH) -> Forest:
     """A forest from labelled findings (value, before, after, path, label); their number bounds the work."""
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(saved(described(findings, known), "described"))
+    seen = saved(described(findings, known), "described")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
+    forget(seen)
     return Forest([t.toDebugString for t in model.trees], known)
 
 

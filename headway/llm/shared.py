@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once; a longer document makes a chunk of its own.
@@ -58,6 +58,17 @@ def beside(rows: DataFrame, keep: list[str], column: str, added: str) -> tuple[D
     return chosen, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]], added])
 
 
+def written_place(table: DataFrame) -> Column:
+    """The place of a row in a table that was sorted and then written: its part's number, its file of the part, and its row
+    in the file. Files of other names come in the order of a hash. Where ``table`` isn't read from files, the place in its
+    partitions."""
+    if not table.inputFiles():
+        return F.monotonically_increasing_id()
+    number = lambda k: F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)-.*-c(\d+)\.", k).try_cast("long")
+    part = F.coalesce(number(1), F.pmod(F.xxhash64("_metadata.file_name"), F.lit(1 << 19)))
+    return F.shiftleft(part, 44) + F.shiftleft(F.coalesce(number(2), F.lit(0).cast("long")), 32) + F.col("_metadata.row_index")
+
+
 def text_slices(column: pa.Array, chunk_bytes: int = CHUNK_BYTES):
     """Yield (first row, last row, bytes, offsets of each text in them) for runs of texts of about ``chunk_bytes``.
 
