@@ -116,6 +116,11 @@ def gu_code(dong: Column) -> Column:
     return F.left(dong, F.lit(5))
 
 
+def sigungu_key(dong: Column) -> Column:
+    """The first four characters of a district code; null for a shorter one."""
+    return F.when(F.length(dong) >= 4, F.left(dong, F.lit(4)))
+
+
 def area_unit(dong: Column, level: str) -> Column:
     """The unit of a district code at a level: dong, gu or city; ``outside`` stays."""
     unit = {"dong": dong, "gu": gu_code(dong), "city": F.lit("11")}[level]

@@ -86,3 +86,12 @@ def routes_of_area(legs: DataFrame, area_stops: DataFrame, placed: DataFrame, mo
         "rank": F.row_number().over(of.orderBy(F.col("dong").isNull(), F.desc("riders"), "dong")),
     })
     return ranked.where(F.col("dong").isNotNull() & (F.col("rank") <= most))
+
+
+def period_pairs(rows: DataFrame, first: str, last: str, day_type: str) -> DataFrame:
+    """Mean riders a day of each pair of districts in a period, by mode: each mode's sum over the days of the type that
+    have trips of that mode; null where it has no day. ``rows`` has ``day, day_type, origin, dest, subway, bus``."""
+    inside = rows.where(F.col("day").between(first, last) & (F.col("day_type") == day_type))
+    days = inside.agg(*[F.count_distinct(F.when(F.col(m) > 0, F.col("day"))).alias(f"__{m}") for m in ("subway", "bus")])
+    sums = inside.groupBy("origin", "dest").agg(F.sum("subway").alias("subway"), F.sum("bus").alias("bus")).crossJoin(F.broadcast(days))  # one row
+    return sums.select("origin", "dest", *[F.try_divide(F.col(m), F.col(f"__{m}")).alias(m) for m in ("subway", "bus")])

@@ -2,28 +2,48 @@
 
 A month's count is a weighted sum of seven day-type patterns; the weights are the numbers of such days in the month.
 The minimum-norm least-squares solution is linear in the counts, so the pseudo-inverse is computed once per distinct
-set of observed months on the driver (there are few) and applied by a join and a sum.
+set of observed months, inside tasks, and applied by a join and a sum.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendars import DAY_TYPES, month_of, with_day_type
+from ..functions.numbers import normalised
 
 #: Shares of a day's boardings by hour where no profile is known, before they are scaled to 1 (fixed values).
 DEFAULT_PROFILE = (
     0.01, 0.005, 0.003, 0.002, 0.01, 0.04, 0.08, 0.11, 0.09, 0.05, 0.04, 0.04,
     0.05, 0.05, 0.05, 0.06, 0.08, 0.10, 0.09, 0.06, 0.04, 0.025, 0.015, 0.005,
 )
+#: The same for alightings (fixed values).
+DEFAULT_ALIGHTING = (
+    0.005, 0.003, 0.002, 0.002, 0.008, 0.03, 0.07, 0.10, 0.10, 0.055, 0.045, 0.045,
+    0.05, 0.05, 0.05, 0.06, 0.085, 0.105, 0.095, 0.065, 0.045, 0.03, 0.015, 0.005,
+)
 WEEKDAYS = DAY_TYPES[:5]
 FITTED, ZERO_FIT, NO_KEY = "fitted", "default_zero_fit", "default_no_key"
 
 
-def default_profile() -> list[float]:
-    return [x / sum(DEFAULT_PROFILE) for x in DEFAULT_PROFILE]
+def default_profile(of: tuple = DEFAULT_PROFILE) -> list[float]:
+    return [x / sum(of) for x in of]
+
+
+def distributed(daily: DataFrame, profiles: DataFrame, value: str, key: str = "stop") -> DataFrame:
+    """A daily ``value`` of each row over 24 hours: ``hour``, ``boarding`` and ``alighting``, two decimals. ``profiles`` has
+    ``hour``, ``boardings`` and ``alightings`` of keys; a key without 24 hours of a measure or a sum of it gets its default."""
+    pairs = F.sort_array(F.collect_list(F.struct("hour", "boardings", "alightings")))
+    shares = lambda name: normalised(F.transform("hours", lambda x: x[name].cast("double"))).alias(f"__{name}")
+    known = profiles.groupBy(key).agg(pairs.alias("hours")).select(key, shares("boardings"), shares("alightings"))
+    of = lambda name, default: F.coalesce(name, F.array(*map(F.lit, default_profile(default))))
+    rows = daily.join(known, key, "left").withColumn("share", F.arrays_zip(of("__boardings", DEFAULT_PROFILE).alias("b"), of("__alightings", DEFAULT_ALIGHTING).alias("a")))
+    spread_out = rows.select(*daily.columns, F.posexplode("share").alias("hour", "share"))
+    part = lambda x: F.round(F.col(value) * F.col(f"share.{x}"), 2)
+    return spread_out.select(*daily.columns, "hour", part("b").alias("boarding"), part("a").alias("alighting"))
 
 
 def month_counts(days: DataFrame, holidays: DataFrame) -> DataFrame:
@@ -42,19 +62,27 @@ def solve(counts: DataFrame, values: DataFrame, keys: list[str], value: str, col
     """Least squares per group of ``keys``: ``day_type`` and ``x`` for each of ``columns`` of the month counts.
 
     ``values`` has ``use_ym`` and the measure, one row per key and month. Groups with fewer than ``min_months`` months
-    are left out. The month counts are a small table (a row per month) and are collected; so are the distinct sets
-    of months that occur.
+    are left out. The month counts are a small table (a row per month) and go to the tasks, which invert each distinct set
+    of months that occurs.
     """
     design = {r["use_ym"]: [float(r[c]) for c in columns] for r in counts.select("use_ym", *columns).collect()}
-    months = sorted(design)
-    rows = values.where(F.col("use_ym").isin(months))
+    rows = values.where(F.col("use_ym").isin(sorted(design)))
     masks = rows.groupBy(*keys).agg(F.sort_array(F.collect_set("use_ym")).alias("mask")).where(F.size("mask") >= min_months)
-    coefficients = []
-    for r in masks.select("mask").distinct().collect():
-        a = np.array([design[m] for m in r["mask"]])
-        p = np.linalg.pinv(a, rcond=np.finfo(float).eps * max(a.shape))
-        coefficients += [(r["mask"], m, c, float(p[i, j])) for j, m in enumerate(r["mask"]) for i, c in enumerate(columns)]
-    table = rows.sparkSession.createDataFrame(coefficients, "mask array<int>, use_ym int, day_type string, coef double")
+
+    def inverted(batches):
+        for batch in batches:
+            mask, month, name, coef = [], [], [], []
+            for months in batch.column(0).to_pylist():
+                a = np.array([design[m] for m in months])
+                p = np.linalg.pinv(a, rcond=np.finfo(float).eps * max(a.shape))
+                mask += [months] * p.size
+                month += [m for m in months for _ in columns]
+                name += list(columns) * len(months)
+                coef += p.T.ravel().tolist()
+            arrays = [pa.array(mask, pa.list_(pa.int32())), pa.array(month, pa.int32()), pa.array(name, pa.string()), pa.array(coef, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["mask", "use_ym", "day_type", "coef"])
+
+    table = masks.select(F.col("mask").cast("array<int>").alias("mask")).distinct().mapInArrow(inverted, "mask array<int>, use_ym int, day_type string, coef double")
     joined = rows.join(masks, keys).join(table, ["mask", "use_ym"])
     x = F.sum(F.col("coef") * F.col(value))
     return joined.groupBy(*keys, "day_type").agg((F.greatest(F.lit(0.0), x) if clip else x).alias("x"))

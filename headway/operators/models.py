@@ -26,9 +26,10 @@ def clipped(rows: DataFrame, column: str, quantile: float = 0.995) -> DataFrame:
 
 
 def dense_codes(rows: DataFrame, column: str, code: str) -> DataFrame:
-    """Adds the rank of each distinct value among all, from 0."""
+    """Adds the rank of each distinct value among all, from 0. The distinct values (of a dimension such as stops) are
+    ranked in one task; whether they are broadcast is left to their size."""
     values = rows.select(column).distinct()
-    return rows.join(F.broadcast(values.withColumn(code, F.dense_rank().over(Window.orderBy(column)) - 1)), column)
+    return rows.join(values.withColumn(code, F.dense_rank().over(Window.orderBy(column)) - 1), column)
 
 
 def train(rows: DataFrame, rounds: int = 20, depth: int = 5, seed: int = 7):

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import VIRTUAL, has_virtual_mark, stop_id
-from .lookups import first_per
 
 COLUMNS = ["service_date", "route", "route_id", "board_seq", "board_ars", "board_code", "board_name", "alight_seq", "alight_ars", "alight_code", "alight_name", "passengers"]
 BOARD, ALIGHT = (["{}_seq", "{}_ars", "{}_code", "{}_name"], ["{}_seq", "{}_ars", "{}_code", "{}_name"])
@@ -39,7 +38,14 @@ def _copied(to: str, frm: str) -> dict[str, Column]:
 
 
 def _with_route_end(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("__end", F.when(F.col("route").isNotNull(), F.max("board_seq").over(Window.partitionBy("service_date", "route"))))
+    """Adds ``__end``, the largest boarding sequence of the day and route; null without a route."""
+    ends = rows.where("route is not null").groupBy("service_date", "route").agg(F.max("board_seq").alias("__end"))
+    return rows.join(ends, ["service_date", "route"], "left").select(*rows.columns, "__end")
+
+
+def _first_order(*columns: str) -> list[Column]:
+    """Fields that order structs by the columns, nulls last."""
+    return [x for c in columns for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c).alias(c))]
 
 
 def virtual_stops(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,8 +59,8 @@ def virtual_stops(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = assign(d, to_virtual & c("board_seq").between(1, 10), **_copied("alight", "board"))
     d = _with_route_end(d)
     odd = true(to_virtual & (c("__end") != 0) & (c("board_seq") / c("__end") * 100 < ANOMALY_PERCENT) & (c("board_seq") >= ANOMALY_SEQ))
-    aside = d.where(odd).drop("__end")
-    d = _with_route_end(d.where(~odd).drop("__end"))
+    # rows set aside board before the route's end, so the end stays
+    aside, d = d.where(odd).drop("__end"), d.where(~odd)
     d = assign(d, to_virtual & c("__end").isNotNull(), alight_seq=c("__end") + 1).drop("__end")
     d = assign(d, (c("alight_name").isNull() | (c("alight_name") == "")) & (c("alight_code") == NAMELESS_CODE), alight_name=c("board_name"))
     d = assign(d, (c("board_ars") != VIRTUAL) & (c("alight_ars") == VIRTUAL) & c("alight_seq").isNotNull(), **_copied("alight", "board"))
@@ -67,7 +73,8 @@ def modal_sequence(rows: DataFrame) -> DataFrame:
     """The most frequent boarding sequence of each stop of a route and day; ties to the smallest, nulls last."""
     real = rows.where(true(F.col("board_ars") != VIRTUAL) & F.col("route").isNotNull())
     counts = real.groupBy("service_date", "route", "board_ars", "board_seq").agg(F.count(F.lit(1)).alias("n"))
-    return first_per(counts, ["service_date", "route", "board_ars"], [F.desc("n"), F.col("board_seq").asc_nulls_last()]).withColumnRenamed("board_seq", "modal_seq")
+    first = F.min(F.struct((-F.col("n")).alias("n"), *_first_order("board_seq"))).alias("first")
+    return counts.groupBy("service_date", "route", "board_ars").agg(first).select("service_date", "route", "board_ars", F.col("first.board_seq").alias("modal_seq"))
 
 
 def sequences(rows: DataFrame) -> DataFrame:
@@ -86,9 +93,9 @@ def sequences(rows: DataFrame) -> DataFrame:
 
 def next_stops(rows: DataFrame) -> DataFrame:
     """The stop at each boarding position of a route and day; ties by number, code, name."""
-    order = [F.col(f"board_{x}").asc_nulls_last() for x in ("ars", "code", "name")]
     known = rows.where("route is not null and board_seq is not null")
-    return first_per(known, ["service_date", "route", "board_seq"], order).select("service_date", "route", "board_seq", "board_ars", "board_code", "board_name")
+    first = F.min(F.struct(*_first_order("board_ars", "board_code", "board_name"))).alias("first")
+    return known.groupBy("service_date", "route", "board_seq").agg(first).select("service_date", "route", "board_seq", "first.board_ars", "first.board_code", "first.board_name")
 
 
 def same_stops(rows: DataFrame) -> DataFrame:
@@ -106,11 +113,10 @@ def deduplicate(rows: DataFrame) -> DataFrame:
     those of the row with the most passengers; ties by value, nulls last."""
     keys = ["service_date", "route", "route_id", "board_seq", "__b", "alight_seq", "__a"]
     named = rows.withColumns({"__b": stop_id(F.col("board_ars"), F.col("board_name")), "__a": stop_id(F.col("alight_ars"), F.col("alight_name"))})
-    rest = ["board_code", "board_name", "alight_code", "alight_name"]
-    order = [F.desc_nulls_last("passengers"), *[F.col(x).asc_nulls_last() for x in [*rest, "board_ars", "alight_ars"]]]
-    w = Window.partitionBy(*keys)
-    merged = named.withColumns({"__n": F.row_number().over(w.orderBy(*order)), "__sum": F.sum("passengers").over(w)})
-    return merged.where("__n = 1").withColumn("passengers", F.col("__sum").cast("int")).select(*rows.columns)
+    rest = ["board_code", "board_name", "alight_code", "alight_name", "board_ars", "alight_ars"]
+    most = [F.col("passengers").isNull().alias("no_p"), (-F.col("passengers")).alias("p")]
+    merged = named.groupBy(*keys).agg(F.min(F.struct(*most, *_first_order(*rest))).alias("__first"), F.sum("passengers").cast("int").alias("passengers"))
+    return merged.select(*[F.col(f"__first.{c}").alias(c) if c in rest else F.col(c) for c in rows.columns])
 
 
 def deduplicate_as_before(rows: DataFrame) -> DataFrame:

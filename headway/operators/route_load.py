@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import ars_or_null
+from ..functions.numbers import class_of, log_breaks, quantile_breaks
 
 
 def ordered(legs: DataFrame) -> DataFrame:
@@ -53,30 +54,26 @@ def place(legs: DataFrame, stations: DataFrame) -> DataFrame:
     """
     at = Window.partitionBy("route", "variant").orderBy("seq")
     s = stations.withColumns({"at": F.row_number().over(at) - 1, "s_ars": ars_or_null(F.col("ars"))})
-    times = Window.partitionBy("route", "variant", "s_ars")
-    s = s.withColumn("times", F.count(F.lit(1)).over(times))
-    legs = legs.where("passengers > 0").withColumn("__leg", F.struct(*legs.columns))
-    distinct = legs.select("route", "board_ars", "alight_ars", "board_seq", "alight_seq").distinct()
-    keyed = distinct.withColumns({"b": ars_or_null(F.col("board_ars")), "a": ars_or_null(F.col("alight_ars")), "depot": F.col("board_seq") == 0})
-    start = s.select("route", "variant", F.col("s_ars").alias("b"), F.col("at").alias("from_at"), F.col("seq").alias("from_seq"), F.col("times").alias("from_times"))
-    first = start.where("from_at = 0").withColumns({"b": F.lit(None).cast("string"), "from_times": F.lit(1).cast("long")})
-    end = s.select("route", "variant", F.col("s_ars").alias("a"), F.col("at").alias("to_at"), F.col("seq").alias("to_seq"), F.col("times").alias("to_times"))
-    by_stop = keyed.where("b is not null").join(start, ["route", "b"])
-    by_depot = keyed.where("b is null and depot").join(first.drop("b"), "route")
-    pairs = by_stop.unionByName(by_depot).join(end, ["route", "variant", "a"]).where("to_at > from_at")
-    by_seq = F.col("board_seq").isNotNull() & F.col("alight_seq").isNotNull() & ((F.col("from_times") > 1) | (F.col("to_times") > 1))
-    span = F.col("to_at") - F.col("from_at")
-    score = F.when(by_seq, F.abs(F.col("from_seq") - F.col("board_seq")) + F.abs(F.col("to_seq") - F.col("alight_seq"))).otherwise(span)
-    key = ["route", "board_ars", "alight_ars", "board_seq", "alight_seq"]
-    scored = pairs.withColumns({"score": score, "span": span})
-    inside = Window.partitionBy(*key, "variant").orderBy("score", "span", "from_at")
-    best = scored.withColumn("__n", F.row_number().over(inside)).where("__n = 1")
-    across = Window.partitionBy(*key).orderBy("span", "variant")
-    chosen = best.withColumn("__n", F.row_number().over(across)).where("__n = 1").select(*[F.col(k).alias(f"__{k}") for k in key], "variant", "from_at", "to_at")
-    same = F.lit(True)
-    for k in key:
-        same = same & legs[k].eqNullSafe(chosen[f"__{k}"])
-    return legs.join(chosen, same, "left").select(*[c for c in legs.columns if c != "__leg"], "variant", "from_at", "to_at")
+    s = s.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("route", "variant", "s_ars")))
+    # the stops of a route's variants are few, and go beside each of its legs
+    stops = s.groupBy("route").agg(F.collect_list(F.struct("variant", "at", "seq", F.col("s_ars").alias("ars"), "times")).alias("__stops"))
+    rows = legs.where("passengers > 0").join(stops, "route", "left").withColumns({"__b": ars_or_null(F.col("board_ars")), "__a": ars_or_null(F.col("alight_ars"))})
+    boards = F.filter("__stops", lambda x: F.when(F.col("__b").isNotNull(), x["ars"] == F.col("__b")).otherwise((F.col("board_seq") == 0) & (x["at"] == 0)))
+    rows = rows.withColumns({"__from": boards, "__to": F.filter("__stops", lambda x: x["ars"] == F.col("__a"))})
+
+    def pair(x: Column, y: Column) -> Column:
+        repeated = (y["times"] > 1) | F.col("__b").isNotNull() & (x["times"] > 1)
+        by_seq = F.col("board_seq").isNotNull() & F.col("alight_seq").isNotNull() & repeated
+        span = y["at"] - x["at"]
+        score = F.when(by_seq, F.abs(x["seq"] - F.col("board_seq")) + F.abs(y["seq"] - F.col("alight_seq"))).otherwise(span)
+        return F.struct(x["variant"].alias("variant"), score.alias("score"), span.alias("span"), x["at"].alias("from_at"), y["at"].alias("to_at"))
+
+    later = lambda x: F.filter("__to", lambda y: (y["variant"] == x["variant"]) & (y["at"] > x["at"]))
+    pairs = F.array_sort(F.flatten(F.transform("__from", lambda x: F.transform(later(x), lambda y: pair(x, y)))))
+    rows = rows.withColumn("__pairs", pairs)
+    first_of_variant = F.filter("__pairs", lambda p, i: (i == 0) | (p["variant"] != F.get("__pairs", i - 1)["variant"]))
+    best = F.array_min(F.transform(first_of_variant, lambda p: F.struct(*[p[c].alias(c) for c in ("span", "variant", "from_at", "to_at")])))
+    return rows.withColumn("__best", best).select(*legs.columns, *[F.col(f"__best.{c}").alias(c) for c in ("variant", "from_at", "to_at")])
 
 
 def placed_loads(placed: DataFrame) -> DataFrame:
@@ -90,7 +87,7 @@ def crossing(placed: DataFrame, stations: DataFrame, from_ars: str, to_ars: str)
     w = Window.partitionBy("route", "variant").orderBy("seq")
     s = stations.withColumns({"at": F.row_number().over(w) - 1, "next_ars": F.lead("ars").over(w)})
     links = s.where((F.col("ars") == from_ars) & (F.col("next_ars") == to_ars)).select(F.col("variant").alias("l_variant"), "at")
-    return placed.join(F.broadcast(links), (F.col("variant") == F.col("l_variant")) & F.col("at").between(F.col("from_at"), F.col("to_at") - 1), "left_semi")
+    return placed.join(links, (F.col("variant") == F.col("l_variant")) & F.col("at").between(F.col("from_at"), F.col("to_at") - 1), "left_semi")
 
 
 def merged_segments(loads: DataFrame, stations: DataFrame) -> DataFrame:
@@ -100,6 +97,29 @@ def merged_segments(loads: DataFrame, stations: DataFrame) -> DataFrame:
     return loads.join(s, ["variant", "at"]).groupBy("from_ars", "to_ars").agg(F.sum("load").alias("load"), F.count_distinct("variant").alias("variants"))
 
 
+#: Colour and width of each class of load on a map, few riders first (fixed values).
+LOAD_COLORS = ("#006837", "#1a9850", "#66bd63", "#a6d96a", "#d9ef8b", "#fee08b", "#fdae61", "#f46d43", "#d73027", "#a50026")
+LOAD_WEIGHTS = (2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0)
+
+
+def styled(segments: DataFrame, least: float = 0.0, scale_to: float | None = None) -> DataFrame:
+    """Segments with riders (``load``) of ``least`` or more, with ``level`` (class from 0), ``color`` and ``weight``. Classes
+    are split at quantiles of the loads shown, or with ``scale_to`` at equal factors up to it. The segments of one map are
+    gathered for the quantiles."""
+    kept = segments.where((F.col("load") > 0) & (F.col("load") >= least))
+    classes = len(LOAD_COLORS)
+    if scale_to is None:
+        breaks = kept.agg(quantile_breaks(F.sort_array(F.collect_list("load")), classes).alias("__breaks"))
+        kept = kept.crossJoin(F.broadcast(breaks))  # one row
+    else:
+        low = max(1.0, least, scale_to / 1000)
+        limits = log_breaks(low, F.lit(scale_to), classes) if low < scale_to else F.array(*[F.lit(scale_to)] * (classes - 1))
+        kept = kept.withColumn("__breaks", limits)
+    level = class_of(F.col("load"), F.col("__breaks")).cast("int")
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("level") + 1)
+    return kept.withColumn("level", level).withColumns({"color": of(LOAD_COLORS), "weight": of(LOAD_WEIGHTS)}).drop("__breaks")
+
+
 def segment_split(legs: DataFrame, first: int, last: int) -> DataFrame:
     """Riders of each route within, leaving, entering and passing through the positions ``first`` to ``last``."""
     b, a, p = F.col("board_seq"), F.col("alight_seq"), F.col("passengers")

@@ -54,3 +54,16 @@ def covered_by_parts(points: DataFrame, areas: DataFrame, size: float) -> DataFr
 def primary_area(points: DataFrame, boxes: DataFrame, size: float, point: str, area: str) -> DataFrame:
     """One area per point that has any: the smallest code of those that cover it."""
     return covering(points, boxes, size).groupBy(point).agg(F.min(area).alias(area))
+
+
+def misplaced(used: DataFrame, path: DataFrame, boxes: DataFrame, size: float, metres: float) -> DataFrame:
+    """Stops (``ars``) without a used coordinate, or with one more than ``metres`` from the median of their coordinates on
+    the paths of routes: ``n_routes``, ``metres``, the districts of both places, and whether these differ."""
+    median = path.groupBy("ars").agg(F.count_distinct("route").alias("n_routes"), F.median("lng").alias("lng"), F.median("lat").alias("lat"))
+    there = median.withColumnsRenamed({"lng": "p_lng", "lat": "p_lat"})
+    far = geo.haversine_m(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
+    off = there.join(used.select("ars", "lng", "lat"), "ars", "left").withColumn("metres", far).where(F.col("lat").isNull() | F.col("lng").isNull() | (F.col("metres") > metres))
+    area = lambda points, name: primary_area(points.select("ars", "lng", "lat"), boxes, size, "ars", "dong").withColumnRenamed("dong", name)
+    here = off.select("ars", "lng", "lat").where("lng is not null and lat is not null")
+    both = off.join(area(here, "used_dong"), "ars", "left").join(area(off.select("ars", F.col("p_lng").alias("lng"), F.col("p_lat").alias("lat")), "path_dong"), "ars", "left")
+    return both.select("ars", "n_routes", "metres", "used_dong", "path_dong", (~F.col("used_dong").eqNullSafe(F.col("path_dong"))).alias("differs"))

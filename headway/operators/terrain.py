@@ -92,3 +92,23 @@ def active(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Stops and assignment of the active dataset."""
     folder = f"{root}/dataset={get_text(spark, f'{root}/ACTIVE').strip()}"
     return spark.read.parquet(f"{folder}/stops"), spark.read.parquet(f"{folder}/assignment")
+
+
+def retirement(master: DataFrame, root: str) -> DataFrame:
+    """Whether the master's own readings (``node_id, elev_m, slope_pct``) may go because the active dataset has them: one row
+    ``master_measured``, ``snapshot_measured``, ``mismatched`` (stops of both that disagree, nulls being values) and ``ok``."""
+    held = active(master.sparkSession, root)[0].select("node_id", F.col("elev_m").alias("__elev"), F.col("slope_pct").alias("__slope"))
+    both = master.select("node_id", "elev_m", "slope_pct", F.lit(True).alias("__m")).join(held.withColumn("__s", F.lit(True)), "node_id", "full")
+    same = F.col("slope_pct").eqNullSafe(F.col("__slope")) & F.col("elev_m").eqNullSafe(F.col("__elev"))
+    found = both.agg(
+        F.count("slope_pct").alias("master_measured"), F.count("__slope").alias("snapshot_measured"), F.count_if(F.col("__m") & F.col("__s") & ~same).alias("mismatched")
+    )
+    return found.withColumn("ok", (F.col("master_measured") == F.col("snapshot_measured")) & (F.col("mismatched") == 0))
+
+
+def retire(master: DataFrame, root: str) -> DataFrame:
+    """The master without its readings; fails unless the active dataset has them all."""
+    found = retirement(master, root).first()
+    if not found["ok"]:
+        raise ValueError(f"readings would be lost: {found.asDict()}")
+    return master.drop("elev_m", "slope_pct")

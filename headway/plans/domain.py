@@ -147,13 +147,6 @@ def _(v):
     return lookups.first_per(votes, ["ars"], [F.desc("n"), C("route").asc()]).select("ars", "route")
 
 
-@query("dom_ferry", """SELECT okey % 7 AS pier, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE h.a IS NOT NULL) AS BIGINT) AS closed FROM leg l LEFT JOIN (SELECT date AS a, date + 60 AS b FROM holiday WHERE date < DATE '1999-01-01') h ON service_date BETWEEN a AND b WHERE route = 'R19' GROUP BY 1""")
-def _(v):
-    closed = v("holiday").where("date < '1999-01-01'").select(F.explode(F.sequence("date", F.date_add("date", 60))).alias("service_date")).withColumn("shut", F.lit(1))
-    rows = v("leg").where("route = 'R19'").join(F.broadcast(closed), "service_date", "left")
-    return rows.groupBy((C("okey") % 7).alias("pier")).agg(F.count(F.lit(1)).alias("n"), F.count("shut").alias("closed"))
-
-
 # ---------------------------------------------------------------- loads
 
 _FLOW = "SELECT route, seq, sum(ons) AS ons, sum(offs) AS offs FROM (SELECT route, board_seq AS seq, passengers AS ons, 0e0 AS offs FROM {0} UNION ALL SELECT route, alight_seq, 0e0, passengers FROM {0}) GROUP BY route, seq"
@@ -369,10 +362,10 @@ _COUNTS2 = "SELECT use_ym, sum(CASE WHEN t THEN 1e0 ELSE 0e0 END) AS w, sum(CASE
 
 
 @query("agg_lstsq_simple", f"""SELECT route, hour, day_type, round(CASE WHEN day_type = 'work' THEN (rr * wb - wr * rb) / (ww * rr - wr * wr) ELSE (ww * rb - wr * wb) / (ww * rr - wr * wr) END, 3) AS x FROM
-    (SELECT route, hour, sum(w * w) AS ww, sum(w * r) AS wr, sum(r * r) AS rr, sum(w * b) AS wb, sum(r * b) AS rb FROM (SELECT use_ym, route, hour, sum(boardings) AS b FROM boarding_month WHERE hour % 8 = 3 GROUP BY ALL) JOIN ({_COUNTS2}) USING (use_ym) GROUP BY route, hour HAVING count(*) >= 3)
+    (SELECT route, hour, sum(w * w) AS ww, sum(w * r) AS wr, sum(r * r) AS rr, sum(w * b) AS wb, sum(r * b) AS rb FROM (SELECT use_ym, route, hour, sum(boardings) AS b FROM boarding_month GROUP BY ALL) JOIN ({_COUNTS2}) USING (use_ym) GROUP BY route, hour HAVING count(*) >= 3)
     CROSS JOIN (VALUES ('work'), ('rest')) k(day_type)""")
 def _(v):
-    values = v("boarding_month").where("hour % 8 = 3").groupBy("use_ym", "route", "hour").agg(F.sum("boardings").alias("b"))
+    values = v("boarding_month").groupBy("use_ym", "route", "hour").agg(F.sum("boardings").alias("b"))
     x = hourly.solve(_two_classes(v), values, ["route", "hour"], "b", ["work", "rest"], clip=False)
     return x.withColumn("x", F.round("x", 3))
 
@@ -588,12 +581,6 @@ def _(v):
     return sums.crossJoin(F.broadcast(days)).select("route", "board_ars", "alight_ars", (C("p") / C("days")).alias("passengers"), "board_seq")
 
 
-@query("agg_period_dong_mean", "SELECT origin, sum(subway) / NULLIF(count(DISTINCT CASE WHEN subway > 0 THEN dk END), 0) AS subway, sum(bus) / NULLIF(count(DISTINCT CASE WHEN bus > 0 THEN dk END), 0) AS bus FROM flow GROUP BY origin")
-def _(v):
-    mean = lambda c: F.try_divide(F.sum(c), F.count_distinct(F.when(C(c) > 0, C("dk")))).alias(c)
-    return v("flow").groupBy("origin").agg(mean("subway"), mean("bus"))
-
-
 @query("qry_period_days", "SELECT CAST(year(service_date) AS INT) AS year, count(DISTINCT service_date) AS days FROM leg GROUP BY 1")
 def _(v):
     return v("leg").groupBy(F.year("service_date").alias("year")).agg(F.count_distinct("service_date").alias("days"))
@@ -613,18 +600,6 @@ def _(v):
     return out.withColumn("wape", F.round("wape", 9))
 
 
-@query("dom_alight_reproduction", """SELECT route, hour, sum(p) AS p FROM (SELECT route, CAST((o + floor((b % 60 + 1.5e0 * span) / 60)) % 24 AS INT) AS hour, p FROM (SELECT route, board_seq % 24 AS o, board_seq * 7 AS b, alight_seq - board_seq AS span, passengers AS p FROM typical WHERE alight_seq > board_seq)) GROUP BY 1, 2""")
-def _(v):
-    minutes = C("board_seq") * 7 % 60 + 1.5 * (C("alight_seq") - C("board_seq"))
-    hour = ((C("board_seq") % 24 + F.floor(minutes / 60)) % 24).cast("int")
-    return route_load.ordered(v("typical")).groupBy("route", hour.alias("hour")).agg(F.sum("passengers").alias("p"))
-
-
-@query("dom_period_basis", "SELECT service_date, route, sum(passengers) AS passengers FROM leg WHERE service_date BETWEEN DATE '1997-03-01' AND DATE '1997-05-31' GROUP BY 1, 2")
-def _(v):
-    return v("leg").where(C("service_date").between("1997-03-01", "1997-05-31")).groupBy("service_date", "route").agg(F.sum("passengers").alias("passengers"))
-
-
 @query("dom_stop_demand", "SELECT mode, node, hour, CAST(sum(round_even(boardings, 0)) AS BIGINT) AS boarding_count, 'fitted' AS method FROM demand GROUP BY mode, node, hour")
 def _(v):
     sums = v("demand").groupBy("mode", "node", "hour").agg(F.sum(num.to_count(C("boardings"))).alias("boardings"))
@@ -675,12 +650,6 @@ def _(v):
     return v("terrain").agg(F.count_distinct("dong").alias("dongs"), F.count_distinct("node").alias("nodes"), F.count("slope").alias("measured"))
 
 
-@query("val_terrain_retire", "SELECT CAST(count(*) AS BIGINT) AS off FROM terrain a FULL JOIN terrain b ON a.node = b.node WHERE a.slope IS DISTINCT FROM b.slope")
-def _(v):
-    a, b = v("terrain").select("node", "slope"), v("terrain").select("node", C("slope").alias("b"))
-    return a.join(b, "node", "full").where(~C("slope").eqNullSafe(C("b"))).agg(F.count(F.lit(1)).alias("off"))
-
-
 @query("val_area_lookup", "SELECT CAST(count(*) FILTER (WHERE b.ars IS NULL) AS BIGINT) AS only_old, CAST(count(*) FILTER (WHERE a.ars IS NULL) AS BIGINT) AS only_new, CAST(count(*) FILTER (WHERE a.ars = b.ars) AS BIGINT) AS same FROM (SELECT DISTINCT ars FROM stop_point JOIN district ON lng > x0 AND lng < x1 AND lat > y0 AND lat < y1) a FULL JOIN (SELECT DISTINCT ars FROM stop_point JOIN district ON lng BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1) b ON a.ars = b.ars")
 def _(v):
     old = spatial.covering(v("stop_point"), v("district"), 0.02, edge=False).select("ars").distinct().withColumn("a", F.lit(1))
@@ -717,13 +686,6 @@ def _(v):
     return lookups.fallback_union(v("stop_point").where("k % 2 = 0").select("ars"), v("route_stop").select("ars").distinct(), ["ars"])
 
 
-@query("dom_stop_coord_check", "SELECT a.k, round(6371000e0 * sqrt(pow(radians((b.lng - a.lng)) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(radians(b.lat - a.lat), 2)), 3) AS metres FROM stop_point a JOIN stop_point b ON b.k = a.k + 1 WHERE a.k % 20 = 19")
-def _(v):
-    nxt = v("stop_point").select((C("k") - 1).alias("k"), C("lng").alias("r_lng"), C("lat").alias("r_lat"))
-    pairs = v("stop_point").where("k % 20 = 19").join(nxt, "k")
-    return pairs.select("k", F.round(geo.flat_m(C("lat"), C("lng"), C("r_lat"), C("r_lng")), 3).alias("metres"))
-
-
 @query("src_wide_csv_unpivot", "SELECT node, hour, n FROM (SELECT dong AS node, 0 AS hour, CAST(sum(elev) AS DOUBLE) AS n FROM terrain GROUP BY dong UNION ALL SELECT dong, 1, CAST(count(slope) AS DOUBLE) FROM terrain GROUP BY dong)")
 def _(v):
     from ..sources.files import wide_to_long
@@ -753,14 +715,3 @@ def _(v):
 def _(v):
     model, scores = models.train(models.features(v("daily")))
     return v("holiday").sparkSession.createDataFrame([(float(scores["mae"]), float(scores["r2"]))], "mae double, r2 double")
-
-
-@query("dom_predict_hourly")
-def _(v):
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = models.features(v("daily"))
-    model, _ = models.train(rows)
-    scored = models.predict(model, VectorAssembler(inputCols=list(models.FEATURES), outputCol="features").transform(rows))
-    default = F.array(*map(F.lit, hourly.default_profile()))
-    return scored.select("stop", "day", F.posexplode(default).alias("hour", "share"), "prediction").select("stop", "day", "hour", (C("prediction") * C("share")).alias("boardings"))

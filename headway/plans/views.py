@@ -6,24 +6,29 @@ share it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 _ARS = "lpad(CAST(1 + (rn * 17 + CASE WHEN rn % 5 = 0 THEN {0} % 30 ELSE {0} END) % 300 AS STRING), 5, '0')"
 
+_PIER = "CASE {0} % 11 WHEN 0 THEN '마곡' WHEN 1 THEN '망원' WHEN 2 THEN '여의도' WHEN 3 THEN '압구정' WHEN 4 THEN '옥수' WHEN 5 THEN '성수' WHEN 6 THEN '뚝섬' WHEN 7 THEN '잠실' WHEN 8 THEN '서울숲' WHEN 9 THEN '강남역' END"
+
 VIEWS: dict[str, str] = {
-    "leg0": """SELECT l_orderkey AS okey, CAST(l_shipdate AS DATE) AS service_date, CAST(l_suppkey % 20 AS INT) AS rn,
+    "leg0": """SELECT l_orderkey AS okey, CAST(l_shipdate AS DATE) AS service_date, CAST(l_suppkey % 20 + 20 * floor(l_orderkey / 20000) AS INT) AS rn,
         CAST(1 + l_partkey % 40 AS INT) AS board_seq, CAST(1 + (l_orderkey * 7 + l_linenumber) % 40 AS INT) AS alight_seq,
         CAST(l_quantity AS DOUBLE) AS passengers FROM lineitem""",
-    "leg": f"""SELECT okey, service_date, concat('R', lpad(CAST(rn AS STRING), 2, '0')) AS route, board_seq, alight_seq,
+    "leg": f"""SELECT okey, service_date, concat('R', CASE WHEN rn < 10 THEN '0' ELSE '' END, CAST(rn AS STRING)) AS route, board_seq, alight_seq,
         {_ARS.format('board_seq')} AS board_ars, {_ARS.format('alight_seq')} AS alight_ars, passengers FROM leg0""",
     # a typical day: total riders of each stop pair
     "typical": """SELECT route, board_seq, board_ars, alight_seq, alight_ars, sum(passengers) AS passengers
         FROM leg GROUP BY route, board_seq, board_ars, alight_seq, alight_ars""",
-    "route_stop": """SELECT route, board_seq AS seq, board_ars AS ars FROM leg UNION SELECT route, alight_seq, alight_ars FROM leg""",
-    "station": """SELECT route, concat(route, '|A') AS variant, seq, ars FROM route_stop
-        UNION ALL SELECT route, concat(route, '|B'), seq, ars FROM route_stop WHERE seq <= 30 AND route IN ('R00', 'R04', 'R08', 'R12')""",
+    "route_stop": """SELECT DISTINCT route, CASE WHEN side = 0 THEN board_seq ELSE alight_seq END AS seq, CASE WHEN side = 0 THEN board_ars ELSE alight_ars END AS ars
+        FROM (SELECT route, board_seq, board_ars, alight_seq, alight_ars, EACH(0, 1) AS side FROM leg) s""",
+    "station": """SELECT route, concat(route, CASE WHEN side = 0 THEN '|A' ELSE '|B' END) AS variant, seq, ars FROM (SELECT *, EACH(0, 1) AS side FROM route_stop) s
+        WHERE side = 0 OR seq <= 30 AND route IN ('R00', 'R04', 'R08', 'R12')""",
     "stop_point": """SELECT k, lpad(CAST(k AS STRING), 5, '0') AS ars, concat('stop ', CAST(k % 90 AS STRING)) AS name,
         126.9e0 + (k % 20) * 0.01e0 AS lng, 37.4e0 + floor(k / 20) * 0.01e0 AS lat
         FROM (SELECT DISTINCT CAST(1 + p_partkey % 300 AS INT) AS k FROM part) s""",
@@ -55,7 +60,7 @@ VIEWS: dict[str, str] = {
     "od_dong": """SELECT CASE WHEN s_nationkey >= 20 THEN 'outside' ELSE concat('110', CAST(10 + s_nationkey % 5 AS STRING), lpad(CAST(s_nationkey AS STRING), 3, '0')) END AS origin,
         CASE WHEN c_nationkey >= 20 THEN 'outside' ELSE concat('110', CAST(10 + c_nationkey % 5 AS STRING), lpad(CAST(c_nationkey AS STRING), 3, '0')) END AS dest,
         CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0e0 END AS subway, CASE WHEN l_returnflag <> 'A' THEN l_quantity ELSE 0e0 END AS bus,
-        s_nationkey AS ok, c_nationkey AS dk, CASE WHEN l_linenumber % 3 = 0 THEN 'saturday' ELSE 'weekday' END AS day_type
+        s_nationkey AS ok, c_nationkey AS dk, CASE WHEN l_linenumber % 3 = 0 THEN 'saturday' ELSE 'weekday' END AS day_type, CAST(l_shipdate AS DATE) AS day
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
     "flow": """SELECT day_type, origin, dest, ok, dk, sum(subway) AS subway, sum(bus) AS bus FROM od_dong GROUP BY day_type, origin, dest, ok, dk""",
     "terrain": """SELECT p_partkey AS node, p_brand AS dong, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 4 END AS slope,
@@ -65,11 +70,25 @@ VIEWS: dict[str, str] = {
     "messy": """SELECT p_partkey AS k, CASE p_partkey % 16 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' 1041' WHEN 3 THEN '00000' WHEN 4 THEN 'nan' WHEN 5 THEN '1041.0'
         WHEN 6 THEN '0000~' WHEN 7 THEN '123456' WHEN 8 THEN CAST(p_partkey AS STRING) WHEN 9 THEN 'Jan-01' WHEN 10 THEN '0' WHEN 11 THEN 'A160' WHEN 12 THEN '9401'
         WHEN 13 THEN '1.05' WHEN 14 THEN ' City Hall (gate 2).west_1 ' ELSE 'N' || CAST(p_partkey % 40 AS STRING) END AS t FROM part""",
+    # trips with their hour and minute of boarding and the minutes between two stops
+    "timed": """SELECT service_date, route, board_seq, board_ars, alight_seq, alight_ars, passengers, CAST(okey % 24 AS INT) AS hour, CAST(okey * 13 % 60 AS INT) AS minute, CAST(1 + okey % 3 AS INT) AS pace FROM leg""",
+    "pier_od": f"""SELECT CAST(l_shipdate AS DATE) AS service_date, CASE WHEN l_orderkey % 9 = 0 THEN 'R01' END AS route, CAST(NULL AS INT) AS board_seq, CASE WHEN l_orderkey % 10 = 0 THEN '00011' END AS board_ars,
+        {_PIER.format('l_partkey')} AS board_name, CASE WHEN l_orderkey % 9 = 0 THEN 4 END AS alight_seq, CAST(NULL AS STRING) AS alight_ars, {_PIER.format('(l_partkey + l_suppkey + l_linenumber)')} AS alight_name, CAST(l_quantity AS INT) AS passengers FROM lineitem""",
+    "closure": """SELECT CAST('1997-03-01' AS DATE) AS first, CAST('1997-03-20' AS DATE) AS last, 'all' AS piers UNION ALL SELECT CAST('1998-07-01' AS DATE), CAST('1998-09-05' AS DATE), '잠실,망원'
+        UNION ALL SELECT CAST('1998-08-01' AS DATE), CAST('1998-08-03' AS DATE), '옥수'""",
+    "used_point": "SELECT ars, name, CASE WHEN k % 29 = 0 THEN NULL ELSE lng END AS lng, CASE WHEN k % 29 = 0 THEN NULL ELSE lat END AS lat FROM stop_point WHERE k % 31 <> 5",
+    "path_point": "SELECT route, seq, ars, lng + CASE WHEN k % 13 = 0 THEN 0.004e0 ELSE seq * 0.00001e0 END AS lng, lat + CASE WHEN k % 19 = 0 THEN 0.02e0 ELSE 0e0 END AS lat FROM route_stop JOIN stop_point USING (ars)",
+    "api_page": """SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN '<CardBusTimeNew><list_total_count>1</list_total_count><RESULT><CODE>INFO-000</CODE><MESSAGE>fine</MESSAGE></RESULT><row><A>1</A></row></CardBusTimeNew>'
+        WHEN 1 THEN '<RESULT><CODE>INFO-200</CODE><MESSAGE>nothing yet</MESSAGE></RESULT>' WHEN 2 THEN '<RESULT><CODE>INFO-100</CODE><MESSAGE>bad key abc123 of abc123</MESSAGE></RESULT>'
+        WHEN 3 THEN '<CardBusTimeNew><list_total_count>0</list_total_count></CardBusTimeNew>' ELSE '<CardBusTimeNew><RESULT><CODE>ERROR-500</CODE></RESULT></CardBusTimeNew>' END AS xml FROM orders""",
     "holiday": """SELECT CAST('1996-01-01' AS DATE) AS date UNION SELECT CAST('1996-05-05' AS DATE) UNION SELECT CAST('1997-03-03' AS DATE)
         UNION SELECT CAST('2024-01-01' AS DATE) UNION SELECT CAST('1999-12-24' AS DATE) UNION SELECT CAST('2000-02-29' AS DATE)""",
 }
 
-PREFIX = "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in VIEWS.items()) + "\n"
+_WITH = "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in VIEWS.items()) + "\n"
+#: EACH(a, b) stands for a row per value, the one thing that both engines write differently.
+PREFIX = re.sub(r"EACH\((.*?)\)", r"unnest([\1])", _WITH)
+SPARK_PREFIX = re.sub(r"EACH\((.*?)\)", r"explode(array(\1))", _WITH)
 
 
 def views(spark: SparkSession, sf_dir: str):
@@ -80,7 +99,7 @@ def views(spark: SparkSession, sf_dir: str):
             return spark.read.parquet(f"{sf_dir}/{name}.parquet")
         for table in TABLES:
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-        return spark.sql(f"{PREFIX} SELECT * FROM {name}")
+        return spark.sql(f"{SPARK_PREFIX} SELECT * FROM {name}")
 
     return get
 

@@ -25,17 +25,28 @@ class ServiceError(Exception):
 
 
 def checked(text: str, key: str = "") -> ET.Element:
-    """The document of a page, or the exception that its result code stands for."""
+    """The document of a page, or the exception that its result code stands for. A page without a result is an error,
+    because those that succeed have one."""
     root = ET.fromstring(text)
-    code = root.findtext(".//CODE") or OK
+    result = root if root.tag == "RESULT" else root.find("RESULT")
+    code = (result.findtext("CODE") or "").strip() if result is not None else ""
     if code == NOTHING:
         raise NotPublished(code)
     if code != OK:
-        message = f"{code}: {root.findtext('.//MESSAGE') or ''}"
+        message = f"{code or 'no result'}: {result.findtext('MESSAGE') or '' if result is not None else ''}"
         raise ServiceError(message.replace(key, "***") if key else message)
     return root
 
 
+def result_states(pages: DataFrame, xml: str = "xml", key: str = "") -> DataFrame:
+    """Adds ``state`` (``ok``, ``not_published`` or ``error``) and ``message`` (without the key, empty where there is none) to
+    rows of stored pages, by the result in the root or as the root."""
+    at = lambda tag: F.trim(F.concat(F.xpath_string(xml, F.lit(f"/RESULT/{tag}")), F.xpath_string(xml, F.lit(f"/*/RESULT/{tag}"))))
+    state = F.when(at("CODE") == OK, "ok").when(at("CODE") == NOTHING, "not_published").otherwise("error")
+    message = F.replace(at("MESSAGE"), F.lit(key), F.lit("***")) if key else at("MESSAGE")
+    return pages.withColumns({"state": state, "message": message})
+
+
 def page_source(name: str, fetch: Callable[[int, int], str], columns: dict[str, tuple[str, ...]], total: int, key: str = "") -> type[DataSource]:
     """A data source class; ``columns`` maps each text column to the tags that may hold it."""
 

@@ -46,6 +46,6 @@ def test_spatial_and_range_plans_have_no_nested_loops(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - {"dom_predict_hourly"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_queries_without_sql_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0

@@ -163,6 +163,8 @@ def test_paged_service(spark):
     got = paged_api.read_pages(spark, source)
     assert got.rdd.getNumPartitions() == 3 and got.count() == 2500 and {r["name"] for r in got.select("name").distinct().collect()} == {"n", "m"}
     with pytest.raises(paged_api.NotPublished):
-        paged_api.checked("<r><CODE>INFO-200</CODE></r>")
+        paged_api.checked("<RESULT><CODE>INFO-200</CODE></RESULT>")
     with pytest.raises(paged_api.ServiceError, match=r"\*\*\*"):
-        paged_api.checked("<r><CODE>ERROR-1</CODE><MESSAGE>key abc is bad</MESSAGE></r>", "abc")
+        paged_api.checked("<r><RESULT><CODE>ERROR-1</CODE><MESSAGE>key abc is bad</MESSAGE></RESULT></r>", "abc")
+    with pytest.raises(paged_api.ServiceError):  # pages that succeed have a result
+        paged_api.checked("<r><list_total_count>0</list_total_count></r>")
