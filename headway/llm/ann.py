@@ -7,14 +7,16 @@ search scans tables of query-by-code inner products, keeps the best of each bloc
 double precision. Blocks of which something was cut that may be nearer than the query's k-th (its approximate score and
 the reach of the block's residuals say so) are scanned again with the exact vectors, inside tasks.
 
-Equal vectors are one entry with their smallest ids. Entries are filed in cells by their nearest centre (large cells
-in several blocks), and each query visits the cells nearest to it, so that a task holds one block and its queries. How
-many it visits is measured on the fitting sample: so many that they hold the ``CELL_RECALL`` share of the nearest.
-Codebooks and centres are fitted on at most about ``FIT_ROWS`` entries (a hash decides); every entry is indexed.
+Equal vectors are one entry with their smallest ids. Entries are filed in cells by their nearest centre, and bundles of
+neighbouring cells are dealt in blocks. Each query goes to the blocks of the cells nearest to it, where only these cells
+are scanned for it; a block is repeated for every ``QUERY_GROUP`` queries that visit it, no more. A query's best are
+kept over a whole block before anything is shuffled. How many cells it visits is measured on the fitting sample: so many
+that they hold the ``CELL_RECALL`` share of the nearest. Codebooks and centres are fitted on at most about ``FIT_ROWS``
+entries (a hash decides); every entry is indexed.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length isn't the
-most frequent one. Rows with a null id take no part. Ties go to the smaller id. Repeated rows of one id count once.
-Columns other than the id and the vector are not read.
+most frequent one. Rows with a null id take no part. Ties go to the smaller id. Repeated rows of one id count once; of
+different vectors of one id the smallest (component by component) counts. Columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ from .shared import binary_array, saved
 FIT_ROWS, SUB, CODES = 12_000, 2, 16
 #: A residual's parallel part matters for queries whose score is at least this (unit vectors).
 SCORE_THRESHOLD = 0.2
-#: Entries of a cell on average and of a block at most about; the share of nearest entries that the visited cells
-#: hold; candidates kept from a block and in all for reranking.
-CELL, BLOCK, CELL_RECALL, KEEP, RERANK = 4096, 8192, 0.985, 40, 200
-#: Queries in one group of a block, and in one slice of an exact scan.
-QUERY_GROUP, SLICE = 2048, 128
+#: Entries of a cell on average, cells of a bundle, entries of a block at most about; the share of nearest entries that
+#: the visited cells hold; candidates kept from a block and in all for reranking.
+CELL, BUNDLE, BLOCK, CELL_RECALL, KEEP, RERANK = 4096, 8, 32768, 0.985, 40, 200
+#: Queries in one group of a block, and in one step of a scan.
+QUERY_GROUP, SLICE = 2048, 64
 #: Standard deviations of a residual's part along a random direction that an exact scan allows for.
 REACH = 4.0
 SEED = 5
@@ -114,7 +116,7 @@ def fit_books(x: np.ndarray, rounds: int = 4) -> np.ndarray:
 
 
 def fit_centres(x: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means centres."""
+    """Spherical k-means centres, in the order of their main direction, so that neighbours in the list are near."""
     rng = np.random.default_rng(SEED + 1)
     centres = x[rng.permutation(len(x))[:cells]].copy()
     for _ in range(rounds):
@@ -123,7 +125,8 @@ def fit_centres(x: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
         np.add.at(sums, near, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
-    return centres
+    main = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0]
+    return centres[np.argsort(centres @ main, kind="stable")]
 
 
 def probes_needed(x: np.ndarray, centres: np.ndarray, k: int, recall: float = CELL_RECALL, queries: int = 400) -> int:
@@ -179,53 +182,75 @@ def _probed(centres: np.ndarray, probes: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = np.argsort(-(_unit(_matrix(batch.column(1))) @ centres.T), axis=1, kind="stable")[:, :probes]
-            again = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(near.ravel().astype(np.int32))], ["entry", "vec", "cell"])
+            near = np.sort(np.argsort(-(_unit(_matrix(batch.column(1))) @ centres.T), axis=1, kind="stable")[:, :probes], axis=1)
+            at, bundle, cells = [], [], []
+            for i, row in enumerate(near):
+                of, first = np.unique(row // BUNDLE, return_index=True)
+                at += [i] * len(of)
+                bundle += of.tolist()
+                cells += [c.tolist() for c in np.split(row, first[1:])]
+            again = pa.array(at, pa.int64())
+            columns = [batch.column(0).take(again), batch.column(1).take(again), pa.array(bundle, pa.int32()), pa.array(cells, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["entry", "vec", "bundle", "cells"])
 
     return run
 
 
 def _scan(books: np.ndarray, keep: int):
-    """Best entries of a block for each query by sums of table values; ties go to the smaller entry. A row with a null
-    entry has the best score that was cut. ``along`` and ``across`` are the block's longest residuals."""
+    """Best entries of a block for each query, of the cells it visits, by sums of table values. A row with a null entry has
+    the best score that was cut. ``along`` and ``across`` are the block's longest residuals."""
 
     def run(key, queries: pa.Table, block: pa.Table) -> pa.Table:
-        empty = pa.Table.from_pylist([], SCANNED)
         if not queries.num_rows or not block.num_rows:
-            return empty
-        block = block.sort_by("entry")
-        entry = block["entry"].to_numpy()
+            return pa.Table.from_pylist([], SCANNED)
+        block = block.sort_by([("cell", "ascending"), ("entry", "ascending")])
+        entry, cell = block["entry"].to_numpy(), block["cell"].to_numpy()
         packed = np.frombuffer(b"".join(block["codes"].to_pylist()), np.uint8).reshape(len(entry), -1)
         codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(entry), -1)[:, : books.shape[0]].T.astype(np.intp)
-        q, ids = _unit(_matrix(queries["vec"])), queries["entry"].to_numpy()
-        tables = np.einsum("qmd,mcd->qmc", _split(q), books).astype(np.float32)
         pairs = [(j, j + 1) if j + 1 < len(books) else (j,) for j in range(0, len(books), 2)]
         joint = [codes[p[0]] * CODES + codes[p[1]] if len(p) == 2 else codes[p[0]] for p in pairs]
+        queries = queries.sort_by("entry")
+        q, ids = _unit(_matrix(queries["vec"])), queries["entry"].to_numpy()
+        visits = [np.array(x) for x in queries["cells"].to_pylist()]
+        order = sorted(range(len(ids)), key=lambda i: visits[i].tolist())  # queries of the same cells share a step
         out = []
-        for k in range(len(ids)):
-            score = np.zeros(len(entry), np.float32)
+        for a in range(0, len(order), SLICE):
+            step = order[a : a + SLICE]
+            every = np.unique(np.concatenate([visits[i] for i in step]))
+            rows = np.flatnonzero(np.isin(cell, every)) if len(every) < BUNDLE else np.arange(len(entry))
+            if not len(rows):
+                continue
+            tables = np.einsum("qmd,mcd->qmc", _split(q[step]), books).astype(np.float32)
+            score = np.zeros((len(step), len(rows)), np.float32)
             for p, c in zip(pairs, joint):
-                t = (tables[k, p[0]][:, None] + tables[k, p[1]][None, :]).ravel() if len(p) == 2 else tables[k, p[0]]
-                score += t[c]
-            n = min(keep + 1, len(entry))  # one more, for the query's own entry
-            if n < len(entry):
-                part = np.partition(score, (len(entry) - n - 1, len(entry) - n))
-                least, cut = part[len(entry) - n], part[len(entry) - n - 1]
-                above, level = np.flatnonzero(score > least), np.flatnonzero(score == least)
-                at = np.concatenate([above, level[: n - len(above)]])
-                out.append((np.full(len(at) + 1, ids[k]), np.append(entry[at], 0), np.append(score[at], cut), np.append(np.zeros(len(at), bool), True)))
+                t = (tables[:, p[0], :, None] + tables[:, p[1], None, :]).reshape(len(step), -1) if len(p) == 2 else tables[:, p[0]]
+                score += t[:, c[rows]]
+            for k, i in enumerate(step):
+                if len(visits[i]) < len(every):
+                    score[k, ~np.isin(cell[rows], visits[i])] = -np.inf
+            n = min(keep + 1, len(rows))  # one more, for the query's own entry
+            if n < len(rows):
+                best = np.argpartition(-score, n, axis=1)[:, : n + 1]
+                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, axis=1), axis=1, kind="stable"), axis=1)
             else:
-                out.append((np.full(n, ids[k]), entry, score, np.zeros(n, bool)))
+                best = np.broadcast_to(np.arange(n), score.shape)
+            value = np.take_along_axis(score, best, axis=1)
+            null = np.zeros(best.shape, bool)
+            null[:, n:] = True  # the best that is cut
+            ok = np.isfinite(value)
+            who = np.broadcast_to(ids[step][:, None], best.shape)
+            out.append((who[ok], entry[rows[best]][ok], value[ok], null[ok]))
+        if not out:
+            return pa.Table.from_pylist([], SCANNED)
         query, found, approx, null = (np.concatenate([o[i] for o in out]) for i in range(4))
-        same = [np.full(len(query), x.as_py(), t) for x, t in zip(key, (np.int32, np.int32, np.int32))]
+        same = [np.full(len(query), x.as_py(), np.int32) for x in key]
         reach = [np.full(len(query), block[c].to_numpy().max()) for c in ("along", "across")]
-        return pa.Table.from_arrays([pa.array(query), pa.array(found, mask=null), pa.array(approx.astype(np.float32)), *map(pa.array, same), *map(pa.array, reach)], schema=SCANNED)
+        return pa.Table.from_arrays([pa.array(query), pa.array(found, mask=null), pa.array(approx), *map(pa.array, same), *map(pa.array, reach)], schema=SCANNED)
 
     return run
 
 
-SCANNED = pa.schema([("query", pa.int64()), ("entry", pa.int64()), ("approx", pa.float32()), ("cell", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("along", pa.float64()), ("across", pa.float64())])
+SCANNED = pa.schema([("query", pa.int64()), ("entry", pa.int64()), ("approx", pa.float32()), ("bundle", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("along", pa.float64()), ("across", pa.float64())])
 
 
 def _scan_exactly(keep: int):
@@ -267,7 +292,7 @@ def search(
     """The ``k`` nearest other rows of each row for which the condition ``is_query`` on ``vec_id`` holds: ``query_id``,
     ``rank`` from 1, ``vec_id`` and ``score`` (cosine), nearest first, ties to the smaller id."""
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vec_col).dropDuplicates(["vec_id"])
+    rows = usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     sizes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     dim = sizes[0]["dim"] if sizes else 1
     rows = saved(rows.where(F.size("vec") == dim).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64("vec", F.lit("2"))), "vectors")
@@ -291,19 +316,22 @@ def search(
     probes = probes_needed(x, centres, k)
 
     index = saved(entries.select("entry", "vec").mapInArrow(_indexed(centres, books), "entry long, cell int, codes binary, along double, across double"), "index")
-    per_cell = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = index.join(per_cell, "cell").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
+    index = index.withColumn("bundle", F.floor(F.col("cell") / BUNDLE).cast("int"))
+    sizes = index.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     vec_of = entries.select("entry", "vec")
-    searched = asked.select("entry").distinct().join(vec_of, "entry").mapInArrow(_probed(centres, probes), "entry long, vec array<double>, cell int")
-    groups = max(1, -(-asked.count() // QUERY_GROUP))
-    searched = searched.join(per_cell, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    searched = searched.withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(groups)).cast("int"))
-    dealt = blocks.select("cell", "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "entry", "codes", "along", "across")
-    key = ["cell", "block", "part"]
+    probed = saved(asked.select("entry").distinct().join(vec_of, "entry").mapInArrow(_probed(centres, probes), "entry long, vec array<double>, bundle int, cells array<int>"), "probed")
+    visits = probed.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / QUERY_GROUP).cast("int").alias("parts"))
+    dealing = sizes.join(visits, "bundle")  # a row per bundle
+    block = F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int").alias("block")
+    blocks = index.join(dealing, "bundle").select("bundle", block, "parts", "entry", "cell", "codes", "along", "across")
+    dealt = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    searched = probed.join(dealing, "bundle").select(
+        "bundle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int").alias("part"), "entry", "vec", "cells"
+    )
+    key = ["bundle", "block", "part"]
     found = saved(
-        searched.select(*key, "entry", "vec").groupBy(*key)
-        .cogroup(dealt.groupBy(*key))
-        .applyInArrow(_scan(books, KEEP), "query long, entry long, approx float, cell int, block int, part int, along double, across double"),
+        searched.groupBy(*key).cogroup(dealt.select(*key, "entry", "cell", "codes", "along", "across").groupBy(*key))
+        .applyInArrow(_scan(books, KEEP), "query long, entry long, approx float, bundle int, block int, part int, along double, across double"),
         "found",
     )
     best = Window.partitionBy("query").orderBy(F.desc("approx"), "entry")
@@ -331,7 +359,7 @@ def search(
     reach = level * F.col("along") + off * F.col("across") * F.sqrt(F.greatest(F.lit(0.0), 1 - level * level)) + 1e-5
     again = cut.join(kth, "query", "left").where(F.col("kth").isNull() | (F.col("approx") + reach >= F.col("kth")))
     again = saved(again.select(F.col("query").alias("entry"), *key), "again")
-    held = blocks.select("cell", "block", "entry").join(again.select(*key).distinct(), ["cell", "block"]).join(vec_of, "entry")
+    held = blocks.select("bundle", "block", "entry").join(again.select(*key).distinct(), ["bundle", "block"]).join(vec_of, "entry")
     # both sides come from the same tables, so one has other names
     held = held.select(*[F.col(c).alias(f"held_{c}") for c in (*key, "entry", "vec")])
     more = again.join(vec_of, "entry").groupBy(*key).cogroup(held.groupBy(*[f"held_{c}" for c in key])).applyInArrow(_scan_exactly(k + 1), "query long, entry long")

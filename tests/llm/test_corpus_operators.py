@@ -119,8 +119,23 @@ def nearest(rows, k=5):
     return out
 
 
-def test_nearest_neighbours_have_recall_and_exact_scores(spark):
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+def clustered(n, dim=64, groups=40, noise=0.6, seed=7):
+    """Vectors around group centres, a third of them in one group."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 1, (groups, dim))
+    of = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, groups, n))
+    return centres[of] + rng.normal(0, noise, (n, dim))
+
+
+@pytest.mark.parametrize("name", ["sf0.1", "small", "several cells"])
+def test_nearest_neighbours_have_recall_and_exact_scores(spark, monkeypatch, name):
+    if name == "sf0.1":
+        rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    else:
+        rows = list(enumerate(clustered(3000 if name == "small" else 12000).tolist()))
+        monkeypatch.setattr(ann, "CELL", 600)  # many cells, bundles and blocks at this size
+        monkeypatch.setattr(ann, "BLOCK", 1500)
+        monkeypatch.setattr(ann, "QUERY_GROUP", 50)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
     want = nearest(rows)
     got = defaultdict(list)
@@ -163,6 +178,8 @@ def test_nearest_neighbours_edges(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(few, lambda i: i % 50 == 0).collect()] == [(0, 1)]
     assert ann.search(few.limit(0), lambda i: i % 50 == 0).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 0.5])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in ann.search(twice, lambda i: i % 50 == 0).orderBy("rank").collect()] == [2, 1]
 
 
 def test_anisotropic_codes_shrink_the_parallel_residual():
