@@ -1,32 +1,39 @@
-"""WARC fixity audit with Merkle trees.
-
-Pages are written as WARC records and dealt to archive files, in which they have ordered offset ranges. A tree over
-each file hashes every record, then groups of ``FANOUT`` consecutive records, then groups of those, up to one root; a
-node carries the offset range it covers. Replicas are compared root by root, and only the children of mismatching
-nodes are read further, level by level, down to the records that differ.
-
-The place of a record in its file is its key's rank, so that a record missing from one replica doesn't shift the
-others: groups are ranges of a hash of the key. Null and empty pages are records with an empty block; a null url is
-written as ``urn:none``. Rows of equal key are one leaf, hashed in the order of their digests (so repeated rows are
-fine and losing one of them is found). An empty table has no nodes. Other columns are not read.
+"""WARC fixity audit with Merkle trees over stored archives.
+
+Pages are written as WARC records into archive files, in which they have ordered offset ranges; an index holds the range of
+each. An audit reads the stored bytes of every range and hashes them, then builds a tree over each file: groups of
+records, groups of ``FANOUT`` groups, and so on up to one root. A node hashes its children's numbers, the lengths of
+their ranges and their digests in order (lengths fix the offsets, and a lost record doesn't shift those after it).
+Replicas are compared root by root, and only the children of mismatching nodes are read further, level by level, down to
+the records that differ.
+
+The place of a record in its file is its key's rank, so that a record missing from one replica doesn't move the others:
+groups are ranges of a hash of the key. Null and empty pages are records with an empty block; a null url is written as
+``urn:none``. Equal rows are stored once and counted. Rows of equal key are one leaf, whose records stand together,
+ordered by digest (so losing one of them is found); all rows of one key stand in one file. An empty table has no files.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import forget, saved, shared_dir
 
 #: Children of a node, levels of groups over the records, and records in a file on average.
-FANOUT, LEVELS, FILE_RECORDS = 16, 3, 4096
+FANOUT, LEVELS, FILE_RECORDS = 16, 3, 1024
 #: The date that all records carry (a fixed value, so that writing twice gives equal bytes).
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = FANOUT**LEVELS
+#: What a record ends with.
+END = "\r\n\r\n"
 
 
 def record(key: Column, url: Column, block: Column) -> Column:
-    """The bytes of a WARC/1.0 resource record, as text."""
+    """A WARC/1.0 resource record, as text whose UTF-8 form are its bytes."""
     body = F.coalesce(block.cast("string"), F.lit(""))
     target = F.coalesce(F.regexp_replace(url.cast("string"), r"\s", "%20"), F.lit("urn:none"))
     digest = F.sha2(F.coalesce(key.cast("string"), F.lit("")), 256)
@@ -35,12 +42,12 @@ def record(key: Column, url: Column, block: Column) -> Column:
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), target,
         F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Record-ID: <urn:uuid:"), uid,
         F.lit(">\r\nContent-Type: text/html\r\nWARC-Payload-Digest: sha256:"), F.sha2(body, 256),
-        F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
+        F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit(END),
     )
 
 
 def records(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", block_col: str = "html") -> DataFrame:
-    """Per page: ``key`` and the ``record`` bytes."""
+    """Per page: ``key`` and ``record``."""
     return pages.select(F.col(key_col).cast("string").alias("key"), record(F.col(key_col), F.col(url_col), F.col(block_col)).alias("record"))
 
 
@@ -49,37 +56,63 @@ def n_files(records: DataFrame) -> int:
     return max(1, -(-records.count() // FILE_RECORDS))
 
 
-def leaves(records: DataFrame, files: int) -> DataFrame:
-    """One row per key: ``file``, ``slot`` (place of its lowest group), ``digest``, ``length`` and ``rows``."""
-    place = F.xxhash64(F.col("key"), F.lit("warc"))
-    rows = records.select("key", F.sha2("record", 256).alias("d"), F.octet_length("record").cast("long").alias("n"), place.alias("h"))
-    # equal rows are counted before the digests of a key are gathered, which bounds them by its different texts
-    counted = rows.groupBy("key", "h", "d").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("n"))
-    return counted.groupBy("key", "h").agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("d", "times"))), lambda x: F.concat_ws(":", x["d"], x["times"].cast("string"))), ","), 256).alias("digest"),
-        F.sum("n").alias("length"),
-        F.sum("times").alias("rows"),
-    ).select("key", F.pmod("h", F.lit(files)).cast("int").alias("file"), F.pmod(F.shiftright("h", 20), F.lit(_SPACE)).cast("int").alias("slot"), "h", "digest", "length", "rows")
-
-
-def offsets(leaf: DataFrame) -> DataFrame:
-    """Adds ``offset``, the first byte of each key's records in its file, ordered by slot and key."""
-    order = Window.partitionBy("file").orderBy("slot", "h", F.col("key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return leaf.withColumn("offset", F.sum("length").over(order) - F.col("length"))
+def store(records: DataFrame, files: int) -> tuple[str, DataFrame]:
+    """Writes archives, one file per folder ``file=N``, and returns their folder and the index: a row per stored record
+    with ``file``, ``slot`` (place of its lowest group), ``h``, ``key``, ``nth`` of its key, ``offset``, ``length`` and
+    ``times`` (equal rows). A record that doesn't end as records do gets that end."""
+    whole = F.when(F.col("record").endswith(END), F.expr(f"left(record, length(record) - {len(END)})")).otherwise(F.col("record"))
+    place = F.xxhash64("key", F.lit("warc"))
+    rows = records.select("key", place.alias("h"), whole.alias("body")).withColumn("d", F.sha2("body", 256))
+    once = rows.groupBy("key", "h", "d").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("times"))
+    dealt = once.select(F.pmod("h", F.lit(files)).cast("int").alias("file"), F.pmod(F.shiftright("h", 20), F.lit(_SPACE)).cast("int").alias("slot"), "h", "key", "d", "body", "times")
+    dealt = saved(dealt, "dealt")
+    order = ["slot", "h", F.col("key").asc_nulls_first(), "d"]
+    folder = f"{shared_dir(records.sparkSession)}/archives-{uuid.uuid4().hex}"
+    by_file = dealt.select("file", "slot", "h", "key", "d", "body").repartition("file").sortWithinPartitions("file", *order)
+    by_file.select("body", "file").write.partitionBy("file").option("lineSep", END).text(folder)
+    before = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    length = F.octet_length("body").cast("long") + len(END)
+    index = dealt.select("file", "slot", "h", "key", "d", "times", length.alias("length")).withColumn("offset", F.sum("length").over(before) - F.col("length"))
+    nth = F.row_number().over(Window.partitionBy("file", "slot", "h", "key").orderBy("d"))
+    index = saved(index.withColumn("nth", nth).drop("d"), "index")
+    forget(dealt)
+    return folder, index
+
+
+def read_ranges(folder: str, index: DataFrame) -> DataFrame:
+    """The index with ``bytes``, read from the stored archives; short where an archive ends before a range does."""
+    spark = index.sparkSession
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt*").load(folder)
+    files = files.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file"), "content")
+    ranges = index.groupBy("file").agg(F.collect_list(F.struct(*[c for c in index.columns if c != "file"])).alias("ranges"))  # the records of one file
+    cut = F.transform("ranges", lambda r: F.struct(r.alias("r"), F.substr("content", (r["offset"] + 1).cast("int"), r["length"].cast("int")).alias("bytes")))
+    return ranges.join(files, "file").select("file", F.explode_outer(cut).alias("x")).select("file", "x.r.*", "x.bytes")
+
+
+def leaves(folder: str, index: DataFrame) -> DataFrame:
+    """One row per key: ``file``, ``slot``, ``offset``, ``length``, ``rows``, and the ``digest`` of its stored bytes."""
+    hashed = read_ranges(folder, index).withColumn("d", F.sha2("bytes", 256)).drop("bytes")
+    part = lambda x: F.concat_ws(":", x["d"], x["times"].cast("string"))
+    return hashed.groupBy("file", "slot", "h", "key").agg(
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("d", "times"))), part), ","), 256).alias("digest"),
+        F.min("offset").alias("offset"), F.sum("length").alias("length"), F.sum("times").alias("rows"),
+    )
 
 
 def tree(placed: DataFrame) -> list[DataFrame]:
     """The levels of the trees, leaves first and roots last. A node has ``file``, ``node``, ``digest``, ``lo``, ``hi``."""
-    ordered = lambda *by: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*by, "digest"))), lambda x: x["digest"]), "")
-    groups = placed.groupBy("file", F.col("slot").alias("node")).agg(
-        F.sha2(ordered("h", "key"), 256).alias("digest"), F.min("offset").alias("lo"), F.max(F.col("offset") + F.col("length")).alias("hi")
-    )
+    def ordered(*by: str) -> Column:
+        children = F.sort_array(F.collect_list(F.struct(*by, (F.col("hi") - F.col("lo")).alias("length"), "digest")))
+        return F.array_join(F.transform(children, lambda x: F.concat_ws(":", x[by[0]].cast("string"), x["length"].cast("string"), x["digest"])), ",")
+
+    ranged = placed.withColumns({"lo": F.col("offset"), "hi": F.col("offset") + F.col("length")})
+    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    groups = ranged.groupBy("file", F.col("slot").alias("node")).agg(F.sha2(ordered("h", "key"), 256).alias("digest"), *ends)
     levels = [placed, saved(groups, "groups")]
     for _ in range(LEVELS):
         below = levels[-1].withColumnRenamed("node", "child")
-        up = below.groupBy("file", F.floor(F.col("child") / FANOUT).cast("int").alias("node")).agg(
-            F.sha2(ordered("child"), 256).alias("digest"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-        )
+        up = below.groupBy("file", F.floor(F.col("child") / FANOUT).cast("int").alias("node")).agg(F.sha2(ordered("child"), 256).alias("digest"), *ends)
         levels.append(saved(up, "level"))
     return levels
 
@@ -114,9 +147,13 @@ def audit(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
 
 
 def replica(records: DataFrame) -> DataFrame:
-    """A second copy with damage that depends on the key only: a byte changed, the end lost, the record gone."""
+    """A second copy with damage that depends on the key only: a byte of the payload changed (of the header where the payload
+    is empty), the end lost, the record gone."""
     damage = F.conv(F.substring(F.sha2(F.coalesce("key", F.lit("")), 256), 1, 4), 16, 10).cast("int")
-    flipped = F.concat(F.expr("substring(record, 1, length(record) - 3)"), F.lit("\x00\r\n"))
+    head = F.instr("record", "\r\n\r\n") + 3
+    spot = F.when(F.length("record") > head + len(END), head + F.pmod(damage, F.length("record") - head - len(END)) + 1).otherwise(F.lit(6))
+    other = lambda c: F.when(c == "x", "y").otherwise("x")
+    flipped = F.concat(F.substr("record", F.lit(1), spot - 1), other(F.substr("record", spot, F.lit(1))), F.substr("record", spot + 1, F.length("record")))
     cut = F.expr("substring(record, 1, length(record) div 2)")
     state = F.when(damage % 127 == 1, "changed").when(damage % 127 == 2, "cut").when(damage % 127 == 3, "gone").otherwise("whole")
     return records.withColumn("damage", state).where("damage != 'gone'").select(
@@ -124,12 +161,16 @@ def replica(records: DataFrame) -> DataFrame:
     )
 
 
+def built(records: DataFrame, files: int) -> list[DataFrame]:
+    """The tree over the archives that ``records`` are stored in, read back from there."""
+    return tree(saved(leaves(*store(records, files)), "leaves"))
+
+
 def fixity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Audit of two tables of records: every key of either with ``file``, ``state`` (``ok`` where nothing differs),
-    its offset range and the digest of its records in the first replica."""
+    """Audit of two tables of records, each stored as archives: every key of either with ``file``, ``state`` (``ok`` where
+    nothing differs), its offset range and the digest of its stored bytes in the first replica."""
     files = n_files(left)
-    a = tree(saved(offsets(leaves(left, files)), "leaves"))
-    b = tree(saved(offsets(leaves(right, files)), "leaves"))
+    a, b = built(left, files), built(right, files)
     found = audit(a, b)
     extra = found.where("state = 'extra'").select("key", "file", "state", *[F.lit(None).cast(t).alias(c) for c, t in (("offset", "long"), ("length", "long"), ("digest", "string"))])
     marks = found.select(F.col("key").alias("f_key"), "state")

@@ -208,10 +208,31 @@ def test_fixity_finds_what_a_full_comparison_finds(spark):
         at += r["length"]
 
 
+def test_archives_hold_the_records_at_their_ranges(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(60)
+    a = warc.records(pages.unionByName(pages.limit(3)))
+    folder, index = warc.store(a, 5)
+    texts = {r["key"]: r["record"].encode() for r in a.collect()}
+    seen = warc.read_ranges(folder, index).collect()
+    assert len(seen) == len(texts) == pages.count() and sum(r["times"] for r in seen) == pages.count() + 3
+    held = {r["file"]: r["content"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder).selectExpr("cast(regexp_extract(path, 'file=([0-9]+)', 1) as int) as file", "content").collect()}
+    for r in seen:
+        assert bytes(r["bytes"]) == texts[r["key"]] == bytes(held[r["file"]])[r["offset"] : r["offset"] + r["length"]]
+        assert texts[r["key"]].startswith(b"WARC/1.0\r\n") and texts[r["key"]].endswith(b"\r\n\r\n")
+    assert sum(map(len, held.values())) == sum(map(len, texts.values()))  # nothing but records
+    damaged = {r["key"]: r["record"] for r in warc.replica(a).collect()}
+    head = lambda t: t.index("\r\n\r\n") + 4
+    for k, v in damaged.items():
+        whole = texts[k].decode()
+        if v != whole and len(v) == len(whole):
+            spot = next(i for i, (x, y) in enumerate(zip(v, whole)) if x != y)
+            assert v[spot + 1 :] == whole[spot + 1 :] and (head(whole) <= spot < len(whole) - 4 or len(whole) == head(whole) + 4)
+
+
 def test_fixity_descends_only_where_roots_differ(spark):
     a = spark.range(3000).select(F.col("id").cast("string").alias("key"), F.col("id").cast("string").alias("record"))
     b = a.withColumn("record", F.when(F.col("key") == "77", "x").otherwise(F.col("record")))
-    ta, tb = (warc.tree(warc.offsets(warc.leaves(x, 4))) for x in (a, b))
+    ta, tb = (warc.built(x, 4) for x in (a, b))
     assert [r["key"] for r in warc.audit(ta, tb).collect()] == ["77"]
     assert warc._differing(ta[-1], tb[-1], ["file", "node"]).count() == 1
     assert warc.audit(ta, ta).count() == 0
