@@ -1,7 +1,7 @@
 """WARC fixity audit with Merkle trees over stored archives.
 
-Pages are written as WARC records into archive files, in which they have ordered offset ranges; an index holds the range of
-each. An audit reads the stored bytes of every range and hashes them, then builds a tree over each file: groups of
+Pages are written as WARC records into compressed archive files, in whose contents they have ordered offset ranges; an index
+holds the range of each. An audit reads the stored bytes of every range and hashes them, then builds a tree over each file: groups of
 records, groups of ``FANOUT`` groups, and so on up to one root. A node hashes its children's numbers, the lengths of
 their ranges and their digests in order (lengths fix the offsets, and a lost record doesn't shift those after it).
 Replicas are compared root by root, and only the children of mismatching nodes are read further, level by level, down to
@@ -16,18 +16,24 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import forget, saved, shared_dir
+from .shared import saved, shared_dir
 
 #: Children of a node, levels of groups over the records, and records in a file on average.
 FANOUT, LEVELS, FILE_RECORDS = 16, 3, 1024
 #: The date that all records carry (a fixed value, so that writing twice gives equal bytes).
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = FANOUT**LEVELS
+#: Keys and digests of rows that a task remembers before a shuffle.
+SEEN = 100_000
 #: What a record ends with.
 END = "\r\n\r\n"
 
@@ -56,43 +62,95 @@ def n_files(records: DataFrame) -> int:
     return max(1, -(-records.count() // FILE_RECORDS))
 
 
-def store(records: DataFrame, files: int) -> tuple[str, DataFrame]:
-    """Writes archives, one file per folder ``file=N``, and returns their folder and the index: a row per stored record
-    with ``file``, ``slot`` (place of its lowest group), ``h``, ``key``, ``nth`` of its key, ``offset``, ``length`` and
-    ``times`` (equal rows). A record that doesn't end as records do gets that end."""
+def _first_seen(batches):
+    """Leaves out rows whose key and digest this task has seen of late, so that a row that occurs very often isn't shuffled
+    as often; what is left of repeats goes after the shuffle."""
+    seen: set = set()
+    for batch in batches:
+        fresh = []
+        for row in zip(batch.column("key").to_pylist(), batch.column("d").to_pylist()):
+            fresh.append(row not in seen)
+            seen.add(row)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+        if len(seen) > SEEN:
+            seen.clear()
+
+
+def _placed(records: DataFrame, files: int) -> DataFrame:
+    """``file``, ``slot`` (place of its lowest group), ``h``, ``key``, ``d`` (digest) and ``body`` (all but the end) of rows."""
     whole = F.when(F.col("record").endswith(END), F.expr(f"left(record, length(record) - {len(END)})")).otherwise(F.col("record"))
-    place = F.xxhash64("key", F.lit("warc"))
-    rows = records.select("key", place.alias("h"), whole.alias("body")).withColumn("d", F.sha2("body", 256))
-    once = rows.groupBy("key", "h", "d").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("times"))
-    dealt = once.select(F.pmod("h", F.lit(files)).cast("int").alias("file"), F.pmod(F.shiftright("h", 20), F.lit(_SPACE)).cast("int").alias("slot"), "h", "key", "d", "body", "times")
-    dealt = saved(dealt, "dealt")
-    order = ["slot", "h", F.col("key").asc_nulls_first(), "d"]
-    folder = f"{shared_dir(records.sparkSession)}/archives-{uuid.uuid4().hex}"
-    by_file = dealt.select("file", "slot", "h", "key", "d", "body").repartition("file").sortWithinPartitions("file", *order)
-    by_file.select("body", "file").write.partitionBy("file").option("lineSep", END).text(folder)
-    before = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    length = F.octet_length("body").cast("long") + len(END)
-    index = dealt.select("file", "slot", "h", "key", "d", "times", length.alias("length")).withColumn("offset", F.sum("length").over(before) - F.col("length"))
-    nth = F.row_number().over(Window.partitionBy("file", "slot", "h", "key").orderBy("d"))
-    index = saved(index.withColumn("nth", nth).drop("d"), "index")
-    forget(dealt)
-    return folder, index
-
-
-def read_ranges(folder: str, index: DataFrame) -> DataFrame:
-    """The index with ``bytes``, read from the stored archives; short where an archive ends before a range does."""
+    times = F.col("times") if "times" in records.columns else F.lit(1).cast("long")
+    rows = records.select("key", F.xxhash64("key", F.lit("warc")).alias("h"), whole.alias("body"), times.alias("times"))
+    file, slot = F.pmod("h", F.lit(files)).cast("int").alias("file"), F.pmod(F.shiftright("h", 20), F.lit(_SPACE)).cast("int").alias("slot")
+    return rows.select(file, slot, "h", "key", F.sha2("body", 256).alias("d"), "body", "times")
+
+
+def _write(rows: DataFrame) -> str:
+    """Writes sorted rows, one archive per folder ``file=N``, and returns the folder of all."""
+    folder = f"{shared_dir(rows.sparkSession)}/archives-{uuid.uuid4().hex}"
+    rows.select("body", "file").write.partitionBy("file").option("lineSep", END).option("compression", "gzip").text(folder)
+    return folder
+
+
+def _index(rows: DataFrame) -> DataFrame:
+    """A row per stored record of placed rows: ``file``, ``slot``, ``h``, ``key``, ``offset``, ``length`` and ``times`` (equal
+    rows)."""
+    length = (F.octet_length("body") + len(END)).cast("long")
+    once = rows.select("file", "slot", "h", "key", "d", length.alias("length"), "times").groupBy("file", "slot", "h", "key", "d", "length").agg(F.sum("times").alias("times"))
+    before = Window.partitionBy("file").orderBy("slot", "h", F.col("key").asc_nulls_first(), "d").rowsBetween(Window.unboundedPreceding, 0)
+    return saved(once.withColumn("offset", F.sum("length").over(before) - F.col("length")).drop("d"), "index")
+
+
+def store(records: DataFrame, files: int) -> tuple[str, DataFrame]:
+    """Writes archives and returns their folder and the index. A record that doesn't end as records do gets that end."""
+    rows = _placed(records, files)
+    index = _index(rows)
+    wide = rows.drop("times").mapInArrow(_first_seen, rows.drop("times").schema).repartition("file").dropDuplicates(["file", "slot", "h", "key", "d"])
+    return _write(wide.sortWithinPartitions("file", "slot", "h", F.col("key").asc_nulls_first(), "d")), index
+
+
+def copied(folder: str, index: DataFrame, files: int, change) -> tuple[str, DataFrame]:
+    """A copy of stored archives whose records (``key``, ``record``) go through ``change``, which keeps keys and may drop rows.
+    Every archive is copied where it is read."""
+    held = read_ranges(folder, index, True)
+    rows = _placed(change(held.select("key", "record", "times")), files)
+    return _write(rows.sortWithinPartitions("file", "slot", "h", F.col("key").asc_nulls_first(), "d")), _index(rows)
+
+
+def _cut(with_text: bool):
+    def run(batches):
+        for batch in batches:
+            for file, content, ranges in zip(*[batch.column(c) for c in ("file", "content", "ranges")]):
+                data = memoryview(gzip.decompress(content.as_py()))
+                rows = pa.Table.from_struct_array(ranges.values).combine_chunks()
+                first, size = rows["offset"].to_numpy(), rows["length"].to_numpy()
+                parts = [data[a : a + n] for a, n in zip(first, size)]
+                columns = [pa.array(np.full(len(parts), file.as_py(), np.int32)), *[rows[c].combine_chunks() for c in INDEXED], pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())]
+                if with_text:
+                    columns.append(pa.array([str(x, "utf-8", "replace") for x in parts], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["file", *INDEXED, "d", *["record"] * with_text])
+
+    return run
+
+
+INDEXED = ["slot", "h", "key", "offset", "length", "times"]
+
+
+def read_ranges(folder: str, index: DataFrame, with_text: bool = False) -> DataFrame:
+    """The index with ``d``, the digest of the stored bytes of each range (fewer where an archive ends before a range does),
+    and the bytes as text, ``record``, if wanted."""
     spark = index.sparkSession
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt*").load(folder)
+    files = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").load(folder)
     files = files.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file"), "content")
-    ranges = index.groupBy("file").agg(F.collect_list(F.struct(*[c for c in index.columns if c != "file"])).alias("ranges"))  # the records of one file
-    cut = F.transform("ranges", lambda r: F.struct(r.alias("r"), F.substr("content", (r["offset"] + 1).cast("int"), r["length"].cast("int")).alias("bytes")))
-    return ranges.join(files, "file").select("file", F.explode_outer(cut).alias("x")).select("file", "x.r.*", "x.bytes")
+    ranges = index.groupBy("file").agg(F.collect_list(F.struct(*INDEXED)).alias("ranges"))  # the records of one file
+    out = "file int, slot int, h long, key string, offset long, length long, times long, d string" + ", record string" * with_text
+    return ranges.join(files, "file").select("file", "content", "ranges").mapInArrow(_cut(with_text), out)
 
 
 def leaves(folder: str, index: DataFrame) -> DataFrame:
     """One row per key: ``file``, ``slot``, ``offset``, ``length``, ``rows``, and the ``digest`` of its stored bytes."""
-    hashed = read_ranges(folder, index).withColumn("d", F.sha2("bytes", 256)).drop("bytes")
+    hashed = read_ranges(folder, index)
     part = lambda x: F.concat_ws(":", x["d"], x["times"].cast("string"))
     return hashed.groupBy("file", "slot", "h", "key").agg(
         F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("d", "times"))), part), ","), 256).alias("digest"),
@@ -157,20 +215,19 @@ def replica(records: DataFrame) -> DataFrame:
     cut = F.expr("substring(record, 1, length(record) div 2)")
     state = F.when(damage % 127 == 1, "changed").when(damage % 127 == 2, "cut").when(damage % 127 == 3, "gone").otherwise("whole")
     return records.withColumn("damage", state).where("damage != 'gone'").select(
-        "key", F.when(F.col("damage") == "changed", flipped).when(F.col("damage") == "cut", cut).otherwise(F.col("record")).alias("record")
+        *[c for c in records.columns if c != "record"], F.when(F.col("damage") == "changed", flipped).when(F.col("damage") == "cut", cut).otherwise(F.col("record")).alias("record")
     )
 
 
-def built(records: DataFrame, files: int) -> list[DataFrame]:
-    """The tree over the archives that ``records`` are stored in, read back from there."""
-    return tree(saved(leaves(*store(records, files)), "leaves"))
+def built(folder: str, index: DataFrame) -> list[DataFrame]:
+    """The tree over stored archives, whose bytes are read."""
+    return tree(saved(leaves(folder, index), "leaves"))
 
 
-def fixity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Audit of two tables of records, each stored as archives: every key of either with ``file``, ``state`` (``ok`` where
-    nothing differs), its offset range and the digest of its stored bytes in the first replica."""
-    files = n_files(left)
-    a, b = built(left, files), built(right, files)
+def fixity(left: tuple[str, DataFrame], right: tuple[str, DataFrame]) -> DataFrame:
+    """Audit of two stored replicas (folder and index each): every key of either with ``file``, ``state`` (``ok`` where nothing
+    differs), its offset range and the digest of its stored bytes in the first replica."""
+    a, b = built(*left), built(*right)
     found = audit(a, b)
     extra = found.where("state = 'extra'").select("key", "file", "state", *[F.lit(None).cast(t).alias(c) for c, t in (("offset", "long"), ("length", "long"), ("digest", "string"))])
     marks = found.select(F.col("key").alias("f_key"), "state")

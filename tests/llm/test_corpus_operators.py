@@ -1,5 +1,7 @@
 """Operators across documents against brute-force versions."""
 
+import gzip
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -200,24 +202,30 @@ def test_fixity_finds_what_a_full_comparison_finds(spark):
     b = warc.replica(a).where("key not in ('3', '77')").unionByName(spark.createDataFrame([("new", "WARC/1.0")], "key string, record string"))
     left, right = ({r["key"]: r["record"] for r in x.collect()} for x in (a, b))
     want = {k: "missing" if k not in right else "ok" if right[k] == v else "changed" for k, v in left.items()} | {"new": "extra"}
-    rows = warc.fixity(a, b).collect()
+    rows = warc.fixity(warc.store(a, 3), warc.store(b, 3)).collect()
     assert {r["key"]: r["state"] for r in rows} == want and len(set(want.values())) == 4
-    at = 0
-    for r in sorted((r for r in rows if r["state"] != "extra"), key=lambda r: r["offset"]):  # one file here
-        assert r["offset"] == at and r["length"] == len(left[r["key"]].encode())
-        at += r["length"]
+    at = defaultdict(int)
+    for r in sorted((r for r in rows if r["state"] != "extra"), key=lambda r: (r["file"], r["offset"])):
+        assert r["offset"] == at[r["file"]] and r["length"] == len(left[r["key"]].encode())
+        at[r["file"]] += r["length"]
+    copy = warc.copied(*warc.store(a, 3), 3, lambda x: warc.replica(x).where("key not in ('3', '77')"))
+    del want["new"]
+    assert {r["key"]: r["state"] for r in warc.fixity(warc.store(a, 3), copy).collect()} == want
 
 
 def test_archives_hold_the_records_at_their_ranges(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(60)
-    a = warc.records(pages.unionByName(pages.limit(3)))
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    n = pages.count()
+    a = warc.records(pages.unionByName(pages.where("page_id < 3")))
     folder, index = warc.store(a, 5)
     texts = {r["key"]: r["record"].encode() for r in a.collect()}
-    seen = warc.read_ranges(folder, index).collect()
-    assert len(seen) == len(texts) == pages.count() and sum(r["times"] for r in seen) == pages.count() + 3
-    held = {r["file"]: r["content"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder).selectExpr("cast(regexp_extract(path, 'file=([0-9]+)', 1) as int) as file", "content").collect()}
+    seen = warc.read_ranges(folder, index, True).collect()
+    assert len(seen) == len(texts) == n and sum(r["times"] for r in seen) == n + 3
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").load(folder)
+    held = {r["file"]: gzip.decompress(r["content"]) for r in content.selectExpr("cast(regexp_extract(path, 'file=([0-9]+)', 1) as int) as file", "content").collect()}
     for r in seen:
-        assert bytes(r["bytes"]) == texts[r["key"]] == bytes(held[r["file"]])[r["offset"] : r["offset"] + r["length"]]
+        assert r["record"].encode() == texts[r["key"]] == held[r["file"]][r["offset"] : r["offset"] + r["length"]]
+        assert r["d"] == hashlib.sha256(texts[r["key"]]).hexdigest()
         assert texts[r["key"]].startswith(b"WARC/1.0\r\n") and texts[r["key"]].endswith(b"\r\n\r\n")
     assert sum(map(len, held.values())) == sum(map(len, texts.values()))  # nothing but records
     damaged = {r["key"]: r["record"] for r in warc.replica(a).collect()}
@@ -232,19 +240,21 @@ def test_archives_hold_the_records_at_their_ranges(spark):
 def test_fixity_descends_only_where_roots_differ(spark):
     a = spark.range(3000).select(F.col("id").cast("string").alias("key"), F.col("id").cast("string").alias("record"))
     b = a.withColumn("record", F.when(F.col("key") == "77", "x").otherwise(F.col("record")))
-    ta, tb = (warc.built(x, 4) for x in (a, b))
+    ta, tb = (warc.built(*warc.store(x, 4)) for x in (a, b))
     assert [r["key"] for r in warc.audit(ta, tb).collect()] == ["77"]
     assert warc._differing(ta[-1], tb[-1], ["file", "node"]).count() == 1
     assert warc.audit(ta, ta).count() == 0
 
 
 def test_fixity_edges(spark):
-    pages = spark.createDataFrame([(1, None, None), (2, "http://a b", ""), (2, "http://a b", ""), (None, "u", "x"), (3, "u", "é" * 5)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, None, None), (2, "http://a b", ""), (2, "http://a b", ""), (None, "u", "x"), (None, "u", "y"), (3, "u", "é" * 5), (4, "u", "a\n\r\n\r\nb" * 9)], "page_id long, url string, html string")
     a = warc.records(pages)
-    assert {r["state"] for r in warc.fixity(a, a).collect()} == {"ok"}
+    one = warc.store(a, 2)
+    assert {r["state"] for r in warc.fixity(one, one).collect()} == {"ok"}
     lost = a.where("key != '2' or key is null").unionByName(a.where("key = '2'").limit(1))
-    assert {r["key"]: r["state"] for r in warc.fixity(a, lost).collect()} == {"1": "ok", "2": "changed", None: "ok", "3": "ok"}
-    assert warc.fixity(a.limit(0), a.limit(0)).count() == 0
+    assert {r["key"]: r["state"] for r in warc.fixity(one, warc.store(lost, 2)).collect()} == {"1": "ok", "2": "changed", None: "ok", "3": "ok", "4": "ok"}
+    none = warc.store(a.limit(0), 1)
+    assert warc.fixity(none, none).count() == 0 and warc.n_files(a.limit(0)) == 1
 
 
 def water(sizes, weights=(5, 2, 1), times=3.0):
