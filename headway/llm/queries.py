@@ -42,7 +42,12 @@ def op4_fixity(spark, sf_dir):
     records = warc.records(spark.read.parquet(table(sf_dir, "pages")))
     files = warc.n_files(records)
     stored = warc.store(records, files)
-    return warc.fixity(stored, warc.copied(*stored, files, warc.replica)).select(F.col("key").cast("long").alias("page_id"), "state", "length", "digest", "file", "offset")
+    copy = warc.copied(*stored, files, warc.replica)
+    trees = []
+    for one in (stored, copy):
+        trees.append(warc.built(*one))
+        warc.discard(*one)
+    return warc.compared(*trees).select(F.col("key").cast("long").alias("page_id"), "state", "length", "digest", "file", "offset")
 
 
 def op5_mixing(spark, sf_dir):

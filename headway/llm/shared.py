@@ -43,11 +43,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete a table made by ``saved`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for where in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(conf).delete(path, True)
+        remove(df.sparkSession, where)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def beside(rows: DataFrame, keep: list[str], column: str, added: str) -> tuple[DataFrame, str]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, shared_dir
+from .shared import forget, remove, saved, shared_dir
 
 #: Children of a node, levels of groups over the records, and records in a file on average.
 FANOUT, LEVELS, FILE_RECORDS = 16, 3, 1024
@@ -82,7 +82,7 @@ def _placed(records: DataFrame, files: int) -> DataFrame:
     times = F.col("times") if "times" in records.columns else F.lit(1).cast("long")
     rows = records.select("key", F.xxhash64("key", F.lit("warc")).alias("h"), whole.alias("body"), times.alias("times"))
     file, slot = F.pmod("h", F.lit(files)).cast("int").alias("file"), F.pmod(F.shiftright("h", 20), F.lit(_SPACE)).cast("int").alias("slot")
-    return rows.select(file, slot, "h", "key", F.sha2("body", 256).alias("d"), "body", "times")
+    return rows.select(file, slot, "h", "key", F.unhex(F.sha2("body", 256)).alias("d"), "body", "times")
 
 
 def _write(rows: DataFrame) -> str:
@@ -112,7 +112,7 @@ def store(records: DataFrame, files: int) -> tuple[str, DataFrame]:
 def copied(folder: str, index: DataFrame, files: int, change) -> tuple[str, DataFrame]:
     """A copy of stored archives whose records (``key``, ``record``) go through ``change``, which keeps keys and may drop rows.
     Every archive is copied where it is read."""
-    held = read_ranges(folder, index, True)
+    held = _read(folder, index, True)
     rows = _placed(change(held.select("key", "record", "times")), files)
     return _write(rows.sortWithinPartitions("file", "slot", "h", F.col("key").asc_nulls_first(), "d")), _index(rows)
 
@@ -125,7 +125,7 @@ def _cut(with_text: bool):
                 rows = pa.Table.from_struct_array(ranges.values).combine_chunks()
                 first, size = rows["offset"].to_numpy(), rows["length"].to_numpy()
                 parts = [data[a : a + n] for a, n in zip(first, size)]
-                columns = [pa.array(np.full(len(parts), file.as_py(), np.int32)), *[rows[c].combine_chunks() for c in INDEXED], pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())]
+                columns = [pa.array(np.full(len(parts), file.as_py(), np.int32)), *[rows[c].combine_chunks() for c in INDEXED], pa.array([hashlib.sha256(x).digest() for x in parts], pa.binary())]
                 if with_text:
                     columns.append(pa.array([str(x, "utf-8", "replace") for x in parts], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["file", *INDEXED, "d", *["record"] * with_text])
@@ -139,19 +139,24 @@ INDEXED = ["slot", "h", "key", "offset", "length", "times"]
 def read_ranges(folder: str, index: DataFrame, with_text: bool = False) -> DataFrame:
     """The index with ``d``, the digest of the stored bytes of each range (fewer where an archive ends before a range does),
     and the bytes as text, ``record``, if wanted."""
+    return _read(folder, index, with_text).withColumn("d", F.lower(F.hex("d")))
+
+
+def _read(folder: str, index: DataFrame, with_text: bool = False) -> DataFrame:
+    """``read_ranges`` with digests as bytes, which take half the room in a shuffle."""
     spark = index.sparkSession
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").load(folder)
     files = files.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file"), "content")
     ranges = index.groupBy("file").agg(F.collect_list(F.struct(*INDEXED)).alias("ranges"))  # the records of one file
-    out = "file int, slot int, h long, key string, offset long, length long, times long, d string" + ", record string" * with_text
+    out = "file int, slot int, h long, key string, offset long, length long, times long, d binary" + ", record string" * with_text
     return ranges.join(files, "file").select("file", "content", "ranges").mapInArrow(_cut(with_text), out)
 
 
 def leaves(folder: str, index: DataFrame) -> DataFrame:
     """One row per key: ``file``, ``slot``, ``offset``, ``length``, ``rows``, and the ``digest`` of its stored bytes."""
-    hashed = read_ranges(folder, index)
-    part = lambda x: F.concat_ws(":", x["d"], x["times"].cast("string"))
+    hashed = _read(folder, index)
+    part = lambda x: F.concat_ws(":", F.lower(F.hex(x["d"])), x["times"].cast("string"))
     return hashed.groupBy("file", "slot", "h", "key").agg(
         F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("d", "times"))), part), ","), 256).alias("digest"),
         F.min("offset").alias("offset"), F.sum("length").alias("length"), F.sum("times").alias("rows"),
@@ -224,10 +229,20 @@ def built(folder: str, index: DataFrame) -> list[DataFrame]:
     return tree(saved(leaves(folder, index), "leaves"))
 
 
+def discard(folder: str, index: DataFrame) -> None:
+    """Deletes stored archives and their index, once nothing reads them."""
+    forget(index)
+    remove(index.sparkSession, folder)
+
+
 def fixity(left: tuple[str, DataFrame], right: tuple[str, DataFrame]) -> DataFrame:
-    """Audit of two stored replicas (folder and index each): every key of either with ``file``, ``state`` (``ok`` where nothing
-    differs), its offset range and the digest of its stored bytes in the first replica."""
-    a, b = built(*left), built(*right)
+    """Audit of two stored replicas (folder and index each), as ``compared`` gives it."""
+    return compared(built(*left), built(*right))
+
+
+def compared(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
+    """Every key of two replicas' trees with ``file``, ``state`` (``ok`` where nothing differs), its offset range and the digest
+    of its stored bytes in the first replica."""
     found = audit(a, b)
     extra = found.where("state = 'extra'").select("key", "file", "state", *[F.lit(None).cast(t).alias(c) for c, t in (("offset", "long"), ("length", "long"), ("digest", "string"))])
     marks = found.select(F.col("key").alias("f_key"), "state")
