@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html_text, langid, matroska, minhash, mixing, secrets, warc
-from .shared import table
+from . import ann, bpe, chat, codes, html_text, langid, manifest, matroska, minhash, mixing, quality, secrets, warc
+from .shared import saved, table
 
 
 def bpe_file() -> str:
@@ -78,10 +78,29 @@ def op10_main_text(spark, sf_dir):
     return html_text.main_text(spark.read.parquet(table(sf_dir, "pages")), ["page_id", "url"])
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_minhash, op2_nearest, op3_chat, op4_fixity, op5_mixing, op6_bpe, op7_matroska, op8_language, op9_secrets, op10_main_text)
-}
+def op11_quality(spark, sf_dir):
+    return quality.rules(spark.read.parquet(table(sf_dir, "documents")), ["doc_id"])
+
+
+def op12_codes(spark, sf_dir):
+    vectors = spark.read.parquet(table(sf_dir, "embeddings"))
+    books = codes.fit(vectors)
+    coded = codes.with_label_error(saved(codes.encode(vectors, books, ["vec_id", "label"]), "coded"))
+    return coded.select("vec_id", "code", "error", "label_error").withColumn("codebooks_sha256", F.lit(codes.fingerprint(books)))
+
+
+def op13_manifest(spark, sf_dir):
+    docs = spark.read.parquet(table(sf_dir, "documents"))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    now = F.when(tampered, manifest.leaf(*fields, manifest.lower_ascii(F.col("text"))))
+    leaves = docs.select(F.col("source").alias("grp"), F.col("doc_id").alias("key"), manifest.leaf(*fields, F.col("text")).alias("digest"), "doc_id", now.alias("now"))
+    rows = manifest.verified(manifest.manifest(leaves, ["doc_id", "now"]), F.coalesce("item.now", "digest"))
+    return rows.select("item.doc_id", F.col("digest").alias("leaf"), "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_ALL = (op1_minhash, op2_nearest, op3_chat, op4_fixity, op5_mixing, op6_bpe, op7_matroska, op8_language, op9_secrets, op10_main_text, op11_quality, op12_codes, op13_manifest)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
 
