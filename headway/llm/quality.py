@@ -60,6 +60,10 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     those are sorted again by their words, so that no two different windows count as equal.
     """
 
+    return _once(words, lambda w: _repeated(w, window))
+
+
+def _repeated(words: Column, window: int) -> Column:
     def at(i: Column) -> list[Column]:
         return [F.get(words, i + k) for k in range(window)]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, codes, html_text, langid, manifest, matroska, minhash, mixing, quality, secrets, warc
+from .oracles import ORACLES  # noqa: F401
 from .shared import saved, table
 
 
@@ -101,19 +102,3 @@ def op13_manifest(spark, sf_dir):
 
 _ALL = (op1_minhash, op2_nearest, op3_chat, op4_fixity, op5_mixing, op6_bpe, op7_matroska, op8_language, op9_secrets, op10_main_text, op11_quality, op12_codes, op13_manifest)
 QUERIES = {f.__name__: f for f in _ALL}
-
-_ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
-
-ORACLES: dict[str, str] = {
-    "op3_chat": f"""
-        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
-        m AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY i) IS NOT DISTINCT FROM role AS again FROM n),
-        s AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS lines,
-            coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '') AS loss,
-            sum(length({_ESCAPED.format('text')}) + CASE WHEN again THEN {len(chat.NEXT)}
-                ELSE length({_ESCAPED.format('role')}) + {len(chat.START + chat.TEXT + chat.END)} END) AS chars FROM m GROUP BY conv_id)
-        SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
-            CAST(chars AS BIGINT) AS formatted_chars FROM s""",
-}
