@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendars import DAY_TYPES, month_of, with_day_type
+from ..functions.identifiers import ars_or_virtual, is_real_ars
 from ..functions.numbers import normalised
 
 #: Shares of a day's boardings by hour where no profile is known, before they are scaled to 1 (fixed values).
@@ -110,15 +111,44 @@ def weekday_means(profiles: DataFrame) -> DataFrame:
     return fitted.groupBy("route", "ars", "hour").agg(F.avg("ratio").alias("ratio"))
 
 
+def day_profiles(counts: DataFrame, value: str = "boardings") -> DataFrame:
+    """From counts by ``route``, ``ars`` and ``hour``, several rows or none for an hour: ``profile``, the day's 24 shares, and
+    ``total``, which is 0 where the counts are (the shares are 0 too)."""
+    known = counts.where("route is not null and ars is not null and hour between 0 and 23")
+    sums = known.groupBy("route", "ars", "hour").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("n"))
+    days = sums.groupBy("route", "ars").agg(F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("hours"), F.sum("n").alias("total"))
+    share = lambda h: F.when(F.col("total") == 0, 0.0).otherwise(F.coalesce(F.try_element_at("hours", h), F.lit(0.0)) / F.col("total"))
+    return days.select("route", "ars", F.transform(F.sequence(F.lit(0), F.lit(23)), share).alias("profile"), "total")
+
+
 def spread(trips: DataFrame, profiles: DataFrame) -> DataFrame:
     """Each trip row (``route``, ``ars``, ``passengers``) over 24 hours, with the ``method`` used; totals are kept.
     ``profiles`` has ``route``, ``ars``, ``hour``, ``ratio``; a profile that sums to 0 gives way to the default."""
-    arrays = profiles.groupBy("route", "ars").agg(F.transform(F.sort_array(F.collect_list(F.struct("hour", "ratio"))), lambda x: x["ratio"]).alias("profile"), F.sum("ratio").alias("total"))
+    hours = F.transform(F.sort_array(F.collect_list(F.struct("hour", "ratio"))), lambda x: x["ratio"])
+    return spread_over(trips, profiles.groupBy("route", "ars").agg(hours.alias("profile"), F.sum("ratio").alias("total")))
+
+
+def spread_over(trips: DataFrame, profiles: DataFrame) -> DataFrame:
+    """As ``spread``, with a row per profile (``route``, ``ars``, ``profile``, ``total``), as ``day_profiles`` gives them."""
+    joined = with_profile(trips, profiles)
+    hours = joined.select(*trips.columns, "method", F.posexplode("used").alias("hour", "share"))
+    return hours.withColumn("hourly", F.col("passengers") * F.col("share")).drop("share")
+
+
+def with_profile(trips: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Adds ``method`` and ``used``, the 24 shares: the stop's own, or the default where it has none or one that sums to 0."""
     default = F.array(*map(F.lit, default_profile()))
-    joined = trips.join(arrays, ["route", "ars"], "left")
+    joined = trips.join(profiles.select("route", "ars", "profile", "total"), ["route", "ars"], "left")
     method = F.when(F.col("profile").isNull(), NO_KEY).when(F.col("total") == 0, ZERO_FIT).otherwise(FITTED)
-    used = F.when(method == FITTED, F.col("profile")).otherwise(default)
-    return joined.select(*trips.columns, method.alias("method"), F.posexplode(used).alias("hour", "share")).withColumn("hourly", F.col("passengers") * F.col("share")).drop("share")
+    return joined.select(*trips.columns, method.alias("method"), F.when(method == FITTED, F.col("profile")).otherwise(default).alias("used"))
+
+
+def riders_in_hours(trips: DataFrame, profiles: DataFrame, first: int, last: int) -> DataFrame:
+    """Riders of each trip row that board from hour ``first`` to ``last``, as ``riders``. Stops without a number of five digits
+    can't be split over hours and are dropped; there is no fallback for them."""
+    usable = trips.withColumn("ars", ars_or_virtual(F.col("ars"))).where(is_real_ars(F.col("ars")))
+    share = F.aggregate(F.slice("used", first + 1, last - first + 1), F.lit(0.0), lambda s, x: s + x)
+    return with_profile(usable, profiles).withColumn("riders", F.col("passengers") * share).drop("used")
 
 
 def visits_merged(monthly: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import ars_or_null
+from ..functions.identifiers import ars_or_null, ars_or_virtual, is_real_ars
 from ..functions.numbers import class_of, log_breaks, quantile_breaks
 
 
@@ -38,10 +38,30 @@ def occupancy(legs: DataFrame, hours: int = 19) -> DataFrame:
     return rows.withColumn("most", F.max("occupancy").over(Window.partitionBy("route")))
 
 
+def _between(ends: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
+    """Running sums of ``values`` at every position where any trip is under way. ``ends`` has a row per end of a trip, its start
+    with ``__on`` 1 and its end with ``__on`` -1 and the values negated: trips aren't repeated for the positions they pass."""
+    sums = ends.groupBy(*keys, at).agg(*[F.sum(c).alias(c) for c in [*values, "__on"]])
+    w = Window.partitionBy(*keys).orderBy(at)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = sums.select(*keys, at, F.lead(at).over(w).alias("__next"), *[F.sum(c).over(so_far).alias(c) for c in [*values, "__on"]]).where("__on > 0")
+    return run.select(*keys, F.explode(F.sequence(F.col(at), F.col("__next") - 1)).alias(at), *values)
+
+
+def _both_ends(trips: DataFrame, keys: list[str], start: str, end: str, at: str, values: list[Column]) -> DataFrame:
+    end_of = lambda c, sign: F.struct(F.col(c).alias("p"), F.lit(sign).alias("s"))
+    each = trips.where(F.col(start) < F.col(end)).select("*", F.explode(F.array(end_of(start, 1), end_of(end, -1))).alias("__end"))
+    return each.select(*keys, F.col("__end.p").alias(at), F.col("__end.s").alias("__on"), *[(F.col("__end.s") * v).alias(f"v{i}") for i, v in enumerate(values)])
+
+
 def segment_loads(legs: DataFrame) -> DataFrame:
     """Riders between each position and the next."""
-    spans = ordered(legs).select("route", F.explode(F.sequence("board_seq", F.col("alight_seq") - 1)).alias("seq"), "passengers")
-    return spans.groupBy("route", "seq").agg(F.sum("passengers").alias("load"))
+    ends = _both_ends(legs, ["route"], "board_seq", "alight_seq", "seq", [F.col("passengers")])
+    return _between(ends, ["route"], "seq", ["v0"]).withColumnRenamed("v0", "load")
+
+
+#: Stands for the number of a boarding at the depot.
+DEPOT = "depot"
 
 
 def place(legs: DataFrame, stations: DataFrame) -> DataFrame:
@@ -55,11 +75,16 @@ def place(legs: DataFrame, stations: DataFrame) -> DataFrame:
     at = Window.partitionBy("route", "variant").orderBy("seq")
     s = stations.withColumns({"at": F.row_number().over(at) - 1, "s_ars": ars_or_null(F.col("ars"))})
     s = s.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("route", "variant", "s_ars")))
-    # the stops of a route's variants are few, and go beside each of its legs
-    stops = s.groupBy("route").agg(F.collect_list(F.struct("variant", "at", "seq", F.col("s_ars").alias("ars"), "times")).alias("__stops"))
-    rows = legs.where("passengers > 0").join(stops, "route", "left").withColumns({"__b": ars_or_null(F.col("board_ars")), "__a": ars_or_null(F.col("alight_ars"))})
-    boards = F.filter("__stops", lambda x: F.when(F.col("__b").isNotNull(), x["ars"] == F.col("__b")).otherwise((F.col("board_seq") == 0) & (x["at"] == 0)))
-    rows = rows.withColumns({"__from": boards, "__to": F.filter("__stops", lambda x: x["ars"] == F.col("__a"))})
+    entry = F.struct("variant", "at", "seq", "times")
+    # a stop stands in a few variants; the depot's key leads to the first stop of each
+    keyed = s.where("s_ars is not null").select("route", F.col("s_ars").alias("__key"), entry.alias("e"))
+    depot = s.where("at = 0").select("route", F.lit(DEPOT).alias("__key"), entry.alias("e"))
+    places = lambda rows: rows.groupBy("route", "__key").agg(F.collect_list("e").alias("__found"))
+    b, a = ars_or_null(F.col("board_ars")), ars_or_null(F.col("alight_ars"))
+    rows = legs.where("passengers > 0").withColumns({"__b": b, "__from_key": F.coalesce(b, F.when(F.col("board_seq") == 0, DEPOT)), "__to_key": a})
+    froms = places(keyed.unionByName(depot)).select("route", F.col("__key").alias("__from_key"), F.col("__found").alias("__from"))
+    tos = places(keyed).select("route", F.col("__key").alias("__to_key"), F.col("__found").alias("__to"))
+    rows = rows.join(froms, ["route", "__from_key"], "left").join(tos, ["route", "__to_key"], "left")
 
     def pair(x: Column, y: Column) -> Column:
         repeated = (y["times"] > 1) | F.col("__b").isNotNull() & (x["times"] > 1)
@@ -78,8 +103,35 @@ def place(legs: DataFrame, stations: DataFrame) -> DataFrame:
 
 def placed_loads(placed: DataFrame) -> DataFrame:
     """Riders per variant and segment (position of its first stop)."""
-    spans = placed.where("variant is not null").select("variant", F.explode(F.sequence("from_at", F.col("to_at") - 1)).alias("at"), "passengers")
-    return spans.groupBy("variant", "at").agg(F.sum("passengers").alias("load"))
+    ends = _both_ends(placed.where("variant is not null"), ["variant"], "from_at", "to_at", "at", [F.col("passengers")])
+    return _between(ends, ["variant"], "at", ["v0"]).withColumnRenamed("v0", "load")
+
+
+def hourly_loads(placed: DataFrame, shares: DataFrame, otherwise: list[float]) -> DataFrame:
+    """Riders per variant, boarding ``hour`` and segment, all hours in one pass. ``shares`` has ``route``, ``ars`` and ``share`` (24
+    numbers that sum to 1); stops without one take ``otherwise``, and trips from stops without a usable number are left out.
+    Trips are summed by their ends and boarding stop before they are spread over hours."""
+    usable = placed.where("variant is not null").withColumn("__ars", ars_or_virtual(F.col("board_ars"))).where(is_real_ars(F.col("__ars")))
+    ends = _both_ends(usable, ["variant", "route", "__ars"], "from_at", "to_at", "at", [F.col("passengers")])
+    sums = ends.groupBy("variant", "route", "__ars", "at").agg(F.sum("v0").alias("riders"), F.sum("__on").alias("__on"))
+    known = shares.select("route", F.col("ars").alias("__ars"), "share")
+    spread = sums.join(known, ["route", "__ars"], "left").select("variant", "at", "riders", "__on", F.posexplode(F.coalesce("share", F.array(*map(F.lit, otherwise)))).alias("hour", "part"))
+    return _between(spread.withColumn("load", F.col("riders") * F.col("part")), ["variant", "hour"], "at", ["load"])
+
+
+def _ends_of_segments(stations: DataFrame) -> DataFrame:
+    w = Window.partitionBy("route", "variant").orderBy("seq")
+    ars = ars_or_null(F.col("ars"))
+    s = stations.select("route", "variant", (F.row_number().over(w) - 1).alias("at"), ars.alias("from_ars"), F.lead(ars).over(w).alias("to_ars"))
+    alone = F.when(F.col("from_ars").isNull() | F.col("to_ars").isNull(), F.concat_ws("#", "variant", "at"))
+    return s.withColumn("alone", alone)  # null unless the segment can't be merged
+
+
+def legend(hourly: DataFrame, stations: DataFrame) -> DataFrame:
+    """``hour`` and ``most``, the largest load of a merged segment in it; the largest of all hours is that of a map's legend."""
+    joined = hourly.join(_ends_of_segments(stations), ["variant", "at"])
+    key = [F.when(F.col("alone").isNull(), F.col(c)).alias(c) for c in ("from_ars", "to_ars")]
+    return joined.groupBy("hour", *key, "alone").agg(F.sum("load").alias("load")).groupBy("hour").agg(F.max("load").alias("most"))
 
 
 def crossing(placed: DataFrame, stations: DataFrame, from_ars: str, to_ars: str) -> DataFrame:
@@ -91,10 +143,12 @@ def crossing(placed: DataFrame, stations: DataFrame, from_ars: str, to_ars: str)
 
 
 def merged_segments(loads: DataFrame, stations: DataFrame) -> DataFrame:
-    """Loads of the same stop pair of all variants together."""
-    w = Window.partitionBy("route", "variant").orderBy("seq")
-    s = stations.select("variant", (F.row_number().over(w) - 1).alias("at"), F.col("ars").alias("from_ars"), F.lead("ars").over(w).alias("to_ars"))
-    return loads.join(s, ["variant", "at"]).groupBy("from_ars", "to_ars").agg(F.sum("load").alias("load"), F.count_distinct("variant").alias("variants"))
+    """Loads of the same stop pair of all variants together, with ``by_route`` (riders of each route, by its name) and the number
+    of ``variants``. A segment whose ends lack a number stays alone: ``alone`` is its variant and position."""
+    joined = loads.join(_ends_of_segments(stations), ["variant", "at"])
+    of_route = joined.groupBy("from_ars", "to_ars", "alone", "route").agg(F.sum("load").alias("load"), F.count_distinct("variant").alias("variants"))
+    by_route = F.map_from_entries(F.sort_array(F.collect_list(F.struct("route", "load"))))
+    return of_route.groupBy("from_ars", "to_ars", "alone").agg(F.sum("load").alias("load"), F.sum("variants").alias("variants"), by_route.alias("by_route"))
 
 
 #: Colour and width of each class of load on a map, few riders first (fixed values).

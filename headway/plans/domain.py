@@ -9,7 +9,7 @@ from ..functions import calendars as cal
 from ..functions import geo
 from ..functions import identifiers as ids
 from ..functions import numbers as num
-from ..operators import districts, hourly, lookups, models, od_cleaning, quality, route_load, spatial
+from ..operators import cohorts, districts, hourly, lookups, models, od_cleaning, paths, quality, route_load, segments, spatial
 from .views import query
 
 C = F.col
@@ -216,14 +216,18 @@ def _(v):
     return hit.groupBy("route", "board_ars", "alight_ars").agg(F.sum("passengers").alias("passengers"))
 
 
-_SEG = "seg AS (SELECT variant, pos, ars AS from_ars, lead(ars) OVER (PARTITION BY variant ORDER BY pos) AS to_ars FROM st)"
+_GAPS = _PLACED.replace("FROM station)", "FROM station_gap)")
+_SEG = "seg AS (SELECT variant, route, pos, from_ars, to_ars, CASE WHEN from_ars IS NULL OR to_ars IS NULL THEN variant || '#' || pos END AS alone FROM (SELECT variant, route, pos, ars AS from_ars, lead(ars) OVER (PARTITION BY variant ORDER BY pos) AS to_ars FROM st))"
 _LOAD = "ld AS (SELECT variant, x.pos, sum(passengers) AS load FROM placed p JOIN (SELECT DISTINCT pos FROM st) x ON x.pos >= from_at AND x.pos < to_at GROUP BY variant, x.pos)"
 
 
-@query("dom_merge_segments", f"SELECT * FROM (WITH {_PLACED}, {_SEG}, {_LOAD} SELECT from_ars, to_ars, sum(load) AS load, count(DISTINCT variant) AS variants FROM ld JOIN seg USING (variant, pos) GROUP BY from_ars, to_ars)")
+@query("dom_merge_segments", f"""SELECT * FROM (WITH {_GAPS}, {_SEG}, {_LOAD} SELECT from_ars, to_ars, alone, sum(load) AS load, CAST(sum(n) AS BIGINT) AS variants, string_agg(route || ':' || CAST(load AS BIGINT), ';' ORDER BY route) AS by_route FROM
+    (SELECT from_ars, to_ars, alone, route, sum(load) AS load, count(DISTINCT variant) AS n FROM ld JOIN seg USING (variant, pos) GROUP BY ALL) GROUP BY ALL)""")
 def _(v):
-    stations = v("station")
-    return route_load.merged_segments(route_load.placed_loads(route_load.place(v("typical"), stations)), stations)
+    stations = v("station_gap")
+    merged = route_load.merged_segments(route_load.placed_loads(route_load.place(v("typical"), stations)), stations)
+    listed = F.transform(F.map_entries("by_route"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("long")))
+    return merged.withColumn("by_route", F.array_join(listed, ";"))
 
 
 @query("dom_area_legs", "SELECT how, sum(passengers) AS passengers FROM (SELECT 'from' AS how, passengers FROM typical WHERE board_ars <= '00040' UNION ALL SELECT 'to', passengers FROM typical WHERE alight_ars <= '00040' UNION ALL SELECT 'any', passengers FROM typical WHERE board_ars <= '00040' OR alight_ars <= '00040') GROUP BY how")
@@ -238,9 +242,22 @@ _SPLIT = ", ".join(f"coalesce(sum(CASE WHEN {c} THEN passengers END), 0e0) AS {n
     ("entering", "board_seq < 10 AND alight_seq BETWEEN 10 AND 20"), ("through", "board_seq < 10 AND alight_seq > 20")))
 
 
-@query("dom_route_segment", f"SELECT route, {_SPLIT} FROM {_ORD} GROUP BY route")
+_STOPS = "(SELECT route, seq, min(ars) AS ars FROM (SELECT route, board_seq AS seq, board_ars AS ars FROM typical UNION ALL SELECT route, alight_seq, alight_ars FROM typical) GROUP BY route, seq)"
+_ENDS = "(SELECT route, {0} AS seq, sum(passengers) AS p FROM " + _ORD + " WHERE {1} GROUP BY 1, 2)"
+_LIST = "(SELECT route, string_agg(seq || ':' || CAST(p AS BIGINT), ';' ORDER BY p DESC, seq) AS top FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY p DESC, seq) AS n FROM {0}) WHERE n <= 10 GROUP BY route)"
+
+
+def _listed(column: str, *more: str):
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["seq"], *[x[c] for c in more], x["riders"].cast("long"))), ";")
+
+
+@query("dom_route_segment", f"""SELECT s.route, s.seq, s.ars, coalesce(f.ons, 0) AS boardings, coalesce(f.offs, 0) AS alightings, coalesce(f.load, 0) AS load, coalesce(l.p, 0) AS leaving, sum(coalesce(l.p, 0)) OVER (PARTITION BY s.route ORDER BY s.seq) AS leaving_so_far,
+    t.within, t.leaving AS out, t.entering, t.through, b.top AS beyond, e.top AS earlier FROM {_STOPS} s LEFT JOIN (SELECT *, greatest(sum(ons - offs) OVER (PARTITION BY route ORDER BY seq), 0e0) AS load FROM ({_FLOW.format(_ORD)})) f ON f.route = s.route AND f.seq = s.seq
+    LEFT JOIN {_ENDS.format('board_seq', 'board_seq BETWEEN 10 AND 20 AND alight_seq > 20')} l ON l.route = s.route AND l.seq = s.seq LEFT JOIN (SELECT route, {_SPLIT} FROM {_ORD} GROUP BY route) t ON t.route = s.route
+    LEFT JOIN {_LIST.format(_ENDS.format('alight_seq', 'board_seq BETWEEN 10 AND 20 AND alight_seq > 20'))} b ON b.route = s.route LEFT JOIN {_LIST.format(_ENDS.format('board_seq', 'board_seq < 10 AND alight_seq BETWEEN 10 AND 20'))} e ON e.route = s.route WHERE s.seq BETWEEN 10 AND 20""")
 def _(v):
-    return route_load.segment_split(v("typical"), 10, 20)
+    out = cohorts.segment_report(v("typical"), 10, 20)
+    return out.withColumns({"beyond": _listed("beyond"), "earlier": _listed("earlier")})
 
 
 @query("agg_core_segment_share", f"SELECT route, within / (within + leaving + entering + through) AS share FROM (SELECT route, {_SPLIT} FROM {_ORD} GROUP BY route)")
@@ -265,18 +282,35 @@ def _(v):
     return v("typical").where("route = 'R03' and board_seq between 5 and 15").groupBy("alight_seq", "alight_ars").agg(F.sum("passengers").alias("p"))
 
 
-@query("dom_stop_detail_reach", "SELECT board_seq, sum(passengers) AS boardings, sum(CASE WHEN alight_seq > 20 THEN passengers ELSE 0e0 END) AS beyond FROM typical WHERE alight_seq > board_seq GROUP BY board_seq")
+_LEVELS = (25.0, 50.0, 100.0, 200.0)
+_COHORT = f"(SELECT s.route, s.seq, t.board_seq, t.alight_seq, t.alight_ars, t.passengers FROM {_STOPS} s JOIN {_ORD} t ON t.route = s.route AND t.board_seq <= s.seq AND t.alight_seq > s.seq)"
+_TOPS = "(SELECT route, seq, string_agg(other || ':' || ars || ':' || CAST(p AS BIGINT), ';' ORDER BY p DESC, other) AS top FROM (SELECT *, row_number() OVER (PARTITION BY route, seq ORDER BY p DESC, other) AS n FROM {0}) WHERE n <= {1} GROUP BY route, seq)"
+_FROM_TO = "(SELECT t.route, {0} AS seq, {1} AS other, min(s.ars) AS ars, sum(passengers) AS p FROM " + _ORD + " t JOIN " + _STOPS + " s ON s.route = t.route AND s.seq = {1} GROUP BY 1, 2, 3)"
+_STILL = f"(SELECT c.route, c.seq, j.seq AS j, sum(CASE WHEN c.alight_seq > j.seq THEN c.passengers ELSE 0e0 END) AS p FROM {_COHORT} c JOIN {_STOPS} j ON j.route = c.route AND j.seq >= c.seq GROUP BY 1, 2, 3)"
+
+
+@query("dom_stop_detail_reach", f"""SELECT s.route, s.seq, s.ars, coalesce(f.ons, 0e0) AS boardings, coalesce(f.offs, 0e0) AS alightings, coalesce(o.p, 0e0) AS on_board, d.top AS destinations, g.top AS origins, r.reach FROM {_STOPS} s
+    LEFT JOIN ({_FLOW.format(_ORD)}) f ON f.route = s.route AND f.seq = s.seq LEFT JOIN (SELECT route, seq, sum(passengers) AS p FROM {_COHORT} GROUP BY 1, 2) o ON o.route = s.route AND o.seq = s.seq
+    LEFT JOIN {_TOPS.format(_FROM_TO.format('board_seq', 'alight_seq'), 10)} d ON d.route = s.route AND d.seq = s.seq LEFT JOIN {_TOPS.format(_FROM_TO.format('alight_seq', 'board_seq'), 10)} g ON g.route = s.route AND g.seq = s.seq
+    LEFT JOIN (SELECT route, seq, concat_ws(';', {', '.join(f"coalesce(CAST(max(CASE WHEN p > {x}e0 THEN j END) AS VARCHAR), '-')" for x in _LEVELS)}) AS reach FROM {_STILL} GROUP BY 1, 2) r ON r.route = s.route AND r.seq = s.seq""")
 def _(v):
-    return route_load.ordered(v("typical")).groupBy("board_seq").agg(F.sum("passengers").alias("boardings"), F.sum(F.when(C("alight_seq") > 20, C("passengers")).otherwise(0.0)).alias("beyond"))
+    out = cohorts.stop_details(v("typical"), _LEVELS)
+    reach = F.array_join(F.transform("reach", lambda x: F.coalesce(x["until"].cast("string"), F.lit("-"))), ";")
+    return out.withColumns({"destinations": _listed("destinations", "ars"), "origins": _listed("origins", "ars"), "reach": reach})
+
+
+_OFFS = "(SELECT DISTINCT route, alight_seq AS j FROM typical)"
 
 
-@query("dom_stop_load_report", """SELECT route, board_seq, string_agg(CAST(alight_seq AS STRING), ',' ORDER BY p DESC, alight_seq) AS top FROM (SELECT *, row_number() OVER (PARTITION BY route, board_seq ORDER BY p DESC, alight_seq) AS n FROM
-    (SELECT route, board_seq, alight_seq, sum(passengers) AS p FROM typical WHERE alight_seq > board_seq GROUP BY 1, 2, 3)) WHERE n <= 3 GROUP BY route, board_seq""")
+@query("dom_stop_load_report", f"""SELECT o.route, o.seq, o.on_board, o.cut_0, o.cut_1, o.early_0, r.reach_0, r.reach_1, d.top AS destinations FROM
+    (SELECT route, seq, sum(passengers) AS on_board, sum(CASE WHEN alight_seq > 15 THEN passengers ELSE 0e0 END) AS cut_0, sum(CASE WHEN alight_seq > 22 THEN passengers ELSE 0e0 END) AS cut_1, sum(CASE WHEN board_seq < 12 THEN passengers ELSE 0e0 END) AS early_0 FROM {_COHORT} WHERE seq BETWEEN 10 AND 25 GROUP BY 1, 2) o
+    LEFT JOIN (SELECT route, seq, max(CASE WHEN p > 50 THEN j END) AS reach_0, max(CASE WHEN p > 150 THEN j END) AS reach_1 FROM (SELECT c.route, c.seq, j, sum(passengers) AS p FROM {_COHORT} c JOIN {_OFFS} js ON js.route = c.route AND js.j >= c.seq AND c.alight_seq > js.j GROUP BY 1, 2, 3) GROUP BY 1, 2) r ON r.route = o.route AND r.seq = o.seq
+    LEFT JOIN {_TOPS.format(f"(SELECT c.route, c.seq, c.alight_seq AS other, min(c.alight_ars) AS ars, sum(passengers) AS p FROM {_COHORT} c GROUP BY 1, 2, 3)", 5)} d ON d.route = o.route AND d.seq = o.seq""")
 def _(v):
-    sums = route_load.ordered(v("typical")).groupBy("route", "board_seq", "alight_seq").agg(F.sum("passengers").alias("p"))
-    top = lookups.top_per(sums, ["route", "board_seq"], [F.desc("p"), C("alight_seq").asc()], 3)
-    listed = F.sort_array(F.collect_list(F.struct((-C("p")).alias("p"), "alight_seq")))
-    return top.groupBy("route", "board_seq").agg(F.array_join(F.transform(listed, lambda x: x["alight_seq"].cast("string")), ",").alias("top"))
+    ahead = cohorts.load_report(v("typical"), 10, 25, (15, 22), True, 5, (50.0, 150.0))
+    behind = cohorts.load_report(v("typical"), 10, 25, (12,), False, 5, ())
+    both = ahead.join(behind.select("route", "seq", C("cut_0").alias("early_0")), ["route", "seq"])
+    return both.withColumn("destinations", _listed("destinations", "ars"))
 
 
 @query("dom_busiest_routes", f"SELECT route, max(load) AS most FROM (SELECT route, greatest(sum(ons - offs) OVER (PARTITION BY route ORDER BY seq), 0e0) AS load FROM ({_FLOW.format(_ORD)})) GROUP BY route ORDER BY most DESC, route")
@@ -298,11 +332,38 @@ def _(v):
     return pairs.groupBy("route").agg(F.median((C("seq") + C("b_seq")) / 2).alias("turn"), F.count(F.lit(1)).alias("n")).where("n >= 3").drop("n")
 
 
-@query("dom_build_segments", "SELECT variant, seq, round(6371000e0 * sqrt(pow(radians(nlng - lng) * cos(radians((lat + nlat) / 2)), 2) + pow(radians(nlat - lat), 2)), 3) AS metres FROM (SELECT variant, seq, lng, lat, lead(lng) OVER w AS nlng, lead(lat) OVER w AS nlat FROM station JOIN stop_point USING (ars) WINDOW w AS (PARTITION BY variant ORDER BY seq)) WHERE nlng IS NOT NULL")
+_POINT = "lng * 1e0 AS lng, lat * 1e0 AS lat"
+_PATH = f"""pv AS (SELECT variant, vertex, {_POINT} FROM path_vertex), sn AS (SELECT route, variant, seq, ars, lng, lat, lead(seq) OVER w AS next_seq, lead(ars) OVER w AS to_ars FROM station JOIN stop_point USING (ars) WINDOW w AS (PARTITION BY variant ORDER BY seq)),
+    step AS (SELECT variant, vertex, 6371000e0 * sqrt(pow(radians(lng - lag(lng) OVER w) * cos(radians((lat + lag(lat) OVER w) / 2)), 2) + pow(radians(lat - lag(lat) OVER w), 2)) AS m FROM pv WINDOW w AS (PARTITION BY variant ORDER BY vertex)),
+    sg AS (SELECT sn.route, sn.variant, seq, next_seq, ars AS from_ars, to_ars, (SELECT sum(m) FROM step WHERE step.variant = sn.variant AND step.vertex > 2 * seq AND step.vertex <= 2 * next_seq) AS metres,
+        (SELECT string_agg(printf('%.7f %.7f', lng, lat), ', ' ORDER BY vertex) FROM pv WHERE pv.variant = sn.variant AND pv.vertex BETWEEN 2 * seq AND 2 * next_seq) AS line FROM sn WHERE next_seq IS NOT NULL)"""
+
+
+def _segments(v):
+    """Segments of every variant over the path that its stations are matched to; ``route`` is the variant's name."""
+    number = lambda c: C(c).cast("double").alias(c)
+    stations = v("station").join(v("stop_point").select("ars", "lng", "lat"), "ars").select(C("variant").alias("route"), C("route").alias("line"), C("seq").cast("long").alias("seq"), "ars", number("lng"), number("lat"))
+    path = v("path_vertex").select(C("variant").alias("route"), C("vertex").cast("long").alias("vertex"), number("lng"), number("lat"))
+    matched = paths.match_stations(stations, path).select("route", "seq", "vertex")
+    return stations, segments.build(stations.join(matched, ["route", "seq"]), path, ["ars"])
+
+
+@query("dom_build_segments", f"SELECT * FROM (WITH {_PATH} SELECT variant, seq, next_seq, from_ars, to_ars, round(metres, 3) AS metres, 'LINESTRING(' || line || ')' AS wkt FROM sg)")
+def _(v):
+    return _segments(v)[1].select(C("route").alias("variant"), "seq", "next_seq", "from_ars", "to_ars", F.round("metres", 3).alias("metres"), geo.linestring(C("points")).alias("wkt"))
+
+
+@query("qry_route_path", f"""SELECT * FROM (WITH {_PATH}, n AS (SELECT route, variant, count(*) AS n FROM station GROUP BY ALL), best AS (SELECT route, arg_min(variant, (-n, variant)) AS variant FROM n GROUP BY route)
+    SELECT b.route, b.variant, round((SELECT sum(metres) FROM sg WHERE sg.variant = b.variant), 2) AS metres, (SELECT 'LINESTRING(' || string_agg(printf('%.7f %.7f', lng, lat), ', ' ORDER BY vertex) || ')' FROM pv WHERE pv.variant = b.variant) AS wkt,
+        (SELECT min(seq) FROM station s WHERE s.variant = b.variant AND seq >= 20) AS turn_seq, (SELECT count(DISTINCT ars) FROM station s WHERE s.route = b.route) AS stops FROM best b)""")
 def _(v):
-    w = Window.partitionBy("variant").orderBy("seq")
-    s = v("station").join(v("stop_point").select("ars", "lng", "lat"), "ars").withColumns({"nlng": F.lead("lng").over(w), "nlat": F.lead("lat").over(w)})
-    return s.where("nlng is not null").select("variant", "seq", F.round(geo.flat_m(C("lat"), C("lng"), C("nlat"), C("nlng")), 3).alias("metres"))
+    stations, built = _segments(v)
+    chosen = segments.longest(stations.select("line", C("route").alias("variant")), "line", "variant")
+    lines = segments.whole_lines(built).withColumnRenamed("route", "variant")
+    turn = segments.turnarounds(stations.withColumn("turn", C("seq") >= 20)).withColumnRenamed("route", "variant")
+    stops = stations.groupBy("line").agg(F.count_distinct("ars").alias("stops"))
+    out = chosen.join(lines, "variant").join(turn, "variant", "left").join(stops, "line")
+    return out.select(C("line").alias("route"), "variant", F.round("metres", 2).alias("metres"), geo.linestring(C("points")).alias("wkt"), C("turn_seq").cast("int").alias("turn_seq"), "stops")
 
 
 @query("dom_bounds", "SELECT route, min(lng) AS x0, max(lng) AS x1, min(lat) AS y0, max(lat) AS y1 FROM route_stop JOIN stop_point USING (ars) GROUP BY route")
@@ -320,11 +381,6 @@ def _(v):
     return route_load.stop_flows(v("typical"))
 
 
-@query("qry_route_path", "SELECT route, seq, min(ars) AS ars, max(lng) AS lng FROM station JOIN stop_point USING (ars) GROUP BY route, seq")
-def _(v):
-    return v("station").join(v("stop_point").select("ars", "lng"), "ars").groupBy("route", "seq").agg(F.min("ars").alias("ars"), F.max("lng").alias("lng"))
-
-
 # ---------------------------------------------------------------- profiles
 
 @query("agg_month_counts", """SELECT use_ym, %s FROM (SELECT CAST(year(d) * 100 + month(d) AS INT) AS use_ym, CASE WHEN h.date IS NOT NULL THEN 'sun_holiday' ELSE CASE isodow(d) WHEN 1 THEN 'mon' WHEN 2 THEN 'tue' WHEN 3 THEN 'wed' WHEN 4 THEN 'thu' WHEN 5 THEN 'fri' WHEN 6 THEN 'sat' ELSE 'sun_holiday' END END AS t
@@ -412,21 +468,20 @@ def _(v):
 
 
 _DEF = "[" + ", ".join(f"{x}e0" for x in hourly.DEFAULT_PROFILE) + "]"
-_PROFILE = f"(SELECT route, lpad(CAST(CAST(ars AS INT) % 40 AS STRING), 5, '0') AS ars, hour, CASE WHEN CAST(ars AS INT) % 40 % 9 = 4 THEN 0e0 ELSE sum(boardings) END AS b FROM boarding_hour GROUP BY route, CAST(ars AS INT) % 40, hour)"
-_TRIPS = "(SELECT e.event_type AS route, r.ars, sum(r.seq) AS passengers FROM (SELECT DISTINCT event_type FROM events) e CROSS JOIN (SELECT ars, CAST(seq AS DOUBLE) AS seq FROM route_stop WHERE ars <= '00060') r GROUP BY 1, 2)"
-_FULL = f"""(SELECT p.route, p.ars, h.hour, coalesce(q.b, 0e0) AS b, sum(coalesce(q.b, 0e0)) OVER (PARTITION BY p.route, p.ars) AS total FROM (SELECT DISTINCT route, ars FROM {_PROFILE}) p CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN {_PROFILE} q ON q.route = p.route AND q.ars = p.ars AND q.hour = h.hour)"""
-_SPREAD = f"""(SELECT t.route, t.ars, h.hour, CASE WHEN f.total IS NULL THEN 'default_no_key' WHEN f.total = 0 THEN 'default_zero_fit' ELSE 'fitted' END AS method,
-    t.passengers * CASE WHEN f.total > 0 THEN f.b / f.total ELSE {_DEF}[h.hour + 1] / list_sum({_DEF}) END AS hourly FROM {_TRIPS} t CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN {_FULL} f ON f.route = t.route AND f.ars = t.ars AND f.hour = h.hour)"""
+_SUMS = "(SELECT route, ars, hour, sum(boardings) AS b FROM hour_count GROUP BY route, ars, hour)"
+_TRIPS = "(SELECT route, coalesce(board_ars, '00000') AS ars, sum(passengers) AS passengers FROM trip GROUP BY 1, 2)"
+_FULL = f"(SELECT route, ars, sum(b) AS total FROM {_SUMS} GROUP BY route, ars)"
+_SHARE = f"CASE WHEN f.total > 0 THEN coalesce(q.b, 0e0) / f.total ELSE {_DEF}[h.hour + 1] / list_sum({_DEF}) END"
+_SPREAD = f"""(SELECT t.route, t.ars, h.hour, CASE WHEN f.total IS NULL THEN 'default_no_key' WHEN f.total = 0 THEN 'default_zero_fit' ELSE 'fitted' END AS method, t.passengers * {_SHARE} AS hourly
+    FROM {_TRIPS} t CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN {_FULL} f ON f.route = t.route AND f.ars = t.ars LEFT JOIN {_SUMS} q ON q.route = t.route AND q.ars = t.ars AND q.hour = h.hour)"""
+
+
+def _boarders(v):
+    return v("trip").groupBy("route", ids.ars_or_virtual(C("board_ars")).alias("ars")).agg(F.sum("passengers").alias("passengers"))
 
 
 def _spread(v):
-    n = C("ars").cast("int") % 40
-    sums = v("boarding_hour").groupBy("route", F.lpad(n.cast("string"), 5, "0").alias("ars"), "hour").agg(F.sum(F.when(n % 9 == 4, 0.0).otherwise(C("boardings"))).alias("b"))
-    keys = sums.select("route", "ars").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    profiles = hourly.ratios(keys.join(sums, ["route", "ars", "hour"], "left").fillna(0.0, ["b"]), ["route", "ars"], "b")
-    stops = v("route_stop").where("ars <= '00060'").groupBy("ars").agg(F.sum(C("seq").cast("double")).alias("passengers"))
-    routes = v("boarding_hour").select("route").distinct()
-    return hourly.spread(F.broadcast(routes).crossJoin(stops), profiles)
+    return hourly.spread_over(_boarders(v), hourly.day_profiles(v("hour_count")))
 
 
 @query("dom_estimate_hourly", f"SELECT route, ars, CAST(hour AS INT) AS hour, method, round(hourly, 9) AS hourly FROM {_SPREAD}")
@@ -434,9 +489,10 @@ def _(v):
     return _spread(v).select("route", "ars", "hour", "method", F.round("hourly", 9).alias("hourly"))
 
 
-@query("dom_select_profile", f"SELECT method, CAST(count(*) AS BIGINT) AS rows FROM {_SPREAD} GROUP BY method")
+@query("dom_select_profile", f"SELECT route, ars, any_value(method) AS method, CAST(count(*) AS BIGINT) AS hours FROM {_SPREAD} GROUP BY route, ars")
 def _(v):
-    return _spread(v).groupBy("method").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = hourly.with_profile(_boarders(v), hourly.day_profiles(v("hour_count")))
+    return chosen.select("route", "ars", "method", F.size("used").cast("long").alias("hours"))
 
 
 @query("agg_method_breakdown", f"SELECT method, count(DISTINCT route || ars) AS stops, round(sum(hourly), 6) AS riders FROM {_SPREAD} GROUP BY method")
@@ -449,14 +505,23 @@ def _(v):
     return _spread(v).groupBy("route", "ars", "hour").agg(F.count_distinct("method").alias("n")).where("n > 1").drop("n")
 
 
-@query("dom_hourly_share", f"SELECT route, round(sum(hourly), 6) AS riders FROM {_SPREAD} WHERE hour BETWEEN 7 AND 9 GROUP BY route")
+@query("dom_hourly_share", f"SELECT route, ars, method, round(sum(hourly), 6) AS riders FROM {_SPREAD} WHERE hour BETWEEN 7 AND 9 AND regexp_matches(ars, '^[0-9]{{5}}$') AND ars <> '00000' GROUP BY route, ars, method")
 def _(v):
-    return _spread(v).where("hour between 7 and 9").groupBy("route").agg(F.round(F.sum("hourly"), 6).alias("riders"))
+    boarders = v("trip").groupBy("route", C("board_ars").alias("ars")).agg(F.sum("passengers").alias("passengers"))
+    return hourly.riders_in_hours(boarders, hourly.day_profiles(v("hour_count")), 7, 9).select("route", "ars", "method", F.round("riders", 6).alias("riders"))
 
 
-@query("dom_legend_max", f"SELECT route, round(max(s), 6) AS most FROM (SELECT route, hour, sum(hourly) AS s FROM {_SPREAD} GROUP BY route, hour) GROUP BY route")
+@query("dom_legend_max", f"""SELECT * FROM (WITH {_GAPS}, {_SEG}, hours AS (SELECT unnest(range(24)) AS hour),
+    ld AS (SELECT variant, x.pos, board_ars, sum(passengers) AS passengers FROM placed p JOIN (SELECT DISTINCT pos FROM st) x ON x.pos >= from_at AND x.pos < to_at GROUP BY variant, x.pos, board_ars),
+    hl AS (SELECT s.from_ars, s.to_ars, s.alone, h.hour, sum({_SHARE} * passengers) AS riders FROM ld p JOIN seg s USING (variant, pos) CROSS JOIN hours h LEFT JOIN {_FULL} f ON f.route = s.route AND f.ars = p.board_ars
+        LEFT JOIN {_SUMS} q ON q.route = s.route AND q.ars = p.board_ars AND q.hour = h.hour GROUP BY ALL)
+    SELECT CAST(hour AS INT) AS hour, round(max(riders), 4) AS most, round(max(max(riders)) OVER (), 4) AS of_day FROM hl GROUP BY hour)""")
 def _(v):
-    return _spread(v).groupBy("route", "hour").agg(F.sum("hourly").alias("s")).groupBy("route").agg(F.round(F.max("s"), 6).alias("most"))
+    stations = v("station_gap")
+    usable = hourly.day_profiles(v("hour_count")).where("total > 0").select("route", "ars", C("profile").alias("share"))
+    loads = route_load.hourly_loads(route_load.place(v("typical"), stations), usable, hourly.default_profile())
+    most = route_load.legend(loads, stations)
+    return most.select("hour", F.round("most", 4).alias("most"), F.round(F.max("most").over(Window.partitionBy()), 4).alias("of_day"))
 
 
 @query("qry_profiles_default", "SELECT CAST(h AS INT) AS hour, round(" + _DEF + "[h + 1] / list_sum(" + _DEF + "), 9) AS share FROM (SELECT unnest(range(24)) AS h)")

@@ -81,6 +81,15 @@ VIEWS: dict[str, str] = {
     "api_page": """SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN '<CardBusTimeNew><list_total_count>1</list_total_count><RESULT><CODE>INFO-000</CODE><MESSAGE>fine</MESSAGE></RESULT><row><A>1</A></row></CardBusTimeNew>'
         WHEN 1 THEN '<RESULT><CODE>INFO-200</CODE><MESSAGE>nothing yet</MESSAGE></RESULT>' WHEN 2 THEN '<RESULT><CODE>INFO-100</CODE><MESSAGE>bad key abc123 of abc123</MESSAGE></RESULT>'
         WHEN 3 THEN '<CardBusTimeNew><list_total_count>0</list_total_count></CardBusTimeNew>' ELSE '<CardBusTimeNew><RESULT><CODE>ERROR-500</CODE></RESULT></CardBusTimeNew>' END AS xml FROM orders""",
+    # typical trips of which some board where the stop has no usable number
+    "trip": """SELECT route, board_seq, CASE board_seq WHEN 40 THEN NULL WHEN 33 THEN '00000' WHEN 25 THEN 'A0025' ELSE board_ars END AS board_ars, alight_seq, alight_ars, passengers FROM typical""",
+    # boardings by hour of every route and stop but those of one route; some stops have counts of 0 only
+    "hour_count": """SELECT route, board_ars AS ars, CAST(okey % 24 AS INT) AS hour, CASE WHEN CAST(board_ars AS INT) % 9 = 4 THEN 0e0 ELSE passengers END AS boardings FROM leg WHERE route <> 'R03'""",
+    # stations of which some lack a number
+    "station_gap": "SELECT route, variant, seq, CASE WHEN seq = 17 THEN NULL ELSE ars END AS ars FROM station",
+    # the vertices of each variant's path: one beside every stop and one between it and the next
+    "path_vertex": """SELECT variant, 2 * seq AS vertex, lng + 0.0001e0 AS lng, lat FROM station JOIN stop_point USING (ars)
+        UNION ALL SELECT variant, 2 * seq + 1, (lng + nlng) / 2 + 0.001e0, (lat + nlat) / 2 FROM (SELECT variant, seq, lng, lat, lead(lng) OVER (PARTITION BY variant ORDER BY seq) AS nlng, lead(lat) OVER (PARTITION BY variant ORDER BY seq) AS nlat FROM station JOIN stop_point USING (ars)) s WHERE nlng IS NOT NULL""",
     "holiday": """SELECT CAST('1996-01-01' AS DATE) AS date UNION SELECT CAST('1996-05-05' AS DATE) UNION SELECT CAST('1997-03-03' AS DATE)
         UNION SELECT CAST('2024-01-01' AS DATE) UNION SELECT CAST('1999-12-24' AS DATE) UNION SELECT CAST('2000-02-29' AS DATE)""",
 }
