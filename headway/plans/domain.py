@@ -9,7 +9,7 @@ from ..functions import calendars as cal
 from ..functions import geo
 from ..functions import identifiers as ids
 from ..functions import numbers as num
-from ..operators import cohorts, districts, hourly, lookups, models, od_cleaning, paths, quality, route_load, segments, spatial
+from ..operators import cohorts, districts, hourly, lookups, models, od_cleaning, paths, quality, recovery, route_load, segments, spatial
 from .views import query
 
 C = F.col
@@ -118,26 +118,73 @@ def _(v):
     return d.groupBy("service_date", "route").agg(F.count("route_id").alias("ids"), F.sum("board_seq").alias("seqs"), F.count_distinct("board_ars").alias("stops"), F.sum("passengers").alias("passengers"))
 
 
-_ONE = "(SELECT {k} AS x, min({v}) AS y FROM {t} WHERE {v} <> '' AND {k} IS NOT NULL GROUP BY {k} HAVING count(DISTINCT {v}) = 1)"
-
-
-@query("dom_code_recovery", f"""SELECT route, count(*) AS n, CAST(count(bc) AS BIGINT) AS board_codes, CAST(count(ac) AS BIGINT) AS alight_codes FROM (SELECT r.route, coalesce(r.board_code, a.y, CASE WHEN r.board_ars IS NULL THEN b.y END) AS bc, coalesce(r.alight_code, c.y, d.y) AS ac FROM raw_od r
-    LEFT JOIN {_ONE.format(k='board_ars', v='board_code', t='raw_od')} a ON r.board_ars = a.x LEFT JOIN {_ONE.format(k='board_name', v='board_code', t='raw_od')} b ON r.board_name = b.x
-    LEFT JOIN {_ONE.format(k='alight_ars', v='alight_code', t='raw_od')} c ON r.alight_ars = c.x LEFT JOIN {_ONE.format(k='board_ars', v='board_code', t='raw_od')} d ON r.alight_ars = d.x) GROUP BY route""")
-def _(v):
-    raw = v("raw_od")
-    d = lookups.fill(raw, raw, {"board_ars": "board_ars"}, "board_code", "board_code")
-    d = lookups.fill(d, raw, {"board_name": "board_name"}, "board_code", "board_code", C("board_ars").isNull())
-    d = lookups.fill(d, raw, {"alight_ars": "alight_ars"}, "alight_code", "alight_code")
-    d = lookups.fill(d, raw, {"alight_ars": "board_ars"}, "alight_code", "board_code")
-    return d.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.count("board_code").alias("board_codes"), F.count("alight_code").alias("alight_codes"))
-
-
-@query("fix_codes", """SELECT route, CAST(sum(CASE WHEN s.k % 4 = 0 AND r.board_code IS DISTINCT FROM '9' || r.board_ars || '000' THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM raw_od r LEFT JOIN stop_point s ON r.board_ars = s.ars GROUP BY route""")
-def _(v):
-    fixes = v("stop_point").where("k % 4 = 0").select(C("ars").alias("board_ars"), F.concat(F.lit("9"), "ars", F.lit("000")).alias("fixed"))
-    joined = v("raw_od").join(fixes, "board_ars", "left")
-    return joined.groupBy("route").agg(F.count_if(C("fixed").isNotNull() & ~C("board_code").eqNullSafe(C("fixed"))).alias("changed"))
+_UNCODED = "(SELECT service_date, route, route_id, board_seq, board_ars, CAST(NULL AS VARCHAR) AS board_code, board_name, alight_seq, alight_ars, CAST(NULL AS VARCHAR) AS alight_code, alight_name FROM raw_od WHERE coalesce(service_date NOT BETWEEN DATE '1995-01-01' AND DATE '1995-03-31', true))"
+_REFERENCE = "(SELECT * FROM raw_od WHERE service_date BETWEEN DATE '1995-01-01' AND DATE '1995-03-31')"
+_UNIQUE = "(SELECT {k}, min({v}) AS found FROM {t} WHERE {v} IS NOT NULL AND {v} <> '' {w} GROUP BY {k} HAVING count(DISTINCT {v}) = 1)"
+_REAL = "AND {0} IS NOT NULL AND {0} <> '00000'"
+
+
+def _step(name: str, source: str, side: str, rule: str, lookup: str, on: str, when: str = "true") -> str:
+    code, set_by = f"{side}_code", f"{side}_rule"
+    return f"""{name} AS (SELECT x.* EXCLUDE ({code}, {set_by}), coalesce({code}, CASE WHEN {when} THEN found END) AS {code}, CASE WHEN {code} IS NULL AND {when} AND found IS NOT NULL THEN '{rule}' ELSE {set_by} END AS {set_by}
+        FROM {source} x LEFT JOIN {lookup} l ON {on})"""
+
+
+def _recovery() -> str:
+    by = lambda side: f"(SELECT route, {side}_seq, min(route_id) AS id FROM ref WHERE route_id IS NOT NULL GROUP BY ALL)"
+    parts = [f"raw AS {_UNCODED}", f"ref AS {_REFERENCE}", "mst AS (SELECT ars, concat('1', ars, '000') AS node FROM stop_point WHERE k % 3 = 0)",
+             f"""r0 AS (SELECT x.* EXCLUDE (route_id), coalesce(x.route_id, b.id, a.id) AS route_id, CASE WHEN x.route_id IS NOT NULL THEN NULL WHEN b.id IS NOT NULL THEN 'route_by_board' WHEN a.id IS NOT NULL THEN 'route_by_alight' END AS route_id_rule,
+        CAST(NULL AS VARCHAR) AS board_rule, CAST(NULL AS VARCHAR) AS alight_rule FROM raw x LEFT JOIN {by('board')} b ON b.route = x.route AND b.board_seq = x.board_seq LEFT JOIN {by('alight')} a ON a.route = x.route AND a.alight_seq = x.alight_seq)"""]
+    last = "r0"
+
+    def add(*args: str) -> None:
+        nonlocal last
+        name = f"r{len(parts)}"
+        parts.append(_step(name, last, *args))
+        last = name
+
+    for s in ("board", "alight"):
+        add(s, "master", _UNIQUE.format(k="ars", v="node", t="mst", w=""), f"l.ars = x.{s}_ars")
+        add(s, "reference", _UNIQUE.format(k=f"route_id, {s}_seq, {s}_ars", v=f"{s}_code", t="ref", w=_REAL.format(f"{s}_ars")), f"l.route_id = x.route_id AND l.{s}_seq = x.{s}_seq AND l.{s}_ars = x.{s}_ars")
+    for s in ("board", "alight"):
+        add(s, "same_ars", _UNIQUE.format(k=f"{s}_ars", v=f"{s}_code", t=last, w=_REAL.format(f"{s}_ars")), f"l.{s}_ars = x.{s}_ars")
+    for s in ("board", "alight"):
+        add(s, "name", _UNIQUE.format(k=f"{s}_name", v=f"{s}_code", t=last, w=f"AND {s}_name IS NOT NULL"), f"l.{s}_name = x.{s}_name", f"coalesce(x.{s}_ars, '00000') = '00000'")
+    for s, t in (("board", "alight"), ("alight", "board")):
+        add(t, "cross", _UNIQUE.format(k=f"{s}_ars", v=f"{s}_code", t=last, w=_REAL.format(f"{s}_ars")), f"l.{s}_ars = x.{t}_ars")
+    return f"""SELECT * FROM (WITH {', '.join(parts)} SELECT route, "column", rule, count(*) AS n FROM (SELECT route, 'route_id' AS "column", route_id_rule AS rule FROM {last} UNION ALL SELECT route, 'board', board_rule FROM {last} UNION ALL SELECT route, 'alight', alight_rule FROM {last}) GROUP BY ALL)"""
+
+
+@query("dom_code_recovery", _recovery())
+def _(v):
+    raw, inside = v("raw_od"), C("service_date").between("1995-01-01", "1995-03-31")
+    empty = F.lit(None).cast("string")
+    rows = raw.where(F.coalesce(~inside, F.lit(True))).withColumns({"board_code": empty, "alight_code": empty})
+    master = v("stop_point").where("k % 3 = 0").select("ars", F.concat(F.lit("1"), "ars", F.lit("000")).alias("node"))
+    done = recovery.recover(rows, raw.where(inside), master)
+    rules = F.array(*[F.struct(F.lit(c).alias("column"), C(f"{c}_rule").alias("rule")) for c in ("route_id", "board", "alight")])
+    return done.select("route", F.explode(rules).alias("x")).groupBy("route", "x.column", "x.rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _repairs(side: str) -> str:
+    steps = (
+        ("cleared_bad", f"code = '{recovery.BAD_CODE}' AND x.ars <> '{recovery.BAD_CODE_STOP}'", "NULL"), ("refilled", "code IS NULL AND m.found IS NOT NULL", "m.found"),
+        ("by_ars", "m.found IS NOT NULL AND m.found IS DISTINCT FROM code", "m.found"), ("outside", "e.found IS NOT NULL AND e.found IS DISTINCT FROM code", "e.found"),
+        ("virtual_by_name", "x.ars = '00000' AND v.found IS NOT NULL AND v.found IS DISTINCT FROM code", "v.found"), ("virtual_cleared", "x.ars = '00000' AND code IS NOT NULL AND v.found IS NULL", "NULL"),
+    )
+    lookups_ = [("m", _UNIQUE.format(k="ars", v="node", t="master_node", w="")), ("e", _UNIQUE.format(k="ars", v="node", t="outer_node", w="AND ars NOT IN (SELECT ars FROM master_node)")), ("v", _UNIQUE.format(k="name", v="node", t="master_node", w="AND ars = '00000'"))]
+    text, hits = f"(SELECT {side}_ars AS ars, {side}_name AS name, {side}_code AS code FROM coded)", ""
+    for rule, when, value in steps:
+        joins = " ".join(f"LEFT JOIN {t} {a} ON {a}.{'name' if a == 'v' else 'ars'} = x.{'name' if a == 'v' else 'ars'}" for a, t in lookups_)
+        text = f"(SELECT x.* EXCLUDE (code), CASE WHEN coalesce({when}, false) THEN {value} ELSE code END AS code, coalesce({when}, false) AS {rule} FROM {text} x {joins})"
+        hits += f"{', ' if hits else ''}sum(CAST({rule} AS INT)) AS {rule}"
+    sums = f"(SELECT {hits} FROM {text})"
+    return " UNION ALL ".join(f"""SELECT '{side}' AS "column", '{r}' AS rule, CAST({r} AS BIGINT) AS n FROM {sums} WHERE {r} > 0""" for r, _, _ in steps)
+
+
+@query("fix_codes", f"{_repairs('board')} UNION ALL {_repairs('alight')}")
+def _(v):
+    return recovery.rule_counts(recovery.repair(v("coded"), v("master_node"), v("outer_node")))
 
 
 @query("dom_legacy_route_vote", """SELECT ars, route FROM (SELECT a.ars, b.route, row_number() OVER (PARTITION BY a.ars ORDER BY count(*) DESC, b.route) AS r FROM route_stop a JOIN route_stop b ON a.ars = b.ars AND a.seq = b.seq GROUP BY a.ars, b.route) WHERE r = 1""")

@@ -90,6 +90,14 @@ VIEWS: dict[str, str] = {
     # the vertices of each variant's path: one beside every stop and one between it and the next
     "path_vertex": """SELECT variant, 2 * seq AS vertex, lng + 0.0001e0 AS lng, lat FROM station JOIN stop_point USING (ars)
         UNION ALL SELECT variant, 2 * seq + 1, (lng + nlng) / 2 + 0.001e0, (lat + nlat) / 2 FROM (SELECT variant, seq, lng, lat, lead(lng) OVER (PARTITION BY variant ORDER BY seq) AS nlng, lead(lat) OVER (PARTITION BY variant ORDER BY seq) AS nlat FROM station JOIN stop_point USING (ars)) s WHERE nlng IS NOT NULL""",
+    # trips with codes of which some are wrong, missing or of other stops
+    "coded": """SELECT CAST(board_seq AS INT) AS board_seq, CASE WHEN m = 5 THEN '00000' WHEN m = 9 THEN NULL ELSE board_ars END AS board_ars, concat('stop ', CAST(board_seq % 5 AS STRING)) AS board_name,
+        CASE m WHEN 3 THEN '164000626' WHEN 4 THEN NULL WHEN 5 THEN '277102436' WHEN 6 THEN concat('9', board_ars, '000') ELSE concat('1', board_ars, '000') END AS board_code,
+        CASE WHEN m = 7 THEN '00000' WHEN m = 8 THEN '38624' ELSE alight_ars END AS alight_ars, concat('stop ', CAST(alight_seq % 5 AS STRING)) AS alight_name,
+        CASE m WHEN 8 THEN '164000626' WHEN 10 THEN '164000626' WHEN 7 THEN CASE WHEN alight_seq % 5 = 4 THEN NULL ELSE '277102436' END ELSE concat('1', alight_ars, '000') END AS alight_code, passengers FROM (SELECT *, (okey + board_seq) % 19 AS m FROM leg) s""",
+    "master_node": """SELECT ars, concat('1', ars, '000') AS node, name FROM stop_point WHERE k % 4 <> 0 UNION ALL SELECT ars, concat('2', ars, '000'), name FROM stop_point WHERE k % 50 = 0
+        UNION ALL SELECT '00000', concat('7', ars, '000'), concat('stop ', CAST(k AS STRING)) FROM stop_point WHERE k <= 4 UNION ALL SELECT '00000', '799999999', 'stop 3' FROM stop_point WHERE k = 1""",
+    "outer_node": """SELECT ars, concat('8', ars, '000') AS node FROM stop_point WHERE k % 4 = 0 UNION ALL SELECT ars, concat('6', ars, '000') FROM stop_point WHERE k % 40 = 0""",
     "holiday": """SELECT CAST('1996-01-01' AS DATE) AS date UNION SELECT CAST('1996-05-05' AS DATE) UNION SELECT CAST('1997-03-03' AS DATE)
         UNION SELECT CAST('2024-01-01' AS DATE) UNION SELECT CAST('1999-12-24' AS DATE) UNION SELECT CAST('2000-02-29' AS DATE)""",
 }
