@@ -43,7 +43,7 @@ def op4_fixity(spark, sf_dir):
     records = warc.records(spark.read.parquet(table(sf_dir, "pages")))
     files = warc.n_files(records)
     stored = warc.store(records, files)
-    copy = warc.copied(*stored, files, warc.replica)
+    copy = warc.copied_bytes(*stored, warc.damaged)
     trees = []
     for one in (stored, copy):
         trees.append(warc.built(*one))

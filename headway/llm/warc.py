@@ -1,8 +1,8 @@
 """WARC fixity audit with Merkle trees over stored archives.
 
-Pages are written as WARC records into compressed archive files, in whose contents they have ordered offset ranges; an index
-holds the range of each. An audit reads the stored bytes of every range and hashes them, then builds a tree over each file: groups of
-records, groups of ``FANOUT`` groups, and so on up to one root. A node hashes its children's numbers, the lengths of
+Pages are written as WARC records into archive files, each record compressed on its own (gzip members one after another, as
+WARC files are), so that it has a range of the stored bytes; an index holds the range of each. An audit reads the stored bytes of
+every range and hashes them as they are, then builds a tree over each file: groups of records, groups of ``FANOUT`` groups, and so on up to one root. A node hashes its children's numbers, the lengths of
 their ranges and their digests in order (lengths fix the offsets, and a lost record doesn't shift those after it).
 Replicas are compared root by root, and only the children of mismatching nodes are read further, level by level, down to
 the records that differ.
@@ -11,7 +11,8 @@ The place of a record in its file is its key's rank, so that a record missing fr
 groups are ranges of a hash of the key. Null and empty pages are records with an empty block; a null url is written as
 ``urn:none``. Equal rows are stored once and counted. Rows of equal key are one leaf, whose records stand together,
 ordered by digest (so losing one of them is found); all rows of one key stand in one file. An empty table has no files.
-Other columns are not read.
+Other columns are not read. Bytes of an archive that are damaged or lost never fail an audit: a range is hashed as far as it is
+there, and records of a file that is gone or can't be read are missing.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ _SPACE = FANOUT**LEVELS
 SEEN = 100_000
 #: What a record ends with.
 END = "\r\n\r\n"
+#: Bytes of a record in one gzip member.
+BLOCK = 1 << 23
 
 
 def record(key: Column, url: Column, block: Column) -> Column:
@@ -62,73 +66,120 @@ def n_files(records: DataFrame) -> int:
     return max(1, -(-records.count() // FILE_RECORDS))
 
 
-def _first_seen(batches):
-    """Leaves out rows whose key and digest this task has seen of late, so that a row that occurs very often isn't shuffled
-    as often; what is left of repeats goes after the shuffle."""
-    seen: set = set()
+def member(record: bytes) -> bytes:
+    """A record as gzip members, without a date, so that equal records give equal bytes. Blocks stay below 16 MB, so that the
+    last byte, the highest of the size, is 0."""
+    return b"".join(gzip.compress(record[a : a + BLOCK], 6, mtime=0) for a in range(0, len(record), BLOCK))
+
+
+def unpacked(stored: bytes) -> bytes:
+    """The record of stored bytes, as far as they can be read."""
+    out, left = b"", stored
+    while left:
+        reader = zlib.decompressobj(31)
+        try:
+            for a in range(0, len(left), 1 << 16):
+                out += reader.decompress(left[a : a + (1 << 16)])
+                if reader.eof:
+                    left = reader.unused_data + left[a + (1 << 16) :]
+                    break
+            else:
+                return out
+        except zlib.error:
+            return out
+    return out
+
+
+def _packed(batches):
+    """Records as members with digest and length. A row whose key and record this task has seen of late goes on without its
+    bytes, so that a row that occurs very often isn't shuffled as often; what is left of repeats goes after the shuffle."""
+    seen: dict = {}
     for batch in batches:
-        fresh = []
-        for row in zip(batch.column("key").to_pylist(), batch.column("d").to_pylist()):
-            fresh.append(row not in seen)
-            seen.add(row)
-        yield batch.filter(pa.array(fresh, pa.bool_()))
+        digests, lengths, members = [], [], []
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("record").to_pylist()):
+            raw = text.encode()
+            raw = raw if raw.endswith(END.encode()) else raw + END.encode()
+            known = (key, hashlib.sha256(raw).digest())
+            if known in seen:
+                d, n, stored = *seen[known], None
+            else:
+                stored = member(raw)
+                d, n = seen[known] = hashlib.sha256(stored).digest(), len(stored)
+            digests.append(d)
+            lengths.append(n)
+            members.append(stored)
         if len(seen) > SEEN:
             seen.clear()
+        arrays = [batch.column(c) for c in ("file", "slot", "h", "key", "times")]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(digests, pa.binary()), pa.array(lengths, pa.int64()), pa.array(members, pa.binary())], ["file", "slot", "h", "key", "times", "d", "length", "member"])
+
+
+PACKED = "file int, slot int, h long, key string, times long, d binary, length long, member binary"
 
 
 def _placed(records: DataFrame, files: int) -> DataFrame:
-    """``file``, ``slot`` (place of its lowest group), ``h``, ``key``, ``d`` (digest) and ``body`` (all but the end) of rows."""
-    whole = F.when(F.col("record").endswith(END), F.expr(f"left(record, length(record) - {len(END)})")).otherwise(F.col("record"))
+    """``file``, ``slot`` (place of its lowest group), ``h``, ``key``, ``times`` and the other columns of rows."""
     times = F.col("times") if "times" in records.columns else F.lit(1).cast("long")
-    rows = records.select("key", F.xxhash64("key", F.lit("warc")).alias("h"), whole.alias("body"), times.alias("times"))
+    others = [c for c in records.columns if c not in ("key", "times")]
+    rows = records.select("key", F.xxhash64("key", F.lit("warc")).alias("h"), times.alias("times"), *others)
     file, slot = F.pmod("h", F.lit(files)).cast("int").alias("file"), F.pmod(F.shiftright("h", 20), F.lit(_SPACE)).cast("int").alias("slot")
-    return rows.select(file, slot, "h", "key", F.unhex(F.sha2("body", 256)).alias("d"), "body", "times")
+    return rows.select(file, slot, "h", "key", "times", *others)
 
 
 def _write(rows: DataFrame) -> str:
-    """Writes sorted rows, one archive per folder ``file=N``, and returns the folder of all."""
+    """Writes members, sorted by place, one archive per folder ``file=N``, and returns the folder of all. The separator that the
+    text writer puts after a row is the last byte of the member."""
     folder = f"{shared_dir(rows.sparkSession)}/archives-{uuid.uuid4().hex}"
-    rows.select("body", "file").write.partitionBy("file").option("lineSep", END).option("compression", "gzip").text(folder)
+    ordered = rows.sortWithinPartitions("file", "slot", "h", F.col("key").asc_nulls_first(), "d")
+    body = F.expr("cast(substring(member, 1, length(member) - 1) as string)").alias("body")
+    ordered.select(body, "file").write.partitionBy("file").option("lineSep", "\0").option("compression", "none").text(folder)
     return folder
 
 
 def _index(rows: DataFrame) -> DataFrame:
-    """A row per stored record of placed rows: ``file``, ``slot``, ``h``, ``key``, ``offset``, ``length`` and ``times`` (equal
+    """A row per stored record of packed rows: ``file``, ``slot``, ``h``, ``key``, ``offset``, ``length`` and ``times`` (equal
     rows)."""
-    length = (F.octet_length("body") + len(END)).cast("long")
-    once = rows.select("file", "slot", "h", "key", "d", length.alias("length"), "times").groupBy("file", "slot", "h", "key", "d", "length").agg(F.sum("times").alias("times"))
+    once = rows.groupBy("file", "slot", "h", "key", "d", "length").agg(F.sum("times").alias("times"))
     before = Window.partitionBy("file").orderBy("slot", "h", F.col("key").asc_nulls_first(), "d").rowsBetween(Window.unboundedPreceding, 0)
     return saved(once.withColumn("offset", F.sum("length").over(before) - F.col("length")).drop("d"), "index")
 
 
 def store(records: DataFrame, files: int) -> tuple[str, DataFrame]:
     """Writes archives and returns their folder and the index. A record that doesn't end as records do gets that end."""
-    rows = _placed(records, files)
+    rows = saved(_placed(records.select("key", F.coalesce("record", F.lit("")).alias("record"), *[c for c in records.columns if c == "times"]), files).mapInArrow(_packed, PACKED), "packed")
     index = _index(rows)
-    wide = rows.drop("times").mapInArrow(_first_seen, rows.drop("times").schema).repartition("file").dropDuplicates(["file", "slot", "h", "key", "d"])
-    return _write(wide.sortWithinPartitions("file", "slot", "h", F.col("key").asc_nulls_first(), "d")), index
+    folder = _write(rows.where("member is not null").repartition("file").dropDuplicates(["file", "slot", "h", "key", "d"]))
+    forget(rows)
+    return folder, index
 
 
 def copied(folder: str, index: DataFrame, files: int, change) -> tuple[str, DataFrame]:
-    """A copy of stored archives whose records (``key``, ``record``) go through ``change``, which keeps keys and may drop rows.
-    Every archive is copied where it is read."""
-    held = _read(folder, index, True)
-    rows = _placed(change(held.select("key", "record", "times")), files)
-    return _write(rows.sortWithinPartitions("file", "slot", "h", F.col("key").asc_nulls_first(), "d")), _index(rows)
+    """A copy of stored archives whose records (``key``, ``record``) go through ``change``, which keeps keys and may drop rows."""
+    return store(change(_read(folder, index, "record").select("key", "record", "times")), files)
+
+
+def copied_bytes(folder: str, index: DataFrame, change) -> tuple[str, DataFrame]:
+    """A copy of stored archives whose stored bytes (``key``, ``member``) go through ``change``, which keeps keys and may drop
+    rows. Every archive is copied where it is read."""
+    held = _read(folder, index, "member").select("file", "slot", "h", "key", "times", "member")
+    rows = change(held).withColumns({"d": F.unhex(F.sha2("member", 256)), "length": F.length("member").cast("long")})
+    narrow = rows.select("file", "slot", "h", "key", "times", "d", "length")
+    return _write(rows), _index(narrow)
 
 
-def _cut(with_text: bool):
+def _cut(what: str | None):
     def run(batches):
         for batch in batches:
             for file, content, ranges in zip(*[batch.column(c) for c in ("file", "content", "ranges")]):
-                data = memoryview(gzip.decompress(content.as_py()))
+                data = content.as_buffer()
                 rows = pa.Table.from_struct_array(ranges.values).combine_chunks()
-                first, size = rows["offset"].to_numpy(), rows["length"].to_numpy()
-                parts = [data[a : a + n] for a, n in zip(first, size)]
+                parts = [bytes(memoryview(data)[a : a + n]) for a, n in zip(rows["offset"].to_pylist(), rows["length"].to_pylist())]
                 columns = [pa.array(np.full(len(parts), file.as_py(), np.int32)), *[rows[c].combine_chunks() for c in INDEXED], pa.array([hashlib.sha256(x).digest() for x in parts], pa.binary())]
-                if with_text:
-                    columns.append(pa.array([str(x, "utf-8", "replace") for x in parts], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, ["file", *INDEXED, "d", *["record"] * with_text])
+                if what == "record":
+                    columns.append(pa.array([str(unpacked(x), "utf-8", "replace") for x in parts], pa.string()))
+                elif what == "member":
+                    columns.append(pa.array(parts, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["file", *INDEXED, "d", *[what] * bool(what)])
 
     return run
 
@@ -138,19 +189,21 @@ INDEXED = ["slot", "h", "key", "offset", "length", "times"]
 
 def read_ranges(folder: str, index: DataFrame, with_text: bool = False) -> DataFrame:
     """The index with ``d``, the digest of the stored bytes of each range (fewer where an archive ends before a range does),
-    and the bytes as text, ``record``, if wanted."""
-    return _read(folder, index, with_text).withColumn("d", F.lower(F.hex("d")))
+    and the record in them as text, ``record``, if wanted (as far as it can be read)."""
+    return _read(folder, index, "record" if with_text else None).withColumn("d", F.lower(F.hex("d")))
 
 
-def _read(folder: str, index: DataFrame, with_text: bool = False) -> DataFrame:
-    """``read_ranges`` with digests as bytes, which take half the room in a shuffle."""
+def _read(folder: str, index: DataFrame, what: str | None = None) -> DataFrame:
+    """``read_ranges`` with digests as bytes, which take half the room in a shuffle; ``what``: ``record`` or ``member`` (the
+    stored bytes) beside them."""
     spark = index.sparkSession
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").load(folder)
+    files = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
+    files = files.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(folder)
     files = files.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file"), "content")
     ranges = index.groupBy("file").agg(F.collect_list(F.struct(*INDEXED)).alias("ranges"))  # the records of one file
-    out = "file int, slot int, h long, key string, offset long, length long, times long, d binary" + ", record string" * with_text
-    return ranges.join(files, "file").select("file", "content", "ranges").mapInArrow(_cut(with_text), out)
+    out = "file int, slot int, h long, key string, offset long, length long, times long, d binary" + {"record": ", record string", "member": ", member binary", None: ""}[what]
+    return ranges.join(files, "file").select("file", "content", "ranges").mapInArrow(_cut(what), out)
 
 
 def leaves(folder: str, index: DataFrame) -> DataFrame:
@@ -224,6 +277,20 @@ def replica(records: DataFrame) -> DataFrame:
     )
 
 
+def damaged(members: DataFrame) -> DataFrame:
+    """Stored bytes (``key``, ``member``) with damage that depends on the key only: a bit of one byte flipped, the second half lost,
+    or the record gone."""
+    damage = F.conv(F.substring(F.sha2(F.coalesce("key", F.lit("")), 256), 1, 4), 16, 10).cast("int")
+    spot = F.pmod(damage, F.length("member")) + 1
+    byte = lambda start, size: F.substr("member", start, size)
+    other = F.unhex(F.lpad(F.hex(F.conv(F.hex(byte(spot, F.lit(1))), 16, 10).cast("long").bitwiseXOR(F.lit(4).cast("long"))), 2, "0"))
+    flipped = F.concat(byte(F.lit(1), spot - 1), other, byte(spot + 1, F.length("member")))
+    state = F.when(damage % 127 == 1, "changed").when(damage % 127 == 2, "cut").when(damage % 127 == 3, "gone").otherwise("whole")
+    half = byte(F.lit(1), F.floor(F.length("member") / 2).cast("int"))
+    bytes_now = F.when(F.col("damage") == "changed", flipped).when(F.col("damage") == "cut", F.concat(half, F.lit(b"\0"))).otherwise(F.col("member"))
+    return members.withColumn("damage", state).where("damage != 'gone'").withColumn("member", bytes_now).drop("damage")
+
+
 def built(folder: str, index: DataFrame) -> list[DataFrame]:
     """The tree over stored archives, whose bytes are read."""
     return tree(saved(leaves(folder, index), "leaves"))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -206,7 +207,7 @@ def test_fixity_finds_what_a_full_comparison_finds(spark):
     assert {r["key"]: r["state"] for r in rows} == want and len(set(want.values())) == 4
     at = defaultdict(int)
     for r in sorted((r for r in rows if r["state"] != "extra"), key=lambda r: (r["file"], r["offset"])):
-        assert r["offset"] == at[r["file"]] and r["length"] == len(left[r["key"]].encode())
+        assert r["offset"] == at[r["file"]] and r["length"] == len(warc.member((left[r["key"]]).encode()))
         at[r["file"]] += r["length"]
     copy = warc.copied(*warc.store(a, 3), 3, lambda x: warc.replica(x).where("key not in ('3', '77')"))
     del want["new"]
@@ -221,13 +222,14 @@ def test_archives_hold_the_records_at_their_ranges(spark):
     texts = {r["key"]: r["record"].encode() for r in a.collect()}
     seen = warc.read_ranges(folder, index, True).collect()
     assert len(seen) == len(texts) == n and sum(r["times"] for r in seen) == n + 3
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").load(folder)
-    held = {r["file"]: gzip.decompress(r["content"]) for r in content.selectExpr("cast(regexp_extract(path, 'file=([0-9]+)', 1) as int) as file", "content").collect()}
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder)
+    held = {r["file"]: bytes(r["content"]) for r in content.selectExpr("cast(regexp_extract(path, 'file=([0-9]+)', 1) as int) as file", "content").collect()}
     for r in seen:
-        assert r["record"].encode() == texts[r["key"]] == held[r["file"]][r["offset"] : r["offset"] + r["length"]]
-        assert r["d"] == hashlib.sha256(texts[r["key"]]).hexdigest()
+        stored = held[r["file"]][r["offset"] : r["offset"] + r["length"]]
+        assert r["record"].encode() == texts[r["key"]] == gzip.decompress(stored)
+        assert r["d"] == hashlib.sha256(stored).hexdigest()
         assert texts[r["key"]].startswith(b"WARC/1.0\r\n") and texts[r["key"]].endswith(b"\r\n\r\n")
-    assert sum(map(len, held.values())) == sum(map(len, texts.values()))  # nothing but records
+    assert sum(len(gzip.decompress(x)) for x in held.values()) == sum(map(len, texts.values()))  # nothing but records
     damaged = {r["key"]: r["record"] for r in warc.replica(a).collect()}
     head = lambda t: t.index("\r\n\r\n") + 4
     for k, v in damaged.items():
@@ -246,6 +248,61 @@ def test_fixity_descends_only_where_roots_differ(spark):
     assert warc.audit(ta, ta).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["flip", "cut", "remove", "swap", "flip with checksum"])
+def test_fixity_finds_damage_of_stored_bytes(spark, kind):
+    a = warc.records(spark.read.parquet(f"{SF}/pages.parquet"))
+    left, right = warc.store(a, 3), warc.copied_bytes(*warc.store(a, 3), lambda x: x)
+    assert {r["state"] for r in warc.fixity(left, right).collect()} == {"ok"}
+    where = Path(right[0].removeprefix("file:"))
+    files = sorted(where.glob("file=*/*.txt"))
+    if kind != "flip with checksum":
+        for x in where.glob("file=*/.*.crc"):
+            x.unlink()
+    ranges = {r["key"]: (r["file"], r["offset"], r["length"]) for r in right[1].collect()}
+    number = lambda f: int(f.parent.name.removeprefix("file="))
+    data = bytearray(files[1].read_bytes())
+    of = {k: r for k, r in ranges.items() if r[0] == number(files[1])}
+    if kind == "flip":
+        spots = [5, len(data) // 2, len(data) - 3]
+        for i in spots:
+            data[i] ^= 16
+        files[1].write_bytes(data)
+        want = {k: "changed" for k, (_, o, n) in of.items() if any(o <= i < o + n for i in spots)}
+    elif kind == "flip with checksum":  # the file system refuses to read the file
+        data[9] ^= 1
+        files[1].write_bytes(data)
+        want = dict.fromkeys(of, "missing")
+    elif kind == "cut":
+        files[1].write_bytes(data[: len(data) // 3])
+        want = {k: "changed" for k, (_, o, n) in of.items() if o + n > len(data) // 3}
+    elif kind == "remove":
+        files[1].unlink()
+        want = dict.fromkeys(of, "missing")
+    else:
+        other = files[2].read_bytes()
+        files[2].write_bytes(data)
+        files[1].write_bytes(other)
+        want = {k: "changed" for k, r in ranges.items() if r[0] in (number(files[1]), number(files[2]))}
+    assert want and {r["key"]: r["state"] for r in warc.fixity(left, right).collect() if r["state"] != "ok"} == want
+
+
+def test_query_of_fixity_names_the_damaged_records(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        damage = int(hashlib.sha256(str(r["page_id"]).encode()).hexdigest()[:4], 16) % 127
+        want[r["page_id"]] = {1: "changed", 2: "changed", 3: "missing"}.get(damage, "ok")
+    assert {r["page_id"]: r["state"] for r in queries.op4_fixity(spark, "/root/testdata/sf0.01").collect()} == want and len(set(want.values())) > 1
+
+
+def test_records_are_packed_in_blocks_and_read_as_far_as_they_go(monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 1000)
+    text = bytes(random.Random(1).randrange(256) for _ in range(4500))
+    stored = warc.member(text)
+    assert gzip.decompress(stored) == text == warc.unpacked(stored) and stored[-1] == 0
+    assert text.startswith(warc.unpacked(stored[: len(stored) // 2])) and warc.unpacked(b"no gzip") == b"" and warc.unpacked(b"") == b""
+
+
 def test_fixity_edges(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "http://a b", ""), (2, "http://a b", ""), (None, "u", "x"), (None, "u", "y"), (3, "u", "é" * 5), (4, "u", "a\n\r\n\r\nb" * 9)], "page_id long, url string, html string")
     a = warc.records(pages)
