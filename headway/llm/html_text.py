@@ -71,16 +71,19 @@ POINT_CHARS, MOST_POINTS = 100, 3
 CONTAINERS = frozenset("div section article main body html".split())
 #: Share of the best score that a sibling needs, and link density from which a list is a menu.
 SIBLING_SHARE, MENU_DENSITY = 0.2, 0.6
+#: Text of a paragraph of prose, at least.
+PROSE_CHARS = 25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "pruned", "marked", "inside", "chars", "linked", "links", "score", "commas")
+    __slots__ = ("tag", "parent", "children", "pruned", "marked", "inside", "chars", "linked", "links", "score", "commas", "menu")
 
     def __init__(self, tag, parent, pruned=False, marked=False, inside=False):
         self.tag, self.parent, self.pruned, self.marked, self.inside = tag, parent, pruned, marked, inside
         self.children = []  # nodes and strings
         self.chars = self.linked = self.links = self.commas = 0
         self.score = 0.0
+        self.menu = False
 
 
 def _decoded(text: str) -> str:
@@ -283,11 +286,28 @@ def _measured(root: Node) -> list[Node]:
         if node.tag == "a":
             node.linked, node.links = node.chars, 1
         if node.tag in ("ul", "ol", "div", "section", "table", "dl", "p") and node.links >= 2 and node.linked > MENU_DENSITY * max(1, node.chars) and not (node.marked or node.inside):
-            node.pruned = True
+            node.pruned = node.menu = True
             node.chars = node.linked = node.links = node.commas = 0
     return [n for n in order if not n.pruned]
 
 
+def _restored(nodes: list[Node]) -> list[Node]:
+    """Lists and paragraphs of links among the paragraphs of the article belong to it: those that stand beside a paragraph of
+    prose and after one (straight in the page's body: between two) come back."""
+    stack = list(nodes)
+    while stack:
+        node = stack.pop()
+        inner = [c for c in node.children if isinstance(c, Node)]
+        prose = [i for i, c in enumerate(inner) if not c.pruned and c.chars >= PROSE_CHARS and c.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "dl") and _density(c) <= MENU_DENSITY]
+        if prose:
+            end = prose[-1] if node.tag in ("html", "body") else len(inner)
+            for c in inner[prose[0] : end]:
+                if c.menu:
+                    c.pruned = False
+        stack.extend(c for c in inner if not c.pruned)
+    return nodes
+
+
 def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
@@ -379,9 +399,9 @@ def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    found = blocks(main_nodes(tree(page)))
+    found = blocks(_restored(main_nodes(tree(page))))
     # names alone must not empty a page
-    return "\n".join(found or blocks(main_nodes(tree(page, by_name=False))))
+    return "\n".join(found or blocks(_restored(main_nodes(tree(page, by_name=False)))))
 
 
 def main_text(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:

@@ -11,7 +11,9 @@
 Running sums are two-level (hash buckets of a bounded number of rows, then rows in a bucket), so that no task holds a
 whole source. Null and empty texts have size 0: nothing is taken from them, and they have no position. Null sources
 are a source of their own, the last. Repeated rows count as often as they occur. Other columns are kept as they are
-where ``keep`` names them.
+where ``keep`` names them; those that have the name of an added one give way to it. Rows of one id, or without one, are told
+apart by their texts, so that they are spread over buckets and reruns agree whatever the order of the input. Sources are ranked in
+one task, a row each: some millions of them, not one per page.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3.0
 #: Schedules by rank of the source: (time, weight) knots of a piecewise linear function.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
+ADDED = ("size", "source_size", "target", "taken", "copies", "positions", "position")
 #: Rows in a bucket of the running sums, on average.
 BUCKET_ROWS = 5000
 
@@ -84,7 +87,7 @@ def position(schedule: Column, share: Column) -> Column:
 
 def narrow_columns(id_col: str, text_col: str, source_col: str) -> list[Column]:
     """What the running sums need of a row: id, source, size and its place in the pseudo-random order."""
-    place = F.xxhash64(F.col(id_col), F.lit("mix"))
+    place = F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.lit("mix"))  # rows of one id, or without one, are spread by their texts
     return [F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), place.alias("hash")]
 
 
@@ -95,6 +98,7 @@ def mix(
     """The columns ``keep`` of every row with ``size``, ``source_size``, ``target``, ``taken`` (words, repeats
     counted), ``copies`` (taken / size, rounded), ``positions`` (training time of every copy, the one taken in part
     included; null if none) and ``position`` (the first of them)."""
+    keep = [c for c in keep if c.lower() not in ADDED]
     kept = [F.col(c).alias(f"__{c}") for c in keep]
     sized = saved(docs.select(*narrow_columns(id_col, text_col, source_col)), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))

@@ -6,6 +6,9 @@ length, character transitions, dictionary coverage, the document's path (its sou
 odds of the transitions and the dictionary are counted over all documents (``lexicon``); the trained trees become one
 SQL expression, so a scan is a projection: no Python, no shuffle, one pass of the pattern over a text.
 
+Names, blocks, logins and white space before a value may have any length; what follows the secret word of a name has at most 25
+characters (``password_of_the_database``), and the scheme of an address at most 21.
+
 Null and empty texts have no findings, and neither has a text without candidates. Findings don't overlap; those of
 repeated rows are equal. Without documents the lexicon is empty: no word is known and all transitions are alike. Columns
 of the documents named ``findings`` or ``redacted``, or that begin with ``__sec``, give way to those of the scan. U+FDD0,
@@ -34,21 +37,21 @@ STAND_INS = ("your", "example", "change", "placeholder", "xxx", "dummy", "sample
 TEST_PATHS = ("test", "example", "sample", "mock", "fixture", "doc")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "glpat-")
 #: What a secret's name ends with. A look-behind must be bounded, so the rest of a name has a largest length.
-_NAME = "(?i:" + "|".join(w.replace("_", "[ _-]?") for w in SECRET_WORDS) + r")(?:[_-][A-Za-z0-9_-]{0,24}|key|s|[0-9]{1,4}){0,1}"
+_NAME = "(?i:" + "|".join(w.replace("_", "[ _-]?") for w in SECRET_WORDS) + r"|(?<![A-Za-z])pass)(?:[_-][A-Za-z0-9_-]{0,24}|key|s|[0-9]{1,4}){0,1}"
 _RUN = r"[A-Za-z0-9+/_-]{16,}+={0,2}+"
 #: An assigned value: a run up to a delimiter, or what has no white space and no quotes, without closing marks.
 _VALUE = "(" + _RUN + r"(?=[&<>,;)\]}#.:\s\"'`\\]|$)|[^\s\"'`<>\\]{5,}[^\s\"'`<>\\,;)\]}.:])"
 _KINDS = (
-    r"()(-----BEGIN (?:[A-Z0-9]{1,12} ){0,4}?PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+){0,64}+-----END [A-Z0-9 ]{1,40}+-----)",
-    r"(--[A-Za-z0-9_-]{2,40}+(?<=" + _NAME + r")[ =][\"']?)" + _VALUE,
-    r"((?i:bearer)\s{1,4}+)([A-Za-z0-9._~+/-]{8,}+={0,2}+)",
-    r"([A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s/:@\"'<>]{0,64}+:)([^\s/@\"'<>]{4,}+)(?=@)",
+    r"()(-----BEGIN (?:[A-Z0-9]{1,12} ){0,4}?PRIVATE KEY(?: BLOCK)?-----(?>(?s:.*?)(?=-----))-----END [A-Z0-9 ]++-----)",
+    r"((?<!-)--[A-Za-z0-9][A-Za-z0-9_-]++(?<=" + _NAME + r")[ =][\"']?)" + _VALUE,
+    r"((?i:bearer)\s++)([A-Za-z0-9._~+/-]{8,}+={0,2}+)",
+    r"([A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s/:@\"'<>]*+:)([^\s/@\"'<>]{4,}+)(?=@)",
     r"()(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
-    r"([A-Za-z0-9_.-]{2,64}+(?=\\?[\"']?\s{0,16}+[:=>])(?<=" + _NAME + r")\\?[\"']?\s{0,16}+(?:[:=]{1,2}+>?|>)\s{0,16}+\\?[\"'`]?)" + _VALUE,
+    r"((?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{2,}+(?=\\?[\"']?\s*+[:=>])(?<=" + _NAME + r")\\?[\"']?\s*+(?:[:=]{1,2}+>?|>)\s*+\\?[\"'`]?)" + _VALUE,
     r"()(?<![+/-])(" + _RUN + ")",
 )
 #: What the last four kinds begin with, so that most words are read once: more than 15 token characters, or an assignment.
-_LIKELY = r"(?=[A-Za-z0-9+/_.-]{1,15}+(?:[A-Za-z0-9+/_.-]|\\?[\"']?\s{0,16}+[:=>]))"
+_LIKELY = r"(?=[A-Za-z0-9+/_.-]{1,15}+(?:[A-Za-z0-9+/_.-]|\\?[\"']?\s*+[:=>]))"
 #: Every alternative is a pair of groups, what stands before the value and the value. None begins inside a word, which
 #: keeps the scan to one look behind at most characters.
 CANDIDATE = "(?<![A-Za-z0-9_])(?:" + "|".join(_KINDS[:3]) + "|" + _LIKELY + "(?:" + "|".join(_KINDS[3:]) + "))"
@@ -134,7 +137,7 @@ def features(value: Column, chars: Column, before: Column, after: Column, path:
         flag(value.rlike(_any(STAND_INS)) | value.rlike(r"^(.)\1+$")),
         flag(value.rlike(r"^[$%{<\[]|[(\[]|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$")),
         flag(path.rlike(_any(TEST_PATHS))),
-        flag(near.rlike(_any(SECRET_WORDS))),
+        flag(near.rlike(_any(SECRET_WORDS) + "|(?i)(?<![A-Za-z])pass(?![A-Za-z])")),
         flag(near.rlike(_any(PLAIN_WORDS))),
         flag(near.rlike("[=:>]\\s*\\\\?[\"'`]?$")),
         flag(near.rlike("://[^\\s/@]*:$") & after.startswith("@")),

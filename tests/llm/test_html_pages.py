@@ -62,6 +62,15 @@ def test_a_deep_article_is_found():
     assert html_text.extract(page) == PLAIN
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div class='post-content'>{}</div>", "<div>{}</div>", "<div><div>{}</div></div>", "<section><div>{}</div></section>"])
+def test_lists_and_paragraphs_of_links_stay_in_any_container(wrap):
+    links = "<ul><li><a href='a'>First reference</a></li><li><a href='b'>Second reference</a></li></ul>"
+    more = "<p><a href='c'>Third source</a> <a href='d'>Fourth source</a></p>"
+    menu = "<ul><li><a href='1'>Home page</a></li><li><a href='2'>Latest news</a></li></ul>"
+    page = f"<html><body>{menu}{wrap.format(f'<p>{LONG}</p>{links}<p>{LONG}</p>{more}')}{menu}</body></html>"
+    assert html_text.extract(page).split("\n") == [LONG, "First reference", "Second reference", LONG, "Third source Fourth source"]
+
+
 HOSTILE = {
     "open tags": lambda n: "<a " * n, "open quotes": lambda n: '<a x="' * n, "stray ends": lambda n: "<b>" * n + "</i>" * n,
     "ends behind a barrier": lambda n: "<b><div>" + "<i>" * n + "</b>" * n, "script ends": lambda n: "<script>" + "</script " * n,
