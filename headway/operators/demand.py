@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import to_count
@@ -27,6 +27,35 @@ def summed(demand: DataFrame, keys: list[str], n_days: int | None = None) -> Dat
     return sums.withColumn("total", F.col("boardings") + F.col("alightings"))
 
 
+def summed_and_mean(demand: DataFrame, keys: list[str], n_days: int) -> DataFrame:
+    """``summed`` with ``mean``, the mean boardings of ``n_days``, in one aggregate."""
+    mean = F.round(F.sum(F.col("boardings").cast("decimal(38,9)")) / n_days).cast("long").alias("mean")
+    sums = demand.groupBy(*keys).agg(*[F.sum(to_count(F.col(c))).alias(c) for c in ("boardings", "alightings")], mean)
+    return sums.withColumn("total", F.col("boardings") + F.col("alightings"))
+
+
+LEVELS = {"route": ["route"], "stop": ["route", "board_ars"], "pair": ["route", "board_ars", "alight_ars"]}
+
+
+def left_out_accuracy(legs: DataFrame) -> DataFrame:
+    """How well each day is foretold by the mean of the other days of its type (weekday, saturday, sunday): ``wape``, the sum of
+    absolute errors over the day's riders, per ``level``, ``day_type`` and ``service_date``. All levels come from one pass
+    with grouping sets; cells without riders on a day count with what is foretold for them. Days alone of their type are left out."""
+    number = F.weekday("service_date")
+    typed = legs.where("service_date is not null").withColumn("day_type", F.when(number == 5, "saturday").when(number == 6, "sunday").otherwise("weekday"))
+    cells = [F.col(c) for c in LEVELS["pair"]]
+    sets = [["day_type", "service_date", *LEVELS[name]] for name in LEVELS]
+    level = F.when(F.grouping("board_ars") == 1, "route").when(F.grouping("alight_ars") == 1, "stop").otherwise("pair")
+    days = typed.groupingSets([[F.col(c) for c in s] for s in sets], "day_type", "service_date", *cells).agg(level.alias("level"), F.sum("passengers").alias("p"))
+    total = F.sum("p").over(Window.partitionBy("level", "day_type", *cells))
+    types = typed.groupBy("day_type").agg(F.count_distinct("service_date").alias("n"), F.sum("passengers").alias("everything")).where("n > 1")
+    rows = days.withColumn("foretold_sum", total - F.col("p")).join(types, "day_type")
+    error = F.abs(F.col("p") - F.col("foretold_sum") / (F.col("n") - 1)) - F.col("foretold_sum") / (F.col("n") - 1)
+    sums = rows.groupBy("level", "day_type", "service_date").agg(F.sum(error).alias("e"), F.sum("p").alias("p"), F.first("everything").alias("everything"), F.first("n").alias("n"))
+    absent = (F.col("everything") - F.col("p")) / (F.col("n") - 1)
+    return sums.select("level", "day_type", "service_date", ((F.col("e") + absent) / F.col("p")).alias("wape"))
+
+
 def top_nodes(nodes: DataFrame, n: int) -> DataFrame:
     """The largest nodes; totals must be taken before."""
     return nodes.orderBy(F.desc("total"), "mode", "node").limit(n)

@@ -7,12 +7,11 @@ plus those set aside as anomalies, route by route.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import VIRTUAL, has_virtual_mark, stop_id
+from ..sources.files import saved
 
 COLUMNS = ["service_date", "route", "route_id", "board_seq", "board_ars", "board_code", "board_name", "alight_seq", "alight_ars", "alight_code", "alight_name", "passengers"]
 BOARD, ALIGHT = (["{}_seq", "{}_ars", "{}_code", "{}_name"], ["{}_seq", "{}_ars", "{}_code", "{}_name"])
@@ -145,11 +144,13 @@ def day_reports(docs: DataFrame, text: str = "doc") -> DataFrame:
 
 
 def correct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The whole correction: corrected rows and rows set aside."""
+    """The whole correction: corrected rows and rows set aside. Rows are written after each merge, because the lookups of the
+    step that follows read them once more for each of its rules."""
     undated = rows.where("service_date is null")
     d, aside = virtual_stops(rows.where("service_date is not null"))
-    steps = [deduplicate, sequences, deduplicate, same_stops, deduplicate]
-    return reduce(lambda x, f: f(x), steps, d).unionByName(undated), aside
+    for step in (sequences, same_stops):
+        d = step(saved(deduplicate(d), "merged"))
+    return deduplicate(d).unionByName(undated), aside
 
 
 def balance(before: DataFrame, after: DataFrame, aside: DataFrame) -> DataFrame:

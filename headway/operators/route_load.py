@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import ars_or_null, ars_or_virtual, is_real_ars
-from ..functions.numbers import class_of, log_breaks, quantile_breaks
+from ..functions.numbers import class_of, log_breaks
+from . import ranks
 
 
 def ordered(legs: DataFrame) -> DataFrame:
@@ -158,13 +159,12 @@ LOAD_WEIGHTS = (2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0)
 
 def styled(segments: DataFrame, least: float = 0.0, scale_to: float | None = None) -> DataFrame:
     """Segments with riders (``load``) of ``least`` or more, with ``level`` (class from 0), ``color`` and ``weight``. Classes
-    are split at quantiles of the loads shown, or with ``scale_to`` at equal factors up to it. The segments of one map are
-    gathered for the quantiles."""
+    are split at quantiles of the loads shown, or with ``scale_to`` at equal factors up to it. The quantiles
+    are those of the whole map, from a sort by load."""
     kept = segments.where((F.col("load") > 0) & (F.col("load") >= least))
     classes = len(LOAD_COLORS)
     if scale_to is None:
-        breaks = kept.agg(quantile_breaks(F.sort_array(F.collect_list("load")), classes).alias("__breaks"))
-        kept = kept.crossJoin(F.broadcast(breaks))  # one row
+        kept = kept.withColumn("__breaks", F.array(*map(F.lit, ranks.class_limits(kept, "load", classes))).cast("array<double>"))
     else:
         low = max(1.0, least, scale_to / 1000)
         limits = log_breaks(low, F.lit(scale_to), classes) if low < scale_to else F.array(*[F.lit(scale_to)] * (classes - 1))

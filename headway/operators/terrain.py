@@ -1,7 +1,7 @@
 """Terrain at stops as immutable, checked snapshots with one active dataset.
 
 A snapshot is a folder ``dataset=<id>`` with the tables ``stops`` and ``assignment`` and, written last, its counts; the
-active dataset is named by a pointer file.
+active dataset is named by the last of the numbered pointer files.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import measured_or_null
-from ..sources.files import get_text, path_exists, put_text
+from ..sources.files import create_text, get_text, names_in, path_exists, put_text
 from .lookups import first_per
 from .quality import assert_unique
 from .spatial import covering
@@ -81,19 +81,57 @@ def publish(root: str, dataset: str, stops: DataFrame, areas: DataFrame, size: f
     return found
 
 
-def activate(spark: SparkSession, root: str, dataset: str) -> None:
-    """Makes a published dataset the active one."""
+class Conflict(ValueError):
+    """Another activation came first."""
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    return [int(x.removeprefix("ACTIVE-")) for x in names_in(spark, root) if x.startswith("ACTIVE-") and x[7:].isdigit()]
+
+
+def version(spark: SparkSession, root: str) -> int:
+    """The number of the last activation; 0 before the first."""
+    return max(_pointers(spark, root), default=0)
+
+
+def activate(spark: SparkSession, root: str, dataset: str, seen: int | None = None) -> int:
+    """Makes a published dataset the active one and returns the number of this activation.
+
+    Every activation writes the pointer of the next number, which only one can create: of two that saw the same state (``seen``,
+    by default the latest now) one fails, and nothing is overwritten."""
     if not path_exists(spark, f"{root}/dataset={dataset}/counts.json"):
         raise ValueError(f"{dataset} isn't published")
-    put_text(spark, f"{root}/ACTIVE", dataset)
+    number = (version(spark, root) if seen is None else seen) + 1
+    if not create_text(spark, f"{root}/ACTIVE-{number:012d}", dataset):
+        raise Conflict(f"activation {number} was made by another")
+    return number
+
+
+def active_name(spark: SparkSession, root: str) -> str:
+    """The dataset of the last activation that was completed."""
+    for number in sorted(_pointers(spark, root), reverse=True):
+        name = get_text(spark, f"{root}/ACTIVE-{number:012d}").strip()
+        if name:
+            return name
+    raise ValueError(f"no dataset of {root} is active")
 
 
 def active(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Stops and assignment of the active dataset."""
-    folder = f"{root}/dataset={get_text(spark, f'{root}/ACTIVE').strip()}"
+    folder = f"{root}/dataset={active_name(spark, root)}"
     return spark.read.parquet(f"{folder}/stops"), spark.read.parquet(f"{folder}/assignment")
 
 
+def steep(spark: SparkSession, root: str, over: float = 8.0) -> DataFrame:
+    """Stops of the active dataset that are steeper than ``over`` percent, with their area, the ``dataset``, and the dataset's
+    numbers of ``stops`` and ``measured`` ones."""
+    stops, assignment = active(spark, root)
+    name = active_name(spark, root)
+    held = json.loads(get_text(spark, f"{root}/dataset={name}/counts.json"))
+    rows = stops.where(F.col("slope_pct") > over).join(assignment.select("node_id", "dong"), "node_id", "left")
+    return rows.select("node_id", "dong", "slope_pct", F.lit(name).alias("dataset"), F.lit(held["stops"]).cast("long").alias("stops"), F.lit(held["measured"]).cast("long").alias("measured"))
+
+
 def retirement(master: DataFrame, root: str) -> DataFrame:
     """Whether the master's own readings (``node_id, elev_m, slope_pct``) may go because the active dataset has them: one row
     ``master_measured``, ``snapshot_measured``, ``mismatched`` (stops of both that disagree, nulls being values) and ``ok``."""

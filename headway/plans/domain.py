@@ -9,7 +9,7 @@ from ..functions import calendars as cal
 from ..functions import geo
 from ..functions import identifiers as ids
 from ..functions import numbers as num
-from ..operators import cohorts, districts, hourly, lookups, models, od_cleaning, paths, quality, recovery, route_load, segments, spatial
+from ..operators import cohorts, demand, districts, hourly, lookups, models, od_cleaning, paths, quality, recovery, route_load, segments, spatial
 from .views import query
 
 C = F.col
@@ -703,13 +703,15 @@ def _(v):
     return v("boarding_month").agg(F.min("use_ym").alias("first_ym"), F.max("use_ym").alias("last_ym"))
 
 
-@query("dom_typical_accuracy", """SELECT route, round(sum(abs(p - (total - p) / (n - 1))) / sum(p), 9) AS wape FROM (SELECT route, board_seq, y, p, sum(p) OVER w AS total, count(*) OVER w AS n FROM (SELECT route, board_seq, year(service_date) AS y, sum(passengers) AS p FROM leg GROUP BY ALL) WINDOW w AS (PARTITION BY route, board_seq)) WHERE n > 1 GROUP BY route""")
+_TYPED = "(SELECT *, CASE isodow(service_date) WHEN 6 THEN 'saturday' WHEN 7 THEN 'sunday' ELSE 'weekday' END AS day_type FROM leg)"
+
+
+@query("dom_typical_accuracy", f"""SELECT * FROM (WITH d AS (SELECT day_type, route, board_ars, alight_ars, service_date, sum(passengers) AS p FROM {_TYPED} GROUP BY ALL), days AS (SELECT day_type, count(DISTINCT service_date) AS n, sum(p) AS everything FROM d GROUP BY day_type),
+    x AS (SELECT 'route' AS level, day_type, route AS a, '' AS b, '' AS c, service_date, sum(p) AS p FROM d GROUP BY ALL UNION ALL SELECT 'stop', day_type, route, board_ars, '', service_date, sum(p) FROM d GROUP BY ALL UNION ALL SELECT 'pair', day_type, route, board_ars, alight_ars, service_date, p FROM d),
+    t AS (SELECT *, sum(p) OVER (PARTITION BY level, day_type, a, b, c) AS total FROM x)
+    SELECT level, day_type, service_date, round((sum(abs(p - (total - p) / (n - 1))) + (any_value(everything) - sum(total)) / any_value(n - 1)) / sum(p), 6) AS wape FROM t JOIN days USING (day_type) WHERE n > 1 GROUP BY level, day_type, service_date)""")
 def _(v):
-    w = Window.partitionBy("route", "board_seq")
-    days = v("leg").groupBy("route", "board_seq", F.year("service_date").alias("y")).agg(F.sum("passengers").alias("p"))
-    left = days.withColumns({"total": F.sum("p").over(w), "n": F.count(F.lit(1)).over(w)}).where("n > 1")
-    out = left.groupBy("route").agg((F.sum(F.abs(C("p") - (C("total") - C("p")) / (C("n") - 1))) / F.sum("p")).alias("wape"))
-    return out.withColumn("wape", F.round("wape", 9))
+    return demand.left_out_accuracy(v("leg")).withColumn("wape", F.round("wape", 6))
 
 
 @query("dom_stop_demand", "SELECT mode, node, hour, CAST(sum(round_even(boardings, 0)) AS BIGINT) AS boarding_count, 'fitted' AS method FROM demand GROUP BY mode, node, hour")
@@ -825,5 +827,6 @@ def _(v):
 
 @query("dom_train_model")
 def _(v):
-    model, scores = models.train(models.features(v("daily")))
-    return v("holiday").sparkSession.createDataFrame([(float(scores["mae"]), float(scores["r2"]))], "mae double, r2 double")
+    model, found = models.train(models.features(v("daily")))
+    names = ("mae", "rmse", "r2", "log_mae", "log_rmse", "log_r2")
+    return v("holiday").sparkSession.createDataFrame([tuple(float(found[n]) for n in names)], ", ".join(f"{n} double" for n in names))

@@ -9,7 +9,7 @@ from ..functions import calendars as cal
 from ..functions import geo
 from ..functions import identifiers as ids
 from ..functions import parameters as par
-from ..operators import districts, hourly, lookups, od_cleaning, paths, spatial, terrain
+from ..operators import districts, hourly, lookups, od_cleaning, paths, ranks, spatial, terrain, topology
 from ..sources.files import api_hour_column, csv_hour_column, hour_columns, wide_to_long, work_folder
 from .scalars import _ring
 from .views import query
@@ -77,10 +77,10 @@ def _(v):
     return page.select("okey", "route", "board_seq", "alight_seq", "passengers")
 
 
-@query("sort_client", "SELECT k, t, row_number() OVER (ORDER BY CAST(substr(t, 2) AS INT), k) AS place FROM messy WHERE regexp_matches(t, '^N[0-9]+$') QUALIFY place <= 50")
+@query("sort_client", "SELECT k, t, row_number() OVER (ORDER BY CAST(substr(t, 2) AS INT), k) AS place FROM messy WHERE regexp_matches(t, '^N[0-9]+$')")
 def _(v):
-    ordered = v("messy").where(C("t").rlike("^N[0-9]+$")).orderBy(ids.natural_key(C("t")), "k").limit(50)
-    return ordered.select("k", "t", F.row_number().over(Window.orderBy(ids.natural_key(C("t")), "k")).cast("long").alias("place"))
+    named = v("messy").where(C("t").rlike("^N[0-9]+$")).select("k", "t")
+    return ranks.placed(named, [ids.natural_key(C("t")).asc(), C("k").asc()]).withColumn("place", C("place") + 1)
 
 
 # ---------------------------------------------------------------- scalars
@@ -182,12 +182,20 @@ def _(v):
     return v("district").select("dong", geo.geojson_polygon(F.array(geo.simplified(more, 5e-5))).alias("shape"))
 
 
-@query("sp_simplify", "SELECT route, CAST(2 AS INT) AS points FROM route_stop GROUP BY route")
+@query("sp_simplify", """SELECT dong, CAST(5 AS INT) AS points, round(1.0 * (x1 - x0) * (y1 - y0), 9) AS area FROM district""")
 def _(v):
-    """Stops on a line that bends by less than the tolerance: its ends stay."""
-    spot = F.struct((C("seq") * 0.01).alias("lng"), (37 + C("seq") % 2 * 1e-5).alias("lat"))
-    lines = v("route_stop").groupBy("route").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", spot.alias("p")))), lambda x: x["p"]).alias("line"))
-    return lines.select("route", F.size(geo.simplified(C("line"), 5e-5)).alias("points"))
+    """Areas of a grid whose sides bend by less than the tolerance, the same way for both neighbours; corners are all that stays."""
+    x0, y0, x1, y1 = (C(c).cast("double") for c in ("x0", "y0", "x1", "y1"))
+    at = lambda a, b, k: a + (b - a) * (k / 4.0)
+    sway = lambda along, k: F.round(F.sin(along * 1000 + k) * 2e-5, 9)
+    spot = lambda x, y: F.struct(F.round(x, 9).alias("lng"), F.round(y, 9).alias("lat"))
+    across = lambda y, k: spot(at(x0, x1, k), y + (sway(x0, k) if k % 4 else 0))
+    upward = lambda x, k: spot(x + (sway(y0, k) if k % 4 else 0), at(y0, y1, k))
+    ring = [across(y0, k) for k in range(4)] + [upward(x1, k) for k in range(4)] + [across(y1, k) for k in (4, 3, 2, 1)] + [upward(x0, k) for k in (4, 3, 2, 1)]
+    areas = v("district").select("dong", F.array(*ring).alias("ring"))
+    done = topology.simplified(areas, 5e-5, "dong", "ring")
+    turn = F.zip_with(F.slice("ring", F.lit(1), F.size("ring") - 1), F.slice("ring", F.lit(2), F.size("ring") - 1), lambda p, q: p["lng"] * q["lat"] - q["lng"] * p["lat"])
+    return done.select("dong", F.size("ring").alias("points"), F.round(F.abs(F.aggregate(turn, F.lit(0.0), lambda s, x: s + x)) / 2, 9).alias("area"))
 
 
 _AREA = ["11012500", "11013500", "11022500"]

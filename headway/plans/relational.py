@@ -254,8 +254,7 @@ def _(v):
 def _(v):
     d = v("demand")
     keys = ["mode", "service", "node"]
-    mean = demand.summed(d, keys, 7).select(*keys, C("boardings").alias("mean"))
-    return demand.summed(d, keys).join(mean, keys)
+    return demand.summed_and_mean(d, keys, 7)
 
 
 @query("agg_mode_route_breakdown", "SELECT mode, service, CAST(sum(round_even(boardings, 0)) AS BIGINT) AS boardings FROM demand GROUP BY GROUPING SETS ((mode), (mode, service))")

@@ -8,6 +8,7 @@ from ..functions import calendars as cal
 from ..functions import geo
 from ..functions import identifiers as ids
 from ..functions import numbers as num
+from ..operators import ranks
 from .views import query
 
 
@@ -140,8 +141,8 @@ def _valid(v):
     FROM typical JOIN (SELECT route AS r, list_sort(list(passengers)) AS v, count(*) AS n FROM typical GROUP BY route) q ON r = route) GROUP BY 1, 2""")
 def _breaks(v):
     typical = v("typical")
-    breaks = typical.groupBy("route").agg(num.quantile_breaks(F.sort_array(F.collect_list("passengers")), 5).alias("breaks"))
-    return typical.join(F.broadcast(breaks), "route").groupBy("route", num.class_of(F.col("passengers"), F.col("breaks")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    breaks = ranks.class_limits_by(typical, "route", "passengers", 5)
+    return typical.join(breaks, "route").groupBy("route", num.class_of(F.col("passengers"), F.col("breaks")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sc_join_lines", "SELECT route, CAST(count(*) AS INT) AS points FROM route_stop GROUP BY route")

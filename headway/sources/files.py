@@ -128,6 +128,31 @@ def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless there is one of that name; says whether it did. Of several that try at once only one does,
+    where the file system creates files atomically, as distributed ones do."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(where, False)
+    except Exception as e:  # the Java exception arrives wrapped
+        if fs.exists(where):
+            return False
+        raise e
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    return True
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what a folder holds; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
 def get_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r["value"] for r in spark.read.text(path).collect())
 
