@@ -72,10 +72,32 @@ def covers(lng: Column, lat: Column, ring: Column) -> Column:
     return on_boundary(lng, lat, ring) | contains(lng, lat, ring)
 
 
+def crosses_itself(ring: Column) -> Column:
+    """Whether two sides of a closed ring that aren't neighbours meet, or a point occurs twice."""
+    sides = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def turn(p: Column, q: Column, r: Column) -> Column:
+        return F.signum((q["lng"] - p["lng"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lng"] - p["lng"]))
+
+    def within(p: Column, q: Column, r: Column) -> Column:
+        return r["lng"].between(F.least(p["lng"], q["lng"]), F.greatest(p["lng"], q["lng"])) & r["lat"].between(F.least(p["lat"], q["lat"]), F.greatest(p["lat"], q["lat"]))
+
+    def meet(s: Column, t: Column) -> Column:
+        a, b, c, d = s["a"], s["b"], t["a"], t["b"]
+        touch = [(turn(p, q, r) == 0) & within(p, q, r) for p, q, r in ((a, b, c), (a, b, d), (c, d, a), (c, d, b))]
+        return (turn(a, b, c) != turn(a, b, d)) & (turn(c, d, a) != turn(c, d, b)) | touch[0] | touch[1] | touch[2] | touch[3]
+
+    # the sides as one value, so that each pair only looks them up
+    numbered = F.transform(sides, lambda s, i: F.struct(i.alias("i"), s.alias("s")))
+    pairs = F.transform(F.array(numbered), lambda all_: F.exists(all_, lambda x: F.exists(all_, lambda y: (y["i"] > x["i"] + 1) & ((x["i"] > 0) | (y["i"] < F.size(all_) - 1)) & meet(x["s"], y["s"]))))
+    return F.get(pairs, F.lit(0))
+
+
 def is_valid_ring(ring: Column) -> Column:
-    """A closed ring of four or more points that are longitudes and latitudes."""
-    good = F.forall(ring, lambda p: p["lng"].between(-180, 180) & p["lat"].between(-90, 90))
-    return (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)) & good
+    """A closed ring of four or more points that are longitudes and latitudes, and whose sides don't cross; null isn't one."""
+    good = F.forall(ring, lambda p: F.coalesce(p["lng"].between(-180, 180) & p["lat"].between(-90, 90), F.lit(False)))
+    closed = (F.size(ring) >= 4) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1)) & good
+    return F.coalesce(F.when(closed, ~crosses_itself(ring)), F.lit(False))
 
 
 def linestring(points: Column) -> Column:

@@ -66,6 +66,12 @@ def shade(value: Column, most: Column) -> Column:
     return 0.08 + 0.67 * F.sqrt(value / most)
 
 
+def fixed_scale(most_of_hour: Column, first: Column, last: Column, fixed: Column) -> Column:
+    """Top of a scale that stays the same for every window of hours as wide as the one shown: the busiest hour's largest load
+    times the hours shown. Null unless the scale is fixed, hours are chosen and there is a load."""
+    return F.when(fixed & first.isNotNull() & last.isNotNull() & (most_of_hour > 0), most_of_hour * (last - first + 1))
+
+
 def percent_text(part: Column, total: Column) -> Column:
     return F.when(total > 0, F.format_string("%.1f%%", half_up(part * 100.0 / total, 1))).otherwise("-")
 

@@ -66,6 +66,38 @@ def search_order(name: str):
     return [F.when(F.col("name") == name, 0).when(F.col("node") == name, 1).otherwise(2), F.when(F.col("mode") == "subway", 0).otherwise(1), F.col("name"), F.col("node")]
 
 
+def found_nodes(text: str, subway: DataFrame, bus: DataFrame, outer: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Stations and stops whose name or number holds ``text`` (any case; no wildcards), or whose number it is: ``mode, node, name,
+    lat, lng``, one row per station name, stop number, and demand node of stops outside (``mapping``: ``canonical, node``) that
+    no inner stop has. In the order exact name, exact number, subway, name, number."""
+    has = lambda c: F.contains(F.lower(F.col(c).cast("string")), F.lit(text.lower()))
+    number = lambda c: F.lpad(F.col(c).cast("string"), 5, "0")
+    rows = lambda df, node, mode: df.groupBy(node.alias("node")).agg(F.min("name").alias("name"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng")).withColumn("mode", F.lit(mode))
+    stations = rows(subway.where(has("name")), F.col("name"), "subway")
+    stops = rows(bus.where((number("ars") == text) | has("ars") | has("name")), number("ars"), "bus")
+    known = bus.select(number("ars").alias("node")).distinct()
+    beyond = outer.join(mapping.withColumn("node", number("node")), "canonical").where((F.col("node") == text) | has("ars") | has("name"))
+    others = rows(beyond.join(known, "node", "left_anti"), F.col("node"), "bus")
+    found = stations.unionByName(stops).unionByName(others).select("mode", "node", "name", "lat", "lng")
+    return found.orderBy(F.col("name") != text, F.col("node") != text, F.col("mode") != "subway", "name", "node")
+
+
+def integrated_report(demand: DataFrame, top: int = 20) -> DataFrame:
+    """Checks of integrated demand: rows per mode (``section`` rows), boardings and alightings per mode and hour (hours), and each
+    mode's ``top`` services at nodes by boardings (top, with ``place``)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    def part(df, section, hour=None, service=None, node=None, rows=None, boardings=None, alightings=None, place=None):
+        given = ((hour, "hour", "int"), (service, "service", "string"), (node, "node", "string"), (rows, "rows", "long"), (boardings, "boardings", "long"), (alightings, "alightings", "long"), (place, "place", "int"))
+        return df.select(F.lit(section).alias("section"), "mode", *[(F.col(c).cast(kind) if c else none(kind)).alias(name) for c, name, kind in given])
+
+    both = [F.sum(to_count(F.col(c))).alias(c) for c in ("boardings", "alightings")]
+    hours = demand.groupBy("mode", "hour").agg(*both, F.count(F.lit(1)).alias("rows"))
+    modes = hours.groupBy("mode").agg(F.sum("rows").alias("rows"))
+    nodes = demand.groupBy("mode", "service", "node").agg(both[0])
+    best = nodes.withColumn("place", F.row_number().over(Window.partitionBy("mode").orderBy(F.desc("boardings"), "service", "node"))).where(F.col("place") <= top)
+    return part(modes, "rows", rows="rows").unionByName(part(hours, "hours", "hour", boardings="boardings", alightings="alightings")).unionByName(part(best, "top", None, "service", "node", boardings="boardings", place="place"))
+
+
 def one_point(stops: DataFrame) -> DataFrame:
     """One point per stop number: the smallest id."""
     return first_per(stops, ["ars"], [F.col("k").asc()])

@@ -105,6 +105,14 @@ def bad_profiles(profiles: DataFrame, keys: list[str]) -> DataFrame:
     return checks.where(~((F.col("n") == 24) & (F.col("hours") == 24) & (F.col("bad") == 0) & F.coalesce(whole, F.lit(False))))
 
 
+def pattern_sums(profiles: DataFrame, keys: list[str], by: list[str], tolerance: float = 0.01) -> DataFrame:
+    """Per ``by``: ``groups`` of ``keys``, those whose ratios sum to 0 (``zero``), and those of the rest whose sum is off 1 by more
+    than the tolerance (``off``)."""
+    sums = profiles.groupBy(*keys).agg(F.sum("ratio").alias("s"))
+    zero = F.coalesce(F.col("s") == 0, F.lit(True))
+    return sums.groupBy(*by).agg(F.count(F.lit(1)).alias("groups"), F.count_if(zero).alias("zero"), F.count_if(~zero & (F.abs(F.col("s") - 1) > tolerance)).alias("off"))
+
+
 def weekday_means(profiles: DataFrame) -> DataFrame:
     """Mean of the fitted Monday to Friday profiles of each route and stop; ``profiles`` has ``fitted``."""
     fitted = profiles.where(F.col("day_type").isin(*WEEKDAYS) & F.col("fitted"))

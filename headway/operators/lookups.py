@@ -79,3 +79,12 @@ def values_of(rows: DataFrame, on: dict[str, str], table: DataFrame, values: lis
     n = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"the lookup's keys {keys} are not unique")).cast("long")).otherwise(F.col("__n"))
     joined = rows.join(once, same, "left").withColumn(hit, n.isNotNull())
     return joined.select(*rows.columns, *[F.col(f"__v{i}").alias(v) for i, v in enumerate(values)], hit)
+
+
+def voted(rows: DataFrame, reference: DataFrame, key: str, choice: str, on: list[str]) -> DataFrame:
+    """For each ``key`` of ``rows`` the ``choice`` of the reference that shares most of its distinct ``on`` values, ties to the
+    smallest; ``votes`` is their number."""
+    mine = rows.select(key, *on).dropna().distinct()
+    theirs = reference.select(choice, *on).dropna().distinct()
+    votes = mine.join(theirs, on).groupBy(key, choice).agg(F.count(F.lit(1)).alias("votes"))
+    return first_per(votes, [key], [F.desc("votes"), F.col(choice).asc()])

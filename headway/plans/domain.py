@@ -187,11 +187,11 @@ def _(v):
     return recovery.rule_counts(recovery.repair(v("coded"), v("master_node"), v("outer_node")))
 
 
-@query("dom_legacy_route_vote", """SELECT ars, route FROM (SELECT a.ars, b.route, row_number() OVER (PARTITION BY a.ars ORDER BY count(*) DESC, b.route) AS r FROM route_stop a JOIN route_stop b ON a.ars = b.ars AND a.seq = b.seq GROUP BY a.ars, b.route) WHERE r = 1""")
+@query("dom_legacy_route_vote", f"""SELECT route, route_id, votes FROM (SELECT a.route, b.route_id, count(*) AS votes, row_number() OVER (PARTITION BY a.route ORDER BY count(*) DESC, b.route_id) AS r FROM
+    (SELECT DISTINCT route, board_name, board_seq FROM raw_od) a JOIN (SELECT DISTINCT route_id, board_name, board_seq FROM {_REFERENCE} WHERE route_id IS NOT NULL) b ON a.board_name = b.board_name AND a.board_seq = b.board_seq WHERE a.route IS NOT NULL GROUP BY 1, 2) WHERE r = 1""")
 def _(v):
-    a = v("route_stop")
-    votes = a.select("ars", "seq").join(a.select("route", "ars", "seq"), ["ars", "seq"]).groupBy("ars", "route").agg(F.count(F.lit(1)).alias("n"))
-    return lookups.first_per(votes, ["ars"], [F.desc("n"), C("route").asc()]).select("ars", "route")
+    raw = v("raw_od")
+    return lookups.voted(raw, raw.where(C("service_date").between("1995-01-01", "1995-03-31")), "route", "route_id", ["board_name", "board_seq"])
 
 
 # ---------------------------------------------------------------- loads
@@ -498,10 +498,13 @@ def _(v):
     return hourly.bad_profiles(_ratios(v), ["route", "ars"]).select("route", "ars")
 
 
-@query("val_pattern_sums", "SELECT route, CAST(count(*) AS BIGINT) AS groups, CAST(count(*) FILTER (WHERE abs(s - 1) > 0.01) AS BIGINT) AS off FROM (SELECT route, ars, sum(ratio) AS s FROM " + _RATIO + " GROUP BY route, ars) GROUP BY route")
+@query("val_pattern_sums", """SELECT route, CAST(count(*) AS BIGINT) AS groups, CAST(count(*) FILTER (WHERE s = 0) AS BIGINT) AS zero, CAST(count(*) FILTER (WHERE s <> 0 AND abs(s - 1) > 0.01) AS BIGINT) AS off FROM (SELECT route, ars, coalesce(sum(CASE WHEN hour <> 5 THEN b / nullif(total, 0) END), 0) AS s FROM
+    (SELECT route, ars, hour, sum(boardings) AS b, sum(sum(boardings)) OVER (PARTITION BY route, ars) AS total FROM hour_count GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY route""")
 def _(v):
-    sums = _ratios(v).groupBy("route", "ars").agg(F.sum("ratio").alias("s"))
-    return sums.groupBy("route").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.abs(C("s") - 1) > 0.01).alias("off"))
+    """Profiles of which an hour was lost."""
+    sums = v("hour_count").groupBy("route", "ars", "hour").agg(F.sum("boardings").alias("boardings"))
+    ratios = hourly.ratios(sums, ["route", "ars"], "boardings").withColumn("ratio", F.when(C("hour") != 5, C("ratio")).otherwise(0.0))
+    return hourly.pattern_sums(ratios, ["route", "ars"], ["route"])
 
 
 _DAYRATIO = """(SELECT route, ars, day_type, hour, CASE WHEN sum(sum(boardings)) OVER w = 0 THEN 0e0 ELSE sum(boardings) / sum(sum(boardings)) OVER w END AS ratio FROM (SELECT route, ars, hour, boardings, CAST(isodow(day) AS INT) AS day_type FROM boarding_hour) GROUP BY route, ars, day_type, hour WINDOW w AS (PARTITION BY route, ars, day_type))"""
@@ -587,9 +590,11 @@ def _(v):
     return v("demand").groupBy("mode", "hour").agg(F.count(F.lit(1)).alias("rows"), F.sum(num.to_count(C("boardings"))).alias("boardings"))
 
 
-@query("val_integrated_profile", "SELECT mode, count(DISTINCT node) AS nodes, count(DISTINCT hour) AS hours, count(*) AS rows FROM demand GROUP BY mode")
+@query("val_integrated_profile", """SELECT 'rows' AS section, mode, CAST(NULL AS INT) AS hour, NULL AS service, NULL AS node, count(*) AS rows, CAST(NULL AS BIGINT) AS boardings, CAST(NULL AS BIGINT) AS alightings, CAST(NULL AS INT) AS place FROM demand GROUP BY mode
+    UNION ALL SELECT 'hours', mode, hour, NULL, NULL, NULL, CAST(sum(round_even(boardings, 0)) AS BIGINT), CAST(sum(round_even(alightings, 0)) AS BIGINT), NULL FROM demand GROUP BY mode, hour
+    UNION ALL SELECT 'top', mode, NULL, service, node, NULL, b, NULL, CAST(n AS INT) FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY b DESC, service, node) AS n FROM (SELECT mode, service, node, CAST(sum(round_even(boardings, 0)) AS BIGINT) AS b FROM demand GROUP BY 1, 2, 3)) WHERE n <= 20""")
 def _(v):
-    return v("demand").groupBy("mode").agg(F.count_distinct("node").alias("nodes"), F.count_distinct("hour").alias("hours"), F.count(F.lit(1)).alias("rows"))
+    return demand.integrated_report(v("demand"))
 
 
 @query("agg_band_profile", """SELECT band, hour, round(s / sum(s) OVER (PARTITION BY band), 9) AS share FROM (SELECT band, hour, avg(m) AS s FROM (SELECT CASE WHEN CAST(ars AS INT) < 5 THEN '0-4' WHEN CAST(ars AS INT) < 12 THEN '4-12' ELSE '12+' END AS band, ars, hour, avg(boardings) AS m FROM
@@ -726,10 +731,12 @@ def _(v):
     return rows.withColumn("node_total", F.sum("b").over(Window.partitionBy())).orderBy(F.desc("b"), "service")
 
 
-@query("qry_search_nodes", "SELECT node, avg(lng) AS lng, min(name) AS name FROM (SELECT DISTINCT node, lpad(node, 5, '0') AS ars FROM demand WHERE mode = 'bus') d JOIN stop_point USING (ars) GROUP BY node")
+@query("qry_search_nodes", """SELECT mode, node, name, round(lat, 9) AS lat, round(lng, 9) AS lng FROM (SELECT 'subway' AS mode, name AS node, name, avg(lat) AS lat, avg(lng) AS lng FROM subway_station WHERE contains(lower(name), 'stop 1') GROUP BY name
+    UNION ALL SELECT 'bus', ars, min(name), avg(lat), avg(lng) FROM inner_stop WHERE ars = 'stop 1' OR contains(lower(name), 'stop 1') GROUP BY ars
+    UNION ALL SELECT 'bus', lpad(node, 5, '0'), min(name), avg(lat), avg(lng) FROM outer_stop JOIN node_map USING (canonical) WHERE contains(lower(name), 'stop 1') AND lpad(node, 5, '0') NOT IN (SELECT ars FROM inner_stop) GROUP BY 2)""")
 def _(v):
-    bus = v("demand").where("mode = 'bus'").select("node", F.lpad("node", 5, "0").alias("ars")).distinct()
-    return bus.join(v("stop_point"), "ars").groupBy("node").agg(F.avg("lng").alias("lng"), F.min("name").alias("name"))
+    found = demand.found_nodes("Stop 1".lower(), v("subway_station"), v("inner_stop"), v("outer_stop"), v("node_map"))
+    return found.select("mode", "node", "name", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"))
 
 
 @query("qry_dong_points", "SELECT dong, (x0 + x1) / 2 AS lng, (y0 + y1) / 2 AS lat FROM district")
@@ -749,11 +756,6 @@ def _(v):
     return out.withColumn("ratio", num.steep_ratio(C("steep"), C("measured"))).orderBy(F.desc_nulls_last("ratio"), "dong")
 
 
-@query("dom_terrain_steep", "SELECT node, dong, slope FROM terrain WHERE slope > 8")
-def _(v):
-    return v("terrain").where("slope > 8").select("node", "dong", "slope")
-
-
 @query("val_terrain_diag", "SELECT method, count(*) AS n, CAST(count(*) FILTER (WHERE slope >= 8) AS BIGINT) AS steep FROM terrain GROUP BY method")
 def _(v):
     return v("terrain").groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(C("slope") >= 8).alias("steep"))

@@ -38,9 +38,9 @@ def _(v):
     return read.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.count("board_ars").alias("stops"), F.sum(C("passengers").cast("long")).alias("passengers"))
 
 
-@query("src_csv_od", f"SELECT {_OD_TEXT} FROM raw_od WHERE board_name LIKE '%가상%'")
+@query("src_csv_od", f"SELECT {_OD_TEXT} FROM raw_od")
 def _(v):
-    rows = _od_text(v).where(C("board_name").contains("가상"))
+    rows = _od_text(v)
     path = _folder(rows, "od")
     sinks.write_delimited(rows, path, "|", None)
     return files.read_delimited(rows.sparkSession, path, _OD, "|")
@@ -178,39 +178,57 @@ def _(v):
     return rows.sparkSession.read.schema(rows.schema).option("header", True).csv(path)
 
 
-_MONTHS = "SELECT use_ym, route, ars, hour, sum(boardings) AS boardings FROM boarding_month WHERE use_ym IN ({0}) GROUP BY use_ym, route, ars, hour"
+_MONTHS = "SELECT use_ym, route, ars, hour, sum(boardings) AS boardings FROM boarding_month WHERE {0} GROUP BY use_ym, route, ars, hour"
 
 
-def _put_month(month, root: str, ym: int, finished: bool = True):
-    month.where(C("use_ym") == ym).write.parquet(f"{root}/in/ym={ym}/data")
-    if finished:
-        files.put_text(month.sparkSession, f"{root}/in/ym={ym}/manifest.json", f'{{"ym": {ym}}}')
+def _put_months(rows, root: str, unfinished=lambda ym: False):
+    """Every month of the rows in its folder, and the manifests of those that are finished, written last."""
+    spark = rows.sparkSession
+    rows.withColumn("ym", C("use_ym")).write.partitionBy("ym").parquet(f"{root}/arrived")
+    months = sorted(int(n.removeprefix("ym=")) for n in files.names_in(spark, f"{root}/arrived") if n.startswith("ym="))
+    for ym in months:
+        files.move(spark, f"{root}/arrived/ym={ym}", f"{root}/in/ym={ym}/data")
+        if not unfinished(ym):
+            files.put_text(spark, f"{root}/in/ym={ym}/manifest.json", f'{{"ym": {ym}}}')
 
 
 def _run(spark, root: str):
     monthly.load_finished_months(spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
 
 
-@query("str_manifest_last", _MONTHS.format("199601, 199603"))
+@query("str_manifest_last", _MONTHS.format("use_ym % 3 <> 1"))
 def _(v):
-    """Three months, of which one was interrupted before its manifest."""
+    """All months, of which every third was interrupted before its manifest."""
     month = v("boarding_month")
     root = _folder(month, "months")
-    for ym in (199601, 199602, 199603):
-        _put_month(month, root, ym, ym != 199602)
+    _put_months(month, root, lambda ym: ym % 3 == 1)
     _run(month.sparkSession, root)
     return month.sparkSession.read.parquet(f"{root}/out").select("use_ym", "route", "ars", "hour", "boardings")
 
 
-@query("str_catch_up", _MONTHS.format("199601, 199602, 199603"))
+@query("str_catch_up", _MONTHS.format("true"))
 def _(v):
-    """A first run loads one month; a later one finds the two that came since, and a third finds nothing."""
+    """A first run loads the months up to 1998; a later one finds those that came since, and a third finds nothing."""
     month = v("boarding_month")
     root = _folder(month, "catchup")
-    _put_month(month, root, 199601)
-    _run(month.sparkSession, root)
-    for ym in (199602, 199603):
-        _put_month(month, root, ym)
-    _run(month.sparkSession, root)
-    _run(month.sparkSession, root)
+    for part in ("use_ym <= 199812", "use_ym > 199812", None):
+        if part:
+            _put_months(month.where(part), f"{root}/{len(part)}", lambda ym: True)
+            for name in files.names_in(month.sparkSession, f"{root}/{len(part)}/in"):
+                files.move(month.sparkSession, f"{root}/{len(part)}/in/{name}", f"{root}/in/{name}")
+                files.put_text(month.sparkSession, f"{root}/in/{name}/manifest.json", name)
+        _run(month.sparkSession, root)
     return month.sparkSession.read.parquet(f"{root}/out").select("use_ym", "route", "ars", "hour", "boardings")
+
+
+@query("str_resume", "SELECT use_ym, route, ars, hour, boardings, visit FROM boarding_month")
+def _(v):
+    """Batches of twelve months; the run ends after the third, and a second one resumes at the first that isn't committed."""
+    month = v("boarding_month")
+    spark, root = month.sparkSession, _folder(month, "resume")
+    ledger = monthly.Ledger(spark, f"{root}/ledger")
+    number = C("use_ym").cast("int") / 100 - 1992
+    last = month.agg(F.max("use_ym")).first()[0]
+    for stop in (2, None):
+        monthly.write_in_batches(month, F.floor(number), (last or 199200) // 100 - 1991, f"{root}/out", ledger, stop)
+    return spark.read.schema(month.schema).parquet(f"{root}/out").select(*month.columns)

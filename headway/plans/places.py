@@ -290,6 +290,18 @@ def _(v):
     return terrain.active(v("district").sparkSession, root)[1]
 
 
+_PUBLISHED = f"""(SELECT s.node_id, coalesce(i.dong, b.dong) AS dong, CASE WHEN CAST(s.node_id AS INT) % 34 <> 1 THEN s.slope END AS slope FROM {_RAW} s
+    LEFT JOIN ({_in('s.lng > x0 AND s.lng < x1 AND s.lat > y0 AND s.lat < y1')}) i ON i.node_id = s.node_id LEFT JOIN ({_in('s.lng BETWEEN x0 AND x1 AND s.lat BETWEEN y0 AND y1')}) b ON b.node_id = s.node_id)"""
+
+
+@query("dom_terrain_steep", f"SELECT node_id, dong, slope AS slope_pct, 'first' AS dataset, (SELECT count(*) FROM {_PUBLISHED}) AS stops, (SELECT CAST(count(slope) AS BIGINT) FROM {_PUBLISHED}) AS measured FROM {_PUBLISHED} WHERE slope > 8")
+def _(v):
+    spark = v("district").sparkSession
+    root = work_folder(spark, "terrain")
+    terrain.publish(root, "first", terrain.checked_stops(_raw_terrain(v)), v("district"), 0.02)
+    return terrain.steep(spark, root)
+
+
 @query("dom_terrain_activate", "SELECT CAST(count(*) AS BIGINT) AS stops, CAST(count(*) FILTER (WHERE k % 17 <> 0 AND k % 34 <> 1) AS BIGINT) AS measured FROM stop_point WHERE k % 2 = 1")
 def _(v):
     """Two datasets, of which the one that isn't the latest becomes active again."""

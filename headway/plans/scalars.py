@@ -99,7 +99,8 @@ scalar("sc_gradient_color", "messy", ["k"], lambda: num.gradient_color(_PC()),
        " FROM (SELECT greatest(0e0, least((k % 1200 / 10e0 - 10) / 100, 1e0)) * 4 AS s))))")
 scalar("sc_slope_band", "terrain", ["node"], lambda: num.slope_band(F.col("slope")), "CASE WHEN slope IS NULL THEN 'none' WHEN slope <= 4 THEN '0-4' WHEN slope <= 8 THEN '4-8' WHEN slope <= 12 THEN '8-12' ELSE '12+' END")
 scalar("sc_log_breaks", "messy", ["k"], lambda: F.element_at(num.log_breaks(1.0, F.col("k") % 90 + 10.0, 4), 2), "round(1e0 * exp(ln((k % 90 + 10e0) / 1e0) / 4 * 2), 1)")
-scalar("sc_fixed_scale", "messy", ["k"], lambda: F.lit(12.5) * (F.col("k") % 24 + 1), "12.5e0 * (k % 24 + 1)")
+scalar("sc_fixed_scale", "messy", ["k"], lambda: num.fixed_scale((F.col("k") % 50) * 2.5, F.when(F.col("k") % 9 > 0, F.col("k") % 12), F.col("k") % 12 + F.col("k") % 5, F.col("k") % 7 > 0),
+    "CASE WHEN k % 9 > 0 AND k % 7 > 0 AND k % 50 > 0 THEN (k % 50) * 2.5e0 * (k % 5 + 1) END")
 scalar("sc_shade", "typical", ["route", "board_seq", "alight_seq"], lambda: F.round(num.shade(F.col("passengers"), F.lit(400.0)), 9), "round(0.08e0 + 0.67e0 * sqrt(passengers / 400e0), 9)")
 scalar("sc_percent", "typical", ["route", "board_seq", "alight_seq"], lambda: num.percent_text(F.col("passengers"), F.lit(1024) * (F.col("board_seq") % 5)), "CASE WHEN board_seq % 5 > 0 THEN printf('%.1f%%', floor(passengers * 100e0 / (1024 * (board_seq % 5)) * 10 + 0.5) / 10) ELSE '-' END")
 scalar("sc_steep_ratio", "messy", ["k"], lambda: num.steep_ratio(F.col("k") % 13, F.col("k") % 29), "CASE WHEN k % 29 <> 0 THEN CAST(round(CAST((k % 13) * 100 AS DECIMAL(20, 4)) / CAST(k % 29 AS DECIMAL(20, 4)), 1) AS DOUBLE) END")
@@ -131,9 +132,19 @@ def _covers(v):
     return pairs.where(geo.covers(F.col("lng"), F.col("lat"), ring)).select("dong", "ars", geo.contains(F.col("lng"), F.col("lat"), ring).alias("inside"))
 
 
-@query("sp_validity", "SELECT dong, true AS valid FROM district")
+@query("sp_validity", """SELECT dong, kind, kind IN ('whole', 'turned') AS valid FROM (SELECT dong, unnest(['whole', 'turned', 'open', 'short', 'crossed', 'far', 'twice', 'null', 'missing']) AS kind FROM district)""")
 def _valid(v):
-    return v("district").select("dong", geo.is_valid_ring(_ring(v)).alias("valid"))
+    """The area's ring as it is and in other direction, and spoiled in several ways."""
+    ring = _ring(v)
+    corner = lambda i: F.get(ring, F.lit(i))
+    rings = {
+        "whole": ring, "turned": F.reverse(ring), "open": F.slice(ring, 1, 4), "short": F.array(corner(0), corner(1), corner(0)),
+        "crossed": F.array(corner(0), corner(2), corner(1), corner(3), corner(0)), "far": F.transform(ring, lambda p: F.struct((p["lng"] + 60).alias("lng"), p["lat"].alias("lat"))),
+        "twice": F.concat(F.slice(ring, 1, 4), ring), "null": F.transform(ring, lambda p, i: F.struct(F.when(i != 2, p["lng"]).alias("lng"), p["lat"].alias("lat"))), "missing": F.when(F.lit(False), ring),
+    }
+    kind = "struct<kind:string,ring:array<struct<lng:double,lat:double>>>"
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), r.alias("ring")).cast(kind) for k, r in rings.items()]))
+    return v("district").select("dong", each.alias("x")).select("dong", "x.kind", geo.is_valid_ring(F.col("x.ring")).alias("valid"))
 
 
 @query("sc_quantile_breaks", """SELECT route, CAST(len(list_filter([b1, b2, b3, b4], lambda b: passengers >= b)) AS INT) AS class, count(*) AS n FROM (SELECT route, passengers,

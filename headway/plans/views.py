@@ -98,6 +98,10 @@ VIEWS: dict[str, str] = {
     "master_node": """SELECT ars, concat('1', ars, '000') AS node, name FROM stop_point WHERE k % 4 <> 0 UNION ALL SELECT ars, concat('2', ars, '000'), name FROM stop_point WHERE k % 50 = 0
         UNION ALL SELECT '00000', concat('7', ars, '000'), concat('stop ', CAST(k AS STRING)) FROM stop_point WHERE k <= 4 UNION ALL SELECT '00000', '799999999', 'stop 3' FROM stop_point WHERE k = 1""",
     "outer_node": """SELECT ars, concat('8', ars, '000') AS node FROM stop_point WHERE k % 4 = 0 UNION ALL SELECT ars, concat('6', ars, '000') FROM stop_point WHERE k % 40 = 0""",
+    "subway_station": "SELECT concat('Stop ', CAST(k % 40 AS STRING)) AS name, lng * 1e0 AS lng, lat * 1e0 AS lat FROM stop_point WHERE k % 5 = 0",
+    "inner_stop": "SELECT ars, name, lng * 1e0 AS lng, lat * 1e0 AS lat FROM stop_point WHERE k % 3 <> 0",
+    "outer_stop": "SELECT concat('c', CAST(k AS STRING)) AS canonical, ars, name, lng * 1e0 AS lng, lat * 1e0 AS lat FROM stop_point WHERE k % 2 = 0",
+    "node_map": "SELECT concat('c', CAST(k AS STRING)) AS canonical, CAST(k - k % 4 AS STRING) AS node FROM stop_point",
     "holiday": """SELECT CAST('1996-01-01' AS DATE) AS date UNION SELECT CAST('1996-05-05' AS DATE) UNION SELECT CAST('1997-03-03' AS DATE)
         UNION SELECT CAST('2024-01-01' AS DATE) UNION SELECT CAST('1999-12-24' AS DATE) UNION SELECT CAST('2000-02-29' AS DATE)""",
 }

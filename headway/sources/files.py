@@ -153,6 +153,15 @@ def names_in(spark: SparkSession, folder: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a file or folder; the folder it goes to is made if need be."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(new).getParent())
+    if not fs.rename(path(old), path(new)):
+        raise OSError(f"{old} can't become {new}")
+
+
 def get_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r["value"] for r in spark.read.text(path).collect())
 
