@@ -70,7 +70,7 @@ def month_index(ym: Column) -> Column:
 def period_error(c: Column) -> Column:
     p = period(c)
     months = month_index(p["to"]) - month_index(p["from"]) + 1
-    wrong = F.when(p.isNull(), "period must be YYYY-MM or YYYY-MM..YYYY-MM").when(months < 1, "period ends before it starts").when(months > MOST_MONTHS, f"period is at most {MOST_MONTHS} months")
+    wrong = F.when(p.isNull(), "period must be YYYY-MM or YYYY-MM..YYYY-MM").when(months < 1, "the first month comes after the last").when(months > MOST_MONTHS, f"no more than {MOST_MONTHS} months at once")
     return F.when(~blank(c), wrong)
 
 

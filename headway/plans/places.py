@@ -137,7 +137,7 @@ _H = "CASE CAST(k % 9 AS INT) WHEN 0 THEN '' WHEN 1 THEN '7-9' WHEN 2 THEN '8' W
 _L = "CASE CAST(k % 7 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'saturday' WHEN 2 THEN 'typical_sunday_holiday' WHEN 3 THEN '20240101' WHEN 4 THEN ' weekday ' WHEN 5 THEN 'typical_' ELSE '' END"
 
 
-@query("val_period_hours", """SELECT k, CASE CAST(k % 8 AS INT) WHEN 3 THEN 'period is at most 12 months' WHEN 4 THEN 'period ends before it starts' WHEN 5 THEN 'period must be YYYY-MM or YYYY-MM..YYYY-MM' WHEN 6 THEN 'period must be YYYY-MM or YYYY-MM..YYYY-MM' END AS period,
+@query("val_period_hours", """SELECT k, CASE CAST(k % 8 AS INT) WHEN 3 THEN 'no more than 12 months at once' WHEN 4 THEN 'the first month comes after the last' WHEN 5 THEN 'period must be YYYY-MM or YYYY-MM..YYYY-MM' WHEN 6 THEN 'period must be YYYY-MM or YYYY-MM..YYYY-MM' END AS period,
     CASE CAST(k % 9 AS INT) WHEN 3 THEN 'hours must be 0 to 23' WHEN 4 THEN 'hours must run forward' WHEN 5 THEN 'hours must be H or H-H' WHEN 7 THEN 'hours must be H or H-H' END AS hours FROM messy""")
 def _(v):
     return v("messy").select("k", par.period_error(F.expr(_P)).alias("period"), par.hours_error(F.expr(_H)).alias("hours"))

@@ -13,9 +13,57 @@ from pyspark.sql import functions as F
 ENCODINGS = ("utf-8-sig", "cp949")
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str = ",", encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """Text columns of delimited files with a header, in the first encoding that decodes each file. A file whose header
-    isn't exactly ``columns`` fails; an empty field is null. Files are read whole, one by one, inside tasks."""
+def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str = ",", encodings: tuple[str, ...] = ENCODINGS, multiline: bool = False) -> DataFrame:
+    """Text columns of delimited files with a header, in the first encoding that decodes each file. A file whose header isn't
+    exactly ``columns`` fails; an empty field is null.
+
+    Files are split by Spark's line reader, which keeps bytes as they are, so that one file of any size is read by several tasks. A
+    first pass finds the encodings that decode every line of a file (a row per file comes back), a second one parses. Fields that
+    hold line ends need ``multiline``, with which each file is read whole in one task.
+    """
+    if multiline:
+        return _read_whole(spark, path, columns, sep, encodings)
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("first"))
+
+    def decodable(batches):
+        left: dict = {}
+        for batch in batches:
+            for line, where in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                known = left.setdefault(where, list(encodings))
+                for encoding in [] if line.isascii() else list(known):
+                    try:
+                        line.decode(encoding)
+                    except UnicodeDecodeError:
+                        known.remove(encoding)
+        yield pa.RecordBatch.from_arrays([pa.array(list(left), pa.string()), pa.array(list(left.values()), pa.list_(pa.string()))], ["path", "left"])
+
+    found = lines.select("line", "path").mapInArrow(decodable, "path string, left array<string>").groupBy("path").agg(F.collect_list("left").alias("left"))
+    chosen = {r["path"]: next((e for e in encodings if all(e in part for part in r["left"])), None) for r in found.collect()}
+    for where, encoding in chosen.items():
+        if encoding is None:
+            raise ValueError(f"{where} is in none of {encodings}")
+
+    def run(batches):
+        import csv
+
+        begun = set()
+        for batch in batches:
+            part = []
+            for line, where, first in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                text = line.decode(chosen[where])
+                row = next(csv.reader([text.removeprefix("\ufeff") if first else text], delimiter=sep), None)
+                if first and where not in begun:  # the lines of a block come one after another
+                    begun.add(where)
+                    if row != columns:
+                        raise ValueError(f"{where} has the columns {row}, not {columns}")
+                elif row:
+                    part.append([x or None for x in row] + [None] * (len(columns) - len(row)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*part)] if part else [pa.array([], pa.string())] * len(columns), columns)
+
+    return lines.mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
+
+
+def _read_whole(spark: SparkSession, path: str, columns: list[str], sep: str, encodings: tuple[str, ...]) -> DataFrame:
     import csv
 
     def run(batches):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import geo, numbers
 from headway.operators import demand, hourly, lookups, models
+from headway.sources import files
 from headway.streaming import monthly
 
 PLACE = "name string, lat double, lng double"
@@ -66,3 +67,21 @@ def test_fixed_scales_pattern_sums_and_scores(spark):
     got = models.scores(scored)
     assert (got["mae"], got["rmse"], got["r2"]) == pytest.approx((1.0, (5 / 3) ** 0.5, 1 - 5 / 8))
     assert got["log_mae"] > 0 and models.scores(scored.withColumn("prediction", F.col("boardings")))["log_r2"] == 1
+
+
+def test_one_delimited_file_is_read_by_several_tasks(spark, tmp_path):
+    for name, encoding, text in (("a.csv", "cp949", "강남"), ("b.csv", "utf-8-sig", "한강"), ("c.csv", "utf-8", "plain")):
+        lines = ["name,n", *[f"{text}{i},{i}" if i % 7 else f',"{i},x"' for i in range(3000)]]
+        (tmp_path / name).write_bytes("\n".join(lines).encode(encoding))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = files.read_delimited(spark, str(tmp_path), ["name", "n"])
+        assert df.rdd.getNumPartitions() > 8
+        got = sorted(map(tuple, df.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted([(f"{t}{i}", str(i)) if i % 7 else (None, f"{i},x") for t in ("강남", "한강", "plain") for i in range(3000)], key=str)
+    assert sorted(map(tuple, files.read_delimited(spark, str(tmp_path), ["name", "n"], multiline=True).collect()), key=str) == got
+    (tmp_path / "d.csv").write_bytes(b"name,n\n\xff\xff\xff,1\n")
+    with pytest.raises(Exception, match="in none of"):
+        files.read_delimited(spark, str(tmp_path), ["name", "n"])
