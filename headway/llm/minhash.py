@@ -8,8 +8,9 @@ sets. Documents of equal sets are one class from the start, so copies never make
 Buckets are resolved in two steps that lose no pair:
 
 1. each member is verified against the bucket's smallest document (at most one pair per row of the bucket);
-2. buckets whose other members are not all linked by then are joined to families, and the members of a family are
-   compared in blocks inside tasks, which return only the links that join two components.
+2. of buckets whose other members are not all linked by then, signatures are compared in blocks inside tasks: of a whole
+   group of connected buckets where that fits in one block, of each bucket by itself otherwise. What may be linked forms
+   families, and only texts of families are read, compared in blocks that return the links that join two components.
 
 Links are between classes of equal sets (``node``, a hash of the set), so rows of one id with different texts are
 decided each by its own text. An empty text, a null text or a text without words gets a set of size 0, no link, and
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import binary_array, saved, text_slices
+from .shared import binary_array, forget, saved, text_slices
 
 WORDS = 5
 THRESHOLD = 0.75
@@ -35,8 +36,8 @@ THRESHOLD = 0.75
 BANDS, ROWS = 32, 4
 #: Signature values compared before each decision, and the chance to drop a pair at the threshold in one of them.
 BATCH, MISS = 32, 1e-6
-#: Documents and characters in a block of a family.
-BLOCK, BLOCK_CHARS = 256, 4 << 20
+#: Documents and characters in a block of a family, and signatures in a block of a bucket (about 400 bytes each).
+BLOCK, BLOCK_CHARS, BLOCK_SIGS = 256, 4 << 20, 4096
 #: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -217,8 +218,9 @@ def _verify_pairs(words: int, hundredths: int):
     return run
 
 
-def _verify_block(words: int, hundredths: int, need: list[int]):
-    """Links between documents of one block, or of two: each joins two components that nothing joined before."""
+def _compare_block(words: int, hundredths: int, need: list[int], texts: bool):
+    """Links between documents of one block, or of two: each joins two components that nothing joined before. Without
+    ``texts``, the pairs that signatures leave open, each of which joins two families."""
 
     def run(key, t):
         ids, label = t["doc_id"].to_numpy(), t["label"].to_numpy()
@@ -227,7 +229,8 @@ def _verify_block(words: int, hundredths: int, need: list[int]):
         chunk, n = t["chunk"].to_numpy(), t["n_shingles"].to_numpy()
         sig = _sig_matrix(t["sig"].combine_chunks())
         bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
-        parent = {x: x for x in label.tolist()}
+        joins = label if texts else ids
+        parent = {x: x for x in joins.tolist()}
 
         def root(x):
             while parent[x] != x:
@@ -236,7 +239,7 @@ def _verify_block(words: int, hundredths: int, need: list[int]):
             return x
 
         sets: dict[int, np.ndarray] = {}
-        text = t["text"].combine_chunks()
+        text = t["text"].combine_chunks() if texts else None
 
         def whole(i: int) -> np.ndarray:
             if i not in sets:
@@ -255,8 +258,8 @@ def _verify_block(words: int, hundredths: int, need: list[int]):
                 continue
             j = j[_stays(np.broadcast_to(sig[i], (len(j), BANDS * ROWS)), sig[j], need)]
             for k in j.tolist():
-                p, q = root(int(label[i])), root(int(label[k]))
-                if p != q and _linked(whole(i), whole(k), hundredths):
+                p, q = root(int(joins[i])), root(int(joins[k]))
+                if p != q and (not texts or _linked(whole(i), whole(k), hundredths)):
                     parent[max(p, q)] = min(p, q)
                     found.append((int(ids[i]), int(ids[k])))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
@@ -264,6 +267,19 @@ def _verify_block(words: int, hundredths: int, need: list[int]):
     return run
 
 
+def _in_blocks(rows: DataFrame, group: str | list[str], blocks: DataFrame) -> DataFrame:
+    """Rows of each group once per pair of its blocks (``low``, ``high``) that holds theirs (``chunk``)."""
+    return (
+        rows.join(blocks, group)
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("low", F.least("chunk", "other"))
+        .withColumn("high", F.greatest("chunk", "other"))
+        .drop("other", "blocks")
+        .withColumnRenamed("node", "doc_id")
+    )
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``node`` and text of the documents whose id and tag are in ``ids`` (a saved table): by broadcast up to
     BROADCAST_IDS ids, else by shuffle."""
@@ -330,6 +346,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, thr
     )
     links = saved(near.mapInArrow(_verify_pairs(words, hundredths), "a long, b long"), "links")
     labels = saved(components(links), "labels")
+    for used in (likely, wanted, links):
+        forget(used)
 
     # 2. buckets whose members besides the head are in several components
     labelled = members.join(labels, "node", "left").withColumn(
@@ -344,34 +362,49 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, thr
     left = saved(
         labelled.where("node > head")
         .join(open_buckets.select("band", "bucket", "hub"), ["band", "bucket"])
-        .select("node", "label", "hub")
-        .distinct(),
+        .select("node", "label", "hub", F.xxhash64("band", "bucket").alias("bucket")),
         "left",
     )
-    family = components(left.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    grown = components(left.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    near_by = saved(left.select("node", "label", "bucket").join(grown.withColumnRenamed("component", "grown"), "node"), "near_by")
+    for used in (members, left, grown):
+        forget(used)
+    wide = near_by.groupBy("grown").agg(F.count_distinct("node").alias("n")).where(F.col("n") > BLOCK_SIGS).select("grown")
+    whole = near_by.join(wide, "grown", "left_anti").select("node", "label", F.col("grown").alias("bucket")).distinct()
+    apart = near_by.join(wide, "grown", "left_semi").select("node", "label", "bucket")
+    compared = saved(whole.withColumn("kind", F.lit(0)).unionByName(apart.withColumn("kind", F.lit(1))), "compared")
+    blocks = compared.groupBy("kind", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SIGS).cast("int").alias("blocks"))
+    signed = compared.join(reps.drop("doc_id", "tag"), "node")
+    open_pairs = (
+        _in_blocks(signed, ["kind", "bucket"], blocks)
+        .groupBy("kind", "bucket", "low", "high")
+        .applyInArrow(_compare_block(words, hundredths, need, False), "a long, b long")
+    )
+    family = saved(components(open_pairs), "family")
+    forget(compared)
     placed = (
-        left.select("node", "label").distinct()
-        .join(family.select("node", F.col("component").alias("family")), "node")
+        family.select("node", F.col("component").alias("family"))
+        .join(near_by.select("node", "label").distinct(), "node")
         .join(reps.select("node", "doc_id", "tag"), "node")
     )
     ids = saved(placed, "placed")
+    for used in (near_by, family):
+        forget(used)
     rest = _only(texts, ids).join(ids.select("node", "label", "family"), "node").join(reps.drop("doc_id", "tag"), "node")
     sizes = rest.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     blocks = sizes.select(
         "family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
     )
-    grouped = (
-        rest.join(blocks, "family")
-        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("chunk", "other"))
-        .withColumn("high", F.greatest("chunk", "other"))
-        .select("family", "low", "high", "chunk", F.col("node").alias("doc_id"), "label", "n_shingles", "bands", "sig", "text")
+    more = (
+        _in_blocks(rest, "family", blocks)
+        .groupBy("family", "low", "high")
+        .applyInArrow(_compare_block(words, hundredths, need, True), "a long, b long")
     )
-    more = grouped.groupBy("family", "low", "high").applyInArrow(_verify_block(words, hundredths, need), "a long, b long")
     joined = saved(components(
         labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     ), "joined")
+    for used in (labels, ids):
+        forget(used)
     smallest = joined.join(classes.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = joined.join(smallest, "component")
     placed = classes.select("set_a", "set_b", "class_id", "node").join(named, "node", "left")
