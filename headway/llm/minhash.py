@@ -8,9 +8,9 @@ sets. Documents of equal sets are one class from the start, so copies never make
 Buckets are resolved in two steps that lose no pair:
 
 1. each member is verified against the bucket's smallest document (at most one pair per row of the bucket);
-2. of buckets whose other members are not all linked by then, signatures are compared in blocks inside tasks: of a whole
-   group of connected buckets where that fits in one block, of each bucket by itself otherwise. What may be linked forms
-   families, and only texts of families are read, compared in blocks that return the links that join two components.
+2. of buckets whose other members are not all linked by then, signatures are compared inside tasks, all buckets of one
+   second-smallest member together, in blocks of bounded size. What may be linked forms families, and only texts of
+   families are read, compared in blocks that return the links that join two components.
 
 Links are between classes of equal sets (``node``, a hash of the set), so rows of one id with different texts are
 decided each by its own text. An empty text, a null text or a text without words gets a set of size 0, no link, and
@@ -267,7 +267,7 @@ def _compare_block(words: int, hundredths: int, need: list[int], texts: bool):
     return run
 
 
-def _in_blocks(rows: DataFrame, group: str | list[str], blocks: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
     """Rows of each group once per pair of its blocks (``low``, ``high``) that holds theirs (``chunk``)."""
     return (
         rows.join(blocks, group)
@@ -362,33 +362,25 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, thr
     left = saved(
         labelled.where("node > head")
         .join(open_buckets.select("band", "bucket", "hub"), ["band", "bucket"])
-        .select("node", "label", "hub", F.xxhash64("band", "bucket").alias("bucket")),
+        .select("node", "label", "hub")
+        .distinct(),
         "left",
     )
-    grown = components(left.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    near_by = saved(left.select("node", "label", "bucket").join(grown.withColumnRenamed("component", "grown"), "node"), "near_by")
-    for used in (members, left, grown):
-        forget(used)
-    wide = near_by.groupBy("grown").agg(F.count_distinct("node").alias("n")).where(F.col("n") > BLOCK_SIGS).select("grown")
-    whole = near_by.join(wide, "grown", "left_anti").select("node", "label", F.col("grown").alias("bucket")).distinct()
-    apart = near_by.join(wide, "grown", "left_semi").select("node", "label", "bucket")
-    compared = saved(whole.withColumn("kind", F.lit(0)).unionByName(apart.withColumn("kind", F.lit(1))), "compared")
-    blocks = compared.groupBy("kind", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SIGS).cast("int").alias("blocks"))
-    signed = compared.join(reps.drop("doc_id", "tag"), "node")
+    forget(members)
+    blocks = left.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SIGS).cast("int").alias("blocks"))
     open_pairs = (
-        _in_blocks(signed, ["kind", "bucket"], blocks)
-        .groupBy("kind", "bucket", "low", "high")
+        _in_blocks(left.join(reps.drop("doc_id", "tag"), "node"), "hub", blocks)
+        .groupBy("hub", "low", "high")
         .applyInArrow(_compare_block(words, hundredths, need, False), "a long, b long")
     )
     family = saved(components(open_pairs), "family")
-    forget(compared)
     placed = (
         family.select("node", F.col("component").alias("family"))
-        .join(near_by.select("node", "label").distinct(), "node")
+        .join(left.select("node", "label").distinct(), "node")
         .join(reps.select("node", "doc_id", "tag"), "node")
     )
     ids = saved(placed, "placed")
-    for used in (near_by, family):
+    for used in (left, family):
         forget(used)
     rest = _only(texts, ids).join(ids.select("node", "label", "family"), "node").join(reps.drop("doc_id", "tag"), "node")
     sizes = rest.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
