@@ -77,26 +77,6 @@ def test_near_duplicates_at_the_threshold_in_chains_and_in_a_hot_group(spark):
     assert grouped(minhash.near_duplicates(df)) == groups([r[:2] for r in rows])
 
 
-@pytest.mark.parametrize("signatures, texts", [(8, 4), (64, 256), (4096, 4)])
-def test_near_duplicates_around_the_threshold_in_blocks_of_any_size(spark, monkeypatch, signatures, texts):
-    monkeypatch.setattr(minhash, "BLOCK_SIGS", signatures)
-    monkeypatch.setattr(minhash, "BLOCK", texts)
-    rng = random.Random(11)
-    docs = []
-    for family in range(3):  # texts that share buckets, some of them linked and some just not
-        base = [f"f{family}w{rng.randrange(4000)}" for _ in range(200)]
-        for k in range(60):
-            text = list(base)
-            for _ in range(rng.randrange(2, 9)):
-                text[rng.randrange(200)] = "x%d" % rng.randrange(10**6)
-            docs.append(" ".join(text))
-    rows = [(7 * i + 1, t) for i, t in enumerate(docs)]
-    want = groups(rows)
-    assert 3 < len({c for _, c in want.values()}) < 150
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert grouped(minhash.near_duplicates(df)) == want
-
-
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (None, "a b c d e f", "z")], "doc_id long, text string, component string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()), key=str)
