@@ -54,6 +54,13 @@ def month_counts(days: DataFrame, holidays: DataFrame) -> DataFrame:
     return counts
 
 
+def month_days(months: DataFrame, ym: str = "use_ym") -> DataFrame:
+    """All days of the months (numbers as 202401) that occur in a table; nulls are left out."""
+    number = F.col(ym).cast("int")
+    first = F.make_date(F.floor(number / 100).cast("int"), number % 100, F.lit(1))
+    return months.select(ym).distinct().select(F.explode(F.sequence(first, F.last_day(first))).alias("day"))
+
+
 def calendar(spark, first: str, last: str) -> DataFrame:
     """All days from the first to the last date."""
     return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))

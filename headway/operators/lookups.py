@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def holidays(lines: DataFrame) -> DataFrame:
+    """``date`` and ``name`` from lines of text (``line``, ``day``, ``name``): both trimmed, a line whose day isn't YYYY-MM-DD left
+    out, and the last line of a date taken."""
+    dated = lines.select("line", F.try_to_date(F.trim("day"), "yyyy-MM-dd").alias("date"), F.trim("name").alias("name")).where("date is not null")
+    return dated.groupBy("date").agg(F.max_by("name", "line").alias("name"))
+
+
 def unambiguous(table: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys with exactly one distinct non-empty value: ``keys`` and ``value``."""
     rows = table.where(F.col(value).isNotNull() & (F.col(value) != ""))

@@ -10,6 +10,7 @@ from ..functions import geo
 from ..functions import identifiers as ids
 from ..functions import numbers as num
 from ..operators import cohorts, demand, districts, hourly, lookups, models, od_cleaning, paths, quality, recovery, route_load, segments, spatial
+from ..sources import sinks
 from .views import query
 
 C = F.col
@@ -430,11 +431,11 @@ def _(v):
 
 # ---------------------------------------------------------------- profiles
 
-@query("agg_month_counts", """SELECT use_ym, %s FROM (SELECT CAST(year(d) * 100 + month(d) AS INT) AS use_ym, CASE WHEN h.date IS NOT NULL THEN 'sun_holiday' ELSE CASE isodow(d) WHEN 1 THEN 'mon' WHEN 2 THEN 'tue' WHEN 3 THEN 'wed' WHEN 4 THEN 'thu' WHEN 5 THEN 'fri' WHEN 6 THEN 'sat' ELSE 'sun_holiday' END END AS t
-    FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-08-31', INTERVAL 1 DAY)) AS DATE) AS d) LEFT JOIN holiday h ON h.date = d) GROUP BY use_ym""" % ", ".join(f"CAST(count(*) FILTER (WHERE t = '{d}') AS BIGINT) AS {d}" for d in cal.DAY_TYPES))
+@query("agg_month_counts", """SELECT use_ym, %s FROM (SELECT use_ym, CASE WHEN h.date IS NOT NULL THEN 'sun_holiday' ELSE CASE isodow(d) WHEN 1 THEN 'mon' WHEN 2 THEN 'tue' WHEN 3 THEN 'wed' WHEN 4 THEN 'thu' WHEN 5 THEN 'fri' WHEN 6 THEN 'sat' ELSE 'sun_holiday' END END AS t
+    FROM (SELECT use_ym, CAST(unnest(generate_series(first, last_day(first), INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT DISTINCT use_ym, make_date(use_ym // 100, use_ym %% 100, 1) AS first FROM boarding_month)) LEFT JOIN holiday h ON h.date = d) GROUP BY use_ym""" % ", ".join(f"CAST(count(*) FILTER (WHERE t = '{d}') AS BIGINT) AS {d}" for d in cal.DAY_TYPES))
 def _(v):
-    h = v("holiday")
-    return hourly.month_counts(hourly.calendar(h.sparkSession, "1995-01-01", "2001-08-31"), h)
+    """The months that have counts."""
+    return hourly.month_counts(hourly.month_days(v("boarding_month")), v("holiday"))
 
 
 @query("agg_holiday_coverage", "SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year FROM orders WHERE year(o_orderdate) NOT IN (SELECT year(date) FROM holiday)")
@@ -574,10 +575,13 @@ def _(v):
     return most.select("hour", F.round("most", 4).alias("most"), F.round(F.max("most").over(Window.partitionBy()), 4).alias("of_day"))
 
 
-@query("qry_profiles_default", "SELECT CAST(h AS INT) AS hour, round(" + _DEF + "[h + 1] / list_sum(" + _DEF + "), 9) AS share FROM (SELECT unnest(range(24)) AS h)")
+@query("qry_profiles_default", f"""SELECT t.route || '|' || t.ars AS key, CAST(h.hour AS INT) AS hour, round({_SHARE}, 9) AS share, NOT coalesce(f.total > 0, false) AS by_default
+    FROM (SELECT DISTINCT route, ars FROM route_stop) t CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN {_FULL} f ON f.route = t.route AND f.ars = t.ars LEFT JOIN {_SUMS} q ON q.route = t.route AND q.ars = t.ars AND q.hour = h.hour""")
 def _(v):
-    spark = v("holiday").sparkSession
-    return spark.createDataFrame([(h, x) for h, x in enumerate(hourly.default_profile())], "hour int, share double").withColumn("share", F.round("share", 9))
+    """The profile of every stop of every route, by ``route|stop``; the default stands in where a stop has none."""
+    found = hourly.with_profile(v("route_stop").select("route", "ars").distinct(), hourly.day_profiles(v("hour_count")))
+    rows = found.select(F.concat_ws("|", "route", "ars").alias("key"), F.posexplode("used").alias("hour", "share"), (C("method") != hourly.FITTED).alias("by_default"))
+    return rows.withColumn("share", F.round("share", 9))
 
 
 @query("qry_hourly_pairs", "SELECT ars, sum(boardings) AS boardings FROM boarding_hour WHERE route = 'click' AND hour = 8 GROUP BY ars HAVING sum(boardings) > 0")
@@ -791,10 +795,11 @@ def _(v):
     return lookups.first_per(v("stop_point").dropna(), ["name"], [C("k").asc()]).select("name", "k", ids.zero_fill(C("k").cast("string"), 5).alias("ars"))
 
 
-@query("trf_holidays", "SELECT DISTINCT date FROM holiday")
+@query("trf_holidays", "SELECT date, name FROM (SELECT CAST(trim(day) AS DATE) AS date, trim(name) AS name, row_number() OVER (PARTITION BY trim(day) ORDER BY line % 2 DESC, line DESC) AS r FROM holiday_line WHERE line % 7 > 2) WHERE r = 1")
 def _(v):
-    text = v("holiday").select(F.concat(F.lit(" "), C("date").cast("string")).alias("t"))
-    return text.select(F.try_to_date(F.trim("t"), "yyyy-MM-dd").alias("date")).where("date is not null").dropDuplicates(["date"])
+    """A second list is merged into the days of a first one."""
+    lines = v("holiday_line")
+    return sinks.upserted(lookups.holidays(lines.where("line % 2 = 0")), lookups.holidays(lines.where("line % 2 = 1")), ["date"])
 
 
 @query("trf_stop_master_export", "SELECT ars FROM stop_point WHERE k % 2 = 0 UNION SELECT ars FROM route_stop")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ranks
 from ..sources import files, paged_api, sinks
 from ..streaming import monthly
 from .views import query
@@ -46,16 +47,14 @@ def _(v):
     return files.read_delimited(rows.sparkSession, path, _OD, "|")
 
 
-@query("src_csv_flexible", "SELECT CAST(date AS STRING) AS day, CAST(NULL AS STRING) AS name FROM holiday UNION ALL SELECT CAST(date AS STRING), '공휴일' FROM holiday")
+@query("src_csv_flexible", f"SELECT {_OD_TEXT} FROM raw_od")
 def _(v):
-    """The same table once in each encoding; each file is read in the one that decodes it."""
-    days = v("holiday").select(C("date").cast("string").alias("day"), F.lit(None).cast("string").alias("name"))
-    root = _folder(days, "flexible")
-    sinks.write_delimited(days, f"{root}/utf8", ",", None)
-    spark = days.sparkSession
-    lines = [r[0] for r in v("holiday").select(C("date").cast("string")).orderBy("date").collect()]  # a calendar: some days a year
-    files.put_bytes(spark, f"{root}/cp949/days.csv", "".join(["day,name\n", *[f"{d},공휴일\n" for d in lines]]).encode("cp949"))
-    return files.read_delimited(spark, f"{root}/utf8", ["day", "name"]).unionByName(files.read_delimited(spark, f"{root}/cp949", ["day", "name"]))
+    """Days before 1995 in UTF-8, the rest and those without a day in cp949; each file is read in the encoding that decodes it."""
+    rows = _od_text(v)
+    root, early = _folder(rows, "flexible"), F.coalesce(C("service_date") < "1995", F.lit(False))
+    sinks.write_delimited(rows.where(early), f"{root}/utf8", ",", None)
+    sinks.write_encoded(rows.where(~early), f"{root}/cp949", "cp949")
+    return files.read_delimited(rows.sparkSession, f"{root}/*", _OD)
 
 
 @query("src_multi_csv_concat", "SELECT route, board_ars, sum(passengers) AS passengers FROM typical GROUP BY route, board_ars")
@@ -67,14 +66,19 @@ def _(v):
     return files.summed_folders(rows.sparkSession, [f"{root}/a", f"{root}/b"], ["route", "board_ars", "passengers"], ["route", "board_ars"], ["passengers"])
 
 
-@query("src_zip_members", "SELECT member, CAST(20 * rows AS BIGINT) AS bytes FROM (VALUES ('노선별OD_20240102.csv', 2), ('노선별OD_20240103.csv', 3)) t(member, rows)")
+@query("src_zip_members", "SELECT service_date AS day, route, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(passengers AS INT)) AS BIGINT) AS passengers FROM leg GROUP BY service_date, route")
 def _(v):
-    """Members of an archive whose names match."""
-    spark = v("holiday").sparkSession
-    path = files.work_folder(spark, "zips")
-    members = {"노선별OD_20240102.csv": b"x" * 40, "노선별OD_20240103.csv": b"y" * 60, "readme.txt": b"z"}
-    files.put_bytes(spark, f"{path}/month.zip", files.zipped(members))
-    return files.zip_members(spark, path, r"^노선별OD_\d{8}\.csv$").select("member", F.length("content").cast("long").alias("bytes"))
+    """The trips of a day and 20 routes are a member of their year's archive; read back are the members of a day's name."""
+    legs = v("leg").withColumns({"archive": F.concat_ws("-", F.year("service_date"), F.floor(F.substring("route", 2, 9).cast("int") / 20)), "member": F.concat(F.lit("노선별OD_"), F.date_format("service_date", "yyyyMMdd"), F.lit(".csv"))})
+    text = F.array_join(F.collect_list(F.concat_ws(",", "route", C("passengers").cast("int"))), "\n")
+    days = legs.groupBy("archive", "member").agg(F.encode(text, "UTF-8").alias("content"))
+    other = legs.select("archive", F.lit("readme.txt").alias("member"), F.encode(F.lit("one file a day"), "UTF-8").alias("content")).distinct()
+    path = _folder(legs, "zips")
+    files.write_archives(days.unionByName(other), path)
+    read = files.zip_members(legs.sparkSession, path, r"^노선별OD_\d{8}\.csv$")
+    lines = read.select(F.to_date(F.regexp_extract("member", r"(\d{8})", 1), "yyyyMMdd").alias("day"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
+    parts = lines.select("day", F.split_part("line", F.lit(","), F.lit(1)).alias("route"), F.split_part("line", F.lit(","), F.lit(2)).cast("long").alias("p"))
+    return parts.groupBy("day", "route").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("passengers"))
 
 
 @query("src_manifest", "SELECT route, board_ars, alight_ars, board_seq, alight_seq, passengers FROM typical")
@@ -86,17 +90,20 @@ def _(v):
     return files.read_export(rows.sparkSession, path, keys, ["passengers"])
 
 
-def _page(first: int, last: int) -> str:
-    """A page of the service: some rows have their stop under its older tag."""
-    rows = "".join(f"<row><USE_YM>202401</USE_YM><{'ARS' if i % 2 else 'STOP_ARS'}>{i:05d}</{'ARS' if i % 2 else 'STOP_ARS'}><N>{i % 7}</N></row>" for i in range(first, last + 1))
-    return f"<list><RESULT><CODE>INFO-000</CODE></RESULT>{rows}</list>"
-
-
-@query("src_xml_api", "SELECT lpad(CAST(i AS STRING), 5, '0') AS ars, CAST(h AS INT) AS hour, CAST(i % 7 AS BIGINT) AS n FROM (SELECT unnest(range(1, 2346)) AS i), (SELECT unnest(range(24)) AS h)")
+@query("src_xml_api", "SELECT CAST(use_ym AS STRING) AS use_ym, route, ars, CAST(h AS INT) AS hour, coalesce(sum(boardings) FILTER (WHERE hour = h), 0e0) AS riders FROM boarding_month, (SELECT unnest(range(24)) AS h) GROUP BY use_ym, route, ars, h")
 def _(v):
-    source = paged_api.page_source("headway_pages", _page, {"ars": ("STOP_ARS", "ARS"), "n": ("N",)}, 2345)
-    rows = paged_api.read_pages(v("holiday").sparkSession, source)
-    return rows.select("ars", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"), C("n").cast("long").alias("n"))
+    """Stored pages of the service, a column per hour; some rows have their stop under its older tag."""
+    hours = {h: files.api_hour_column(h) for h in range(24)}
+    month = v("boarding_month")
+    wide = month.groupBy("use_ym", "route", "ars").agg(*[F.sum(F.when(C("hour") == h, C("boardings").cast("long"))).alias(c) for h, c in hours.items()])
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))
+    stop = F.when(C("use_ym") % 2 == 1, tag("ARS", C("ars"))).otherwise(tag("STOP_ARS", C("ars")))
+    row = F.concat(F.lit("<row>"), tag("USE_YM", C("use_ym")), tag("ROUTE", C("route")), stop, *[F.coalesce(tag(c, C(c)), F.lit("")) for c in hours.values()], F.lit("</row>"))
+    numbered = ranks.placed(wide.select("use_ym", "route", "ars", row.alias("row")), [C("use_ym"), C("route"), C("ars")])
+    rows = F.array_join(F.collect_list("row"), "")
+    pages = numbered.groupBy(F.floor(C("place") / paged_api.PAGE_ROWS).alias("page")).agg(F.concat(F.lit(f"<list><RESULT><CODE>{paged_api.OK}</CODE></RESULT>"), rows, F.lit("</list>")).alias("xml"))
+    read = paged_api.stored_rows(pages, {"use_ym": ("USE_YM",), "route": ("ROUTE",), "ars": ("STOP_ARS", "ARS")} | {c: (c,) for c in hours.values()})
+    return files.wide_to_long(read, ["use_ym", "route", "ars"], files.hour_columns(read.columns))
 
 
 @query("src_route_api", "SELECT route, CASE WHEN rn % 4 = 0 THEN route || '|' || route || x ELSE route END AS variant FROM (SELECT DISTINCT route, CAST(substr(route, 2) AS INT) AS rn FROM route_stop) r, (VALUES ('A'), ('B')) t(x) WHERE (rn % 4 = 0 OR x = 'A') AND rn % 8 < 6")

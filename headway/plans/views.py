@@ -102,6 +102,9 @@ VIEWS: dict[str, str] = {
     "inner_stop": "SELECT ars, name, lng * 1e0 AS lng, lat * 1e0 AS lat FROM stop_point WHERE k % 3 <> 0",
     "outer_stop": "SELECT concat('c', CAST(k AS STRING)) AS canonical, ars, name, lng * 1e0 AS lng, lat * 1e0 AS lat FROM stop_point WHERE k % 2 = 0",
     "node_map": "SELECT concat('c', CAST(k AS STRING)) AS canonical, CAST(k - k % 4 AS STRING) AS node FROM stop_point",
+    # lines of a list of holidays, of which some have no day
+    "holiday_line": """SELECT o_orderkey AS line, CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN '' ELSE concat('  ', CAST(CAST(o_orderdate AS DATE) AS STRING), ' ') END AS day,
+        concat(' holiday ', CAST(o_orderkey % 9 AS STRING), '  ') AS name FROM orders""",
     "holiday": """SELECT CAST('1996-01-01' AS DATE) AS date UNION SELECT CAST('1996-05-05' AS DATE) UNION SELECT CAST('1997-03-03' AS DATE)
         UNION SELECT CAST('2024-01-01' AS DATE) UNION SELECT CAST('1999-12-24' AS DATE) UNION SELECT CAST('2000-02-29' AS DATE)""",
 }

@@ -125,10 +125,26 @@ def zip_members(spark: SparkSession, path: str, pattern: str = ".*") -> DataFram
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, content binary")
 
 
-def zipped(members: dict[str, bytes]) -> bytes:
-    """A small archive of named members."""
+def write_archives(members: DataFrame, folder: str) -> None:
+    """Zip archives of ``members`` (``archive``, ``member``, ``content``), a file each in a folder of the archive's name. A task
+    holds a whole archive, so give large sets of members several archives. A member that occurs twice in one fails."""
+
+    def run(key, t):
+        names = t["member"].to_pylist()
+        if len(set(names)) < len(names):
+            raise ValueError(f"{key[0].as_py()} has a member twice")
+        raw = zipped(dict(sorted(zip(names, t["content"].to_pylist()))), b"\n")
+        return pa.table({"archive": [key[0].as_py()], "raw": pa.array([raw[:-1]], pa.binary())})  # the writer ends the line
+
+    packed = members.groupBy("archive").applyInArrow(run, "archive string, raw binary")
+    packed.select("archive", F.col("raw").cast("string").alias("value")).write.mode("overwrite").partitionBy("archive").text(folder)
+
+
+def zipped(members: dict[str, bytes], comment: bytes = b"") -> bytes:
+    """A small archive of named members; its last bytes are the comment."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as archive:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.comment = comment
         for name, content in members.items():
             archive.writestr(name, content)
     return out.getvalue()

@@ -9,6 +9,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -47,6 +48,29 @@ def result_states(pages: DataFrame, xml: str = "xml", key: str = "") -> DataFram
     return pages.withColumns({"state": state, "message": message})
 
 
+def page_rows(page: ET.Element, columns: dict[str, tuple[str, ...]]):
+    """The rows of a page; ``columns`` maps each text column to the tags that may hold it, the first one that a row has counts."""
+    for row in page.iter("row"):
+        yield tuple(next((row.findtext(t) for t in tags if row.find(t) is not None), None) for tags in columns.values())
+
+
+def stored_rows(pages: DataFrame, columns: dict[str, tuple[str, ...]], xml: str = "xml", key: str = "") -> DataFrame:
+    """The rows of stored pages, as text columns. A page that isn't published has none; one with an error, or a null, fails."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                try:
+                    rows = list(page_rows(checked(text or "<none/>", key), columns))
+                except NotPublished:
+                    continue
+                arrays = zip(*rows) if rows else [[] for _ in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in arrays], list(columns))
+
+    return pages.select(xml).mapInArrow(run, schema)
+
+
 def page_source(name: str, fetch: Callable[[int, int], str], columns: dict[str, tuple[str, ...]], total: int, key: str = "") -> type[DataSource]:
     """A data source class; ``columns`` maps each text column to the tags that may hold it."""
 
@@ -61,9 +85,7 @@ def page_source(name: str, fetch: Callable[[int, int], str], columns: dict[str,
 
         def read(self, partition):
             if total:
-                page = checked(fetch(partition.first, min(total, partition.first + PAGE_ROWS - 1)), key)
-                for row in page.iter("row"):
-                    yield tuple(next((row.findtext(t) for t in tags if row.find(t) is not None), None) for tags in columns.values())
+                yield from page_rows(checked(fetch(partition.first, min(total, partition.first + PAGE_ROWS - 1)), key), columns)
 
     class Source(DataSource):
         @classmethod
