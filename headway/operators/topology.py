@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import kept_points
+from ..sources.files import saved
 
 POINT = "struct<lng:double,lat:double>"
 
@@ -72,8 +73,10 @@ def _thinned(points: Column, tolerance: float) -> Column:
 
 def simplified(areas: DataFrame, tolerance: float, id_col: str = "area", ring_col: str = "ring") -> DataFrame:
     """``area`` and ``ring`` (closed), without the points that bend its sides by less than ``tolerance``; sides that areas share
-    lose the same points in each."""
-    parts = arcs(edges(areas, id_col, ring_col))
+    lose the same points in each. Rings and arcs are written, because several steps read them: a ring's expression would run in
+    each again, and its conditions would move below what made the areas, to every row of the table they come from."""
+    rings = saved(areas.select(id_col, ring_col), "rings")
+    parts = saved(arcs(edges(rings, id_col, ring_col)), "arcs")
     # an arc is named by its points in the lesser of its two directions, and simplified in that one
     back = F.reverse("points")
     parts = parts.withColumns({"turned": back < F.col("points"), "way": F.least(F.col("points"), back)})

@@ -131,3 +131,12 @@ def test_accuracy_of_days_left_out(spark):
                 want[level, kind(d), d] = error / sum(x[4] for x in legs if x[0] == d)
     got = {(r["level"], r["day_type"], str(r["service_date"])): r["wape"] for r in demand.left_out_accuracy(df).collect()}
     assert got == pytest.approx(want)
+
+
+def test_rings_are_made_once(spark):
+    """What makes the areas ends at a written table, so that no step repeats it for the rows below it."""
+    at = lambda dx, dy: F.struct((F.col("id") + dx).cast("double").alias("lng"), F.lit(float(dy)).alias("lat"))
+    cells = spark.range(1000).select((F.col("id") % 4).alias("id")).distinct().select(F.col("id").cast("string").alias("area"), F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)).alias("ring"))
+    done = topology.simplified(cells, 0.01)
+    assert "Range (" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["area"], len(r["ring"])) for r in done.collect()) == [(str(k), 5) for k in range(4)]
