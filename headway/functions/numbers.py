@@ -12,6 +12,12 @@ def half_up(c: Column, digits: int = 0) -> Column:
     return F.floor(c * scale + 0.5) / scale
 
 
+def to_places(c: Column, digits: int) -> Column:
+    """Rounded half away from zero as SQL engines do it, by the scaled number: 0.575 is just below the half once it is scaled."""
+    scale = 10.0**digits
+    return F.round(c * scale) / scale
+
+
 def to_count(c: Column) -> Column:
     """A measure as a whole number, ties to even."""
     return F.rint(c).cast("long")

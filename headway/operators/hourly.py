@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendars import DAY_TYPES, month_of, with_day_type
 from ..functions.identifiers import ars_or_virtual, is_real_ars
-from ..functions.numbers import normalised
+from ..functions.numbers import normalised, to_places
 
 #: Shares of a day's boardings by hour where no profile is known, before they are scaled to 1 (fixed values).
 DEFAULT_PROFILE = (
@@ -43,7 +43,7 @@ def distributed(daily: DataFrame, profiles: DataFrame, value: str, key: str = "s
     of = lambda name, default: F.coalesce(name, F.array(*map(F.lit, default_profile(default))))
     rows = daily.join(known, key, "left").withColumn("share", F.arrays_zip(of("__boardings", DEFAULT_PROFILE).alias("b"), of("__alightings", DEFAULT_ALIGHTING).alias("a")))
     spread_out = rows.select(*daily.columns, F.posexplode("share").alias("hour", "share"))
-    part = lambda x: F.round(F.col(value) * F.col(f"share.{x}"), 2)
+    part = lambda x: to_places(F.col(value) * F.col(f"share.{x}"), 2)
     return spread_out.select(*daily.columns, "hour", part("b").alias("boarding"), part("a").alias("alighting"))
 
 

@@ -118,3 +118,14 @@ def test_fingerprints_and_floors(spark):
         m, k = r["mean"], math.floor(r["mean"])
         want = 2 * math.exp(-m + (k + 1) * math.log(m) - math.lgamma(k + 1)) if m else 0.0
         assert r["floor"] == pytest.approx(want, rel=1e-8)
+
+
+def test_hours_are_rounded_as_their_sql_rounds(spark):
+    import duckdb
+
+    daily = spark.range(1, 2001).select(F.lit(1).alias("stop"), F.col("id").cast("double").alias("n"))
+    profiles = spark.createDataFrame([], "stop int, hour int, boardings double, alightings double")  # every stop gets the defaults
+    got = {(r["n"], r["hour"]): (r["boarding"], r["alighting"]) for r in hourly.distributed(daily, profiles, "n").collect()}
+    on, off = (hourly.default_profile(x) for x in (hourly.DEFAULT_PROFILE, hourly.DEFAULT_ALIGHTING))
+    wanted = duckdb.sql(f"SELECT CAST(n AS DOUBLE) AS n, CAST(h AS INT) AS h, round(n * CAST({on}[h + 1] AS DOUBLE), 2), round(n * CAST({off}[h + 1] AS DOUBLE), 2) FROM range(1, 2001) t(n), range(24) u(h)").fetchall()
+    assert got == {(n, h): (b, a) for n, h, b, a in wanted}
