@@ -114,10 +114,10 @@ def bad_profiles(profiles: DataFrame, keys: list[str]) -> DataFrame:
 
 def pattern_sums(profiles: DataFrame, keys: list[str], by: list[str], tolerance: float = 0.01) -> DataFrame:
     """Per ``by``: ``groups`` of ``keys``, those whose ratios sum to 0 (``zero``), and those of the rest whose sum is off 1 by more
-    than the tolerance (``off``)."""
+    than the tolerance (``off``). Sums are taken to 12 decimals, so that one at the limit doesn't depend on the order of its rows."""
     sums = profiles.groupBy(*keys).agg(F.sum("ratio").alias("s"))
     zero = F.coalesce(F.col("s") == 0, F.lit(True))
-    return sums.groupBy(*by).agg(F.count(F.lit(1)).alias("groups"), F.count_if(zero).alias("zero"), F.count_if(~zero & (F.abs(F.col("s") - 1) > tolerance)).alias("off"))
+    return sums.groupBy(*by).agg(F.count(F.lit(1)).alias("groups"), F.count_if(zero).alias("zero"), F.count_if(~zero & (F.abs(F.round("s", 12) - 1) > tolerance)).alias("off"))
 
 
 def weekday_means(profiles: DataFrame) -> DataFrame:

@@ -129,3 +129,16 @@ def test_hours_are_rounded_as_their_sql_rounds(spark):
     on, off = (hourly.default_profile(x) for x in (hourly.DEFAULT_PROFILE, hourly.DEFAULT_ALIGHTING))
     wanted = duckdb.sql(f"SELECT CAST(n AS DOUBLE) AS n, CAST(h AS INT) AS h, round(n * CAST({on}[h + 1] AS DOUBLE), 2), round(n * CAST({off}[h + 1] AS DOUBLE), 2) FROM range(1, 2001) t(n), range(24) u(h)").fetchall()
     assert got == {(n, h): (b, a) for n, h, b, a in wanted}
+
+
+def test_sums_at_the_limit_do_not_depend_on_the_order(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    shares = [n / 2900 for n in (203, 17, 340, 611, 89, 128, 457, 333, 71, 622)]  # 0.99 together
+    for k in range(60):
+        rng.shuffle(shares)
+        rows += [("r", f"{k:05d}", h, x) for h, x in enumerate(shares)]
+    profiles = spark.createDataFrame(rows, "route string, ars string, hour int, ratio double").coalesce(1)
+    got = hourly.pattern_sums(profiles, ["route", "ars"], ["route"]).first()
+    assert (got["groups"], got["zero"], got["off"]) == (60, 0, 60)  # 1 - 0.99 is above 0.01 in double precision
