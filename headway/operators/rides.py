@@ -42,16 +42,29 @@ def alightings(boardings: DataFrame, minutes: list[float]) -> DataFrame:
     return rows.groupBy("minutes", "route", F.col("alight_ars").alias("ars"), hour.alias("hour")).agg(F.sum(F.col("riders") * F.col("piece.w")).alias("riders"))
 
 
+def over_hours(trips: DataFrame, shares: DataFrame) -> DataFrame:
+    """``trips`` (``route, board_ars, p`` and more) over the hours of ``shares`` (``route, board_ars, hour, ratio``), as ``riders``.
+    Rows stay with their route, whose profiles come as one map: what groups by route and more afterwards moves no rows. Trips
+    without a profile are left out."""
+    n = int(trips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stops = shares.groupBy("route", "board_ars").agg(F.collect_list(F.struct("hour", "ratio")).alias("hours"))
+    routes = stops.where("board_ars is not null").groupBy("route").agg(F.map_from_entries(F.collect_list(F.struct("board_ars", "hours"))).alias("profiles"))
+    keep = [c for c in trips.columns if c != "p"]
+    rows = trips.repartition(n, "route").join(routes.repartition(n, "route").hint("shuffle_hash"), "route")
+    split = rows.select(*keep, "p", F.explode(F.try_element_at("profiles", "board_ars")).alias("x"))
+    return split.select(*keep, "x.hour", (F.col("p") * F.col("x.ratio")).alias("riders"))
+
+
 def wape(predicted: DataFrame, counted: DataFrame, group: list[str], keys: list[str], by: list[str]) -> DataFrame:
     """Sum of absolute errors over the sum of counts, per ``by`` (columns of ``predicted``, such as a variant's name). First
     each ``group`` of a variant is scaled to its counted total, so that errors are about the shape over ``keys``; groups
     that only one side has are left out."""
-    totals = lambda rows, name, cols: rows.groupBy(*cols).agg(F.sum("riders").alias(name))
-    p = totals(predicted, "p", [*by, *group, *keys])
-    c = totals(counted, "c", [*group, *keys])
-    both = totals(p.withColumnRenamed("p", "riders"), "p_all", [*by, *group]).join(totals(c.withColumnRenamed("c", "riders"), "c_all", group), group).where("p_all > 0")
+    # rows of a group stay together, so that its keys are gathered and both sides meet without moving again
+    totals = lambda rows, cols: rows.groupBy(*cols, *keys).agg(F.sum("riders").alias("v")).repartition(*group)
+    listed = lambda rows, name, cols: rows.groupBy(*cols).agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*keys), "v"))).alias(name), F.sum("v").alias(f"{name}_all"))
+    p = listed(totals(predicted, [*by, *group]), "p", [*by, *group]).where("p_all > 0")
+    both = p.join(listed(totals(counted, group), "c", group), group)
     # every key that either side has, within the groups of both
-    cells = both.join(c, group).join(p, [*by, *group, *keys], "left").select(*by, *group, "p_all", "c_all", "p", "c")
-    only = p.join(both, [*by, *group]).join(c.select(*group, *keys), [*group, *keys], "left_anti").select(*by, *group, "p_all", "c_all", "p", F.lit(0.0).alias("c"))
-    error: Column = F.abs(F.coalesce("p", F.lit(0.0)) * F.col("c_all") / F.col("p_all") - F.col("c"))
-    return cells.unionByName(only).groupBy(*by).agg((F.sum(error) / F.sum("c")).alias("wape"))
+    off = lambda k, x, y: F.abs(F.coalesce(x, F.lit(0.0)) * F.col("c_all") / F.col("p_all") - F.coalesce(y, F.lit(0.0)))
+    error: Column = F.aggregate(F.map_values(F.map_zip_with("p", "c", off)), F.lit(0.0), lambda s, x: s + x)
+    return both.groupBy(*by).agg((F.sum(error) / F.sum("c_all")).alias("wape"))

@@ -9,7 +9,7 @@ from ..functions import identifiers as ids
 from ..functions import numbers as num
 from ..operators import districts, ferry, hourly, rides, route_load, spatial, terrain
 from ..sources import paged_api
-from ..sources.files import work_folder
+from ..sources.files import saved, work_folder
 from .views import query
 
 C = F.col
@@ -90,13 +90,15 @@ def _(v):
     shares = _profiles(timed.where("service_date < '1999-01-01'")).select("route", C("ars").alias("board_ars"), "hour", "ratio")
     span = (C("alight_seq") - C("board_seq")).alias("span")
     od = timed.groupBy("route", "board_ars", "alight_ars", span).agg(F.sum("passengers").alias("p"))
-    split = od.join(shares, ["route", "board_ars"]).select("route", "board_ars", "alight_ars", "span", "hour", (C("p") * C("ratio")).alias("riders"))
+    split = rides.over_hours(od, shares)
     counted = timed.where("service_date >= '1999-01-01'")
     there = (F.floor((C("hour") * 60 + C("minute") + span * C("pace")) / 60) % 24).cast("int").alias("hour")
     off = counted.select("route", C("alight_ars").alias("ars"), there, C("passengers").alias("riders"))
     on = counted.select("route", C("board_ars").alias("ars"), "hour", C("passengers").alias("riders"))
     moved = rides.alightings(split, [0.0, 1.5, 2.5]).withColumn("what", F.concat(F.lit("alighting "), C("minutes").cast("string")))
-    stays = split.select(F.lit("boarding").alias("what"), "route", C("board_ars").alias("ars"), "hour", "riders")
+    stays = split.groupBy("route", C("board_ars").alias("ars"), "hour").agg(F.sum("riders").alias("riders")).withColumn("what", F.lit("boarding"))
+    cells = saved(moved.drop("minutes").unionByName(stays), "cells")  # both levels read them
+    moved, stays = cells.where("what != 'boarding'"), cells.where("what = 'boarding'")
     parts = [
         rides.wape(predicted, seen, group, ["hour"], ["what"]).select(F.lit(level).alias("level"), "what", F.round("wape", 9).alias("wape"))
         for level, group in (("route", ["route"]), ("stop", ["route", "ars"])) for predicted, seen in ((moved, off), (stays, on))

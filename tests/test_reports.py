@@ -142,3 +142,19 @@ def test_sums_at_the_limit_do_not_depend_on_the_order(spark):
     profiles = spark.createDataFrame(rows, "route string, ars string, hour int, ratio double").coalesce(1)
     got = hourly.pattern_sums(profiles, ["route", "ars"], ["route"]).first()
     assert (got["groups"], got["zero"], got["off"]) == (60, 0, 60)  # 1 - 0.99 is above 0.01 in double precision
+
+
+def test_reproduced_alightings_are_moved_by_route_once(spark):
+    """Trips times hours never cross a shuffle: they are grouped where their route is, and both levels read what was written."""
+    plan = catalogue.QUERIES["dom_alight_reproduction"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and plan.count("Exchange hashpartitioning") <= 24
+
+
+def test_errors_of_cells_that_one_side_has(spark):
+    predicted = spark.createDataFrame([("x", "r", 1, 2.0), ("x", "r", 2, 2.0), ("x", "s", 1, 0.0), ("x", "t", 1, 5.0)], "what string, route string, hour int, riders double")
+    counted = spark.createDataFrame([("r", 2, 3.0), ("r", 3, 3.0), ("r", 3, 2.0), ("s", 1, 4.0), ("u", 1, 9.0)], "route string, hour int, riders double")
+    # 4 riders are scaled to 8: 4 at hour 1, |4 - 3| at hour 2, 5 at hour 3; s has no riders, t and u only one side
+    assert [tuple(r) for r in rides.wape(predicted, counted, ["route"], ["hour"], ["what"]).collect()] == [("x", (4 + 1 + 5) / 8)]
+    trips = spark.createDataFrame([("r", "b", "c", 2.0), ("r", "z", "c", 1.0)], "route string, board_ars string, alight_ars string, p double")
+    shares = spark.createDataFrame([("r", "b", 4, 0.25), ("r", "b", 5, 0.75), ("q", "z", 5, 1.0)], "route string, board_ars string, hour int, ratio double")
+    assert sorted(tuple(r) for r in rides.over_hours(trips, shares).collect()) == [("r", "b", "c", 4, 0.5), ("r", "b", "c", 5, 1.5)]
