@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PAGE_ROWS, OK, NOTHING = 1000, "INFO-000", "INFO-200"
+_BETWEEN = "\x01"
 
 
 class NotPublished(Exception):
@@ -42,10 +43,14 @@ def checked(text: str, key: str = "") -> ET.Element:
 def result_states(pages: DataFrame, xml: str = "xml", key: str = "") -> DataFrame:
     """Adds ``state`` (``ok``, ``not_published`` or ``error``) and ``message`` (without the key, empty where there is none) to
     rows of stored pages, by the result in the root or as the root."""
-    at = lambda tag: F.trim(F.concat(F.xpath_string(xml, F.lit(f"/RESULT/{tag}")), F.xpath_string(xml, F.lit(f"/*/RESULT/{tag}"))))
-    state = F.when(at("CODE") == OK, "ok").when(at("CODE") == NOTHING, "not_published").otherwise("error")
-    message = F.replace(at("MESSAGE"), F.lit(key), F.lit("***")) if key else at("MESSAGE")
-    return pages.withColumns({"state": state, "message": message})
+    # one look at each page: code and message come as one text, as a page can't hold the character between them
+    one = lambda tag: f"/RESULT/{tag} | /*[name() != 'RESULT']/RESULT/{tag}"
+    found = F.xpath_string(xml, F.lit(f"concat({one('CODE')}, '{_BETWEEN}', {one('MESSAGE')})"))
+    rows = pages.withColumn("__found", F.split(found, _BETWEEN, 2))
+    at = lambda i: F.trim(F.get("__found", F.lit(i)))
+    state = F.when(at(0) == OK, "ok").when(at(0) == NOTHING, "not_published").otherwise("error")
+    message = F.replace(at(1), F.lit(key), F.lit("***")) if key else at(1)
+    return rows.withColumns({"state": state, "message": message}).drop("__found")
 
 
 def page_rows(page: ET.Element, columns: dict[str, tuple[str, ...]]):
