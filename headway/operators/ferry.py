@@ -21,41 +21,38 @@ def _piers() -> Column:
     return F.array(*map(F.lit, PIERS))
 
 
-def _pier(name: Column) -> Column:
-    out = F
-    for alias, pier in ALIASES.items():
-        out = out.when(name == alias, pier)
-    return out.otherwise(name)
-
-
 def _position(name: Column) -> Column:
     return F.array_position(_piers(), name).cast("int")
 
 
-def _neighbour(name: Column, step: int) -> Column:
-    """The pier after (1) or before (-1); at the line's end the only neighbour."""
-    at = _position(name)
-    end = len(PIERS) if step > 0 else 1
-    return F.element_at(_piers(), F.when(at == end, at - step).otherwise(at + step))
+def _positions(rows: DataFrame, side: str) -> DataFrame:
+    """Adds ``__{side}``, the position of a side's pier by any of its names; null where it is no pier. It is looked up in a table of
+    the names, so that what asks for it afterwards compares numbers and doesn't repeat what made the name."""
+    names = F.array(*[F.struct(F.lit(n).alias("__name"), F.lit(PIERS.index(ALIASES.get(n, n)) + 1).alias(f"__{side}")) for n in (*PIERS, *ALIASES)])
+    table = rows.sparkSession.range(1).select(F.inline(names))
+    return rows.join(F.broadcast(table), F.col(f"{side}_name") == F.col("__name"), "left").drop("__name")
 
 
 def corrected(rows: DataFrame, route: str = ROUTE) -> DataFrame:
     """All rows, ferry trips with their route, piers and positions; and ``kind``: ``no_alighting``, ``same_pier`` or
     ``ferry`` for trips, ``other`` for other rows without a route, null for the rest."""
-    board, alight = _pier(F.col("board_name")), _pier(F.col("alight_name"))
+    board, alight = F.col("__board"), F.col("__alight")
     bare = F.col("route").isNull() & F.col("board_ars").isNull() & F.col("alight_ars").isNull()
-    trip = bare & F.coalesce(board.isin(*PIERS), F.lit(False)) & (alight.isNull() | alight.isin(*PIERS))
+    trip = bare & board.isNotNull() & (F.col("alight_name").isNull() | alight.isNotNull())
     kind = F.when(trip & alight.isNull(), "no_alighting").when(trip & (board == alight), "same_pier").when(trip, "ferry").when(F.col("route").isNull(), "other")
-    d = rows.withColumns({"kind": kind, "board_name": board, "alight_name": alight})
+    d = _positions(_positions(rows, "board"), "alight").withColumn("kind", kind)
     is_trip = F.col("kind").isin("no_alighting", "same_pier", "ferry")
+    # the pier before or after; at the line's ends the only neighbour
     d = d.withColumns({
-        "board_name": F.when(F.col("kind") == "same_pier", _neighbour(F.col("board_name"), -1)).otherwise(F.col("board_name")),
-        "alight_name": F.when(F.col("kind") == "no_alighting", _neighbour(F.col("board_name"), 1)).otherwise(F.col("alight_name")),
+        "__board": F.when(F.col("kind") == "same_pier", F.when(board == 1, 2).otherwise(board - 1)).otherwise(board),
+        "__alight": F.when(F.col("kind") == "no_alighting", F.when(board == len(PIERS), board - 1).otherwise(board + 1)).otherwise(alight),
     })
+    name = lambda side: F.coalesce(F.get(_piers(), F.col(f"__{side}") - 1), F.col(f"{side}_name"))
     return d.withColumns({
         "route": F.when(is_trip, route).otherwise(F.col("route")),
-        "board_seq": F.when(is_trip, _position(F.col("board_name"))).otherwise(F.col("board_seq")),
-        "alight_seq": F.when(is_trip, _position(F.col("alight_name"))).otherwise(F.col("alight_seq")),
+        "board_seq": F.when(is_trip, board).otherwise(F.col("board_seq")),
+        "alight_seq": F.when(is_trip, alight).otherwise(F.col("alight_seq")),
+        "board_name": name("board"), "alight_name": name("alight"),
     }).select(*rows.columns, "kind")
 
 
