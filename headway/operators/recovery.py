@@ -2,7 +2,8 @@
 
 ``recover`` fills route ids and the codes of both stops of a trip, from strong to weak sources. All that a fill depends on is the
 stop's own keys, so the chain runs over the distinct stops of the trips (saved after every step, because later lookups read what
-earlier steps found) and meets the trips once at its end. ``repair`` corrects codes against stop masters. Both keep per row which
+earlier steps found) and meets the trips once at its end. All that trips look up stands in one row per route, as maps by position,
+so that they are moved once. ``repair`` corrects codes against stop masters. Both keep per row which
 rules set a value; ``rule_counts`` counts them in one aggregate, ``observed`` while the rows are written.
 """
 
@@ -42,23 +43,56 @@ def _known(rows: DataFrame, keys: list[str]) -> DataFrame:
     return unambiguous(rows, keys, "code").select(*keys, F.col("code").alias("found"))
 
 
+def _by_route(rows: DataFrame) -> DataFrame:
+    """Route labels as they were, and ``__route``, by which rows meet all lookups of their route (empty without a route)."""
+    return rows.withColumn("route", ids.route_label(F.col("route"))).withColumn("__route", F.coalesce("route", F.lit("")))
+
+
+def _ids_of_routes(known: DataFrame) -> DataFrame:
+    """Per route a map for each side, from position to the least id."""
+    given = _stops(known.where("route is not null"), "__route").where(~_empty("route_id") & F.col("seq").isNotNull())
+    least = given.groupBy("__route", "side", "seq").agg(F.min("route_id").alias("id"))
+    of = lambda s: F.map_from_entries(F.collect_list(F.when(F.col("side") == s, F.struct("seq", "id")))).alias(f"__{s}_ids")
+    return least.groupBy("__route").agg(*map(of, SIDES))
+
+
+def _identified(rows: DataFrame, found: DataFrame, ends: dict[str, str]) -> DataFrame:
+    """``route_id`` of rows without one and ``route_id_rule``, by the positions in the columns ``ends`` of each side."""
+    joined = rows.join(found, "__route", "left")
+    lacks = _empty("route_id") & F.col("route").isNotNull()
+    by = [F.try_element_at(f"__{s}_ids", F.col(ends[s])) for s in SIDES]
+    rule = F.when(lacks & by[0].isNotNull(), ROUTE_RULES[0]).when(lacks & by[1].isNotNull(), ROUTE_RULES[1])
+    return joined.withColumns({"route_id": F.when(lacks, F.coalesce(*by, "route_id")).otherwise(F.col("route_id")), "route_id_rule": rule}).select(*rows.columns, "route_id_rule")
+
+
 def route_ids(raw: DataFrame, reference: DataFrame) -> DataFrame:
     """Route labels as they were, and ids of routes by (route, boarding position), then by (route, alighting position) of the
-    reference (the least where it has several): sets ``route_id`` and ``route_id_rule``."""
-    rows = raw.withColumns({"route": ids.route_label(F.col("route")), "route_id_rule": F.lit(None).cast("string")})
-    known = reference.withColumn("route", ids.route_label(F.col("route")))
-    for side, rule in zip(SIDES, ROUTE_RULES):
-        found = known.where(~_empty("route_id")).groupBy("route", f"{side}_seq").agg(F.min("route_id").alias("__id"))
-        rows = rows.join(found, ["route", f"{side}_seq"], "left")
-        hit = _empty("route_id") & F.col("__id").isNotNull()
-        rows = rows.withColumns({"route_id_rule": F.when(hit, rule).otherwise(F.col("route_id_rule")), "route_id": F.when(hit, F.col("__id")).otherwise(F.col("route_id"))}).drop("__id")
-    return rows.select(*raw.columns, "route_id_rule")
-
-
-def _stops(rows: DataFrame) -> DataFrame:
-    """A row per stop of a trip: ``side``, ``route_id``, ``seq``, ``ars``, ``name``, ``code``."""
+    reference (the least where it has several): sets ``route_id`` and ``route_id_rule``. Rows meet both lookups at once, by route."""
+    return _identified(_by_route(raw), _ids_of_routes(_by_route(reference)), {s: f"{s}_seq" for s in SIDES}).drop("__route")
+
+
+def _stops(rows: DataFrame, *more: str | Column) -> DataFrame:
+    """A row per stop of a trip: ``side``, ``route_id``, ``seq``, ``ars``, ``name``, ``code``, and ``more`` of the trip."""
     one = lambda s: F.struct(F.lit(s).alias("side"), *[F.col(f"{s}_{c}").alias(c) for c in ("seq", "ars", "name", "code")])
-    return rows.select("route_id", F.explode(F.array(*map(one, SIDES))).alias("x")).select("route_id", "x.*")
+    return rows.select("route_id", *more, F.explode(F.array(*map(one, SIDES))).alias("x")).select("route_id", *rows.select(*more).columns, "x.*")
+
+
+def _codes_of_routes(stops: DataFrame) -> DataFrame:
+    """Per route a map for each side, from position to the codes found there by (id of the route, number, name). The name is null for
+    stops with a number, whose codes don't depend on it."""
+    key = ["route_id", "ars", "name"]
+    found = stops.where("rule is not null").withColumn("name", F.when(ids.is_placeholder(F.col("ars")), F.col("name"))).repartition("__route")
+    each = found.groupBy("__route", "side", "seq", *key).agg(F.min(F.struct("code", "rule")).alias("x"))
+    at = each.groupBy("__route", "side", "seq").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*key), "x"))).alias("at"))
+    of = lambda s: F.map_from_entries(F.collect_list(F.when(F.col("side") == s, F.struct(F.struct("seq"), "at")))).alias(f"__{s}_codes")
+    return at.groupBy("__route").agg(*map(of, SIDES))
+
+
+def _coded(side: str) -> Column:
+    """``code`` and ``rule`` that ``_codes_of_routes`` has for a row's stop."""
+    at = F.try_element_at(f"__{side}_codes", F.struct(F.col(f"{side}_seq").alias("seq")))
+    key = lambda name: F.struct("route_id", F.col(f"{side}_ars").alias("ars"), name.alias("name"))
+    return F.coalesce(F.try_element_at(at, key(F.lit(None).cast("string"))), F.try_element_at(at, key(F.col(f"{side}_name"))))
 
 
 def recover(raw: DataFrame, reference: DataFrame, master: DataFrame) -> DataFrame:
@@ -69,9 +103,13 @@ def recover(raw: DataFrame, reference: DataFrame, master: DataFrame) -> DataFram
     route; from other rows of the same number and side; of the same name, for rows without a number; and from the other side's
     rows of the same number. No lookup guesses: a key with two codes has none. At the end numbers get five places, codes nine.
     """
-    rows = route_ids(raw, reference)
-    own = ["side", "route_id", "seq", "ars", "name", "given"]
-    stops = _stops(rows).distinct().withColumns({"given": F.col("code"), "rule": F.lit(None).cast("string"), "key": F.nullif(ids.ars_key(F.col("ars")), F.lit(""))})
+    rows, known = _by_route(raw), _ids_of_routes(_by_route(reference))
+    own = ["__route", "side", "route_id", "seq", "ars", "name", "given"]
+    # distinct before ids are looked up: positions stay only where the id depends on them
+    open_at = {s: f"__{s}_at" for s in SIDES}
+    first = _stops(rows, "__route", "route", *[F.when(_empty("route_id"), F.col(f"{s}_seq")).alias(c) for s, c in open_at.items()]).distinct()
+    stops = _identified(first, known, open_at).withColumnRenamed("code", "given").select(*own).distinct()
+    stops = stops.withColumns({"code": F.col("given"), "rule": F.lit(None).cast("string"), "key": F.nullif(ids.ars_key(F.col("ars")), F.lit(""))})
     nodes = master.withColumns({"key": F.nullif(ids.ars_key(F.col("ars")), F.lit("")), "code": F.col("node")})
     old = _stops(reference).withColumn("key", F.nullif(ids.ars_key(F.col("ars")), F.lit("")))
     stops = _filled(stops, _known(nodes, ["key"]), ["key"], "master")
@@ -82,13 +120,11 @@ def recover(raw: DataFrame, reference: DataFrame, master: DataFrame) -> DataFram
     for source, target in (SIDES, SIDES[::-1]):
         found = _known(stops.where(real & (F.col("side") == source)), ["ars"])
         stops = saved(_filled(stops, found, ["ars"], "cross", F.col("side") == target), "stops")
+    # both joins are by route, so that rows move and are sorted once
+    rows = _identified(rows, known, {s: f"{s}_seq" for s in SIDES}).join(_codes_of_routes(stops), "__route", "left")
     for side in SIDES:
-        at = stops.where(F.col("side") == side).select(*[F.col(c).alias(f"__{c}") for c in own if c != "side"], F.col("code").alias("__code"), F.col("rule").alias(f"{side}_rule"))
-        same = F.lit(True)
-        for c in own[1:]:
-            mine = {"route_id": "route_id", "given": f"{side}_code"}.get(c, f"{side}_{c}")
-            same = same & rows[mine].eqNullSafe(at[f"__{c}"])
-        rows = rows.join(at, same, "left").withColumn(f"{side}_code", F.col("__code")).drop(*[f"__{c}" for c in own if c != "side"], "__code")
+        code, hit = f"{side}_code", _empty(f"{side}_code") & _coded(side).isNotNull()
+        rows = rows.withColumns({code: F.when(hit, _coded(side)["code"]).otherwise(F.col(code)), f"{side}_rule": F.when(hit, _coded(side)["rule"])})
     places = {f"{s}_{c}": F.when(_empty(f"{s}_{c}"), F.col(f"{s}_{c}")).otherwise(ids.zero_fill(F.col(f"{s}_{c}"), n)) for s in SIDES for c, n in (("ars", 5), ("code", 9))}
     return rows.withColumns(places).select(*raw.columns, "route_id_rule", *[f"{s}_rule" for s in SIDES])
 

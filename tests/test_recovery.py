@@ -1,6 +1,7 @@
 """Recovery of codes by weaker and weaker sources, repairs, and the ledger of rules."""
 
 from headway.operators import recovery
+from headway.plans.views import views
 
 TRIP = "route string, route_id string, board_seq int, board_ars string, board_code string, board_name string, alight_seq int, alight_ars string, alight_code string, alight_name string"
 
@@ -78,3 +79,28 @@ def test_repairs_in_order(spark):
             assert (got[i][f"{side}_code"], got[i][f"{side}_rules"]) == (code, rules), cases[i]
     checked = {r["side"]: (r["checked"], r["wrong"]) for r in recovery.disagreements(recovery.repair(rows, master, outside).withColumnsRenamed({}).selectExpr("'r' as route_id", "1 as board_seq", "1 as alight_seq", *[f"{s}_{c}" for s in recovery.SIDES for c in ("ars", "name", "code")]), master).collect()}
     assert checked == {"board": (4, 0), "alight": (4, 0)}
+
+
+def test_trips_meet_their_lookups_once_by_route(spark):
+    """Both joins of the trips are by route, so that one exchange serves them; the others are those of the lookups."""
+    raw = views(spark, "/root/testdata/sf0.001")("raw_od")
+    master = spark.createDataFrame([("00001", "1")], "ars string, node string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = recovery.recover(raw.where("service_date > '1995-03-31'"), raw.where("service_date <= '1995-03-31'"), master)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joins = [line.split("SortMergeJoin ")[1] for line in plan.splitlines() if "SortMergeJoin " in line]
+    assert len(joins) == 2 and all(j.startswith("[__route#") and "," not in j.split("]")[0] for j in joins)
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_trips_without_a_route_find_codes_but_no_id(spark):
+    reference = trips(spark, (None, "6", 1, "01001", "1", "a", 2, "01002", "2", "b"), ("", "7", 1, "01001", "1", "a", 2, "01002", "2", "b"))
+    raw = trips(spark, (None, None, 1, "01003", None, "a", None, "0", None, "x"), ("", None, 1, "01004", None, "a", None, "0", None, None), ("9", "", None, "01003", "", "a", 2, "00000", "", "y"), ("9", "8", 1, "01005", "5", "x", 2, None, "9", "y"))
+    out = recovery.recover(raw, reference, spark.createDataFrame([("01003", "3")], "ars string, node string"))
+    assert sorted(((r["route"], r["route_id"], r["route_id_rule"], r["board_code"], r["board_rule"], r["alight_code"], r["alight_rule"]) for r in out.collect()), key=str) == sorted([
+        (None, None, None, "000000003", "master", None, None), ("", "7", "route_by_board", None, None, None, None),
+        ("9", "", None, "000000003", "master", "000000009", "name"), ("9", "8", None, "000000005", None, "000000009", None),
+    ], key=str)
