@@ -143,3 +143,10 @@ def test_hourly_loads_and_their_legend(spark):
         merged[(ends[at + 1], ends[at + 2]) if ends[at + 1] and ends[at + 2] else (variant, at)] += v
     most = np.max(list(merged.values()), axis=0)
     assert {r["hour"]: r["most"] for r in route_load.legend(loads, st).collect()} == pytest.approx(dict(enumerate(most)))
+
+
+def test_hours_stay_in_one_row_until_loads_are_known(spark):
+    placed = spark.createDataFrame([("A", "00001", 1.0, "A|1", 0, 2)], "route string, board_ars string, passengers double, variant string, from_at int, to_at int")
+    known = spark.createDataFrame([("A", "00001", [1.0 / 24] * 24)], "route string, ars string, share array<double>")
+    plan = route_load.hourly_loads(placed, known, hourly.default_profile())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Window [")  # above the running sums
